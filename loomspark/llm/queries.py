@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repetition
+from . import repetition, token_files
 from .oracles import ORACLES as ORACLES
 
 
@@ -18,6 +18,14 @@ def op1_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.coverage(table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = token_files.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_files(manifest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_coverage": op1_repetition_coverage,
+    "op9_token_files": op9_token_files,
 }
