@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repetition, token_files
+from . import bpe, repetition, token_files
 from .oracles import ORACLES as ORACLES
 
 
@@ -25,7 +25,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(manifest)
 
 
+def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_coverage": op1_repetition_coverage,
     "op9_token_files": op9_token_files,
+    "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
