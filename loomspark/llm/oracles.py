@@ -28,4 +28,21 @@ SELECT *, NOT base_failed AND dup_line_chars <= 0.20 * word_chars AND dup5_chars
   AND dup10_chars <= 0.10 * word_chars AS kept FROM base"""
 
 
-ORACLES: dict[str, str] = {"op1_repetition_coverage": _coverage()}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, i, i + least(10, len(w)) - 1) AS win FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(win) AS n FROM win),
+hit AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS win FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)) JOIN win USING (win)),
+spot AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(n)) AS r(k) GROUP BY 1),
+item AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN spot USING (doc_id) LEFT JOIN item USING (doc_id)"""
+
+ORACLES: dict[str, str] = {
+    "op1_repetition_coverage": _coverage(),
+    "op6_benchmark_decontamination": DECONTAMINATION,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, repetition, token_files
+from . import bpe, decontamination, repetition, token_files
 from .oracles import ORACLES as ORACLES
 
 
@@ -31,8 +31,13 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_coverage": op1_repetition_coverage,
     "op9_token_files": op9_token_files,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
