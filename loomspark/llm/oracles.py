@@ -42,7 +42,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN spot USING (doc_id) LEFT JOIN item USING (doc_id)"""
 
+NUMBER = "(('0x' || substr(md5({key}), 1, 6))::BIGINT % {mod})"
+
+URL_LISTS = rf"""
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + {NUMBER.format(key="'fetch' || page_id::VARCHAR", mod=731)}::INTEGER AS fetched_at,
+    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.$', ''), '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS seg FROM pages),
+l AS (SELECT *, string_split(host, '.') AS lab FROM p WHERE host IS NOT NULL),
+k AS (SELECT page_id, url, fetched_at, array_to_string(lab[i:], '.') AS key, len(lab) - i + 1 AS rank FROM l, unnest(range(1, greatest(len(lab) - 1, 1) + 1)) AS t(i)
+  UNION ALL SELECT page_id, url, fetched_at, host || '/' || seg, len(lab) + 1 FROM l WHERE seg <> ''),
+own AS (SELECT key, key || '#' || i::VARCHAR AS tag FROM (SELECT DISTINCT key FROM k WHERE {NUMBER.format(key="key", mod=3)} > 0), unnest(range(4)) AS t(i)),
+e AS (SELECT key, DATE '2024-01-01' + {NUMBER.format(key="tag", mod=701)}::INTEGER AS since, bool_or({NUMBER.format(key="tag", mod=2)} = 0) AS blocked FROM own GROUP BY 1, 2),
+v AS (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM e),
+m AS (SELECT page_id, url, fetched_at, v.key AS mkey, since, blocked, row_number() OVER (PARTITION BY page_id, url, fetched_at ORDER BY rank DESC) AS r
+  FROM k JOIN v ON k.key = v.key AND since <= fetched_at AND (until IS NULL OR fetched_at < until))
+SELECT DISTINCT p.page_id, p.url, p.fetched_at::VARCHAR AS fetched_at, mkey AS matched_key, since::VARCHAR AS since, CASE WHEN m.mkey IS NULL THEN 'none' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.url = m.url AND p.fetched_at = m.fetched_at AND r = 1"""
+
+CHATS = r"""
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS ts, max(turn) AS last FROM t GROUP BY 1),
+proper AS (SELECT DISTINCT list_filter(ts, lambda x: x.turn <= u.turn) AS ts FROM c, (SELECT DISTINCT conv_id AS id, turn FROM t) AS u WHERE u.id = conv_id AND u.turn < last),
+kept AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, ts FROM c WHERE ts NOT IN (SELECT ts FROM proper) GROUP BY ts)
+SELECT conv_id, len(ts)::BIGINT AS n_turns, n_copies,
+  array_to_string(list_transform(ts, lambda x: '<|' || x.role || '|>' || chr(10) || replace(x.text, '<|', '<' || chr(92) || '|') || '<|end|>' || chr(10)), '') AS chat FROM kept"""
+
 ORACLES: dict[str, str] = {
     "op1_repetition_coverage": _coverage(),
+    "op2_url_lists": URL_LISTS,
+    "op4_chat_collapse": CHATS,
     "op6_benchmark_decontamination": DECONTAMINATION,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, repetition, token_files
+from . import bpe, conversations, decontamination, repetition, token_files, url_lists
 from .oracles import ORACLES as ORACLES
 
 
@@ -35,9 +35,21 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_lists.verdicts(url_lists.dated(pages), url_lists.revisions(pages))
+    return found.withColumn("fetched_at", found.fetched_at.cast("string")).withColumn("since", found.since.cast("string"))
+
+
+def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.rendered(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_coverage": op1_repetition_coverage,
     "op9_token_files": op9_token_files,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op2_url_lists": op2_url_lists,
+    "op4_chat_collapse": op4_chat_collapse,
 }
