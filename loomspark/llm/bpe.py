@@ -29,8 +29,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ._runtime import pieces, ship
 
-#: Distinct pieces of text that a worker remembers; beyond it, it starts over.
-MEMORY = 500_000
+#: Distinct words that a worker remembers, about 300 bytes each; beyond it, it starts over.
+MEMORY = 700_000
 NEVER = np.int64(1 << 62)
 #: White space for Python but not for the tokenizer's patterns.
 ODD = re.compile(r"[\x1c-\x1f]")
@@ -198,8 +198,8 @@ class Encoder:
         self.table = str.maketrans({chr(b): s for b, s in _byte_symbols().items()})
         self.split = re.compile("(" + "|".join(map(re.escape, model.added)) + ")").split if model.added else None
         self.mark = min(model.added, key=len)[:2] if model.added else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[int, str, str]] = {}
 
     def _words(self, piece: str) -> list[str | int]:
         """Words in byte-level symbols; added tokens as their ids."""
@@ -218,34 +218,49 @@ class Encoder:
     def _plain(self, piece: str) -> list[str]:
         return [w.encode().decode("latin-1").translate(self.table) for w in self.find(self.normal(piece))]
 
-    def _learn(self, new: list[str]) -> None:
-        split = [self._words(p) for p in new]
-        found = self.words
-        words = [w for w in {w for ws in split for w in ws} if isinstance(w, str) and w not in found]
-        found.update(zip(words, map(tuple, self.model.encode(words)), strict=True))
-        for piece, ws in zip(new, split, strict=True):
-            self.known[piece] = found[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else tuple(t for w in ws for t in (found[w] if isinstance(w, str) else (w,)))
+    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.model.text.__getitem__, ids))
 
-    def encode(self, texts: list[str | None]) -> list[list[tuple[int, ...]]]:
-        """The ids of each text, in tuples a piece."""
-        if len(self.known) > MEMORY:
+    def _learn(self, new: list[str]) -> list[str]:
+        """Enter pieces; the ones of several words, which are quick to put together again, are returned to be forgotten."""
+        split = list(map(self._words, new))
+        words = [w for w in {w for ws in split for w in ws} if isinstance(w, str) and w not in self.words]
+        self.words.update(zip(words, map(self._entry, self.model.encode(words)), strict=True))
+        found, passing = self.words, []
+        for piece, ws in zip(new, split, strict=True):
+            if len(ws) == 1 and isinstance(ws[0], str):
+                self.known[piece] = found[ws[0]]
+            else:
+                own = [x for x in (found[w] if isinstance(w, str) else self._entry([w]) for w in ws) if x[0]]
+                self.known[piece] = sum(x[0] for x in own), " ".join(x[1] for x in own), " ".join(x[2] for x in own)
+                passing.append(piece)
+        return passing
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of ids, the ids and their tokens, both joined by spaces."""
+        if len(self.words) > MEMORY:
             self.known, self.words = {}, {}
-        split = [(PIECE.split(t) if ODD.search(t) else t.split()) if t else [] for t in texts]
+        split = [(list(filter(None, PIECE.split(t))) if ODD.search(t) else t.split()) if t else [] for t in texts]
         new = [x for x in set().union(*split) if x not in self.known]
-        if new:
-            self._learn(new)
+        passing = self._learn(new) if new else []
         known = self.known.__getitem__
-        return [[x for x in map(known, pieces) if x] for pieces in split]
+        for pieces in split:
+            n, ids, tokens = zip(*map(known, pieces), strict=True) if pieces else ((), (), ())
+            if 0 in n:
+                n, ids, tokens = zip(*(x for x in map(known, pieces) if x[0]), strict=True) if any(n) else ((), (), ())
+            yield sum(n), " ".join(ids), " ".join(tokens)
+        for piece in passing:
+            del self.known[piece]
 
 
-_ENCODERS: dict[str, tuple[Encoder, dict, dict]] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(model: Model) -> tuple[Encoder, dict, dict]:
-    """One encoder for each worker process, with the id and token strings of its tuples."""
+def _encoder(model: Model) -> Encoder:
+    """One encoder for each worker process, which its tasks share."""
     if model.path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[model.path] = (Encoder(model), {}, {})
+        _ENCODERS[model.path] = Encoder(model)
     return _ENCODERS[model.path]
 
 
@@ -258,30 +273,19 @@ def _run(documents: DataFrame, path: str, schema: str, columns: Callable) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            encoder = _encoder(model.value)
-            more = columns(encoder, encoder[0].encode(piece.column(keep.index("text")).to_pylist()))
+            more = columns(_encoder(model.value).encode(piece.column(keep.index("text")).to_pylist()))
             yield pa.RecordBatch.from_arrays([*piece.columns, *more], names)
 
     types = StructType([*documents.schema.fields, *_parse_datatype_string(schema).fields])
     return documents.mapInArrow(run, types)
 
 
-def _strings(texts: list, known: dict, one: Callable) -> list[list[str]]:
-    if len(known) > 2 * MEMORY:
-        known.clear()
-    for x in {y for t in texts for y in t}:
-        if x not in known:
-            known[x] = one(x)
-    return [list(map(known.__getitem__, t)) for t in texts]
-
-
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """documents with token_ids array<int> and decoded string; columns of these names are replaced."""
 
-    def columns(encoder, texts):
-        spell, _, known = encoder
-        decoded = [" ".join(x) for x in _strings(texts, known, lambda x: " ".join(map(spell.model.text.__getitem__, x)))]
-        return [pa.array([[i for x in t for i in x] for t in texts], pa.list_(pa.int32())), pa.array(decoded)]
+    def columns(texts):
+        _, ids, decoded = zip(*texts, strict=True)
+        return [pa.array([list(map(int, x.split())) for x in ids], pa.list_(pa.int32())), pa.array(decoded)]
 
     own = documents.drop("token_ids", "decoded").withColumn("text", F.col("text").cast("string"))
     return _run(own, path, "token_ids array<int>, decoded string", columns)
@@ -290,12 +294,10 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 def digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, of the same ids and texts as encode's."""
 
-    def columns(encoder, texts):
-        spell, numbers, known = encoder
-        ids = _strings(texts, numbers, lambda x: " ".join(map(str, x)))
-        decoded = _strings(texts, known, lambda x: " ".join(map(spell.model.text.__getitem__, x)))
-        sha = lambda x: hashlib.sha256(" ".join(x).encode()).hexdigest()
-        return [pa.array([sum(map(len, t)) for t in texts], pa.int64()), pa.array(list(map(sha, ids))), pa.array(list(map(sha, decoded)))]
+    def columns(texts):
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        n, ids, decoded = zip(*((n, sha(ids), sha(decoded)) for n, ids, decoded in texts), strict=True)
+        return [pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)]
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _run(own, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns).drop("text")
