@@ -36,8 +36,8 @@ from ._runtime import parts, pieces, shared_dir, ship, written
 
 MAGIC, BLOCK, LANES, PERCENTILE, END_ID = b"LPFOR1\0\0", 512, 64, 95, 2
 NULL_ID = -(1 << 63)
-#: Distinct chunks of text whose ids a worker remembers; beyond it, it starts over.
-MEMORY = 800_000
+#: Distinct pieces and pre-tokens whose ids a worker remembers; beyond it, it starts over.
+CHUNKS, WORDS = 600_000, 1_000_000
 
 
 class Ragged:
@@ -88,6 +88,7 @@ class ChunkEncoder:
     """
 
     _run = re.compile(r"\s ")
+    _rare = re.compile(r"[\x0b\x0c\x1c-\x1f] ")
     _cut = re.compile(r"(?<=\S) ")
     #: The pre-tokens of the byte-level vocabulary.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,6 +103,8 @@ class ChunkEncoder:
         self.spaced = np.zeros(1 + max(vocabulary.values()), bool)
         self.spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # the space's stand-in
         self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        #: What every added token holds; without added tokens, no text does.
+        self.mark = os.path.commonprefix(self.added) if self.added else "\0none\0"
         self._reset()
 
     def _reset(self) -> None:
@@ -115,7 +118,7 @@ class ChunkEncoder:
         size = np.zeros(len(keys), np.int64)
         for i, key in enumerate(keys):
             text = key[0] if isinstance(key, tuple) else " " + key
-            if any(x in text for x in self.added):
+            if self.mark in text:
                 found.append(text)
             else:
                 found += self.find(text)
@@ -126,6 +129,12 @@ class ChunkEncoder:
         flat, before = self.word_ids.take(rows)
         self.chunk_ids.append(flat, np.diff(before[size], prepend=0))
 
+    def _runs(self, text: str) -> bool:
+        """Whether a space follows white space."""
+        if text.isascii():
+            return "  " in text or "\n " in text or "\t " in text or "\r " in text or bool(self._rare.search(text))
+        return bool(self._run.search(text))
+
     def _encode_words(self, new: list[str]) -> None:
         """Words of a space and non-spaces go to the library by the thousand: a token that begins with the space begins a word."""
         plain = np.fromiter((w[0] == " " and len(w) > 1 and not w[1].isspace() for w in new), bool, len(new))
@@ -150,13 +159,15 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the count of each text."""
-        if len(self.chunks) > MEMORY:
+        if len(self.words) > WORDS:
             self._reset()
+        if len(self.chunks) > CHUNKS:
+            self.chunks, self.chunk_ids = Numbered(), Ragged()
         chunks: list = []
         ends = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
-                own = self._cut.split(text) if self._run.search(text) else text.split(" ")
+                own = self._cut.split(text) if self._runs(text) else text.split(" ")
                 own[0] = (own[0],)
                 chunks += own
             ends[i] = len(chunks)
