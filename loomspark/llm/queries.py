@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, decontamination, repetition, token_files, url_lists
+from . import bpe, conversations, decontamination, repetition, token_files, toxicity, url_lists
 from .oracles import ORACLES as ORACLES
 
 
@@ -45,6 +45,10 @@ def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rendered(table(spark, sf_dir, "conversations"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_coverage": op1_repetition_coverage,
     "op9_token_files": op9_token_files,
@@ -52,4 +56,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op2_url_lists": op2_url_lists,
     "op4_chat_collapse": op4_chat_collapse,
+    "op5_toxicity": op5_toxicity,
 }
