@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, decontamination, repetition, token_files, toxicity, url_lists
+from . import bpe, conversations, decontamination, jaccard_join, repetition, token_files, toxicity, url_lists
 from .oracles import ORACLES as ORACLES
 
 
@@ -49,6 +49,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_coverage": op1_repetition_coverage,
     "op9_token_files": op9_token_files,
@@ -57,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_lists": op2_url_lists,
     "op4_chat_collapse": op4_chat_collapse,
     "op5_toxicity": op5_toxicity,
+    "op3_jaccard_join": op3_jaccard_join,
 }
