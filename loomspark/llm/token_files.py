@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ from ._runtime import parts, pieces, shared_dir, ship, written
 MAGIC, BLOCK, LANES, PERCENTILE, END_ID = b"LPFOR1\0\0", 512, 64, 95, 2
 NULL_ID = -(1 << 63)
 #: Distinct pieces and pre-tokens whose ids a worker remembers; beyond it, it starts over.
-CHUNKS, WORDS = 600_000, 1_000_000
+CHUNKS, WORDS = 400_000, 600_000
 
 
 class Ragged:
@@ -163,18 +164,23 @@ class ChunkEncoder:
             self._reset()
         if len(self.chunks) > CHUNKS:
             self.chunks, self.chunk_ids = Numbered(), Ragged()
-        chunks: list = []
-        ends = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                own = self._cut.split(text) if self._runs(text) else text.split(" ")
-                own[0] = (own[0],)
-                chunks += own
-            ends[i] = len(chunks)
-        rows = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        plain = pa.array(["" if not t or self._runs(t) else t for t in texts], pa.string())
+        split = pc.split_pattern(plain, " ")  # an empty text is one empty piece
+        counts = np.diff(split.offsets.to_numpy())
+        coded = split.flatten().dictionary_encode()
+        rows = np.fromiter(map(self.chunks.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
+        first = np.cumsum(counts) - counts
+        rows[first] = [self.chunks[("" if not t or self._runs(t) else t.partition(" ")[0],)] for t in texts]
+        odd = [i for i, t in enumerate(texts) if t and self._runs(t)]
+        runs, at = [], 0
+        for i in odd:  # texts with runs of white space take the place of their empty piece
+            own = self._cut.split(texts[i])
+            runs += [rows[at : first[i]], np.array([self.chunks[(own[0],)], *map(self.chunks.__getitem__, own[1:])], np.int64)]
+            at, counts[i] = first[i] + 1, len(own)
+        rows = np.concatenate([*runs, rows[at:]]) if odd else rows
         self._learn()
         ids, before = self.chunk_ids.take(rows)
-        return ids, np.diff(before[ends], prepend=0)
+        return ids, np.diff(before[np.cumsum(counts)], prepend=0)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
