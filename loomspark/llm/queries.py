@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, decontamination, jaccard_join, repetition, token_files, toxicity, url_lists
+from . import bpe, conversations, decontamination, jaccard_join, repetition, substring_dedup, token_files, toxicity, url_lists
 from .oracles import ORACLES as ORACLES
 
 
@@ -53,6 +53,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_coverage": op1_repetition_coverage,
     "op9_token_files": op9_token_files,
@@ -62,4 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_collapse": op4_chat_collapse,
     "op5_toxicity": op5_toxicity,
     "op3_jaccard_join": op3_jaccard_join,
+    "op7_suffix_dedup": op7_suffix_dedup,
 }
