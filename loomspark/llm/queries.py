@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, conversations, decontamination, jaccard_join, repetition, substring_dedup, token_files, toxicity, url_lists
@@ -58,6 +59,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_repetition_coverage": op1_repetition_coverage,
     "op9_token_files": op9_token_files,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
