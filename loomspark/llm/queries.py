@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, decontamination, jaccard_join, repetition, substring_dedup, token_files, toxicity, url_lists
+from . import bpe, conversations, decontamination, jaccard_join, lm_quality, repetition, substring_dedup, token_files, toxicity, url_lists
 from .oracles import ORACLES as ORACLES
 
 
@@ -58,6 +58,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_repetition_coverage": op1_repetition_coverage,
@@ -69,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op3_jaccard_join": op3_jaccard_join,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_lm_quality": op8_lm_quality,
 }
