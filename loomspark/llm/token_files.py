@@ -38,7 +38,7 @@ from ._runtime import parts, pieces, shared_dir, ship, written
 MAGIC, BLOCK, LANES, PERCENTILE, END_ID = b"LPFOR1\0\0", 512, 64, 95, 2
 NULL_ID = -(1 << 63)
 #: Distinct pieces and pre-tokens whose ids a worker remembers; beyond it, it starts over.
-CHUNKS, WORDS = 400_000, 600_000
+CHUNKS, WORDS = 600_000, 900_000
 
 
 class Ragged:
@@ -89,7 +89,7 @@ class ChunkEncoder:
     """
 
     _run = re.compile(r"\s ")
-    _rare = re.compile(r"[\x0b\x0c\x1c-\x1f] ")
+    _rare = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
     _cut = re.compile(r"(?<=\S) ")
     #: The pre-tokens of the byte-level vocabulary.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -133,7 +133,7 @@ class ChunkEncoder:
     def _runs(self, text: str) -> bool:
         """Whether a space follows white space."""
         if text.isascii():
-            return "  " in text or "\n " in text or "\t " in text or "\r " in text or bool(self._rare.search(text))
+            return "  " in text or "\n " in text or any(c in text for c in self._rare) and bool(self._run.search(text))
         return bool(self._run.search(text))
 
     def _encode_words(self, new: list[str]) -> None:
@@ -164,14 +164,14 @@ class ChunkEncoder:
             self._reset()
         if len(self.chunks) > CHUNKS:
             self.chunks, self.chunk_ids = Numbered(), Ragged()
-        plain = pa.array(["" if not t or self._runs(t) else t for t in texts], pa.string())
-        split = pc.split_pattern(plain, " ")  # an empty text is one empty piece
+        plain = ["" if not t or self._runs(t) else t for t in texts]
+        odd = [i for i, (t, p) in enumerate(zip(texts, plain, strict=True)) if t and not p]
+        split = pc.split_pattern(pa.array(plain, pa.string()), " ")  # an empty text is one empty piece
         counts = np.diff(split.offsets.to_numpy())
         coded = split.flatten().dictionary_encode()
-        rows = np.fromiter(map(self.chunks.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
+        rows = np.fromiter(map(self.chunks.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
         first = np.cumsum(counts) - counts
-        rows[first] = [self.chunks[("" if not t or self._runs(t) else t.partition(" ")[0],)] for t in texts]
-        odd = [i for i, t in enumerate(texts) if t and self._runs(t)]
+        rows[first] = [self.chunks[(t.partition(" ")[0],)] for t in plain]
         runs, at = [], 0
         for i in odd:  # texts with runs of white space take the place of their empty piece
             own = self._cut.split(texts[i])
@@ -337,7 +337,7 @@ def write_files(documents: DataFrame, tokenizer: str, end_id: int | None = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, path, n_docs = TaskContext.get().partitionId(), None, "", 0
         encoder = None
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=4 << 20):
             if writer is None:
                 path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.pfor"
                 encoder, writer = encoder_of(tokenizer), Writer(path)
