@@ -10,7 +10,8 @@ The Jaccard distance d is a metric; texts link at d <= 0.2. Copies (equal sets)
    smallest points instead: d(A, {s}) < 1 only if A holds shingle s, and if A and B link, they share one of the
    |A| - ceil(0.8 |A|) + 1 first shingles of any fixed order. So a node is replicated to the regions of its rarest
    shingles, and nothing is missed. Regions whose members are already one component are done.
-3. Windows. Where components meet in a region, the distance of each to the other's pivots is measured first. For x in the
+3. Windows. Where members of different components meet in a region, parity bitmaps of the sets, whose Hamming distance is
+   at most that of the sets, rule most pairs out. Then the distance of each to the other's pivots is measured first. For x in the
    cell of p, d(x, y) >= d(y, p) - d(x, p); only nodes inside this window of 0.2 are joined on with y, the rest is ruled out.
 4. What is left is measured exactly, and the links' components are merged.
 
@@ -43,6 +44,8 @@ from .graph import components
 N, BANDS, MEETS = 5, 6, 2
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Bits of a set's parity bitmap: each shingle flips one, so two sets differ in at least as many shingles as their bitmaps in bits.
+SIGN = 512
 #: Classes of frequency are powers of 2; the least that may count as frequent, and how many frequent shingles at most.
 HEAVY_CLASS, HEAVY_MAX = 3, 1 << 20
 #: The most row keys that are broadcast to pick texts; more are joined by a shuffle.
@@ -90,9 +93,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mins = np.zeros((piece.num_rows, BANDS), np.uint64)
         for k in range(BANDS if len(some) else 0):
             mins[some, k] = np.minimum.reduceat(H.mix(keys ^ SALTS[k]), start[some])
+        odd = np.bincount(owner * SIGN + (keys & np.uint64(SIGN - 1)).astype(np.int64), minlength=piece.num_rows * SIGN) & 1
+        signs = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        signs = pa.FixedSizeListArray.from_arrays(pa.array(signs), SIGN // 64).cast(pa.list_(pa.int64()))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(mins.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-        columns = [piece.column(0), piece.column(1), pa.array(size), pa.array(node, mask=size == 0), lists]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "node", "mins"])
+        columns = [piece.column(0), piece.column(1), pa.array(size), pa.array(node, mask=size == 0), lists, signs]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "node", "mins", "signs"])
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -101,8 +107,8 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of id and text), n, node (null: no shingles), mins of each row; written."""
-    return written(_texts(documents).mapInArrow(_sketched, "doc_id long, row long, n long, node long, mins array<long>"), "sketches")
+    """doc_id, row (a hash of id and text), n, node (null: no shingles), mins, signs of each row; written."""
+    return written(_texts(documents).mapInArrow(_sketched, "doc_id long, row long, n long, node long, mins array<long>, signs array<long>"), "sketches")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,6 +164,12 @@ def _close(n: str, m: str) -> F.Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
+def _alike(x: str, y: str) -> F.Column:
+    """Whether the parity bitmaps of sets leave room for a link: |A ^ B| <= (1 - j) / (1 + j) * (|A| + |B|) at similarity j."""
+    differ = sum((F.bit_count(F.get(f"{x}.signs", F.lit(k)).bitwiseXOR(F.get(f"{y}.signs", F.lit(k)))) for k in range(SIGN // 64)), F.lit(0))
+    return differ * (100 + PERCENT) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - PERCENT)
+
+
 def meetings(sketch: DataFrame) -> DataFrame:
     """Step 1: (a: pivot, b: node) that meet in MEETS bands or more, of sizes that can link."""
     nodes = sketch.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("mins").alias("mins"))
@@ -279,9 +291,10 @@ def links(documents: DataFrame, sketch: DataFrame) -> DataFrame:
     members = regions(documents)
     owned = members.join(merged, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = owned.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("region")
-    owned = written(owned.join(mixed, "region", "left_semi").join(nearest, "node", "left").select("region", "node", "n", "root", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("shared", F.lit(1)).alias("shared"), F.coalesce("either", F.lit(1)).alias("either")), "mixed-regions")
+    nodes = sketch.where("node is not null").groupBy("node").agg(F.first("signs").alias("signs"))
+    owned = written(owned.join(mixed, "region", "left_semi").join(nodes, "node").join(nearest, "node", "left").select("region", "node", "n", "signs", "root", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("shared", F.lit(1)).alias("shared"), F.coalesce("either", F.lit(1)).alias("either")), "mixed-regions")
     x, y = owned.alias("x"), owned.alias("y")
-    apart = (F.col("x.region") == F.col("y.region")) & (F.col("x.root") < F.col("y.root")) & _close("x.n", "y.n")
+    apart = (F.col("x.region") == F.col("y.region")) & (F.col("x.root") < F.col("y.root")) & _close("x.n", "y.n") & _alike("x", "y")
     near = lambda s: F.struct(F.col(f"{s}.pivot").alias("pivot"), (1 - F.col(f"{s}.shared") / F.col(f"{s}.either")).alias("d"))
     pairs = written(x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), near("x").alias("pa"), near("y").alias("pb")).distinct(), "meeting-pairs")
 
@@ -313,7 +326,7 @@ def _labelled(documents: DataFrame) -> DataFrame:
     roots = links(documents, sketch)
     least = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "components")
-    return sketch.drop("mins").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return sketch.drop("mins", "signs").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
