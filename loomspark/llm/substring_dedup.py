@@ -5,9 +5,10 @@ Sorting every suffix of the corpus would shuffle 50 times its size. Three passes
 1. Anchors. The least hash of the Q-byte strings in each 50-byte window, leftmost first, is an anchor (about one byte in
    17). Equal windows have the same anchor at the same place, so a window can only repeat if its anchor does. Anchors'
    hashes, 4 bytes each, are counted by hash range; each range answers with a slice of a bitmap of MAP_BITS bits.
-2. Surroundings. Anchors in the bitmap come with a hash of the 50 + 50 - Q bytes around. Where all of that stands in a
-   smaller document too, every window with this anchor repeats: the inside of a repeated passage needs no more. Repeats in
-   one piece of text are settled before the shuffle. The rest, at the rims of passages, goes into a second bitmap.
+2. Surroundings. Each window has one anchor; the windows of an anchor in the bitmap cover up to 100 - Q bytes, whose hash
+   comes along. Where all of that stands in a smaller document too, every one of these windows repeats: the inside of a
+   repeated passage needs no more. Repeats in one piece of text are settled before the shuffle. What shares at least the
+   anchor and half of the rest of a window with another document, the rims of passages, goes into a second bitmap.
 3. Suffix arrays. The bytes around these anchors, by hash range, form shards of at most SHARD bytes. Each has its suffix
    array (Larsson-Sadakane: ranks by 8 bytes, then doubled for groups still tied) and common prefixes (Kasai's recurrence,
    run over eight interleaved lanes at once); runs of 50 or more common bytes give each string its smallest document.
@@ -36,20 +37,25 @@ from . import _hashing as H
 from ._runtime import parts, pieces, release, ship, utf8, written
 
 LENGTH, Q = 50, 18
-AROUND = LENGTH - Q  # bytes before an anchor, and after it, that its windows can reach
-SEGMENT = LENGTH + AROUND
+HALF = (LENGTH - Q + 1) // 2  # bytes that a window has before or after its anchor, at one side at least
+SEGMENT = 2 * LENGTH - Q  # the most that an anchor's windows cover
 MAP_BITS = 28
+#: Shards of the third pass are finer by as many bits of the anchor's hash.
+FINE = 2
 #: Bytes that one suffix array covers.
-SHARD = 4 << 20
+SHARD = 1 << 20
 LAST = (1 << 63) - 1
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors of texts data[at[i]:at[i + 1]], their hashes, and their texts."""
+def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Positions of the anchors of texts data[at[i]:at[i + 1]], their hashes, their texts, the first and end byte of their windows.
+
+    Each window has one anchor, so the windows of an anchor follow one another, and equal windows fall to equal anchors.
+    """
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none.astype(np.uint64), none
+        return none, none.astype(np.uint64), none, none, none
     prefix = H.Prefix(data)
     m = len(data) - Q + 1
     hashes = H.mix((prefix.sums[Q:] - prefix.sums[:-Q]) * prefix.back[:m])
@@ -61,17 +67,14 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if width > span:
         least = np.minimum(least[: n], least[width - span :][:n])
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
-    inside = np.arange(n) + LENGTH <= at[text + 1]
-    spot = (least[:n][inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    window = np.flatnonzero(np.arange(n) + LENGTH <= at[text + 1])
+    spot = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     fresh = np.ones(len(spot), bool)
     fresh[1:] = spot[1:] != spot[:-1]
-    spot = spot[fresh]
-    return spot, hashes[spot], text[inside][fresh]
-
-
-def surroundings(spot: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and end byte of what an anchor's windows can cover in its text."""
-    return np.maximum(spot - AROUND, at[text]), np.minimum(spot + LENGTH, at[text + 1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(spot)) - 1
+    spot = spot[first]
+    return spot, hashes[spot], text[window[first]], window[first], window[last] + LENGTH
 
 
 # Suffix arrays
@@ -102,7 +105,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             break
         own = order[tied]
         follow = rank[np.minimum(own + h, n)]
-        again = np.lexsort((follow, rank[own]))
+        again = np.argsort((rank[own].astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64))
         own, follow = own[again], follow[again]
         order[tied] = own
         new = np.zeros(n, bool)
@@ -161,7 +164,7 @@ def least_owner(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tupl
 def merged(shards: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """The smallest owner, over all shards, of each shard's distinct strings, by binary search in the others."""
     keys = [s.view(np.uint8).reshape(-1, LENGTH) for s, _ in shards]
-    keys = [np.array([x.tobytes() for x in k], object) for k in keys]
+    keys = [np.array([x.tobytes() for x in k] + [b""], object)[:-1] for k in keys]
     out = [o.copy() for _, o in shards]
     for a, mine in enumerate(keys):
         for b, other in enumerate(keys):
@@ -228,7 +231,7 @@ def repeated_anchors(documents: DataFrame) -> np.ndarray:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             data, at = utf8(piece.column(2))
-            _, hashes, text = anchors(data, at)
+            _, hashes, text, _, _ = anchors(data, at)
             once = ~H.later(hashes + H.mix(text.astype(np.uint64) + np.uint64(1)))
             hashes = np.sort(hashes[once])
             third = np.zeros(len(hashes), bool)
@@ -246,15 +249,32 @@ def repeated_anchors(documents: DataFrame) -> np.ndarray:
     return _collected(written(out, "anchor-bits"), bits)
 
 
-def _seen(data: np.ndarray, at: np.ndarray, bitmap: np.ndarray, bits: int):
-    """Anchors in the bitmap: spot, hash, part, text, and a hash of all around."""
-    spot, hashes, text = anchors(data, at)
+def _seen(data: np.ndarray, at: np.ndarray, bitmap: np.ndarray, bits: int) -> dict[str, np.ndarray]:
+    """Anchors in the bitmap: hash, part, text, first and end byte of their windows; hashes of all of these bytes, of the
+    anchor with HALF bytes before and with HALF bytes after (0: not in the windows). Any window has one of these halves."""
+    spot, hashes, text, a, b = anchors(data, at)
     part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    own = _marked(bitmap, part, hashes >> np.uint64(32 - bits), bits)
-    spot, hashes, part, text = spot[own], hashes[own], part[own], text[own]
-    a, b = surroundings(spot, text, at)
-    full = H.Prefix(data).span(a, b) + H.mix((spot - a).astype(np.uint64))
-    return spot, hashes, part, text, H.mix(full ^ hashes)
+    own = np.flatnonzero(_marked(bitmap, part, hashes >> np.uint64(32 - bits), bits))
+    spot, hashes, part, text, a, b = (x[own] for x in (spot, hashes, part, text, a, b))
+    prefix = H.Prefix(data)
+    around = H.mix(prefix.span(a, b) + H.mix((spot - a).astype(np.uint64)) ^ hashes)
+    left = np.where(spot - HALF >= a, prefix.span(np.maximum(spot - HALF, 0), spot + Q).astype(np.uint16) | 1, 0)
+    right = np.where(spot + Q + HALF <= b, prefix.span(spot, np.minimum(spot + Q + HALF, len(data))).astype(np.uint16) | 1, 0)
+    return {"hashes": hashes, "part": part, "text": text, "a": a, "b": b, "around": around, "left": left.astype(np.uint16), "right": right.astype(np.uint16)}
+
+
+def _shared_halves(anchor: np.ndarray, half: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether another owner has the same half at the same anchor."""
+    out = np.zeros(len(anchor), bool)
+    key = (anchor.astype(np.uint64) << np.uint64(16)) | half
+    order = np.argsort(key, kind="stable")
+    order = order[half[order] > 0]
+    if len(order):
+        k, o = key[order], owner[order]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(start, append=len(k))
+        out[order] = np.repeat(np.maximum.reduceat(o, start) > np.minimum.reduceat(o, start), size)
+    return out
 
 
 def settle(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -266,18 +286,16 @@ def settle(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
         for piece in pieces(batches):
             data, at = utf8(piece.column(2))
             owner, row = (piece.column(k).to_numpy() for k in (0, 1))
-            spot, hashes, part, text, around = _seen(data, at, known.value, bits)
-            a, b = surroundings(spot, text, at)
-            order = np.lexsort((owner[text], around, part))
-            spot, part, text, around, a, b = (x[order] for x in (spot, part, text, around, a, b))
-            new = np.ones(len(spot), bool)
-            new[1:] = around[1:] != around[:-1]
-            least = owner[text][new][np.cumsum(new) - 1] if len(new) else owner[:0]
-            done = owner[text] > least
-            columns = {
-                "around": around, "owner": owner[text], "row": row[text], "first": (a - at[text]).astype(np.uint32),
-                "size": (b - a).astype(np.uint8), "anchor": (hashes[order] >> np.uint64(32 - bits)).astype(np.uint32),
-            }
+            x = _seen(data, at, known.value, bits)
+            x["owner"], x["row"] = owner[x["text"]], row[x["text"]]
+            order = np.lexsort((x["owner"], x["around"], x["part"]))
+            x = {k: v[order] for k, v in x.items()}
+            new = np.ones(len(order), bool)
+            new[1:] = x["around"][1:] != x["around"][:-1]
+            done = x["owner"] > x["owner"][new][np.cumsum(new) - 1] if len(new) else new
+            part, first = x["part"], (x["a"] - at[x["text"]]).astype(np.uint32)
+            columns = {k: x[k] for k in ("around", "owner", "row", "left", "right")}
+            columns |= {"first": first, "size": (x["b"] - x["a"]).astype(np.uint8), "anchor": (x["hashes"] >> np.uint64(32 - bits)).astype(np.uint32)}
             for state in (False, True):
                 mine = done == state
                 if mine.any():
@@ -285,7 +303,7 @@ def settle(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array([state] * out.num_rows)], [*out.schema.names, "done"])
 
     def decide(table: pa.Table) -> pa.Table:
-        kinds = {"around": np.uint64, "owner": np.int64, "row": np.int64, "first": np.uint32, "size": np.uint8, "anchor": np.uint32}
+        kinds = {"around": np.uint64, "owner": np.int64, "row": np.int64, "left": np.uint16, "right": np.uint16, "first": np.uint32, "size": np.uint8, "anchor": np.uint32}
         done = np.array(table.column("done").to_pylist(), bool)
         fixed, open_ = table.filter(pa.array(done)), table.filter(pa.array(~done))
         x = {k: _joined(open_, k, t) if open_.num_rows else np.zeros(0, t) for k, t in kinds.items()}
@@ -294,20 +312,14 @@ def settle(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
         new = np.ones(len(order), bool)
         new[1:] = x["around"][1:] != x["around"][:-1]
         repeat = x["owner"] > x["owner"][new][np.cumsum(new) - 1] if len(order) else new
-        # Left: surroundings in their smallest document, of anchors that another one has too.
-        first = ~repeat
-        by = np.argsort(x["anchor"][first], kind="stable")
-        anchor, owner = x["anchor"][first][by], x["owner"][first][by]
-        start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
-        size = np.diff(start, append=len(anchor))
-        several = np.zeros(0, bool)
-        if len(anchor):
-            several = np.repeat((size > 1) & (np.maximum.reduceat(owner, start) > np.minimum.reduceat(owner, start)), size)
-        rest = x["around"][first][by][several]
+        # Left: surroundings in their smallest document, which share one half at least with another document.
+        own = {k: v[~repeat] for k, v in x.items()}
+        several = _shared_halves(own["anchor"], own["left"], own["owner"]) | _shared_halves(own["anchor"], own["right"], own["owner"])
+        rest = own["around"][several]
         spans = [np.concatenate([x[k][repeat], _joined(fixed, k, kinds[k]) if fixed.num_rows else np.zeros(0, kinds[k])]) for k in ("row", "first", "size")]
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([_slice(rest, bits)]), **{k: pa.array([v.tobytes()]) for k, v in zip(("row", "first", "size"), spans, strict=True)}})
 
-    blobs = _texts(documents).mapInArrow(emit, "part int, around binary, owner binary, row binary, first binary, size binary, anchor binary, done boolean")
+    blobs = _texts(documents).mapInArrow(emit, "part int, around binary, owner binary, row binary, left binary, right binary, first binary, size binary, anchor binary, done boolean")
     return written(blobs.groupBy("part").applyInArrow(decide, "part int, bits binary, row binary, first binary, size binary"), "settled")
 
 
@@ -320,42 +332,50 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray) -> Dat
         for piece in pieces(batches):
             data, at = utf8(piece.column(2))
             owner, row = (piece.column(k).to_numpy() for k in (0, 1))
-            spot, _, part, text, around = _seen(data, at, known.value[0], bits)
-            own = _marked(known.value[1], part, around, bits)
-            spot, part, text, around = spot[own], part[own], text[own], around[own]
-            order = np.lexsort((owner[text], around, part))
+            x = _seen(data, at, known.value[0], bits)
+            own = _marked(known.value[1], x["part"], x["around"], bits)
+            x = {k: v[own] for k, v in x.items()}
+            order = np.lexsort((owner[x["text"]], x["around"], x["part"]))
             new = np.ones(len(order), bool)
-            new[1:] = around[order][1:] != around[order][:-1]
+            new[1:] = x["around"][order][1:] != x["around"][order][:-1]
             order = order[new]  # the others were settled in pass 2
-            spot, part, text = spot[order], part[order], text[order]
-            a, b = surroundings(spot, text, at)
-            if not len(spot):
+            part, text, a, b = (x[k][order] for k in ("part", "text", "a", "b"))
+            if not len(part):
                 continue
-            spread = np.minimum(a[:, None] + np.arange(SEGMENT), len(data) - 1)
-            raw = np.where(np.arange(SEGMENT) < (b - a)[:, None], data[spread], 0)
-            yield _blobs({"bytes": raw, "owner": owner[text], "row": row[text], "first": (a - at[text]).astype(np.uint32), "size": (b - a).astype(np.uint8)}, _cut(part, bits))
+            size = b - a
+            off = np.cumsum(np.append(0, size))
+            raw = data[np.repeat(a - off[:-1], size) + np.arange(off[-1])]
+            fine_part = (part << FINE) | (x["hashes"][order] >> np.uint64(64 - bits - FINE)).astype(np.int64) & ((1 << FINE) - 1)
+            again = np.argsort(fine_part, kind="stable")
+            cuts = _cut(fine_part[again], bits + FINE)
+            out = _blobs({"owner": owner[text][again], "row": row[text][again], "first": (a - at[text]).astype(np.uint32)[again], "size": size.astype(np.uint8)[again]}, cuts)
+            size, start = size[again], off[:-1][again]
+            ends = np.cumsum(np.append(0, size))
+            raw = raw[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+            texts = pa.array([raw[ends[i] : ends[j]].tobytes() for _, i, j in cuts], pa.binary())
+            yield pa.RecordBatch.from_arrays([out.column(0), texts, *out.columns[1:]], ["part", "bytes", "owner", "row", "first", "size"])
 
     def sort(table: pa.Table) -> pa.Table:
-        raw = _joined(table, "bytes", np.uint8).reshape(-1, SEGMENT)
-        owner, row, first, size = (_joined(table, k, t) for k, t in (("owner", np.int64), ("row", np.int64), ("first", np.uint32), ("size", np.uint8)))
-        shard = max(1, SHARD // SEGMENT)
-        found, tables = [], []
-        for at in range(0, len(raw), shard):
-            data, n = raw[at : at + shard].ravel(), size[at : at + shard].astype(np.int64)
-            count = n - LENGTH + 1
-            seg = np.repeat(np.arange(len(n)), count)
+        raw, owner, row, first, size = (_joined(table, k, t) for k, t in (("bytes", np.uint8), ("owner", np.int64), ("row", np.int64), ("first", np.uint32), ("size", np.uint8)))
+        size = size.astype(np.int64)
+        off = np.cumsum(np.append(0, size))
+        found, tables, i = [], [], 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(off, off[i] + SHARD, side="right")) - 1)
+            count = size[i:j] - LENGTH + 1
+            seg = np.repeat(np.arange(i, j), count)
             start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            least, strings, owners = least_owner(data, seg * SEGMENT + start, owner[at : at + shard][seg])
-            found.append((seg + at, start, least, seg * SEGMENT + start))
+            data, places = raw[off[i] : off[j]], off[seg] - off[i] + start
+            least, strings, owners = least_owner(data, places, owner[seg])
+            found.append((seg, start, least, strings.view(np.uint8).reshape(-1, LENGTH), data, places))
             tables.append((strings, owners))
+            i = j
         if len(tables) > 1:
+            objects = lambda x: np.array([y.tobytes() for y in x] + [b""], object)[:-1]
             for k, best in enumerate(merged(tables)):
-                seg, start, _, place = found[k]
-                data = raw[k * shard : (k + 1) * shard].ravel()
-                mine = data[place[:, None] + np.arange(LENGTH)]
-                names = np.array([x.tobytes() for x in tables[k][0].view(np.uint8).reshape(-1, LENGTH)], object)
-                at = np.searchsorted(names, np.array([x.tobytes() for x in mine], object))
-                found[k] = (seg, start, best[at], place)
+                seg, start, _, strings, data, places = found[k]
+                at = np.searchsorted(objects(strings), objects(data[places[:, None] + np.arange(LENGTH)]))
+                found[k] = (seg, start, best[at])
         seg, start, least = (np.concatenate([f[k] for f in found]) for k in range(3))
         gone = owner[seg] > least
         spans = row[seg][gone], (first[seg] + start)[gone].astype(np.uint32), np.full(gone.sum(), LENGTH, np.uint8)
