@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -63,11 +64,21 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers live on after a task, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most limit bytes of text, or of one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
+        tidy()
         text = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(np.diff(offsets(text)))
         at = 0
@@ -76,6 +87,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    tidy()
 
 
 def offsets(text: pa.Array) -> np.ndarray:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing as H
-from ._runtime import parts, pieces, release, ship, utf8, written
+from ._runtime import parts, pieces, release, ship, tidy, utf8, written
 from .graph import components
 
 N, BANDS, MEETS = 5, 6, 2
@@ -211,6 +211,7 @@ def heavy(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def count(table: pa.Table) -> pa.Table:
+        tidy()
         low = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("blob")]))
         start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         size = np.diff(start, append=len(low))
@@ -261,6 +262,7 @@ def regions(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), cut(low), cut(ids), cut(ns)], ["part", "low", "nodes", "sizes"])
 
     def meet(table: pa.Table) -> pa.Table:
+        tidy()
         low, ids, ns = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("low", np.uint32), ("nodes", np.int64), ("sizes", np.uint32)))
         order = np.argsort(low, kind="stable")
         same = np.zeros(len(low) + 1, bool)

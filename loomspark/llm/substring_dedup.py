@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing as H
-from ._runtime import parts, pieces, release, ship, utf8, written
+from ._runtime import parts, pieces, release, ship, tidy, utf8, written
 
 LENGTH, Q = 50, 18
 HALF = (LENGTH - Q + 1) // 2  # bytes that a window has before or after its anchor, at one side at least
@@ -241,6 +241,7 @@ def repeated_anchors(documents: DataFrame) -> np.ndarray:
             yield _blobs({"low": low}, _cut((hashes >> np.uint64(64 - bits)).astype(np.int64), bits))
 
     def count(table: pa.Table) -> pa.Table:
+        tidy()
         low = np.sort(_joined(table, "low", np.uint32))
         twice = low[1:][low[1:] == low[:-1]].astype(np.uint64)
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([_slice(twice, bits)])})
@@ -303,6 +304,7 @@ def settle(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array([state] * out.num_rows)], [*out.schema.names, "done"])
 
     def decide(table: pa.Table) -> pa.Table:
+        tidy()
         kinds = {"around": np.uint64, "owner": np.int64, "row": np.int64, "left": np.uint16, "right": np.uint16, "first": np.uint32, "size": np.uint8, "anchor": np.uint32}
         done = np.array(table.column("done").to_pylist(), bool)
         fixed, open_ = table.filter(pa.array(done)), table.filter(pa.array(~done))
@@ -356,6 +358,7 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray) -> Dat
             yield pa.RecordBatch.from_arrays([out.column(0), texts, *out.columns[1:]], ["part", "bytes", "owner", "row", "first", "size"])
 
     def sort(table: pa.Table) -> pa.Table:
+        tidy()
         raw, owner, row, first, size = (_joined(table, k, t) for k, t in (("bytes", np.uint8), ("owner", np.int64), ("row", np.int64), ("first", np.uint32), ("size", np.uint8)))
         size = size.astype(np.int64)
         off = np.cumsum(np.append(0, size))
