@@ -284,17 +284,32 @@ def regions(documents: DataFrame) -> DataFrame:
     return out
 
 
+def _mixed(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """members with root, the component, of the regions where several components meet."""
+    owned = members.join(merged, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = owned.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("region")
+    return owned.join(mixed, "region", "left_semi")
+
+
 def links(documents: DataFrame, sketch: DataFrame) -> DataFrame:
     """node, root: the component of every node that has a link and isn't the root itself."""
     cells = distances(documents, sketch, meetings(sketch)).where(LINKED)
     merged = components(cells)
     nearest = cells.groupBy(F.col("b").alias("node")).agg(F.max_by(F.struct(F.col("a").alias("pivot"), "shared", "either"), F.struct(F.col("shared") / F.col("either"), -F.col("a"))).alias("m")).select("node", "m.*")
 
-    members = regions(documents)
-    owned = members.join(merged, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = owned.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("region")
     nodes = sketch.where("node is not null").groupBy("node").agg(F.first("signs").alias("signs"))
-    owned = written(owned.join(mixed, "region", "left_semi").join(nodes, "node").join(nearest, "node", "left").select("region", "node", "n", "signs", "root", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("shared", F.lit(1)).alias("shared"), F.coalesce("either", F.lit(1)).alias("either")), "mixed-regions")
+    members = _mixed(regions(documents), merged)
+    members = written(members.join(nodes, "node").join(nearest, "node", "left").select("region", "node", "n", "signs", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("shared", F.lit(1)).alias("shared"), F.coalesce("either", F.lit(1)).alias("either")), "mixed-regions")
+    proven = cells.select("a", "b")
+    for pick in (F.min, F.max):  # each region's members against one of them, then what is left against another one
+        own = _mixed(members, merged)
+        centre = own.groupBy("region").agg(pick(F.struct("root", "node", "n", "signs")).alias("c")).select("region", "c.*")
+        x, y = centre.alias("x"), own.alias("y")
+        star = (F.col("x.region") == F.col("y.region")) & (F.col("x.root") != F.col("y.root")) & _close("x.n", "y.n") & _alike("x", "y")
+        pairs = x.join(y, star).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        proven = proven.unionAll(distances(documents, sketch, pairs).where(LINKED).select("a", "b"))
+        merged = components(proven)
+    owned = written(_mixed(members, merged), "mixed-members")
     x, y = owned.alias("x"), owned.alias("y")
     apart = (F.col("x.region") == F.col("y.region")) & (F.col("x.root") < F.col("y.root")) & _close("x.n", "y.n") & _alike("x", "y")
     near = lambda s: F.struct(F.col(f"{s}.pivot").alias("pivot"), (1 - F.col(f"{s}.shared") / F.col(f"{s}.either")).alias("d"))
@@ -313,8 +328,7 @@ def links(documents: DataFrame, sketch: DataFrame) -> DataFrame:
 
     # Step 4: pairs of two pivots have been measured already.
     found = distances(documents, sketch, boundary.join(known, ["a", "b"], "left_anti"))
-    proven = known.where(LINKED).select("a", "b").unionAll(found.where(LINKED).select("a", "b"))
-    return components(cells.select("a", "b").unionAll(proven))
+    return components(proven.unionAll(known.where(LINKED).select("a", "b")).unionAll(found.where(LINKED).select("a", "b")))
 
 
 def linked(documents: DataFrame) -> DataFrame:
