@@ -14,9 +14,11 @@ Sorting every suffix of the corpus would shuffle 50 times its size. Three passes
    run over eight interleaved lanes at once); runs of 50 or more common bytes give each string its smallest document.
    Several shards of one range exchange that by binary search in each other's sorted strings.
 
+   Before it is sorted, a segment is cut down to the strings whose 64-bit hash a second document has in the same shard.
+
 Both bitmaps have a fixed size; what they can't tell apart costs work, not results. Spans to remove meet their text in one
-join at the end. Hashes of 64 and 48 bits decide steps 1 and 2, so two different strings could be taken for equal with a
-probability of about 2**-48 a pair in one anchor's group. One anchor's distinct surroundings meet in one task.
+join at the end. Hashes of 64 bits decide steps 1 and 2, so two different strings could be taken for equal with a
+probability of about 2**-64 a pair in one anchor's group. One anchor's distinct surroundings meet in one task.
 
 Defined results: null texts are empty; a null id is larger than every other; rows of equal ids don't count as smaller than
 one another, so neither removes from the other; kept bytes may not be UTF-8 at a cut, where ``deduplicated`` drops the
@@ -39,11 +41,11 @@ from ._runtime import parts, pieces, release, ship, tidy, utf8, written
 LENGTH, Q = 50, 18
 HALF = (LENGTH - Q + 1) // 2  # bytes that a window has before or after its anchor, at one side at least
 SEGMENT = 2 * LENGTH - Q  # the most that an anchor's windows cover
-MAP_BITS = 28
+MAP_BITS = 27
 #: Shards of the third pass are finer by as many bits of the anchor's hash.
 FINE = 2
 #: Bytes that one suffix array covers.
-SHARD = 1 << 20
+SHARD = 1 << 19
 LAST = (1 << 63) - 1
 
 
@@ -87,10 +89,8 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     A suffix's rank is its group's last place, as in a bucket sort, so ranks of settled groups never change.
     """
     n = len(data)
-    padded = np.concatenate([data.astype(np.uint64) + np.uint64(0), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(np.uint64)
     order = np.argsort(key, kind="stable")
     new = np.ones(n, bool)
     new[1:] = key[order][1:] != key[order][:-1]
@@ -224,6 +224,13 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(doc, F.lit(LAST)).alias("owner"), F.xxhash64(doc, F.col("text").cast("string")).alias("row"), text.alias("text"))
 
 
+def _freed(known, rows: DataFrame, name: str) -> DataFrame:
+    """rows, written; then the broadcast that they needed goes."""
+    out = written(rows, name)
+    known.unpersist()
+    return out
+
+
 def repeated_anchors(documents: DataFrame) -> np.ndarray:
     """Pass 1: the bitmap of anchors that occur in two documents or more."""
     bits = _bits(documents)
@@ -322,7 +329,30 @@ def settle(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([_slice(rest, bits)]), **{k: pa.array([v.tobytes()]) for k, v in zip(("row", "first", "size"), spans, strict=True)}})
 
     blobs = _texts(documents).mapInArrow(emit, "part int, around binary, owner binary, row binary, left binary, right binary, first binary, size binary, anchor binary, done boolean")
-    return written(blobs.groupBy("part").applyInArrow(decide, "part int, bits binary, row binary, first binary, size binary"), "settled")
+    return _freed(known, blobs.groupBy("part").applyInArrow(decide, "part int, bits binary, row binary, first binary, size binary"), "settled")
+
+
+def _with_repeats(raw: np.ndarray, off: np.ndarray, row: np.ndarray, owner: np.ndarray, first: np.ndarray, size: np.ndarray):
+    """The same segments cut down to the windows whose hash another owner has too; what has none needs no sorting."""
+    count = size - LENGTH + 1
+    seg = np.repeat(np.arange(len(size)), count)
+    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = off[seg] + start
+    key = H.Prefix(raw).span(at, at + LENGTH)
+    maybe = np.flatnonzero(H.repeated(key))
+    order = maybe[np.argsort(key[maybe], kind="stable")]
+    if not len(order):
+        return raw[:0], row[:0], owner[:0], first[:0], size[:0]
+    k, o = key[order], owner[seg[order]]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    two = np.repeat(np.maximum.reduceat(o, begin) > np.minimum.reduceat(o, begin), np.diff(begin, append=len(k)))
+    hit = np.sort(order[two])
+    own, begin = np.unique(seg[hit], return_index=True)
+    low, high = start[hit[begin]], start[hit[np.append(begin[1:], len(hit)) - 1]] + LENGTH if len(hit) else start[:0]
+    size = high - low
+    ends = np.cumsum(np.append(0, size))
+    raw = raw[np.repeat(off[own] + low - ends[:-1], size) + np.arange(ends[-1])]
+    return raw, row[own], owner[own], (first[own] + low).astype(np.uint32), size
 
 
 def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray) -> DataFrame:
@@ -362,6 +392,10 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray) -> Dat
         raw, owner, row, first, size = (_joined(table, k, t) for k, t in (("bytes", np.uint8), ("owner", np.int64), ("row", np.int64), ("first", np.uint32), ("size", np.uint8)))
         size = size.astype(np.int64)
         off = np.cumsum(np.append(0, size))
+        raw, row, owner, first, size = _with_repeats(raw, off, row, owner, first, size)
+        off = np.cumsum(np.append(0, size))
+        if not len(size):
+            return pa.table({"part": table.column("part").slice(0, 1), **{k: pa.array([b""]) for k in ("row", "first", "size")}})
         found, tables, i = [], [], 0
         while i < len(size):
             j = max(i + 1, int(np.searchsorted(off, off[i] + SHARD, side="right")) - 1)
@@ -385,7 +419,7 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray) -> Dat
         return pa.table({"part": table.column("part").slice(0, 1), **{k: pa.array([v.tobytes()]) for k, v in zip(("row", "first", "size"), spans, strict=True)}})
 
     blobs = _texts(documents).mapInArrow(emit, "part int, bytes binary, owner binary, row binary, first binary, size binary")
-    return written(blobs.groupBy("part").applyInArrow(sort, "part int, row binary, first binary, size binary"), "rims")
+    return _freed(known, blobs.groupBy("part").applyInArrow(sort, "part int, row binary, first binary, size binary"), "rims")
 
 
 def spans(documents: DataFrame) -> DataFrame:
