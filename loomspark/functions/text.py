@@ -81,7 +81,8 @@ def answer(x: Column | str, keys: Sequence[str] = ("final_title", "title", "answ
 
 def clamped(x: Column | str, low: int = 1, high: int = 5, default: int = 3) -> Column:
     """An integer in range; what is none counts as default."""
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), _c(x).try_cast("int"))), F.lit(default))
+    value = _c(x).try_cast("int")
+    return F.when(value.isNull(), default).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def field_score(x: Column | str, key: str, default: int = 3) -> Column:
