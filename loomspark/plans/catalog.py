@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import selection, texts
+from . import corpus, selection, texts
 from .common import Query
 
-_MODULES = (selection, texts)
+_MODULES = (selection, texts, corpus)
 QUERIES: dict[str, Query] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
