@@ -28,7 +28,7 @@ def reverse(entries: DataFrame, column: str, separators: str) -> DataFrame:
 
 def spans(texts: DataFrame, keys: DataFrame, words: str = "words", longest: int = LONGEST) -> DataFrame:
     """texts' id, start, n of every run of 1..longest words that is a key (joined by blanks): one equi-join, no scan of the dictionary."""
-    runs = texts.select("id", F.explode(F.expr(f"flatten(transform(sequence(1, size({words})), i -> transform(sequence(1, least({longest}, size({words}) - i + 1)), n -> struct(i AS start, n AS n, array_join(slice({words}, i, n), ' ') AS key))))")).alias("r"))
+    runs = texts.where(F.size(words) > 0).select("id", F.explode(F.expr(f"flatten(transform(sequence(1, size({words})), i -> transform(sequence(1, least({longest}, size({words}) - i + 1)), n -> struct(i AS start, n AS n, array_join(slice({words}, i, n), ' ') AS key))))")).alias("r"))
     known = keys.select("key").distinct()
     few = known.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     return runs.select("id", "r.*").join(F.broadcast(known) if few else known, "key")
