@@ -3,18 +3,19 @@
 Sorting every suffix of the corpus would shuffle 50 times its size. Three passes leave only what needs sorting:
 
 1. Anchors. The least hash of the Q-byte strings in each 50-byte window, leftmost first, is an anchor (about one byte in
-   17). Equal windows have the same anchor at the same place, so a window can only repeat if its anchor does. Anchors'
+   14). Equal windows have the same anchor at the same place, so a window can only repeat if its anchor does. Anchors'
    hashes, 4 bytes each, are counted by hash range; each range answers with a slice of a bitmap of MAP_BITS bits.
 2. Surroundings. Each window has one anchor; the windows of an anchor in the bitmap cover up to 100 - Q bytes, whose hash
    comes along. Where all of that stands in a smaller document too, every one of these windows repeats: the inside of a
    repeated passage needs no more. Repeats in one piece of text are settled before the shuffle. What shares at least the
    anchor and half of the rest of a window with another document, the rims of passages, goes into a second bitmap.
 3. Suffix arrays. The bytes around these anchors, by hash range, form shards of at most SHARD bytes. Each has its suffix
-   array (Larsson-Sadakane: ranks by 8 bytes, then doubled for groups still tied) and common prefixes (Kasai's recurrence,
+   array (Larsson-Sadakane: ranks by 7 bytes, then doubled for groups still tied) and common prefixes (Kasai's recurrence,
    run over eight interleaved lanes at once); runs of 50 or more common bytes give each string its smallest document.
    Several shards of one range exchange that by binary search in each other's sorted strings.
 
-   Before it is sorted, a segment is cut down to the strings whose 64-bit hash a second document has in the same shard.
+   Before it is sorted, a segment is cut down to the strings whose 64-bit hash a second document has in the same shard,
+   and of segments that are equal then, only the smallest document's is left; a passage of a third of all texts is one.
 
 Both bitmaps have a fixed size; what they can't tell apart costs work, not results. Spans to remove meet their text in one
 join at the end. Hashes of 64 bits decide steps 1 and 2, so two different strings could be taken for equal with a
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from . import _hashing as H
 from ._runtime import parts, pieces, release, ship, tidy, utf8, written
 
-LENGTH, Q = 50, 18
+LENGTH, Q = 50, 24
 HALF = (LENGTH - Q + 1) // 2  # bytes that a window has before or after its anchor, at one side at least
 SEGMENT = 2 * LENGTH - Q  # the most that an anchor's windows cover
 MAP_BITS = 27
@@ -85,19 +86,20 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """The order of all suffixes (Larsson-Sadakane).
 
-    Suffixes are first ranked by 8 bytes; then each round sorts only groups still tied, by the rank of what follows.
+    Suffixes are first ranked by 7 bytes; then each round sorts only groups still tied, by the rank of what follows.
     A suffix's rank is its group's last place, as in a bucket sort, so ranks of settled groups never change.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(np.uint64)
+    key = (key & ~np.uint64(255)) | np.minimum(np.arange(n, 0, -1), 8).astype(np.uint64)  # an end comes before a zero byte
     order = np.argsort(key, kind="stable")
     new = np.ones(n, bool)
     new[1:] = key[order][1:] != key[order][:-1]
     rank = np.zeros(n + 1, np.int64)
     bounds = np.append(np.flatnonzero(new), n)
     rank[order] = np.repeat(bounds[1:], np.diff(bounds))  # from 1; 0 stands for the end
-    h = 8
+    h = 7
     while h < n:
         size = np.diff(bounds)
         tied = np.flatnonzero(np.repeat(size > 1, size))
@@ -393,9 +395,20 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray) -> Dat
         size = size.astype(np.int64)
         off = np.cumsum(np.append(0, size))
         raw, row, owner, first, size = _with_repeats(raw, off, row, owner, first, size)
+        # Equal segments: all but the smallest owner's go as a whole; what is left is cut down once more.
+        off = np.cumsum(np.append(0, size))
+        key = H.Prefix(raw).span(off[:-1], off[1:])
+        order = np.lexsort((owner, key))
+        new = np.ones(len(order), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        again = np.zeros(len(order), bool)
+        again[order] = owner[order] > owner[order][new][np.cumsum(new) - 1] if len(order) else new
+        whole = row[again], first[again].astype(np.uint32), size[again].astype(np.uint8)
+        rest = ~again
+        raw = raw[np.repeat(rest, size)]
+        row, owner, first, size = row[rest], owner[rest], first[rest], size[rest]
+        raw, row, owner, first, size = _with_repeats(raw, np.cumsum(np.append(0, size)), row, owner, first, size)
         off = np.cumsum(np.append(0, size))
-        if not len(size):
-            return pa.table({"part": table.column("part").slice(0, 1), **{k: pa.array([b""]) for k in ("row", "first", "size")}})
         found, tables, i = [], [], 0
         while i < len(size):
             j = max(i + 1, int(np.searchsorted(off, off[i] + SHARD, side="right")) - 1)
@@ -413,9 +426,10 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray) -> Dat
                 seg, start, _, strings, data, places = found[k]
                 at = np.searchsorted(objects(strings), objects(data[places[:, None] + np.arange(LENGTH)]))
                 found[k] = (seg, start, best[at])
-        seg, start, least = (np.concatenate([f[k] for f in found]) for k in range(3))
+        seg, start, least = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
         gone = owner[seg] > least
-        spans = row[seg][gone], (first[seg] + start)[gone].astype(np.uint32), np.full(gone.sum(), LENGTH, np.uint8)
+        sorted_out = row[seg][gone], (first[seg] + start)[gone].astype(np.uint32), np.full(gone.sum(), LENGTH, np.uint8)
+        spans = [np.concatenate(x) for x in zip(whole, sorted_out, strict=True)]
         return pa.table({"part": table.column("part").slice(0, 1), **{k: pa.array([v.tobytes()]) for k, v in zip(("row", "first", "size"), spans, strict=True)}})
 
     blobs = _texts(documents).mapInArrow(emit, "part int, bytes binary, owner binary, row binary, first binary, size binary")
