@@ -134,3 +134,10 @@ def labelled(df: DataFrame) -> DataFrame:
     distinct = F.array_distinct(F.transform("pool", lambda m: m["pred"]))
     lines = F.transform(distinct, lambda p, i: F.concat(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), i + 1, F.lit(1)), F.lit(": "), p))
     return df.withColumn("labels", F.array_join(lines, "\n"))
+
+
+def hints(df: DataFrame) -> DataFrame:
+    """Shared starts and ends, of two characters or more, of the distinct predictions of a pool; sorted, one a line."""
+    distinct = F.array_distinct(F.transform("pool", lambda m: m["pred"]))
+    pairs = F.flatten(F.transform(distinct, lambda a: F.transform(F.filter(distinct, lambda b: b > a), lambda b: F.array(text.common_prefix(a, b), text.common_suffix(a, b)))))
+    return df.withColumn("hints", F.array_join(F.array_sort(F.array_distinct(F.filter(F.flatten(pairs), lambda x: F.length(x) >= 2))), "\n"))

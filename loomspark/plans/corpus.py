@@ -51,6 +51,20 @@ def synth_mixed(spark, d):
     return C.replaced(_words(spark, d), both, unknown=None, pick=0.5)
 
 
+def synth_semantic(spark, d):
+    """Words outside the table take the label that their nearest vectors vote for; a word without a vector is [UNK]."""
+    votes = knn_vote(spark, d).select(F.concat(F.lit("v"), F.col("query").cast("string")).alias("word"), F.array(F.concat(F.lit("L"), F.col("label").cast("string"))).alias("candidates"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.lit("near"), F.concat(F.lit("v"), (F.col("s_suppkey") % 7 * 100).cast("string"))).alias("words"))
+    return C.replaced(s, votes)
+
+
+def fewshot_block(spark, d):
+    """The same block of fixed example rows before each input."""
+    p = table(spark, d, "part").where(F.col("p_partkey").isin(1, 6, 15, 16)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type", "p_name"))), lambda x: F.concat(x["p_type"], F.lit(" = "), x["p_name"])), "\n").alias("block"))
+    n = table(spark, d, "nation")
+    return n.crossJoin(F.broadcast(p)).select("n_nationkey", F.concat_ws("\n", "block", "n_name").alias("prompt"))  # one row
+
+
 def synth_multitask(spark, d):
     df = synth_unk_all(spark, d)
     return df.select("id", F.concat(F.lit("<dict_match>"), "synthetic", F.lit("</dict_match> <literal>"), F.col("n_replaced").cast("string"), F.lit("</literal>")).alias("target"))
@@ -291,7 +305,7 @@ def unit_vectors(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        split_assign, stratified_split, split_summary, upsample_union, synth_unk, synth_mixed, synth_multitask, dedupe_first, dedupe_nbest, flatten_groups, best_variant, pref_pairs, pref_filter, pref_audit,
+        split_assign, stratified_split, split_summary, upsample_union, synth_unk, synth_mixed, synth_multitask, synth_semantic, fewshot_block, dedupe_first, dedupe_nbest, flatten_groups, best_variant, pref_pairs, pref_filter, pref_audit,
         reward_grid, lookup_last, resume_anti, membership_counts, shared_keys, score_once, leakage_exact, _leakage(2), _leakage(3), _leakage(4), wilson_by_group, quantiles, bootstrap_ci, anchor_ratio,
         log_ratio_scale, finite_stats, judge_means, mode_first, histogram, ordered_slice, rounded_means, json_entries, html_rows, aligned_mismatches, wide_metrics, knn_topk, knn_vote, unit_vectors,
     )
@@ -345,6 +359,8 @@ ORACLES: dict[str, str] = {
     "synth_unk": f"WITH {_SYNTH} SELECT * FROM unk WHERE n_replaced >= 1",
     "synth_mixed": f"WITH {_SYNTH}, k AS (SELECT *, count(candidates) OVER (PARTITION BY id) AS k, row_number() OVER (PARTITION BY id ORDER BY (candidates IS NULL)::INT, n, pos) AS rk FROM rt), h AS (SELECT *, candidates IS NOT NULL AND rk <= greatest(1, floor(k * 0.5)) AS hit FROM k WHERE k >= 2) SELECT id, string_agg(CASE WHEN hit THEN candidates[n % len(candidates) + 1] ELSE word END, ' ' ORDER BY pos) AS synthetic, count(*) FILTER (hit) AS n_replaced FROM h GROUP BY 1",
     "synth_multitask": f"WITH {_SYNTH} SELECT id, '<dict_match>' || synthetic || '</dict_match> <literal>' || n_replaced || '</literal>' AS target FROM unk",
+    "synth_semantic": f"WITH {_KNN}, v AS (SELECT query, label, count(*) AS n, min(rank) AS r FROM near JOIN embeddings ON vec_id = id GROUP BY 1, 2), t AS (SELECT query, label FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, r) = 1) SELECT s_suppkey AS id, '[UNK] ' || coalesce('L' || label, '[UNK]') AS synthetic, (label IS NOT NULL)::BIGINT AS n_replaced FROM supplier LEFT JOIN t ON query = s_suppkey % 7 * 100",
+    "fewshot_block": "WITH b AS (SELECT string_agg(p_type || ' = ' || p_name, chr(10) ORDER BY p_partkey) AS block FROM part WHERE p_partkey IN (1, 6, 15, 16)) SELECT n_nationkey, block || chr(10) || n_name AS prompt FROM nation, b",
     "dedupe_first": "SELECT p_name, p_type, p_partkey, p_size, count(*) OVER (PARTITION BY p_name, p_type) AS n_rows FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) = 1",
     "dedupe_nbest": f"WITH {POOL_SQL}, c AS (SELECT row_idx, unnest([frontier, dpo, unk, reference]) AS x, unnest([1, 2, 3, 4]) AS k FROM pool0), f AS (SELECT row_idx, x, min(k) AS k FROM c WHERE x <> '' GROUP BY 1, 2) SELECT row_idx, string_agg(x, '|' ORDER BY k) AS candidates FROM f GROUP BY 1",
     "flatten_groups": "WITH j AS (SELECT l_orderkey, l_linenumber, l_partkey, p_partkey IS NULL AS bad FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 2) ON p_partkey = l_partkey) SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey) AS parts, (array_agg(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (bad))[1]::VARCHAR AS first_missing FROM j GROUP BY 1",

@@ -11,7 +11,7 @@ from loomspark.functions import chrf
 from loomspark.operators import diagnostics as D
 from loomspark.operators import selectors as S
 
-from .common import NAMES, POOL_SQL, PRIMARY_SQL, SCORED_SQL, Query, chrf_sql, flags_sql, guarded_sql, pools, score_sql
+from .common import NAMES, POOL_SQL, PRIMARY_SQL, SCORED_SQL, Query, chrf_sql, flags_sql, guarded_sql, pools, prefix_sql, score_sql
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,10 @@ def pool_labels(spark, d):
     return S.labelled(S.pool(pools(spark, d), NAMES)).select("row_idx", "labels")
 
 
+def pool_hints(spark, d):
+    return S.hints(S.pool(pools(spark, d), NAMES)).select("row_idx", "hints")
+
+
 def selector_summary(spark, d):
     """The guarded selector with its measures: one row. Flagship."""
     df = S.guarded(scored(spark, d)).select("row_idx", "reference", "action", F.col("chosen.pred").alias("pred"))
@@ -202,7 +206,7 @@ def qualitative_cases(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        selector_summary, pool_scored, pool_guarded, pool_score_max, pool_title_guard, pool_vote, pool_mbr, pool_contamination_guard, pool_audit_preserving, pool_two_way, pool_basis, pool_labels,
+        selector_summary, pool_scored, pool_guarded, pool_score_max, pool_title_guard, pool_vote, pool_mbr, pool_contamination_guard, pool_audit_preserving, pool_two_way, pool_basis, pool_labels, pool_hints,
         selector_actions, selector_sensitivity, pool_ablation, selector_value_ablation, diag_flags, contamination_components, failure_taxonomy, audit_summary, chrf_stats, chrf_corpus,
         oracle_best_of_two, pairwise_wins, exact_overlap, agreement_regions, subset_report, qualitative_cases,
     )
@@ -271,6 +275,7 @@ ORACLES: dict[str, str] = {
       SELECT row_idx, CASE WHEN reason = 'default' THEN a ELSE b END AS pred, reason FROM z""",
     "pool_basis": f"WITH {SCORED_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY row_idx, pred) AS votes FROM scored), w AS (SELECT row_idx, pred FROM c QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY votes DESC, (name = 'frontier')::INT DESC, pos) = 1) SELECT row_idx, m.name AS basis FROM w JOIN members m USING (row_idx, pred) QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY (m.name = 'frontier')::INT DESC, m.pos) = 1",
     "pool_labels": f"WITH {SCORED_SQL}, u AS (SELECT row_idx, pred, min(pos) AS pos FROM members GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY pos) AS k FROM u) SELECT row_idx, string_agg(substr('ABC', k, 1) || ': ' || pred, chr(10) ORDER BY k) AS labels FROM n GROUP BY 1",
+    "pool_hints": f"WITH {SCORED_SQL}, u AS (SELECT DISTINCT row_idx, pred FROM members), p AS (SELECT a.row_idx, a.pred AS x, b.pred AS y FROM u a JOIN u b ON a.row_idx = b.row_idx AND a.pred < b.pred), h AS (SELECT row_idx, left(x, {prefix_sql('x', 'y')}) AS h FROM p UNION SELECT row_idx, right(x, {prefix_sql('reverse(x)', 'reverse(y)')}) FROM p) SELECT pool0.row_idx, coalesce(string_agg(h, chr(10) ORDER BY h) FILTER (length(h) >= 2), '') AS hints FROM pool0 LEFT JOIN h USING (row_idx) GROUP BY 1",
     "selector_summary": f"""WITH {SCORED_SQL}, {guarded_sql()}, c AS (SELECT row_idx AS id, action, pred AS h, reference AS r, pred, reference FROM choice JOIN pool0 USING (row_idx)), {chrf_sql("c")}, fl AS (SELECT *, {flags_sql('pred', 'reference')} FROM c), t AS (SELECT {_summed()} FROM stats)
       SELECT count(*) AS n, sum(exact)::BIGINT AS exact, sum(contamination)::BIGINT AS contaminated, count(*) FILTER (action <> 'keep_frontier') AS switches, round(sum(length(pred)) / greatest(1, sum(length(reference))), 6) AS length_ratio,
       sum(suffix_drop)::BIGINT AS suffix_errors, sum(over_expansion)::BIGINT AS over_expansion, (SELECT round({score_sql()}, 6) FROM t) AS chrf FROM fl""",

@@ -22,6 +22,16 @@ SCHEMAS = {
 }
 
 
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first of several places that exists, in any file system Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
+            return p
+    raise FileNotFoundError(", ".join(paths))
+
+
 def jsonl(spark: SparkSession, path: str | Sequence[str], kind: str, strict: bool = False) -> DataFrame:
     """One record a line. Blank lines are skipped, or, if strict, an error."""
     if not strict:

@@ -128,3 +128,20 @@ def test_sinks_and_resume(spark, tmp_path):
     assert io.jsonl(spark, str(tmp_path / "blank"), "prediction").where("input is not null").count() == 2
     with pytest.raises(Exception, match="blank line"):
         io.jsonl(spark, str(tmp_path / "blank"), "prediction", strict=True).collect()
+
+
+def test_model_hook_and_paths(spark, tmp_path):
+    from loomspark.operators import models
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, text string")
+    rows = models.apply_model(df, models.mock_judge(("overall",)), ["text"], "overall int").collect()
+    assert len(rows) == 3 and all(1 <= r["overall"] <= 5 for r in rows)
+    (tmp_path / "map.json").write_text('{"1": "x",\n "2": "y"}')
+    (tmp_path / "list.json").write_text('[{"prompt": "p", "chosen_reward": 1.5}]')
+    assert sorted((r["key"], r["value"]) for r in io.json_map(spark, str(tmp_path / "map.json")).collect()) == [("1", "x"), ("2", "y")]
+    assert io.json_array(spark, str(tmp_path / "list.json"), "preference").first()["chosen_reward"] == 1.5
+    assert io.first_existing(spark, str(tmp_path / "no"), str(tmp_path / "map.json")).endswith("map.json")
+    for name in ("e1", "e2"):
+        (tmp_path / "r" / name).mkdir(parents=True)
+        (tmp_path / "r" / name / "metrics.json").write_text('{"chrf": {"corpus": 1.0}, "num_examples": 2}')
+    assert sorted(r["experiment"] for r in io.discovered(spark, str(tmp_path / "r/*/metrics.json")).collect()) == ["e1", "e2"]
