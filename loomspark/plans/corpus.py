@@ -258,8 +258,8 @@ def ordered_slice(spark, d):
 
 
 def rounded_means(spark, d):
-    """Means of values rounded a row first."""
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.round(F.avg(F.round(F.col("c_acctbal") / 7, 1)), 6).alias("mean"))
+    """Means of values rounded a row first, to tenths, half up."""
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.round(F.avg(F.floor(F.col("c_acctbal") * 10 / 7 + 0.5)) / 10, 6).alias("mean"))
 
 
 def json_entries(spark, d):
@@ -388,7 +388,7 @@ ORACLES: dict[str, str] = {
     "mode_first": "WITH e AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1, 2) SELECT user_id, event_type AS mode FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) = 1",
     "histogram": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1",
     "ordered_slice": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5",
-    "rounded_means": "SELECT c_mktsegment, round(avg(round(c_acctbal / 7, 1)), 6) AS mean FROM customer GROUP BY 1",
+    "rounded_means": "SELECT c_mktsegment, round(avg(floor(c_acctbal * 10 / 7 + 0.5)) / 10, 6) AS mean FROM customer GROUP BY 1",
     "json_entries": "WITH k AS (SELECT unnest(json_keys(props)) AS key, props FROM events) SELECT key, count(*) AS n, sum(try_cast(json_extract_string(props, '$.' || key) AS BIGINT))::BIGINT AS total FROM k GROUP BY 1",
     "html_rows": r"WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'), ' ')), lambda x: x <> '') AS r FROM pages) SELECT page_id, len(r)::INT AS n, md5(array_to_string(r, chr(10))) AS rows_md5 FROM p",
     "aligned_mismatches": f"WITH {POOL_SQL} SELECT row_idx, frontier AS l, reference AS r FROM pool0 WHERE frontier <> reference",

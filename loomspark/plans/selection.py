@@ -172,10 +172,10 @@ def oracle_best_of_two(spark, d):
 
 
 def pairwise_wins(spark, d):
-    df = _stats_of(spark, d, *NAMES)
-    s = {n: F.round(chrf.of_array(f"c_{n}"), 9) for n in NAMES}
+    df = _systems(spark, d).withColumn("stats", chrf.stats("pred", "reference")).select("row_idx", "system", F.round(chrf.of_array(), 9).alias("f"))
+    wide = df.groupBy("row_idx").agg(*(F.max(F.when(F.col("system") == n, F.col("f"))).alias(n) for n in NAMES))
     pairs = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]]
-    rows = df.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), s[a].alias("x"), s[b].alias("y")) for a, b in pairs))).alias("p")).select("p.*")
+    rows = wide.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs))).alias("p")).select("p.*")
     return rows.groupBy("a", "b").agg(F.count_if(F.col("x") > F.col("y")).alias("wins"), F.count_if(F.col("x") == F.col("y")).alias("ties"), F.count_if(F.col("x") < F.col("y")).alias("losses"))
 
 
