@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever they run; keep batches to them small, unless the session says otherwise."""
     context = spark.sparkContext
     if spark.conf.get(BATCH_BYTES, "67108864b") == "67108864b":
-        spark.conf.set(BATCH_BYTES, "16777216b")
+        spark.conf.set(BATCH_BYTES, "4194304b")
     if getattr(context, "_loomspark_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
