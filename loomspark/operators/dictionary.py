@@ -45,6 +45,14 @@ def forward_matches(texts: DataFrame, keys: DataFrame, longest: int = LONGEST) -
     return joined.select("id", F.expr(step).alias("segments"))
 
 
+def coverage(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """id, matched, coverage of texts (id, words, tokens): the share of matched spans of which a meaning, of entries (key, meanings), is among the tokens; 0 without a match."""
+    spans_ = forward_matches(texts, entries).select("id", F.explode("segments").alias("s")).where("s.known").select("id", F.col("s.segment").alias("key"))
+    met = spans_.join(entries, "key").join(texts.select("id", "tokens"), "id").withColumn("hit", F.coalesce(F.arrays_overlap("meanings", "tokens"), F.lit(False)))
+    rates = met.groupBy("id").agg(F.count("*").alias("matched"), F.avg(F.col("hit").cast("int")).alias("rate"))
+    return texts.select("id").join(rates, "id", "left").select("id", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("rate", F.lit(0.0)).alias("coverage"))
+
+
 def searched(entries: DataFrame, terms: list[str], column: str) -> DataFrame:
     """key, score: occurrences of all terms in a column, the rows with any."""
     text = F.lower(column)

@@ -109,11 +109,20 @@ def mfm_segments(spark, d):
     return df.select("id", F.array_join(F.transform("segments", lambda s: F.concat(s["segment"], F.when(s["known"], "+").otherwise("-"))), "|").alias("segments"))
 
 
+def _covered(spark, d):
+    p = table(spark, d, "part")
+    own = p.select(F.col("p_name").alias("key"), "p_brand").unionAll(p.select(F.split("p_name", " ")[0], "p_brand"))
+    entries = own.groupBy("key").agg(F.array_sort(F.collect_set("p_brand")).alias("meanings"))
+    titles = p.select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_type", F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.split("p_name", " ")[0]), F.lit("part")), " ").alias("words"), F.array("p_type", F.concat(F.lit("Brand#"), F.col("p_size").cast("string"))).alias("tokens"))
+    return D.coverage(titles, entries)
+
+
 def lexical_coverage(spark, d):
-    """Share of matched segments among all segments, by first word; 0 without a match."""
-    df = D.forward_matches(_titles(spark, d), _keys(spark, d))
-    n, known = F.size("segments"), F.size(F.filter("segments", lambda s: s["known"]))
-    return df.agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(known / n), F.lit(0.0)), 6).alias("mean"), F.round(F.min(known / n), 6).alias("low"), F.round(F.max(known / n), 6).alias("high"))
+    return _covered(spark, d).select("id", "matched", F.round("coverage", 6).alias("coverage"))
+
+
+def coverage_summary(spark, d):
+    return _covered(spark, d).agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("coverage"), F.lit(0.0)), 6).alias("mean"), F.round(F.min("coverage"), 6).alias("low"), F.round(F.max("coverage"), 6).alias("high"))
 
 
 def substring_gloss(spark, d):
@@ -189,7 +198,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         length_filter, title_clean, reply_normal, mark_strip, affixes, seq_ratio, sft_format, gloss_block, constraint_phrases, chart_normal, dict_forward, dict_reverse, dict_stats, mfm_segments,
-        lexical_coverage, substring_gloss, char_map, reward_dict, dict_search, dict_contains, shortest_key, transliterate, id_canonical, id_invert, surrogate_assign, id_encode_decode, asset_summary,
+        lexical_coverage, coverage_summary, substring_gloss, char_map, reward_dict, dict_search, dict_contains, shortest_key, transliterate, id_canonical, id_invert, surrogate_assign, id_encode_decode, asset_summary,
     )
 }
 
@@ -202,6 +211,10 @@ hits AS (SELECT spans.* FROM spans JOIN keys USING (key)), best AS (SELECT id, s
 _WALK = """walk AS (SELECT t.id, 1 AS spot, coalesce(n, 1) AS n, n IS NOT NULL AS known FROM titles t LEFT JOIN best b ON b.id = t.id AND b.start = 1
   UNION ALL SELECT w.id, w.spot + w.n, coalesce(b.n, 1), b.n IS NOT NULL FROM walk w JOIN titles t ON t.id = w.id AND w.spot + w.n <= len(words) LEFT JOIN best b ON b.id = w.id AND b.start = w.spot + w.n),
 segs AS (SELECT w.id, spot, known, array_to_string(words[spot:spot + n - 1], ' ') AS segment FROM walk w JOIN titles t USING (id))"""
+_COVERED = f"""WITH RECURSIVE {_SEGS.replace("p_type || ' ' || p_name || ' part'", "p_type || ' ' || CASE WHEN p_size > 25 THEN p_name ELSE string_split(p_name, ' ')[1] END || ' part'")}, {_WALK},
+m AS (SELECT key, list(DISTINCT p_brand) AS meanings FROM (SELECT p_name AS key, p_brand FROM part UNION ALL SELECT string_split(p_name, ' ')[1], p_brand FROM part) GROUP BY 1),
+r AS (SELECT id, count(*) AS matched, avg(list_contains(meanings, 'Brand#' || p_size)::INT) AS rate FROM segs JOIN m ON key = segment JOIN part ON p_partkey = id WHERE known GROUP BY 1),
+cov AS (SELECT p_partkey AS id, coalesce(matched, 0) AS matched, coalesce(rate, 0.0::DOUBLE) AS coverage FROM part LEFT JOIN r ON id = p_partkey)"""
 _FORWARD = f"{_ENTRIES_SQL}, fw AS (SELECT key, cn, en FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY row_idx DESC) = 1)"
 _RANKS = "ids AS (SELECT DISTINCT lpad(c_custkey::VARCHAR, greatest(5, length(c_custkey::VARCHAR))::INT, '0') AS id FROM customer), ranks AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank FROM ids), sur AS (SELECT id, rank, CASE WHEN rank + 983040 <= 1048573 THEN rank + 983040 END AS codepoint FROM ranks)"
 _PAD = lambda x: f"lpad({x}::VARCHAR, greatest(5, length({x}::VARCHAR))::INT, '0')"
@@ -227,7 +240,8 @@ ORACLES: dict[str, str] = {
     "dict_reverse": rf"WITH {_ENTRIES_SQL}, w AS (SELECT row_idx, key, pos, string_split_regex(lower(en), '[\s.,;]+')[pos] AS keyword FROM e, unnest(range(1, 20)) AS t(pos) WHERE pos <= len(string_split_regex(lower(en), '[\s.,;]+'))) SELECT keyword, string_agg(key, '|' ORDER BY row_idx, pos) AS keys FROM w WHERE keyword <> '' AND NOT regexp_matches(keyword, '^[0-9]+$') GROUP BY 1",
     "dict_stats": f"WITH {_FORWARD} SELECT count(*) AS entries, count(*) FILTER (length(key) <= 8) AS short, count(DISTINCT cn) AS meanings FROM fw",
     "mfm_segments": f"WITH RECURSIVE {_SEGS}, {_WALK} SELECT id, string_agg(segment || CASE WHEN known THEN '+' ELSE '-' END, '|' ORDER BY spot) AS segments FROM segs GROUP BY 1",
-    "lexical_coverage": f"WITH RECURSIVE {_SEGS}, {_WALK}, c AS (SELECT id, sum(known::INT) / count(*) AS f FROM segs GROUP BY 1) SELECT count(*) AS n, round(avg(f), 6) AS mean, round(min(f), 6) AS low, round(max(f), 6) AS high FROM c",
+    "lexical_coverage": f"{_COVERED} SELECT id, matched, round(coverage, 6) AS coverage FROM cov",
+    "coverage_summary": f"{_COVERED} SELECT count(*) AS n, round(avg(coverage), 6) AS mean, round(min(coverage), 6) AS low, round(max(coverage), 6) AS high FROM cov",
     "substring_gloss": f"WITH {_SEGS} SELECT id, string_agg(DISTINCT key, '|' ORDER BY key) AS keys FROM hits GROUP BY 1",
     "char_map": f"WITH {_FORWARD}, c AS (SELECT DISTINCT key, unnest(string_split(cn, '')) AS ch FROM fw) SELECT ch, string_agg(key, '|' ORDER BY key) AS keys FROM c WHERE regexp_matches(ch, '[A-Z]') GROUP BY 1",
     "reward_dict": rf"WITH {_ENTRIES_SQL}, t AS (SELECT DISTINCT key, unnest(string_split_regex(regexp_replace(en, '[^\w\s]', '', 'g'), '\s+')) AS t FROM e) SELECT len(string_split(key, ' '))::INT AS n_words, key, string_agg(t, ' ' ORDER BY t) AS tokens FROM t WHERE t <> '' GROUP BY 1, 2",
