@@ -276,10 +276,14 @@ def regions(documents: DataFrame) -> DataFrame:
         same = np.zeros(len(order) + 1, bool)
         same[1:-1] = region[1:] == region[:-1]
         many = same[1:] | same[:-1]
-        return pa.table({"region": region[many].view(np.int64), "node": ids[order][many], "n": ns[order][many].astype(np.int64)})
+        region, nodes, n = region[many], ids[order][many], ns[order][many].astype(np.int64)
+        if len(region):  # regions of the same members have the same name, and so become one
+            start = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+            region = np.repeat(H.mix(np.add.reduceat(H.mix(nodes.view(np.uint64) + H.BASE), start)), np.diff(start, append=len(region)))
+        return pa.table({"region": region.view(np.int64), "node": nodes, "n": n})
 
     blobs = _texts(documents).mapInArrow(emit, "part int, low binary, nodes binary, sizes binary")
-    out = written(blobs.groupBy("part").applyInArrow(meet, "region long, node long, n long"), "regions")
+    out = written(blobs.groupBy("part").applyInArrow(meet, "region long, node long, n long").dropDuplicates(["region", "node"]), "regions")
     release(spark)
     return out
 
