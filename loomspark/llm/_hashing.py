@@ -23,7 +23,7 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
         known = np.full(size, base, U64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
-        if size <= 1 << 21:
+        if size <= 1 << 20:
             _POWERS[name] = known
     return known[:n]
 

@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text that numpy works on at once; a longer text makes a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever they run; keep batches to them small, unless the session says otherwise."""
     context = spark.sparkContext
     if spark.conf.get(BATCH_BYTES, "67108864b") == "67108864b":
-        spark.conf.set(BATCH_BYTES, "4194304b")
+        spark.conf.set(BATCH_BYTES, "2097152b")
     if getattr(context, "_loomspark_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
