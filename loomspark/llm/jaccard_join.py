@@ -45,7 +45,7 @@ N, BANDS, MEETS = 5, 6, 2
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Bits of a set's parity bitmap: each shingle flips one, so two sets differ in at least as many shingles as their bitmaps in bits.
-SIGN = 512
+SIGN = 1024
 #: Classes of frequency are powers of 2; the least that may count as frequent, and how many frequent shingles at most.
 HEAVY_CLASS, HEAVY_MAX = 3, 1 << 20
 #: The most row keys that are broadcast to pick texts; more are joined by a shuffle.
