@@ -372,7 +372,8 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray) -> Dat
             order = np.lexsort((owner[x["text"]], x["around"], x["part"]))
             new = np.ones(len(order), bool)
             new[1:] = x["around"][order][1:] != x["around"][order][:-1]
-            order = order[new]  # the others were settled in pass 2
+            mine = owner[x["text"][order]]
+            order = order[mine == mine[new][np.cumsum(new) - 1]]  # larger owners' were settled in pass 2
             part, text, a, b = (x[k][order] for k in ("part", "text", "a", "b"))
             if not len(part):
                 continue

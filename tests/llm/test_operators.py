@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, conversations, decontamination, graph, jaccard_join, lm_quality, repetition, substring_dedup, token_files, toxicity, url_lists
 
-from .conftest import ITEM
+from .conftest import ITEM, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -283,6 +283,17 @@ def test_substring_dedup(docs, rows, empty, monkeypatch, shard):
     assert substring_dedup.removals(empty).count() == 0
 
 
+def test_repeated_lines_partly_shared_with_a_smaller_document(spark):
+    rnd = random.Random(3)
+    texts = []
+    for i in range(12):
+        line = words(rnd, 30)
+        texts += [(2 * i, f"{words(rnd, 4)} {line[20:75]} {words(rnd, 4)}"), (2 * i + 1, f"{line}\n" * 4)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = brute_removals([{"doc_id": i, "text": t} for i, t in texts])
+    assert tally(substring_dedup.removals(df).collect()) == Counter((i, *w[:4]) for (i, _), w in zip(texts, want, strict=True))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=300).map(lambda b: bytes(x % 3 for x in b)))
 def test_suffix_array_and_prefixes(raw):
