@@ -71,6 +71,8 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         least = np.minimum(least[: n], least[width - span :][:n])
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
     window = np.flatnonzero(np.arange(n) + LENGTH <= at[text + 1])
+    if not len(window):
+        return none, none.astype(np.uint64), none, none, none
     spot = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     fresh = np.ones(len(spot), bool)
     fresh[1:] = spot[1:] != spot[:-1]

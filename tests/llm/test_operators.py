@@ -294,6 +294,12 @@ def test_repeated_lines_partly_shared_with_a_smaller_document(spark):
     assert tally(substring_dedup.removals(df).collect()) == Counter((i, *w[:4]) for (i, _), w in zip(texts, want, strict=True))
 
 
+def test_substring_dedup_of_short_texts_only(spark):
+    df = spark.createDataFrame([(i, f"short text {i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    got = substring_dedup.removals(df).collect()
+    assert len(got) == 40 and all(r["n_removed"] == 0 for r in got)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=300).map(lambda b: bytes(x % 3 for x in b)))
 def test_suffix_array_and_prefixes(raw):
