@@ -9,8 +9,10 @@ first, held-out rows (crc32 of the id mod 5 = 0) excluded. Vectors of features t
 sample hold stay zero, so single texts can't be learned by heart. Its size is fixed (2**16 vectors of 8), so it travels
 with the task. Scoring is one pass over whole texts without a shuffle; a lost task is rerun.
 
-Each language's threshold splits the scores of its rows of the sample best; a language with fewer than MIN_LANGUAGE rows
-of either class takes 0.5. The score itself sees nothing but the text.
+Each language's threshold makes the fewest errors on all its labelled rows that are not held out, in the mix of classes
+that they have: their scores are counted by language, class and one of BINS steps of the logit, sums that tasks merge. A
+cut lies in the middle between the scores of two filled steps; scores within one step are not told apart. A language with
+fewer than MIN_LANGUAGE rows of either class takes 0.5. The score itself sees nothing but the text.
 
 Defined results: null and empty texts have the score of no words; without labels of both classes the score is a
 constant below 0.5; rows that repeat an id in labels count once, toxic if one of them says so; null labels count not.
@@ -23,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _hashing as H
-from ._runtime import pieces, release, ship, utf8
+from ._runtime import pieces, release, ship, utf8, written
 
 BITS, DIM, WIDTHS, FILTERS = 16, 8, (1, 2, 3), 8
 #: Bytes of a word's start that are features beside the word.
 STARTS = (3, 4, 5, 6)
 SAMPLE, MIN_TEXTS, MIN_LANGUAGE = 2000, 3, 5
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.02, 1e-4
+#: Steps of the logit from -SPAN to SPAN that thresholds tell apart; what lies beyond falls into the outermost.
+BINS, SPAN = 1 << 16, 16
 #: Words are runs of letters and digits: neither ASCII punctuation nor white space.
 BREAK = H.separators(bytes(c for c in range(128) if not chr(c).isalnum()))
 
@@ -64,7 +68,6 @@ class Model:
         self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         self.weights = rng.normal(0.5, 0.1, len(self.bias)).astype(np.float32)
         self.constant = np.full(1, -2.0, np.float32)
-        self.thresholds: dict[str | None, float] = {}
 
     def parameters(self) -> list[np.ndarray]:
         return [self.vectors, self.filters, self.bias, self.weights, self.constant]
@@ -128,8 +131,8 @@ class Model:
         return [g_vectors, g_filters, back.sum(axis=0), pooled.T @ d, d.sum(keepdims=True)]
 
 
-def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], seed: int = 7) -> Model:
-    """Adam on the cross entropy, both classes with the same weight in all; then the thresholds."""
+def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
+    """Adam on the cross entropy, both classes with the same weight in all."""
     model, rng = Model(seed), np.random.default_rng(seed)
     if len(set(labels.tolist())) < 2:
         model.weights[:] = 0
@@ -164,44 +167,29 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], seed:
                 v += 0.01 * (g * g - v)
                 p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
             model.vectors[~common] = 0
-    cuts = first[np.append(np.arange(0, len(texts), 64), len(texts))]
-    scores = np.concatenate([model.score(feats[a:b], word_text[a:b] - 64 * k, min(64, len(texts) - 64 * k)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
-    for language in set(languages):
-        own = np.array([x == language for x in languages])
-        if min(labels[own].sum(), (1 - labels[own]).sum()) >= MIN_LANGUAGE:
-            model.thresholds[language] = _threshold(scores[own], labels[own])
     return model
 
 
-def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts with the fewest errors."""
-    order = np.argsort(scores, kind="stable")
-    s, y = scores[order], labels[order]
-    errors = np.cumsum(y) + (len(y) - y.sum() - np.cumsum(1 - y))
-    cuts = np.flatnonzero((errors == errors.min())[:-1])
-    if not len(cuts):
-        return 0.5
-    gaps = s[cuts + 1] - s[cuts]
-    k = cuts[np.argmax(gaps)]
-    return float((s[k] + s[k + 1]) / 2)
-
-
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def known(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of labelled ids that are not held out."""
+    rows = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return rows.where(~held_out())
+
+
 def trained(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on the sample; what reaches the driver is bounded by 2 * SAMPLE texts."""
-    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(~held_out())
-    rank = F.xxhash64("doc_id")
-    picked = known.where("toxic = 1").orderBy(rank).limit(SAMPLE).unionAll(known.where("toxic = 0").orderBy(rank).limit(SAMPLE))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang") if "lang" in documents.columns else F.lit(None).cast("string").alias("lang"))
+    own, rank = known(labels), F.xxhash64("doc_id")
+    picked = own.where("toxic = 1").orderBy(rank).limit(SAMPLE).unionAll(own.where("toxic = 0").orderBy(rank).limit(SAMPLE))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    sample, toxic, languages = (rows.column(c).to_pylist() for c in ("text", "toxic", "lang"))
+    sample, toxic = (rows.column(c).to_pylist() for c in ("text", "toxic"))
     del rows
     release(documents.sparkSession)
-    return fit(sample, np.array(toxic, np.int64), languages)
+    return fit(sample, np.array(toxic, np.int64))
 
 
 def _scored(model: Model, text: pa.Array) -> np.ndarray:
@@ -210,34 +198,57 @@ def _scored(model: Model, text: pa.Array) -> np.ndarray:
     return model.score(feats, word_text, len(text))
 
 
-def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, threshold and toxic (score at its language's threshold or above) of each row."""
-    ship(documents.sparkSession)
-    model = documents.sparkSession.sparkContext.broadcast(trained(documents, labels))
+def _scores(documents: DataFrame, model) -> DataFrame:
+    """doc_id, held_out, lang, score, bin of each row, written once."""
     lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
-    names = ["doc_id", "held_out", "score", "predicted", "threshold", "toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             score = _scored(model.value, piece.column(1))
-            limit = np.array([model.value.thresholds.get(x, 0.5) for x in piece.column(3).to_pylist()])
-            columns = [piece.column(0), piece.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(limit), pa.array(score >= limit)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            with np.errstate(divide="ignore"):
+                logit = np.log(score) - np.log1p(-score)
+            step = np.floor((np.clip(logit, -SPAN, SPAN) + SPAN) * (BINS / (2 * SPAN))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), piece.column(3), pa.array(score), pa.array(step)], ["doc_id", "held_out", "lang", "score", "bin"])
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"), lang.alias("lang"))
-    return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, threshold double, toxic boolean")
+    return written(own.mapInArrow(run, "doc_id long, held_out boolean, lang string, score double, bin int"), "toxicity-scores")
+
+
+def thresholds(scored: DataFrame, labels: DataFrame) -> dict[str | None, float]:
+    """Of each language: the middle of the widest gap among the cuts with the fewest errors on all labelled rows."""
+    counts = scored.join(known(labels), "doc_id").groupBy("lang", "bin").agg(F.sum("toxic").alias("bad"), F.count_if(F.col("toxic") != 1).alias("good"), F.min("score").alias("low"), F.max("score").alias("high"))
+    every = Window.partitionBy("lang")  # at most BINS + 1 rows
+    order = every.orderBy("bin")
+    to_here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = counts.select("*", F.sum("bad").over(every).alias("all_bad"), F.sum("good").over(every).alias("all_good"), F.sum("bad").over(to_here).alias("missed"), F.sum("good").over(to_here).alias("passed"), F.lead("low").over(order).alias("next"))
+    cuts = sums.withColumn("errors", F.col("missed") + F.col("all_good") - F.col("passed")).withColumn("fewest", F.min("errors").over(every))
+    cuts = cuts.where((F.least("all_bad", "all_good") >= MIN_LANGUAGE) & (F.col("errors") == F.col("fewest")) & F.col("next").isNotNull())
+    best = F.max_by((F.col("high") + F.col("next")) / 2, F.struct(F.col("next") - F.col("high"), -F.col("bin")))
+    return {r["lang"]: r["limit"] for r in cuts.groupBy("lang").agg(best.alias("limit")).collect()}  # a row a language
+
+
+def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted, threshold and toxic (score at its language's threshold or above) of each row."""
+    spark = documents.sparkSession
+    ship(spark)
+    scored = _scores(documents, spark.sparkContext.broadcast(trained(documents, labels)))
+    limits = spark.createDataFrame(list(thresholds(scored, labels).items()), "own string, threshold double")
+    rows = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("own")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("toxic"))
 
 
 def clean_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents(doc_id, text, lang, ...) below their language's threshold, with their own columns."""
+    context = documents.sparkSession.sparkContext
     ship(documents.sparkSession)
-    model = documents.sparkSession.sparkContext.broadcast(trained(documents, labels))
+    model = context.broadcast(trained(documents, labels))
+    limits = context.broadcast(thresholds(_scores(documents, model), labels))
     names = documents.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             score = _scored(model.value, piece.column(names.index("text")))
             languages = piece.column(names.index("lang")).to_pylist() if "lang" in names else [None] * len(score)
-            yield piece.filter(pa.array(score < np.array([model.value.thresholds.get(x, 0.5) for x in languages])))
+            yield piece.filter(pa.array(score < np.array([limits.value.get(x, 0.5) for x in languages])))
 
     return documents.mapInArrow(run, documents.schema)

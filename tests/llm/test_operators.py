@@ -215,6 +215,24 @@ def test_toxicity_learns_words_and_stems(spark):
     assert all(r["score"] < 0.5 for r in toxicity.scores(d, t.limit(0)).collect())
 
 
+def test_toxicity_thresholds_cover_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    rnd = random.Random(4)
+    docs, labels = [], []
+    for i in range(600):
+        toxic = rnd.random() < 0.15
+        docs.append((i, " ".join([words(rnd, 12), *["zonk"] * (toxic if rnd.random() < 0.9 else not toxic)]), "de" if i % 5 == 0 else "en"))
+        labels.append((i, int(toxic)))
+    got = toxicity.scores(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    for language in ("de", "en"):
+        own = [(r["score"], labels[r["doc_id"]][1], r["threshold"]) for r in got if docs[r["doc_id"]][2] == language and not r["held_out"]]
+        errors = lambda cut: sum((s >= cut) != y for s, y, _ in own)  # noqa: B023, E731
+        ordered = sorted({s for s, _, _ in own})
+        fewest = min(errors((a + b) / 2) for a, b in zip(ordered[:-1], ordered[1:], strict=True))
+        limit = {x for _, _, x in own}
+        assert len(limit) == 1 and errors(limit.pop()) == fewest
+
+
 # 6
 
 
