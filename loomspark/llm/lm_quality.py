@@ -4,11 +4,14 @@ A model's symbols are classes of bytes (letters, blanks, breaks, digits, marks,
 n-gram of ORDER symbols is a number below 2**20 and counts of any amount of text stay bounded; each task sends its sums.
 Counts come from all trusted text. They are sharded by language and n-gram; continuation counts, context totals and
 discounts are aggregations of them, and joins on the context turn counts into discounted shares and back-off weights.
-What reaches the driver is at most 2**20 shares a model, LANGUAGES + 1 models; laid out as dense tables of log2
-probabilities (4 MB each), they go to the tasks, where a document's perplexity is a lookup at each byte.
+What reaches the driver is at most 2**20 shares a model; laid out as dense tables of log2 probabilities (4 MB each), they
+go to the tasks, where a document's perplexity is a lookup at each byte. Languages are taken in rounds of LANGUAGES, so
+their number is not bounded by memory; a round reads the documents of its languages only.
 
-A language's threshold is the QUANTILE of its trusted documents' perplexities (a mergeable sketch). The languages with
-most trusted text have their own model and threshold; all others share the model of all trusted text.
+Each language with trusted text has its own model and threshold, the QUANTILE of its trusted documents' perplexities (a
+mergeable sketch). All other documents share the model of all trusted text, whose threshold is the same quantile of all
+trusted documents scored by it. A language with fewer than 1 / (1 - QUANTILE) trusted documents rejects what is worse than
+its worst one.
 
 Defined results: a document without text has no perplexity and is not kept; rows of labels with a null id or quality count
 not, repeated ones count as trusted if one is; without trusted text, every text is kept with no perplexity; repeated rows
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from . import _hashing as H
 from ._runtime import pieces, ship, utf8, written
 
-ORDER, WIDTH, LANGUAGES, QUANTILE = 4, 5, 8, 0.999
+ORDER, WIDTH, LANGUAGES, QUANTILE = 4, 5, 8, 0.95
 SYMBOLS = 1 << WIDTH
 #: Label rows that are broadcast to pick trusted texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -76,6 +79,13 @@ def counts(texts: DataFrame, languages: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for model, c in sums.items():
+                g = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(g)), pa.array(g.astype(np.int32)), pa.array(c[g])], ["model", "g", "c"])
+            sums.clear()
+
         for piece in pieces(batches):
             data, at = utf8(piece.column(1))
             grams = ngrams(data, at)
@@ -85,9 +95,9 @@ def counts(texts: DataFrame, languages: list[str]) -> DataFrame:
                 found = np.bincount(grams[own], minlength=1 << (WIDTH * ORDER))
                 for key in {model if model in languages else POOLED, POOLED}:
                     sums[key] = sums[key] + found if key in sums else found
-        for model, c in sums.items():
-            g = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([model] * len(g)), pa.array(g.astype(np.int32)), pa.array(c[g])], ["model", "g", "c"])
+                if len(sums) > LANGUAGES + 1:
+                    yield from emptied()
+        yield from emptied()
 
     return written(texts.mapInArrow(run, "model string, g int, c long").groupBy("model", "g").agg(F.sum("c").alias("c")), "ngram-counts")
 
@@ -134,10 +144,16 @@ def models(grams: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
+def _languages(trusted: DataFrame) -> list[str]:
+    """The languages with trusted text, most first."""
+    sizes = trusted.where(F.col("lang") != POOLED).groupBy("lang").agg(F.sum(F.length("text")).alias("n")).where("n > 0")
+    return [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").collect()]  # a row a language
+
+
 def trained(documents: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
+    """All models at once, for few languages; ``scored`` takes them in rounds."""
     trusted = _trusted(documents, labels)
-    sizes = trusted.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    return models(counts(trusted, [r["lang"] for r in sizes.collect() if r["lang"] != POOLED]))
+    return models(counts(trusted, _languages(trusted)))
 
 
 def perplexities(documents: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
@@ -162,20 +178,30 @@ def perplexities(documents: DataFrame, tables: dict[str, np.ndarray]) -> DataFra
     return _texts(documents).mapInArrow(run, "doc_id long, model string, n_bytes long, perplexity double")
 
 
-def _limits(documents: DataFrame, labels: DataFrame, tables: dict[str, np.ndarray]) -> dict[str, float]:
-    """The threshold of each model, from all its trusted documents."""
-    own = perplexities(_trusted(documents, labels), tables)
-    rows = own.groupBy("model").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("limit"), F.max("perplexity").alias("most")).collect()  # a row a model
+def _limits(trusted: DataFrame, tables: dict[str, np.ndarray]) -> dict[str, float]:
+    """The threshold of each model: of a language's, from its trusted documents; of the shared one, from all of them."""
+    own = trusted.where(F.col("lang").isin([x for x in tables if x != POOLED]))
+    if POOLED in tables:
+        own = own.unionAll(trusted.withColumn("lang", F.lit(POOLED)))
+    rows = perplexities(own, tables).groupBy("model").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("limit")).collect()  # a row a model
     return {r["model"]: r["limit"] for r in rows if r["limit"] is not None}
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, model (its language, or '' for the shared one), n_bytes, perplexity, threshold, kept of each row."""
     ship(documents.sparkSession)
-    tables = trained(documents, labels)
-    limits = _limits(documents, labels, tables)
-    limit = F.lit(None).cast("double")
-    for model, x in limits.items():
-        limit = F.when(F.col("model") == model, F.lit(x)).otherwise(limit)
-    rows = perplexities(documents, tables).withColumn("threshold", limit)
-    return rows.withColumn("kept", (F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    trusted, texts = _trusted(documents, labels), _texts(documents)
+    languages = _languages(trusted)
+    grams = counts(trusted, languages)
+    out = None
+    for at in range(0, max(1, len(languages)), LANGUAGES):
+        own = languages[at : at + LANGUAGES]
+        tables = models(grams.where(F.col("model").isin([*own, *([] if at else [POOLED])])))
+        limit = F.lit(None).cast("double")
+        for model, x in _limits(trusted, tables).items():
+            limit = F.when(F.col("model") == model, F.lit(x)).otherwise(limit)
+        mine = F.col("lang").isin(own) if at else ~F.col("lang").isin(languages[LANGUAGES:])
+        rows = perplexities(texts.where(mine), tables).withColumn("threshold", limit)
+        rows = written(rows, "perplexities") if len(languages) > LANGUAGES else rows
+        out = rows if out is None else out.unionAll(rows)
+    return out.withColumn("kept", (F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))

@@ -388,6 +388,21 @@ def test_kneser_ney(spark):
     assert all(r["kept"] == bool(r["n_bytes"]) and r["perplexity"] is None for r in lm_quality.scored(docs, labels.limit(0)).collect())
 
 
+def test_every_trusted_language_has_a_limit(spark):
+    rnd = random.Random(6)
+    codes = [f"l{k:02}" for k in range(10)]
+    docs = [(i, words(rnd, 30 if i % 10 < 8 else 20), codes[i % 10]) for i in range(400)]
+    docs += [(1000, "q9#z!x7%" * 30, "other"), (1001, "q9#z!x7%" * 30, None), (1002, "q9#z!x7%" * 30, codes[9])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = lm_quality.scored(df, spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _, _ in docs)
+    assert {r["model"] for r in got} == {"", *codes} and all(r["threshold"] is not None for r in got)
+    assert not any(r["kept"] for r in got if r["doc_id"] >= 1000)
+    for code in codes:
+        own = [r["kept"] for r in got if r["model"] == code and r["doc_id"] < 400]
+        assert len(own) == 40 and sum(own) == 38
+
+
 # 9
 
 
