@@ -350,14 +350,20 @@ def _labelled(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of documents that carry the smallest id of their component, with their own columns; of rows that repeat it, the least hash.
+    """The rows of documents that carry the smallest id of their component, with their own columns; of rows that repeat it, the least hash;
+    of rows equal in id and text, the one with the least other columns. Rows without words are in no group and all stay.
 
     Rows without an id in a component without any are one group too.
     """
     ship(documents.sparkSession)
     labelled = written(_labelled(documents), "labelled")
     first = labelled.where("node is not null").groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("keep"))
-    kept = first.select(F.col("keep").alias("row")).unionAll(labelled.where("node is null").select("row")).distinct()
+    again = labelled.where("node is not null").groupBy("row").count().where("count > 1").select("row", F.lit(True).alias("again"))
+    named = first.select(F.col("keep").alias("row")).join(again, "row", "left").select(F.col("row").alias("__row"), F.coalesce("again", F.lit(False)).alias("__again"))
+    kept = written(named.unionAll(labelled.where("node is null").select("row", F.lit(False))).distinct(), "kept")
     own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     few = kept.count() <= BROADCAST_ROWS
-    return documents.withColumn("__row", own).join((F.broadcast(kept) if few else kept).withColumnRenamed("row", "__row"), "__row", "left_semi").drop("__row")
+    rows = documents.withColumn("__row", own).join(F.broadcast(kept) if few else kept, "__row")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    repeated = rows.where("__again").groupBy("__row").agg(F.min(F.struct(*columns)).alias("__least"))
+    return rows.where("not __again").select(*columns).unionAll(repeated.select("__least.*"))

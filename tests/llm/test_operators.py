@@ -133,6 +133,15 @@ def test_one_document_of_each_group(docs, rows):
     assert len([r for r in kept.collect() if not WORD.search(r["text"] or "")]) == len([r for r in rows if not WORD.search(r["text"] or "")])
 
 
+def test_exact_repeats_of_a_kept_document_stay_once(spark, docs, rows):
+    kept = [r for r in jaccard_join.one_of_each(docs).collect() if WORD.search(r["text"] or "")]
+    groups = {least for n, least, _ in brute_components(rows).values() if n}
+    assert len(kept) == len(groups)
+    texts = [(1, "a b c d e f", "z"), (1, "a b c d e f", "y"), (1, "a b c d e f", "y"), (2, "a b c d e f", "a"), (3, "other words here", "q"), (4, "", "e"), (4, "", "e")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(3)
+    assert tally(jaccard_join.one_of_each(df).collect()) == Counter([(1, "a b c d e f", "y"), (3, "other words here", "q"), (4, "", "e"), (4, "", "e")])
+
+
 def test_near_copies_that_few_pivots_reach(spark):
     rnd = random.Random(5)
     base = [f"w{i}" for i in range(80)]
