@@ -37,3 +37,15 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         known = state
         now = written(_small(_large(now)), "edges")
+
+
+def extended(merged: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, root) after more edges(a, b): only the roots that these bring together are joined anew."""
+    root = lambda c: merged.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct()
+    between = written(between, "edges-between")
+    if between.isEmpty():
+        return merged
+    moved = components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    kept = merged.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return written(kept.unionAll(moved.select(F.col("root").alias("node"), F.col("to").alias("root"))), "components")

@@ -1,24 +1,30 @@
 """N-gram Jaccard join: an exact similarity join in the metric space of shingle sets.
 
-The Jaccard distance d is a metric; texts link at d <= 0.2. Copies (equal sets) are one node. Then
+The Jaccard distance d is a metric, and so is the size of the symmetric difference |A ^ B|; texts link at d <= 0.2, which is
+S |A ^ B| <= T (|A| + |B|) with S = 180, T = 20. Copies (equal sets) are one node. Then
 
-1. Cells. For each of BANDS random orders of the shingles, the nodes with the same first shingle meet, and the least of
-   them is their pivot. A node's exact distance to the pivots it meets twice is measured, and its cell is the Voronoi
-   cell of the nearest one within 0.2. Pivots and their cells make components of proven links.
-2. Regions. Almost all other pairs are at distance 1 of one another and of every pivot, where the triangle inequality
+1. Meetings. For each of BANDS random orders of the shingles, the nodes with the same first shingle meet, and the least of
+   them is measured against those that it meets twice. These links leave few components of near copies.
+2. Regions. Almost all other pairs are at distance 1 of one another and of every document, where the triangle inequality
    says nothing: a window of any use would copy every node to every cell. There the space is split by its
    smallest points instead: d(A, {s}) < 1 only if A holds shingle s, and if A and B link, they share one of the
    |A| - ceil(0.8 |A|) + 1 first shingles of any fixed order. So a node is replicated to the regions of its rarest
    shingles, and nothing is missed. Regions whose members are already one component are done.
-3. Windows. Where members of different components meet in a region, parity bitmaps of the sets, whose Hamming distance is
-   at most that of the sets, rule most pairs out. Then the distance of each to the other's pivots is measured first. For x in the
-   cell of p, d(x, y) >= d(y, p) - d(x, p); only nodes inside this window of 0.2 are joined on with y, the rest is ruled out.
-4. What is left is measured exactly, and the links' components are merged.
+3. Cells. Regions of more than SMALL members get a pivot document p each, their least node; those with the same one become
+   its Voronoi cell. Every member x is measured against p, exactly. Symmetric differences don't change if all sets of a
+   cell are shifted to D_x = x ^ p: |x ^ y| = |D_x ^ D_y|. Near copies share almost all they hold, but hardly anything of D.
+   Only pairs of different components are still asked for, so one of the two is farther from p than a link: with
+   E_x = S |D_x| - T |x|, its E is above T |p|, every member's is above -T |p|, and a link needs (E_x + E_y) / 2S common
+   shingles of D_x and D_y, one at least. By the triangle inequality S | |D_x| - |D_y| | <= T (|x| + |y|), the window in which x looks for y.
+   So x is replicated to the regions (cell, t) of the first t of D_x only, in an order that estimates how many of the cell's D hold t.
+4. These regions are joined in the same way, each with a pivot of its own, as long as each round halves them, until none has more
+   than SMALL members. Members of regions that are not split further meet in pairs: bounds from sizes, windows, the place of the first common shingle and
+   parity bitmaps, whose Hamming distance is at most that of the sets, leave few to be measured exactly.
 
 Rarity counts every shingle of every text: numpy blocks by hash range, pre-summed in each piece of text. Only the order
 uses it, so the list of frequent shingles that goes to the tasks can be cut to HEAVY_MAX (8 bytes each), by frequency.
-Nothing of the order of the corpus reaches the driver. Large groups of copies are pre-aggregated; near copies
-meet their pivot only, never each other.
+Nothing of the order of the corpus reaches the driver. Large groups of copies are pre-aggregated; near copies meet their
+pivot and those few that differ from it in the same way, not each other.
 
 Shingles and nodes are 64-bit hashes (two of N sets collide with a probability of N**2 / 2**65), the order's keys have 40
 bits and up; their collisions cost time, not results.
@@ -39,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import _hashing as H
 from ._runtime import parts, pieces, release, ship, tidy, utf8, written
-from .graph import components
+from .graph import components, extended
 
 N, BANDS, MEETS = 5, 6, 2
 #: Links have 100 * intersection >= PERCENT * union.
@@ -50,6 +56,11 @@ SIGN = 1024
 HEAVY_CLASS, HEAVY_MAX = 3, 1 << 20
 #: The most row keys that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Members of a region that meet in pairs. Larger regions become cells of a pivot, if they have halved since the last time.
+SMALL = 512
+S, T = 100 + PERCENT, 100 - PERCENT
+#: Bytes of one hash range, about, when ranges are made.
+RANGE_BYTES = 1 << 25
 SALTS = H.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
@@ -127,15 +138,45 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
-def _shared(x: bytes, y: bytes) -> int:
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+def _estimate(tokens: np.ndarray, heads: np.ndarray, classes: np.ndarray, drop: np.uint64) -> np.ndarray:
+    """About how many sets hold each token: 1, or for frequent ones the power of 2 of their class."""
+    out = np.ones(len(tokens), np.int64)
+    if len(heads):
+        head = tokens >> drop
+        at = np.minimum(np.searchsorted(heads, head), len(heads) - 1)
+        often = heads[at] == head
+        out[often] = np.int64(1) << classes[at[often]].astype(np.int64)
+    return out
 
 
-def distances(documents: DataFrame, sketch: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, shared, either (sizes of intersection and union) of the nodes of pairs(a, b), measured exactly; written."""
+def _shifted(p: np.ndarray, y: np.ndarray, cell: int, peers: int, order) -> tuple[list[int], int]:
+    """The regions of y in a cell with pivot p, one for each of the first shingles of their difference, and how many of them may meet any member."""
+    both = np.concatenate([p, y])
+    both = both[np.argsort(both, kind="stable")]
+    same = np.zeros(len(both) + 1, bool)
+    same[1:-1] = both[1:] == both[:-1]
+    d = both[~(same[1:] | same[:-1])]
+    at = np.minimum(np.searchsorted(p, d), max(0, len(p) - 1))
+    in_p = p[at] == d if len(p) else np.zeros(len(d), bool)
+    held = _estimate(d, *order)
+    held = np.where(in_p, np.maximum(peers - held, 1), held)  # members that lack it, for p's own
+    d = d[np.lexsort((H.mix(d), np.log2(held).astype(np.int64)))]
+    e, n = S * len(d) - T * len(y), len(y)
+    window = e - 2 * T * (100 * n // PERCENT + 1)
+    needed = [max(1, -(-(e + max(bound, window)) // (2 * S))) for bound in (T * len(p) + 1, 1 - T * len(p))]
+    shallow, deep = (max(0, len(d) - k + 1) for k in needed)
+    outside = e > T * len(p)
+    return H.mix(d[: deep if outside else shallow] ^ H.mix(np.array([cell]).view(np.uint64))).view(np.int64).tolist(), shallow
+
+
+def distances(documents: DataFrame, sketch: DataFrame, pairs: DataFrame, order=None) -> DataFrame:
+    """a, b, shared, either (sizes of intersection and union) of the nodes of pairs(a, b), measured exactly; written.
+
+    Where pairs have a cell of pivot a (null: none) and peers (its size), also n, d (sizes of b and of its difference to a),
+    centre (the size of a), and b's regions in the cell and how many of them are shallow. order is what ``heavy`` says, broadcast.
+    """
+    if "cell" not in pairs.columns:
+        pairs = pairs.withColumns({"cell": F.lit(None).cast("long"), "peers": F.lit(None).cast("long")})
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(sketch.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).join(ends, "node", "left_semi").select("row"), "wanted")
@@ -145,13 +186,21 @@ def distances(documents: DataFrame, sketch: DataFrame, pairs: DataFrame) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            shared = np.array([_shared(p.as_buffer(), q.as_buffer()) for p, q in zip(x, y, strict=True)], np.int64)
-            sizes = np.array([len(p.as_buffer()) // 8 + len(q.as_buffer()) // 8 for p, q in zip(x, y, strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(sizes - shared)], ["a", "b", "shared", "either"])
-
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    out = written(joined.mapInArrow(run, "a long, b long, shared long, either long"), "distances")
+            out = []
+            for cell, peers, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                at = np.searchsorted(q, p)
+                at[at == len(q)] = 0
+                shared = int((q[at] == p).sum())
+                either = len(p) + len(q) - shared
+                out.append((shared, either, len(q), either - shared, len(p), *(([], 0) if cell is None else _shifted(p, q, cell, peers, order.value))))
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), [*[pa.int64()] * 5, pa.list_(pa.int64()), pa.int64()], strict=True)] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["a", "b", "cell", "peers", "shared", "either", "n", "d", "centre", "regions", "shallow"])
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "cell", "peers", "x", "y")
+    schema = "a long, b long, cell long, peers long, shared long, either long, n long, d long, centre long, regions array<long>, shallow long"
+    out = written(joined.mapInArrow(run, schema), "distances")
     release(documents.sparkSession)
     return out
 
@@ -179,12 +228,17 @@ def meetings(sketch: DataFrame) -> DataFrame:
     return met.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("meets")).where(F.col("meets") >= MEETS).select("a", "b")
 
 
-def _by_part(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the parts among sorted tokens: parts are the tokens' top bits."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    at = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
-    some = np.flatnonzero(np.diff(at))
-    return some, at
+def _bits(sketch: DataFrame) -> int:
+    """Bits of a hash that name its range, so that one range of all shingles has RANGE_BYTES at 4 bytes each, about."""
+    total = sketch.agg(F.sum("n")).first()[0] or 0
+    return max(8, (max(parts(sketch.sparkSession), 4 * total // RANGE_BYTES) - 1).bit_length())
+
+
+def _by_part(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The parts of sorted tokens, their top bits, and the bounds of each."""
+    part = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    return part[start], list(zip(start.tolist(), [*start[1:].tolist(), len(part)], strict=True)) if len(part) else []
 
 
 def _distinct(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,17 +251,16 @@ def _distinct(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return keys[own], owner[own], size, node
 
 
-def heavy(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles' 40-bit (or longer) heads, sorted, and their classes of frequency."""
-    bits = max(8, (parts(documents.sparkSession) - 1).bit_length())
+def heavy(documents: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """The most frequent shingles' 40-bit (or longer) heads, sorted, their classes of frequency, and the bits that heads lack."""
     drop = np.uint64(64 - bits - 32)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             heads = np.sort(_distinct(piece)[0])
-            some, at = _by_part(heads, bits)
+            some, cuts = _by_part(heads, bits)
             low = (heads >> drop).astype(np.uint32)
-            blobs = [low[at[p] : at[p + 1]].tobytes() for p in some.tolist()]
+            blobs = [low[i:j].tobytes() for i, j in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def count(table: pa.Table) -> pa.Table:
@@ -229,18 +282,15 @@ def heavy(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         least = row["class"]
     rows = found.where(F.col("class") >= least).toArrow().sort_by("head")  # HEAVY_MAX rows at most
-    return rows.column("head").to_numpy().astype(np.int64).view(np.uint64), rows.column("class").to_numpy().astype(np.uint64)
+    return rows.column("head").to_numpy().astype(np.int64).view(np.uint64), rows.column("class").to_numpy().astype(np.uint64), drop
 
 
-def regions(documents: DataFrame) -> DataFrame:
-    """Step 2: region, node, n of the members of each region of two nodes or more; written."""
+def regions(documents: DataFrame, frequent, bits: int) -> DataFrame:
+    """Step 2: region, node, n, q (shingles from the common one on) of the members of each region of two nodes or more; written."""
     spark = documents.sparkSession
-    bits = max(8, (parts(spark) - 1).bit_length())
-    drop = np.uint64(64 - bits - 32)
-    frequent = spark.sparkContext.broadcast(heavy(documents))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, classes = frequent.value
+        heads, classes, drop = frequent.value
         for piece in pieces(batches):
             keys, owner, size, node = _distinct(piece)
             rank = keys >> np.uint64(1)
@@ -253,22 +303,23 @@ def regions(documents: DataFrame) -> DataFrame:
             keys, owner = keys[order], owner[order]
             place = np.arange(len(keys)) - np.searchsorted(owner, owner)
             mine = place < (size - (PERCENT * size + 99) // 100 + 1)[owner]
-            keys, owner = keys[mine], owner[mine]
+            keys, owner, left = keys[mine], owner[mine], (size[owner] - place)[mine].astype(np.uint32)
             order = np.argsort(keys)
-            keys, owner = keys[order], owner[order]
-            some, at = _by_part(keys, bits)
+            keys, owner, left = keys[order], owner[order], left[order]
+            some, cuts = _by_part(keys, bits)
             low, ids, ns = (keys >> drop).astype(np.uint32), node[owner], size[owner].astype(np.uint32)
-            cut = lambda x: pa.array([x[at[p] : at[p + 1]].tobytes() for p in some.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), cut(low), cut(ids), cut(ns)], ["part", "low", "nodes", "sizes"])
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), cut(low), cut(ids), cut(ns), cut(left)], ["part", "low", "nodes", "sizes", "left"])
 
     def meet(table: pa.Table) -> pa.Table:
         tidy()
-        low, ids, ns = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("low", np.uint32), ("nodes", np.int64), ("sizes", np.uint32)))
+        kinds = (("low", np.uint32), ("nodes", np.int64), ("sizes", np.uint32), ("left", np.uint32))
+        low, ids, ns, left = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in kinds)
         order = np.argsort(low, kind="stable")
         same = np.zeros(len(low) + 1, bool)
         same[1:-1] = low[order][1:] == low[order][:-1]
         order = order[same[1:] | same[:-1]]
-        order = order[np.lexsort((ids[order], low[order]))]
+        order = order[np.lexsort((-left[order].astype(np.int64), ids[order], low[order]))]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (low[order][1:] != low[order][:-1]) | (ids[order][1:] != ids[order][:-1])
         order = order[fresh]
@@ -276,63 +327,65 @@ def regions(documents: DataFrame) -> DataFrame:
         same = np.zeros(len(order) + 1, bool)
         same[1:-1] = region[1:] == region[:-1]
         many = same[1:] | same[:-1]
-        region, nodes, n = region[many], ids[order][many], ns[order][many].astype(np.int64)
+        region, nodes, n, left = region[many], ids[order][many], ns[order][many].astype(np.int64), left[order][many].astype(np.int64)
         if len(region):  # regions of the same members have the same name, and so become one
             start = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
             region = np.repeat(H.mix(np.add.reduceat(H.mix(nodes.view(np.uint64) + H.BASE), start)), np.diff(start, append=len(region)))
-        return pa.table({"region": region.view(np.int64), "node": nodes, "n": n})
+        return pa.table({"region": region.view(np.int64), "node": nodes, "n": n, "q": left})
 
-    blobs = _texts(documents).mapInArrow(emit, "part int, low binary, nodes binary, sizes binary")
-    out = written(blobs.groupBy("part").applyInArrow(meet, "region long, node long, n long").dropDuplicates(["region", "node"]), "regions")
+    blobs = _texts(documents).mapInArrow(emit, "part int, low binary, nodes binary, sizes binary, left binary")
+    met = blobs.groupBy("part").applyInArrow(meet, "region long, node long, n long, q long")
+    out = written(met.groupBy("region", "node").agg(F.first("n").alias("n"), F.max("q").alias("q")), "regions")
     release(spark)
     return out
 
 
 def _mixed(members: DataFrame, merged: DataFrame) -> DataFrame:
-    """members with root, the component, of the regions where several components meet."""
+    """members with root, the component, and size of their region, of the regions where several components can meet; written."""
     owned = members.join(merged, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = owned.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("region")
-    return owned.join(mixed, "region", "left_semi")
+    kinds = owned.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"), F.min("node").alias("pivot"), F.min("above").alias("above"), F.bool_or(~F.col("deep")).alias("any"))
+    return written(owned.drop("above").join(kinds.where("r0 <> r1 and any").select("region", "size", "pivot", "above"), "region"), "mixed-regions")
+
+
+def _possible() -> F.Column:
+    """Whether members x and y of a small region may link, by all that is known of them without their sets."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    sizes = (x("root") < y("root")) & _close("x.n", "y.n") & (F.abs(x("d") - y("d")) * S <= (x("n") + y("n")) * T)
+    rest = F.least(x("q"), y("q")) * (2 * S) >= x("e") + y("e")
+    return sizes & rest & (~x("deep") | y("inside")) & (~y("deep") | x("inside")) & _alike("x", "y")
 
 
 def links(documents: DataFrame, sketch: DataFrame) -> DataFrame:
     """node, root: the component of every node that has a link and isn't the root itself."""
-    cells = distances(documents, sketch, meetings(sketch)).where(LINKED)
-    merged = components(cells)
-    nearest = cells.groupBy(F.col("b").alias("node")).agg(F.max_by(F.struct(F.col("a").alias("pivot"), "shared", "either"), F.struct(F.col("shared") / F.col("either"), -F.col("a"))).alias("m")).select("node", "m.*")
-
+    bits = _bits(sketch)
+    frequent = documents.sparkSession.sparkContext.broadcast(heavy(documents, bits))
+    merged = components(distances(documents, sketch, meetings(sketch)).where(LINKED).select("a", "b"))
     nodes = sketch.where("node is not null").groupBy("node").agg(F.first("signs").alias("signs"))
-    members = _mixed(regions(documents), merged)
-    members = written(members.join(nodes, "node").join(nearest, "node", "left").select("region", "node", "n", "signs", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("shared", F.lit(1)).alias("shared"), F.coalesce("either", F.lit(1)).alias("either")), "mixed-regions")
-    proven = cells.select("a", "b")
-    for pick in (F.min, F.max):  # each region's members against one of them, then what is left against another one
-        own = _mixed(members, merged)
-        centre = own.groupBy("region").agg(pick(F.struct("root", "node", "n", "signs")).alias("c")).select("region", "c.*")
-        x, y = centre.alias("x"), own.alias("y")
-        star = (F.col("x.region") == F.col("y.region")) & (F.col("x.root") != F.col("y.root")) & _close("x.n", "y.n") & _alike("x", "y")
-        pairs = x.join(y, star).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        proven = proven.unionAll(distances(documents, sketch, pairs).where(LINKED).select("a", "b"))
-        merged = components(proven)
-    owned = written(_mixed(members, merged), "mixed-members")
-    x, y = owned.alias("x"), owned.alias("y")
-    apart = (F.col("x.region") == F.col("y.region")) & (F.col("x.root") < F.col("y.root")) & _close("x.n", "y.n") & _alike("x", "y")
-    near = lambda s: F.struct(F.col(f"{s}.pivot").alias("pivot"), (1 - F.col(f"{s}.shared") / F.col(f"{s}.either")).alias("d"))
-    pairs = written(x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), near("x").alias("pa"), near("y").alias("pb")).distinct(), "meeting-pairs")
-
-    # Step 3: y against the pivot of x's cell, and the other way round; then the windows.
-    far = pairs.select(F.col("pa.pivot").alias("a"), "b").unionAll(pairs.select("a", F.col("pb.pivot").alias("b"))).where("a <> b")
-    known = distances(documents, sketch, far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    d = known.select("a", "b", (1 - F.col("shared") / F.col("either")).alias("d"))
-    to_a = d.select(F.col("a").alias("k0"), F.col("b").alias("k1"), F.col("d").alias("d0"))
-    to_b = d.select(F.col("a").alias("k2"), F.col("b").alias("k3"), F.col("d").alias("d1"))
-    keyed = pairs.select("*", F.least("pa.pivot", "b").alias("k0"), F.greatest("pa.pivot", "b").alias("k1"), F.least("a", "pb.pivot").alias("k2"), F.greatest("a", "pb.pivot").alias("k3"))
-    slack = 1 - PERCENT / 100 + 1e-9
-    inside = (F.coalesce("d0", F.lit(0)) - F.col("pa.d") <= slack) & (F.coalesce("d1", F.lit(0)) - F.col("pb.d") <= slack)
-    boundary = keyed.join(to_a, ["k0", "k1"], "left").join(to_b, ["k2", "k3"], "left").where(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # Step 4: pairs of two pivots have been measured already.
-    found = distances(documents, sketch, boundary.join(known, ["a", "b"], "left_anti"))
-    return components(proven.unionAll(known.where(LINKED).select("a", "b")).unionAll(found.where(LINKED).select("a", "b")))
+    no, none = F.lit(False), F.lit(None).cast("long")
+    level = 0
+    members = regions(documents, frequent, bits).select("*", F.col("n").alias("d"), (F.col("n") * (S - T)).alias("e"), no.alias("inside"), no.alias("deep"), F.lit(1 << 62).alias("above"))
+    while True:  # log2 of the nodes times at most
+        mixed = _mixed(members, merged)
+        large = (F.col("size") > SMALL) & (F.col("size") * 2 <= F.col("above"))
+        signed = mixed.where(~large).join(nodes, "node")
+        x, y = signed.alias("x"), signed.alias("y")
+        near = x.join(y, (F.col("x.region") == F.col("y.region")) & _possible()).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        # Later regions have cells of their own: those of one pivot would be as large again as the cell that they came from.
+        cell = (F.col("region") if level else F.xxhash64("pivot")).alias("cell")
+        cells = mixed.where(large & (F.col("pivot") != F.col("node"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"), cell).distinct()
+        cells = cells.join(cells.groupBy("cell").agg(F.count("*").alias("peers")), "cell").select("a", "b", "cell", "peers")
+        level += 1
+        found = distances(documents, sketch, near.select("a", "b", none.alias("cell"), none.alias("peers")).unionAll(cells), frequent)
+        merged = extended(merged, found.where(LINKED).select("a", "b"))
+        shifted = found.where("cell is not null")
+        if shifted.isEmpty():
+            break
+        e = (F.col("d") * S - F.col("n") * T).alias("e")
+        inside = (F.col("d") * S <= (F.col("n") + F.col("centre")) * T).alias("inside")
+        members = shifted.select(F.col("b").alias("node"), "n", "d", e, inside, "peers", "shallow", F.posexplode("regions").alias("pos", "region"))
+        members = members.select("region", "node", "n", (F.col("d") - F.col("pos")).alias("q"), "d", "e", "inside", (F.col("pos") >= F.col("shallow")).alias("deep"), F.col("peers").alias("above"))
+    frequent.unpersist()
+    return merged
 
 
 def linked(documents: DataFrame) -> DataFrame:

@@ -156,6 +156,21 @@ def test_near_copies_that_few_pivots_reach(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.linked(df).collect()} == {i: want[i][1] for i in range(150)}
 
 
+@pytest.mark.parametrize("small", [3, 40])
+def test_large_group_just_under_the_threshold(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    rnd = random.Random(9)
+    base, texts = [f"w{i}" for i in range(60)], []
+    for i in range(90):  # most differ from one another by a little too much, and what they come from is not there
+        ws = list(base)
+        for k in rnd.sample(range(60), rnd.choice([1, 2, 2, 3])):
+            ws[k] = f"e{rnd.randint(0, rnd.choice([2, 10**6]))}"
+        texts.append((i, " ".join(ws[: rnd.choice([60, 60, 55])])))
+    want = brute_components([{"doc_id": i, "text": t} for i, t in texts])
+    got = jaccard_join.linked(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: want[i][1] for i in range(90)} and len({r["component_id"] for r in got}) > 20
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
