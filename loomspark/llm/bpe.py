@@ -29,12 +29,14 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ._runtime import pieces, ship
 
-#: Distinct words that a worker remembers, about 300 bytes each; beyond it, it starts over.
-MEMORY = 700_000
+#: Bytes of words, ids and tokens that a worker remembers, about; beyond it, it starts over. ENTRY is what an entry takes beside its characters.
+MEMORY, ENTRY = 128 << 20, 400
+#: Bytes of text that are encoded at once; a longer text makes a piece of its own.
+PIECE = 1 << 20
 NEVER = np.int64(1 << 62)
 #: White space for Python but not for the tokenizer's patterns.
 ODD = re.compile(r"[\x1c-\x1f]")
-PIECE = re.compile(r"[^\S\x1c-\x1f]+")
+SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
 
 class Model:
@@ -200,6 +202,7 @@ class Encoder:
         self.mark = min(model.added, key=len)[:2] if model.added else None
         self.known: dict[str, tuple[int, str, str]] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.bytes = 0
 
     def _words(self, piece: str) -> list[str | int]:
         """Words in byte-level symbols; added tokens as their ids."""
@@ -225,11 +228,14 @@ class Encoder:
         """Enter pieces; the ones of several words, which are quick to put together again, are returned to be forgotten."""
         split = list(map(self._words, new))
         words = [w for w in {w for ws in split for w in ws} if isinstance(w, str) and w not in self.words]
-        self.words.update(zip(words, map(self._entry, self.model.encode(words)), strict=True))
+        entries = list(map(self._entry, self.model.encode(words)))
+        self.words.update(zip(words, entries, strict=True))
+        self.bytes += len(words) * ENTRY + sum(map(len, words)) + sum(len(x[1]) + len(x[2]) for x in entries)
         found, passing = self.words, []
         for piece, ws in zip(new, split, strict=True):
             if len(ws) == 1 and isinstance(ws[0], str):
                 self.known[piece] = found[ws[0]]
+                self.bytes += ENTRY // 4 + len(piece)
             else:
                 own = [x for x in (found[w] if isinstance(w, str) else self._entry([w]) for w in ws) if x[0]]
                 self.known[piece] = sum(x[0] for x in own), " ".join(x[1] for x in own), " ".join(x[2] for x in own)
@@ -238,9 +244,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Of each text the number of ids, the ids and their tokens, both joined by spaces."""
-        if len(self.words) > MEMORY:
-            self.known, self.words = {}, {}
-        split = [(list(filter(None, PIECE.split(t))) if ODD.search(t) else t.split()) if t else [] for t in texts]
+        if self.bytes > MEMORY:
+            self.known, self.words, self.bytes = {}, {}, 0
+        split = [(list(filter(None, SPACE.split(t))) if ODD.search(t) else t.split()) if t else [] for t in texts]
         new = [x for x in set().union(*split) if x not in self.known]
         passing = self._learn(new) if new else []
         known = self.known.__getitem__
@@ -264,40 +270,65 @@ def _encoder(model: Model) -> Encoder:
     return _ENCODERS[model.path]
 
 
-def _run(documents: DataFrame, path: str, schema: str, columns: Callable) -> DataFrame:
+def _run(documents: DataFrame, path: str, keep: list[str], schema: str, columns: Callable) -> DataFrame:
+    """The columns to keep, and those of schema that columns(encoded texts) makes; nothing else leaves the worker."""
     spark = documents.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(Model(path))  # a vocabulary's tables: a few MB at any input size
-    keep = documents.schema.names
+    at = documents.schema.names.index("text")
+    kept = [documents.schema.names.index(c) for c in keep]
     names = keep + [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=4 << 20):
-            more = columns(_encoder(model.value).encode(piece.column(keep.index("text")).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*piece.columns, *more], names)
+        for piece in pieces(batches, limit=PIECE):
+            more = columns(_encoder(model.value).encode(piece.column(at).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in kept), *more], names)
 
-    types = StructType([*documents.schema.fields, *_parse_datatype_string(schema).fields])
+    types = StructType([*(documents.schema.fields[k] for k in kept), *_parse_datatype_string(schema).fields])
     return documents.mapInArrow(run, types)
 
 
+def _sha(x: str) -> str:
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def _lists(n: list[int], ids: list[str]) -> pa.Array:
+    """Ids as lists of 32-bit numbers, without a Python number for each."""
+    flat = np.fromstring(" ".join(filter(None, ids)), np.int32, sep=" ") if any(n) else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _own(documents: DataFrame) -> DataFrame:
+    return documents.drop("token_ids", "decoded", "n_tokens", "decoded_sha256").withColumn("text", F.col("text").cast("string"))
+
+
 def encode(documents: DataFrame, path: str) -> DataFrame:
-    """documents with token_ids array<int> and decoded string; columns of these names are replaced."""
+    """documents with token_ids array<int> and decoded string; columns of these names are replaced (so are n_tokens and decoded_sha256)."""
+
+    def columns(texts):
+        n, ids, decoded = map(list, zip(*texts, strict=True))
+        return [_lists(n, ids), pa.array(decoded, pa.string())]
+
+    own = _own(documents)
+    return _run(own, path, own.columns, "token_ids array<int>, decoded string", columns)
+
+
+def token_rows(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids and decoded_sha256 of each row: texts stay where they were read."""
 
     def columns(texts):
-        _, ids, decoded = zip(*texts, strict=True)
-        return [pa.array([list(map(int, x.split())) for x in ids], pa.list_(pa.int32())), pa.array(decoded)]
+        n, ids, decoded = map(list, zip(*((n, ids, _sha(decoded)) for n, ids, decoded in texts), strict=True))
+        return [pa.array(n, pa.int64()), _lists(n, ids), pa.array(decoded)]
 
-    own = documents.drop("token_ids", "decoded").withColumn("text", F.col("text").cast("string"))
-    return _run(own, path, "token_ids array<int>, decoded string", columns)
+    return _run(_own(documents).select("doc_id", "text"), path, ["doc_id"], "n_tokens long, token_ids array<int>, decoded_sha256 string", columns)
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, of the same ids and texts as encode's."""
 
     def columns(texts):
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        n, ids, decoded = zip(*((n, sha(ids), sha(decoded)) for n, ids, decoded in texts), strict=True)
+        n, ids, decoded = zip(*((n, _sha(ids), _sha(decoded)) for n, ids, decoded in texts), strict=True)
         return [pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)]
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _run(own, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns).drop("text")
+    return _run(own, path, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
