@@ -92,10 +92,11 @@ def field_score(x: Column | str, key: str, default: int = 3) -> Column:
 
 
 def choice(x: Column | str, valid: Column) -> Column:
-    """A choice letter: one that stands alone, else JSON's basis, else "basis: L"; null if not among valid."""
-    alone = F.nullif(F.regexp_extract(_c(x), r"^\s*([A-Z])\b", 1), F.lit(""))
-    basis = F.get_json_object(json_body(x), "$.basis")
-    loose = F.nullif(F.regexp_extract(_c(x), r"basis\s*[:=]\s*([A-Z])", 1), F.lit(""))
+    """A choice letter: the first capital that is a word of its own, anywhere; else JSON's basis; else "basis: L" in any
+    case and with or without quotes. Each counts only if it is among valid; null if none is."""
+    alone = F.nullif(F.regexp_extract(_c(x), r"(?U)\b([A-Z])\b", 1), F.lit(""))
+    basis = F.upper(strip(F.get_json_object(json_body(x), "$.basis")))
+    loose = F.upper(F.nullif(F.regexp_extract(_c(x), r'(?i)"?basis"?\s*[:=]\s*"?([A-Z])"?', 1), F.lit("")))
     ok = lambda c: F.when(F.array_contains(valid, c), c)
     return F.coalesce(ok(alone), ok(basis), ok(loose))
 

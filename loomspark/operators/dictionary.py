@@ -27,7 +27,7 @@ def reverse(entries: DataFrame, column: str, separators: str) -> DataFrame:
 
 
 def spans(texts: DataFrame, keys: DataFrame, words: str = "words", longest: int = LONGEST) -> DataFrame:
-    """texts' id, start, n of every run of 1..longest words that is a key (joined by blanks): one equi-join, no scan of the dictionary."""
+    """texts' id, start, n of every run of 1..longest words that is a key (joined by blanks): one equi-join, no scan of the dictionary. Texts without words have none."""
     runs = texts.where(F.size(words) > 0).select("id", F.explode(F.expr(f"flatten(transform(sequence(1, size({words})), i -> transform(sequence(1, least({longest}, size({words}) - i + 1)), n -> struct(i AS start, n AS n, array_join(slice({words}, i, n), ' ') AS key))))")).alias("r"))
     known = keys.select("key").distinct()
     few = known.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
@@ -35,10 +35,11 @@ def spans(texts: DataFrame, keys: DataFrame, words: str = "words", longest: int
 
 
 def forward_matches(texts: DataFrame, keys: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """id, segments: greedy longest matches from left to right; a word that starts none is a segment of its own, known = false."""
+    """id, segments: greedy longest matches from left to right; a word that starts none is a segment of its own, known = false.
+    Every text has a row; without words (or with null for them) its segments are empty."""
     best = spans(texts, keys, longest=longest).groupBy("id", "start").agg(F.max("n").alias("n"))
     table = best.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("start", "n"))).alias("m"))
-    joined = texts.where(F.size("words") > 0).join(table, "id", "left")
+    joined = texts.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))).join(table, "id", "left")
     step = """aggregate(words, named_struct('next', 1, 'at', 1, 'out', cast(array() AS array<struct<segment:string,known:boolean>>)), (acc, w) ->
       named_struct('next', CASE WHEN acc.at = acc.next THEN acc.at + coalesce(m[acc.at], 1) ELSE acc.next END, 'at', acc.at + 1, 'out', CASE WHEN acc.at = acc.next
         THEN array_append(acc.out, named_struct('segment', array_join(slice(words, acc.at, coalesce(m[acc.at], 1)), ' '), 'known', m[acc.at] IS NOT NULL)) ELSE acc.out END), acc -> acc.out)"""
@@ -78,15 +79,66 @@ def inverted(ids: DataFrame) -> DataFrame:
     return ids.groupBy("char").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def surrogates(ids: DataFrame, start: int = 0xF0000, last: int = 0xFFFFD) -> DataFrame:
-    """id, rank, codepoint in the order of ids; null codepoint beyond the private range. Ranks come in two steps, so that no
+def surrogates(ids: DataFrame, start: int = 0xF0000, last: int = 0xFFFFD, strict: bool = False) -> DataFrame:
+    """id, rank, codepoint in the order of ids; beyond the private range a null codepoint or, if strict, an error. Ranks come in two steps, so that no
     task sorts all ids: counts by the id's head, then ranks within it."""
     heads = ids.select("id", F.substring("id", 1, 3).alias("head")).distinct()
     before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
     counts = heads.groupBy("head").agg(F.count("*").alias("n")).select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = heads.withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy("id"))).join(counts, "head")
     rank = F.col("base") + F.col("r") - 1
-    return ranked.select("id", rank.alias("rank"), F.when(rank + start <= last, rank + start).alias("codepoint"))
+    beyond = F.raise_error(F.lit("more ids than private code points")).cast("long") if strict else F.lit(None).cast("long")
+    return ranked.select("id", rank.alias("rank"), F.when(rank + start <= last, rank + start).otherwise(beyond).alias("codepoint"))
+
+
+def character(codepoint: Column | str) -> Column:
+    """The character of a code point of any plane."""
+    return F.decode(F.unhex(F.lpad(F.hex(codepoint), 8, "0")), "UTF-32")
+
+
+def encoded(sequences: DataFrame, table: DataFrame, unknown: str = "[UNK]", strict: bool = False) -> DataFrame:
+    """id, encoded of sequences (id, parts: ids): the characters of table (id, codepoint), without anything between them; an id that it
+    lacks is unknown or, if strict, an error. An empty sequence is an empty text."""
+    known = table.where("codepoint is not null").select(F.col("id").alias("part"), character("codepoint").alias("c"))
+    rows = sequences.select("id", F.posexplode_outer("parts").alias("pos", "part")).join(known, "part", "left")
+    missing = F.raise_error(F.concat(F.lit("unknown id: "), "part")) if strict else F.lit(unknown)
+    c = F.when(F.col("part").isNull(), "").when(F.col("c").isNull(), missing).otherwise(F.col("c"))
+    return rows.groupBy("id").agg(in_order("pos", c, "").alias("encoded"))
+
+
+def decoded(texts: DataFrame, table: DataFrame, unknown: str = "[UNK]") -> DataFrame:
+    """id, parts of texts (id, encoded): the id of each character; the unknown mark and characters outside table are unknown."""
+    known = table.where("codepoint is not null").select(character("codepoint").alias("c"), F.col("id").alias("part"))
+    symbols = F.regexp_extract_all("encoded", F.lit(rf"(?s)(\Q{unknown}\E|.)"), F.lit(1))
+    rows = texts.select("id", F.posexplode_outer(symbols).alias("pos", "c")).join(known, "c", "left")
+    part = F.when(F.col("c").isNotNull(), F.coalesce("part", F.lit(unknown)))
+    return rows.groupBy("id").agg(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("x")))), lambda s: s["x"]), lambda x: x.isNotNull()).alias("parts"))
+
+
+def in_order(pos: str, value: Column, separator: str = " ") -> Column:
+    """Aggregate: values joined in the order of pos."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), value.alias("x")))), lambda s: s["x"]), separator)
+
+
+def from_maps(meanings: DataFrame, readings: DataFrame) -> DataFrame:
+    """Entries (row_idx, key, cn, en) of surrogate ids: characters' meanings (key, cn) with their readings (key, en) beside; the key's own
+    order, empty where a map lacks the key."""
+    both = meanings.join(readings, "key", "full")
+    return both.select(F.xxhash64("key").alias("row_idx"), "key", F.coalesce("cn", F.lit("")).alias("cn"), F.coalesce("en", F.lit("")).alias("en"))
+
+
+def rewritten(records: DataFrame, column: str, table: DataFrame, key: str) -> DataFrame:
+    """records with column's id sequence encoded and what it was kept in <column>_ids."""
+    own = encoded(records.select(F.col(key).alias("id"), parsed(column).alias("parts")), table).select(F.col("id").alias(key), F.col("encoded").alias("__e"))
+    return records.join(own, key, "left").withColumn(f"{column}_ids", F.col(column)).withColumn(column, F.coalesce("__e", F.lit(""))).drop("__e")
+
+
+def glosses(texts: DataFrame, entries: DataFrame, longest: int = LONGEST, unknown: str = "?") -> DataFrame:
+    """id, gloss: the first meaning of each longest match, in order, of entries (key, cn); words in none are unknown."""
+    first = entries.groupBy("key").agg(F.min_by("cn", "row_idx").alias("cn"))
+    segments = forward_matches(texts, first, longest).select("id", F.posexplode_outer("segments").alias("pos", "s"))
+    rows = segments.select("id", "pos", F.col("s.segment").alias("key")).join(first, "key", "left")
+    return rows.groupBy("id").agg(in_order("pos", F.when(F.col("key").isNull(), "").otherwise(F.coalesce(F.nullif(F.col("cn"), F.lit("")), F.lit(unknown)))).alias("gloss"))
 
 
 def parsed(x: Column | str) -> Column:

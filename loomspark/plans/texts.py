@@ -10,7 +10,7 @@ from loomspark.operators import dictionary as D
 from .common import POOL_SQL, Query, pools, prefix_sql, table
 
 WRAPPED = "CASE p_partkey % 3 WHEN 0 THEN '<literal>' || p_type || '</literal> ' || p_name WHEN 1 THEN '<dict_match>' || p_type || '</dict_match> ' || p_name || chr(10) || 'x' ELSE p_name END"
-REPLY = """CASE p_partkey % 5 WHEN 0 THEN '```json' || chr(10) || '{"title": "' || p_name || '", "basis": "B", "fluency": ' || p_size || '}' || chr(10) || '```' WHEN 1 THEN 'Answer: "' || p_name || '"' WHEN 2 THEN chr(10) || p_name || chr(10) || 'note' WHEN 3 THEN '《' || p_name || '》 fluency: 4' ELSE 'B' END"""
+REPLY = """CASE p_partkey % 10 WHEN 5 THEN 'Answer: C, or basis: b' WHEN 6 THEN '"Basis" : "b" ' || p_name WHEN 7 THEN 'i choose B.' WHEN 8 THEN '  Title： “' || p_name || '”' WHEN 9 THEN '{"title": "", "basis": " a ", "fluency": "x"} ' ELSE CASE p_partkey % 5 WHEN 0 THEN '```json' || chr(10) || '{"title": "' || p_name || '", "basis": "B", "fluency": ' || p_size || '}' || chr(10) || '```' WHEN 1 THEN 'Answer: "' || p_name || '"' WHEN 2 THEN chr(10) || p_name || chr(10) || 'note' WHEN 3 THEN '《' || p_name || '》 fluency: 4' ELSE 'B' END END"""
 ENTRY = {"row_idx": "p_partkey", "key": "p_name", "cn": "p_type || '，' || p_brand", "en": "p_name || '. ' || p_type || ' 12'"}
 _ENTRIES_SQL = "e AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in ENTRY.items()) + " FROM part)"
 
@@ -179,14 +179,38 @@ def surrogate_assign(spark, d):
 
 
 def id_encode_decode(spark, d):
-    """Sequences of ids to code points by the surrogate table and back; unknown ids are [UNK]."""
+    """Sequences of ids to characters by the surrogate table, and back from these texts; unknown ids are [UNK]."""
     ids = surrogate_assign(spark, d).where("rank % 7 <> 0")
-    o = table(spark, d, "orders").select("o_orderkey", F.concat_ws(" ;", D.canonical(F.col("o_custkey").cast("string")), F.lit("99999"), F.lit("00003")).alias("seq"))
-    rows = o.select("o_orderkey", F.posexplode(D.parsed("seq")).alias("pos", "id")).join(ids, "id", "left")
-    code = F.coalesce(F.hex("codepoint"), F.lit("[UNK]"))
-    back = F.coalesce(F.when(F.col("codepoint").isNotNull(), F.col("id")), F.lit("[UNK]"))
-    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("x")))), lambda s: s["x"]), " ")
-    return rows.groupBy("o_orderkey").agg(in_order(code).alias("encoded"), in_order(back).alias("decoded"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ;", D.canonical(F.col("o_custkey").cast("string")), F.lit("99999"), F.lit("00003")).alias("seq"))
+    texts = D.encoded(o.select("id", D.parsed("seq").alias("parts")), ids)
+    back = D.decoded(texts, ids).select("id", F.array_join("parts", " ").alias("decoded"))
+    return texts.join(back, "id").select(F.col("id").alias("o_orderkey"), "encoded", "decoded")
+
+
+def id_decode_noise(spark, d):
+    """Texts with marks, plain letters and half marks between surrogates, decoded."""
+    ids = surrogate_assign(spark, d).where("rank < 40")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("a[UNK]"), D.character(F.lit(983040) + F.col("s_suppkey") % 60), F.lit("[UN"), D.character(F.lit(983041))).alias("encoded"))
+    return D.decoded(s, ids).select(F.col("id").alias("s_suppkey"), F.array_join("parts", "|").alias("parts"))
+
+
+def id_rewrite(spark, d):
+    """Records whose id sequence is rewritten, what it was beside it."""
+    r = table(spark, d, "orders").select("o_orderkey", F.concat_ws(",", D.canonical(F.col("o_custkey").cast("string")), F.lit("99999")).alias("input"), F.col("o_orderpriority").alias("output"))
+    return D.rewritten(r, "input", surrogate_assign(spark, d), "o_orderkey")
+
+
+def dict_from_maps(spark, d):
+    p = table(spark, d, "part")
+    cn = p.groupBy(F.col("p_name").alias("key")).agg(F.min("p_type").alias("cn")).where("length(key) % 3 <> 0")
+    en = p.groupBy(F.col("p_name").alias("key")).agg(F.min("p_brand").alias("en")).where("length(key) % 2 = 0")
+    return D.from_maps(cn, en).select("key", "cn", "en")
+
+
+def gloss_string(spark, d):
+    e = table(spark, d, "part").select(F.col("p_partkey").alias("row_idx"), F.col("p_name").alias("key"), "p_brand")
+    both = e.select("row_idx", "key", F.col("p_brand").alias("cn")).unionAll(e.select("row_idx", F.split("key", " ")[0], F.lower("p_brand")))
+    return D.glosses(_titles(spark, d), both)
 
 
 def asset_summary(spark, d):
@@ -198,7 +222,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         length_filter, title_clean, reply_normal, mark_strip, affixes, seq_ratio, sft_format, gloss_block, constraint_phrases, chart_normal, dict_forward, dict_reverse, dict_stats, mfm_segments,
-        lexical_coverage, coverage_summary, substring_gloss, char_map, reward_dict, dict_search, dict_contains, shortest_key, transliterate, id_canonical, id_invert, surrogate_assign, id_encode_decode, asset_summary,
+        lexical_coverage, coverage_summary, substring_gloss, char_map, reward_dict, dict_search, dict_contains, shortest_key, transliterate, id_canonical, id_invert, surrogate_assign, id_encode_decode, id_decode_noise, id_rewrite, dict_from_maps, gloss_string, asset_summary,
     )
 }
 
@@ -226,8 +250,14 @@ ORACLES: dict[str, str] = {
       w AS (SELECT *, CASE WHEN instr(b, '丁') >= 3 THEN string_split(b, '丁')[1] WHEN instr(b, '八') >= 3 THEN string_split(b, '八')[1] ELSE b END AS c FROM y)
       SELECT p_partkey, {_TAGS} AS clean, CASE WHEN regexp_matches(x, '(?s)<literal>(.*?)</literal>') THEN {_STRIP.format(x="regexp_extract(x, '(?s)<literal>(.*?)</literal>', 1)")} ELSE {_TAGS} END AS literal,
       CASE WHEN instr(x, '</literal> ') > 0 THEN substr(x, instr(x, '</literal> ') + 11) ELSE x END AS target, substr(x, instr(x, chr(10)) + 1) AS rest, regexp_replace(c, '^[ ，,;；:：]+|[ ，,;；:：]+$', '', 'g') AS short FROM w""",
-    "reply_normal": f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN '《' || p_name || '》 fluency: 4' WHEN 4 THEN 'B' ELSE p_name END AS answer, CASE p_partkey % 5 WHEN 0 THEN '{{"title": "' || p_name || '", "basis": "B", "fluency": ' || p_size || '}}' END AS body,
-      CASE p_partkey % 5 WHEN 0 THEN greatest(1, least(5, p_size)) WHEN 3 THEN 4 ELSE 3 END AS fluency, CASE p_partkey % 5 WHEN 0 THEN 'B' WHEN 4 THEN 'B' END AS choice FROM part""",
+    "reply_normal": rf"""WITH x AS (SELECT p_partkey, {REPLY} AS x FROM part), u AS (SELECT *, {_STRIP.format(x="regexp_replace(" + _STRIP.format(x="x") + r", '(?s)^```[A-Za-z]*\s*|\s*```$', '', 'g')")} AS u FROM x),
+      b AS (SELECT *, nullif(regexp_extract(u, '(?s)(\{{.*\}})', 1), '') AS body FROM u), j AS (SELECT *, CASE WHEN json_valid(body) THEN body::JSON END AS js FROM b),
+      l AS (SELECT *, coalesce(nullif(js->>'$.final_title', ''), nullif(js->>'$.title', ''), nullif(js->>'$.answer', ''), list_filter(list_transform(string_split(u, chr(10)), lambda s: {_STRIP.format(x="s")}), lambda s: s <> '')[1], '') AS line FROM j),
+      q AS (SELECT *, regexp_replace({_STRIP.format(x="regexp_replace(line, '^(?:Answer|Title|Translation)" + r"\s*[:：]\s*', '')")}, '^["''“”]+|["''“”]+$', '', 'g') AS bare,
+        nullif(regexp_extract(x, '\b([A-Z])\b', 1), '') AS alone, upper({_STRIP.format(x="js->>'$.basis'")}) AS basis, upper(nullif(regexp_extract(x, '(?i)"?basis"?\s*[:=]\s*"?([A-Z])"?', 1), '')) AS loose,
+        coalesce(try_cast(coalesce(js->>'$.fluency', nullif(regexp_extract(x, '"?fluency"?\s*[:=]\s*([1-5])', 1), '')) AS INT), 3) AS f FROM l)
+      SELECT p_partkey, regexp_replace(bare, '^《([^》]*)》$', '\1') AS answer, body, greatest(1, least(5, f)) AS fluency,
+      CASE WHEN alone IN ('A', 'B') THEN alone WHEN basis IN ('A', 'B') THEN basis WHEN loose IN ('A', 'B') THEN loose END AS choice FROM q""",
     "mark_strip": r"""WITH p AS (SELECT *, p_name || ' (' || p_type || ') [a] ' || p_brand || '!' AS x FROM part)
       SELECT p_partkey, regexp_replace(regexp_replace(x, '\([^)]*\)|\[[^\]]*\]', '', 'g'), '[^\w\s]', '', 'g') AS bare, trim(regexp_replace(regexp_replace(regexp_replace(x, '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain,
       regexp_replace(p_brand, '[^0-9]', '', 'g') AS digits, translate(p_name, 'ae', '43') AS mapped FROM p""",
@@ -252,7 +282,13 @@ ORACLES: dict[str, str] = {
     "id_canonical": f"SELECT o_orderkey, {_PAD('o_orderkey')} AS id FROM orders",
     "id_invert": f"WITH i AS (SELECT DISTINCT o_orderpriority AS char, {_PAD('o_custkey')} AS id FROM orders) SELECT char, count(*)::INT AS n, md5(string_agg(id, ',' ORDER BY id)) AS ids_md5 FROM i GROUP BY 1",
     "surrogate_assign": f"WITH {_RANKS} SELECT * FROM sur",
-    "id_encode_decode": f"""WITH {_RANKS}, o AS (SELECT o_orderkey, unnest([{_PAD('o_custkey')}, '99999', '00003']) AS id, unnest([1, 2, 3]) AS pos FROM orders), j AS (SELECT o.*, codepoint FROM o LEFT JOIN (SELECT * FROM sur WHERE rank % 7 <> 0) s USING (id))
-      SELECT o_orderkey, string_agg(coalesce(upper(printf('%x', codepoint)), '[UNK]'), ' ' ORDER BY pos) AS encoded, string_agg(CASE WHEN codepoint IS NOT NULL THEN id ELSE '[UNK]' END, ' ' ORDER BY pos) AS decoded FROM j GROUP BY 1""",
+    "id_encode_decode": f"""WITH {_RANKS}, o AS (SELECT o_orderkey, unnest([{_PAD('o_custkey')}, '99999', '00003']) AS id, unnest([1, 2, 3]) AS pos FROM orders), s AS (SELECT * FROM sur WHERE rank % 7 <> 0), j AS (SELECT o.*, codepoint FROM o LEFT JOIN s USING (id)),
+      e AS (SELECT o_orderkey, string_agg(coalesce(chr(codepoint::INT), '[UNK]'), '' ORDER BY pos) AS encoded FROM j GROUP BY 1), c AS (SELECT o_orderkey, pos, regexp_extract_all(encoded, '\\[UNK\\]|.')[pos] AS c FROM e, unnest(range(1, 4)) AS t(pos))
+      SELECT o_orderkey, any_value(encoded) AS encoded, string_agg(coalesce(id, '[UNK]'), ' ' ORDER BY pos) AS decoded FROM c LEFT JOIN s ON c = chr(codepoint::INT) JOIN e USING (o_orderkey) GROUP BY 1""",
+    "id_decode_noise": f"""WITH {_RANKS}, s AS (SELECT * FROM sur WHERE rank < 40), t AS (SELECT s_suppkey, unnest(['[UNK]', '[UNK]', chr((983040 + s_suppkey % 60)::INT), '[', 'U', 'N', chr(983041)]) AS c, unnest(range(7)) AS pos FROM supplier)
+      SELECT s_suppkey, string_agg(coalesce(id, '[UNK]'), '|' ORDER BY pos) AS parts FROM t LEFT JOIN s ON c = chr(codepoint::INT) GROUP BY 1""",
+    "id_rewrite": f"WITH {_RANKS} SELECT o_orderkey, chr(codepoint::INT) || '[UNK]' AS input, o_orderpriority AS output, id || ',99999' AS input_ids FROM orders JOIN sur ON id = {_PAD('o_custkey')}",
+    "dict_from_maps": "WITH k AS (SELECT p_name AS key, min(p_type) AS cn, min(p_brand) AS en FROM part GROUP BY 1) SELECT key, CASE WHEN length(key) % 3 <> 0 THEN cn ELSE '' END AS cn, CASE WHEN length(key) % 2 = 0 THEN en ELSE '' END AS en FROM k WHERE length(key) % 3 <> 0 OR length(key) % 2 = 0",
+    "gloss_string": f"WITH RECURSIVE {_SEGS}, {_WALK}, e AS (SELECT p_partkey AS row_idx, p_name AS key, p_brand AS cn FROM part UNION ALL SELECT p_partkey, string_split(p_name, ' ')[1], lower(p_brand) FROM part), f AS (SELECT key, arg_min(cn, row_idx) AS cn FROM e GROUP BY 1) SELECT id, string_agg(coalesce(cn, '?'), ' ' ORDER BY spot) AS gloss FROM segs LEFT JOIN f ON key = segment GROUP BY 1",
     "asset_summary": f"WITH {_RANKS} SELECT count(*) AS ids, min(id) AS first, max(id) AS last, max(codepoint) AS last_codepoint FROM sur",
 }
