@@ -7,11 +7,14 @@ Randomness is a number from md5 of a seed and a key, the same in SQL. Orders ove
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 1 << 32
+#: Fixed value: one character of the unified ideographs' first block.
+IDEOGRAPH = r"^[\x{4E00}-\x{9FFF}]$"
 
 
 def number(seed: str, *keys: Column | str) -> Column:
@@ -26,7 +29,11 @@ def ranked(df: DataFrame, key: str, seed: str, name: str = "rank", by: Sequence[
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     base = df.groupBy(*groups).agg(F.count("*").alias("__c")).select(*groups, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))  # 256 rows a group
     inner = df.withColumn("__r", F.row_number().over(Window.partitionBy(*groups).orderBy("__n", key)))
-    return inner.join(F.broadcast(base) if not by else base, groups).withColumn(name, F.col("__base") + F.col("__r") - 1).drop("__n", "__b", "__r", "__base")
+    if by:
+        same = [F.col(f"i.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
+        met = inner.alias("i").join(base.alias("b"), reduce(lambda a, b: a & b, same)).select("i.*", "b.__base")
+        return met.withColumn(name, F.col("__base") + F.col("__r") - 1).drop("__n", "__b", "__r", "__base")
+    return inner.join(F.broadcast(base), groups).withColumn(name, F.col("__base") + F.col("__r") - 1).drop("__n", "__b", "__r", "__base")
 
 
 def split(df: DataFrame, key: str, sizes: dict[str, int], rest: str = "train", seed: str = "42") -> DataFrame:
@@ -41,20 +48,34 @@ def split(df: DataFrame, key: str, sizes: dict[str, int], rest: str = "train", s
 
 
 def stratified(df: DataFrame, key: str, stratum: str, quotas: dict[str, int], seed: str = "42") -> DataFrame:
-    """df with split: each quota in turn takes rows round-robin over strata, ascending, of what is left; the rest is null."""
+    """df with split: each quota in turn takes rows round-robin over strata, ascending, of what is left; the rest is null.
+
+    A stratum is taken from its start on, so a row's split follows from its rank in the stratum and from how many rows of it each
+    quota takes. Those follow from the strata's sizes alone: no row is moved for them, and at most quota turns are looked at.
+    """
     order = ranked(df, key, seed, "__i", [stratum])
-    left, out = order, None
-    for name, quota in quotas.items():
-        r = F.row_number().over(Window.partitionBy(stratum).orderBy("__i"))
-        turn = left.withColumn("__turn", r)
-        # Whole turns by counts; only the last turn's strata are ordered.
-        sizes = turn.groupBy("__turn").agg(F.count("*").alias("__n"))
-        cum = sizes.withColumn("__to", F.sum("__n").over(Window.orderBy("__turn")))
-        placed = turn.join(cum, "__turn").withColumn("__place", F.col("__to") - F.col("__n") + F.row_number().over(Window.partitionBy("__turn").orderBy(stratum)))
-        took = placed.where(F.col("__place") <= quota).select(*df.columns, F.lit(name).alias("split"))
-        left = placed.where(F.col("__place") > quota).select(*df.columns, "__i")
-        out = took if out is None else out.unionAll(took)
-    return out.unionAll(left.select(*df.columns, F.lit(None).cast("string").alias("split")))
+    took = df.groupBy(stratum).agg(F.count("*").alias("__size")).withColumn("__0", F.lit(0).cast("long"))
+    for k, (_, quota) in enumerate(quotas.items()):
+        left = took.withColumn("__left", F.col("__size") - F.col(f"__{k}"))
+        some = left.where((F.col("__left") > 0) & (F.lit(quota) > 0))
+        turns = some.select(stratum, F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("__left", F.lit(quota))))).alias("__turn"))
+        sizes = turns.groupBy("__turn").agg(F.count("*").alias("__n"))
+        before = Window.orderBy("__turn").rowsBetween(Window.unboundedPreceding, -1)  # at most quota rows
+        base = sizes.select("__turn", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+        place = F.col("__base") + F.row_number().over(Window.partitionBy("__turn").orderBy(stratum))
+        taken = turns.join(base, "__turn").where(F.col("__base") < quota).withColumn("__place", place).where(F.col("__place") <= quota).groupBy(stratum).agg(F.count("*").alias("__t"))
+        both = took.join(taken.withColumnRenamed(stratum, "__s"), F.col(stratum).eqNullSafe(F.col("__s")), "left")
+        took = both.withColumn(f"__{k + 1}", F.col(f"__{k}") + F.coalesce("__t", F.lit(0))).drop("__s", "__t")
+    ends = took.drop("__size").withColumnRenamed(stratum, "__s")
+    split = F.lit(None).cast("string")
+    for k, name in reversed(list(enumerate(quotas))):
+        split = F.when(F.col("__i") < F.col(f"__{k + 1}"), name).otherwise(split)
+    return order.join(ends, F.col(stratum).eqNullSafe(F.col("__s"))).select(*df.columns, split.alias("split"))
+
+
+def first_valid(df: DataFrame, valid: Column, n: int, *order: str) -> DataFrame:
+    """The first n rows, in order, that are valid: each task keeps n."""
+    return df.where(F.coalesce(valid, F.lit(False))).orderBy(*order).limit(n)
 
 
 def upsampled(df: DataFrame, times: int, other: DataFrame) -> DataFrame:
@@ -62,13 +83,15 @@ def upsampled(df: DataFrame, times: int, other: DataFrame) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).unionByName(other.withColumn("copy", F.lit(0)))
 
 
-def replaced(texts: DataFrame, table: DataFrame, unknown: str | None = "[UNK]", pick: float | None = None, seed: str = "42") -> DataFrame:
+def replaced(texts: DataFrame, table: DataFrame, unknown: str | None = "[UNK]", pick: Column | float | None = None, seed: str = "42", unknown_if: str = IDEOGRAPH) -> DataFrame:
     """id, synthetic, n_replaced: words (id, words) by one of the candidates of table (word, candidates), chosen by number.
 
-    unknown: what a word outside the table becomes (None: it stays). pick: only max(1, int(k * pick)) of the k replaceable
-    ones, lowest number first; rows with fewer than two go. Words are exploded and put together again by id.
+    unknown: what a word outside the table that matches unknown_if becomes, which counts as replaced (None: it stays, as all others do).
+    pick: only max(1, int(k * pick)) of the k replaceable ones, lowest number first; rows with fewer than two go. pick may be a column
+    of texts. Words are exploded and put together again by id; a text without words stays, empty.
     """
-    rows = texts.select("id", F.posexplode("words").alias("pos", "word")).join(table, "word", "left")
+    own_pick = F.lit(1.0) if pick is None else pick if isinstance(pick, Column) else F.lit(pick)
+    rows = texts.select("id", own_pick.alias("pick"), F.posexplode_outer("words").alias("pos", "word")).join(table, "word", "left")
     n = number(seed, "id", "pos")
     choice = F.element_at("candidates", (n % F.size("candidates") + 1).cast("int"))
     rows = rows.withColumn("n", n).withColumn("hit", F.col("candidates").isNotNull())
@@ -76,9 +99,11 @@ def replaced(texts: DataFrame, table: DataFrame, unknown: str | None = "[UNK]",
         own = Window.partitionBy("id")
         rows = rows.withColumn("k", F.count_if("hit").over(own)).where("k >= 2")
         rank = F.row_number().over(own.orderBy(F.col("hit").desc(), "n", "pos"))
-        rows = rows.withColumn("hit", F.col("hit") & (rank <= F.greatest(F.lit(1), (F.col("k") * pick).cast("int"))))
-    new = F.when(F.col("hit"), choice).otherwise(F.col("word") if unknown is None else F.lit(unknown))
-    out = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", new.alias("w")))).alias("ws"), F.count_if("hit").alias("n_replaced"))
+        rows = rows.withColumn("hit", F.col("hit") & (rank <= F.greatest(F.lit(1), (F.col("k") * F.col("pick")).cast("int"))))
+    lost = F.lit(False) if unknown is None else F.coalesce(~F.col("hit") & F.col("word").rlike(unknown_if), F.lit(False))
+    new = F.when(F.col("hit"), choice).when(lost, unknown).otherwise(F.coalesce("word", F.lit("")))
+    rows = rows.select("id", "pos", new.alias("new"), (F.col("hit") | lost).alias("hit"))
+    out = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("new").alias("w")))).alias("ws"), F.count_if("hit").alias("n_replaced"))
     return out.select("id", F.array_join(F.transform("ws", lambda w: w["w"]), " ").alias("synthetic"), "n_replaced")
 
 
@@ -98,6 +123,22 @@ def preference_pairs(candidates: DataFrame, least_gap: float = 0.05) -> DataFram
     return out.select("prompt", F.col("b.text").alias("chosen"), F.col("w.text").alias("rejected"), gap.alias("gap")).where(F.col("gap") >= least_gap)
 
 
+def preference_reward(lexical: Column | str, perplexity: Column | str, weight: float = 0.01) -> Column:
+    """Lexical coverage less weight times the logarithm of the perplexity; null without either."""
+    lex, ppl = (F.col(x) if isinstance(x, str) else x for x in (lexical, perplexity))
+    return lex - F.lit(weight) * F.log(ppl + 1e-8)
+
+
+def preference_filtered(pairs: DataFrame, least_gap: float, order: str) -> DataFrame:
+    """pairs with reason: as preference_reason says; of kept pairs equal in prompt, chosen and rejected all but the first are duplicates."""
+    df = pairs.withColumn("reason", preference_reason(least_gap))
+    first = df.where("reason = 'kept'").groupBy("prompt", "chosen", "rejected").agg(F.min(order).alias("__first"))
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("prompt", "chosen", "rejected")])
+    met = df.alias("p").join(first.alias("f"), same, "left")
+    reason = F.when((F.col("p.reason") == "kept") & (F.col(f"p.{order}") != F.col("f.__first")), "duplicate").otherwise(F.col("p.reason"))
+    return met.select(*(F.col(f"p.{c}") for c in pairs.columns), reason.alias("reason"))
+
+
 def preference_reason(least_gap: float) -> Column:
     """Why a pair goes, in this order: non_finite, same_text, small_gap; else kept. Columns chosen(_reward), rejected(_reward)."""
     finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))

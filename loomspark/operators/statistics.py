@@ -47,6 +47,31 @@ def max_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("id").join(best, "id", "left").select("id", F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
+def unit(x: Column | str) -> Column:
+    """A vector over its L2 norm + 1e-8."""
+    x = F.col(x) if isinstance(x, str) else x
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    return F.transform(x, lambda v: v.cast("double") / (norm + 1e-8))
+
+
+def mean_pooled(tokens: Column | str, mask: Column | str) -> Column:
+    """The mean of the token vectors whose mask is not 0, over their number + 1e-8; zeros where none is."""
+    tokens, mask = (F.col(x) if isinstance(x, str) else x for x in (tokens, mask))
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda z: z["m"] != 0), lambda z: z["t"])
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda v: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda a, v: F.zip_with(a, v, lambda p, q: p + q.cast("double")))
+    return F.transform(total, lambda v: v / (F.size(kept) + 1e-8))
+
+
+def paired_delta(samples: DataFrame, score: Column, first: str, second: str, sample: str = "sample", by: str = "system") -> DataFrame:
+    """low, high, mean of score(second) - score(first) over the resamples that both systems share (samples: sample, system, sums)."""
+    scored = samples.select(sample, by, score.alias("__f"))
+    a = scored.where(F.col(by) == first).select(sample, F.col("__f").alias("__a"))
+    b = scored.where(F.col(by) == second).select(sample, F.col("__f").alias("__b"))
+    d = a.join(b, sample).select((F.col("__b") - F.col("__a")).alias("d"))
+    return d.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg("d").alias("mean"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """query, rank, id, distance: exact L2 top k of vectors (id, embedding) for each of queries (id, embedding); ties to the smaller id.
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions import chrf
 from loomspark.operators import corpora as C
 from loomspark.operators import statistics as S
 from loomspark.sources import io
 
-from .common import POOL_SQL, Query, pools, table
+from .common import NAMES, POOL_SQL, Query, chrf_sql, pools, score_sql, table
 
 
 def split_assign(spark, d):
@@ -34,7 +35,9 @@ def upsample_union(spark, d):
 
 
 def _words(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("words"))
+    """Words of names and types, with an ideograph and a mark that no table holds, and one of which some have a meaning."""
+    middle = F.when(F.col("p_partkey") % 4 == 0, "甲 乙").otherwise("甲 !")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", middle, "p_type"), " ").alias("words"))
 
 
 def _table(spark, d):
@@ -43,19 +46,26 @@ def _table(spark, d):
 
 
 def synth_unk(spark, d):
-    return C.replaced(_words(spark, d), F.broadcast(_table(spark, d))).where("n_replaced >= 1")
+    return C.replaced(_words(spark, d), _table(spark, d)).where("n_replaced >= 1")
+
+
+def synth_first_valid(spark, d):
+    """The first 40 rows with enough replaced: the feature is the limit."""
+    return C.first_valid(synth_unk(spark, d), F.col("n_replaced") >= 2, 40, "id")
 
 
 def synth_mixed(spark, d):
     both = _table(spark, d).unionAll(table(spark, d, "part").groupBy(F.col("p_type").alias("word")).agg(F.array_sort(F.collect_set("p_brand")).alias("candidates")))
-    return C.replaced(_words(spark, d), both, unknown=None, pick=0.5)
+    share = F.lit(0.3) + F.lit(0.4) * (C.number("share", "p_partkey") / F.lit(4294967296.0))  # of each row its own
+    rows = _words(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), share.alias("share")), "id")
+    return C.replaced(rows, both, unknown=None, pick=F.col("share"))
 
 
 def synth_semantic(spark, d):
     """Words outside the table take the label that their nearest vectors vote for; a word without a vector is [UNK]."""
     votes = knn_vote(spark, d).select(F.concat(F.lit("v"), F.col("query").cast("string")).alias("word"), F.array(F.concat(F.lit("L"), F.col("label").cast("string"))).alias("candidates"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.lit("near"), F.concat(F.lit("v"), (F.col("s_suppkey") % 7 * 100).cast("string"))).alias("words"))
-    return C.replaced(s, votes)
+    return C.replaced(s, votes, unknown_if="^v")
 
 
 def fewshot_block(spark, d):
@@ -66,12 +76,9 @@ def fewshot_block(spark, d):
 
 
 def synth_multitask(spark, d):
-    df = synth_unk_all(spark, d)
-    return df.select("id", F.concat(F.lit("<dict_match>"), "synthetic", F.lit("</dict_match> <literal>"), F.col("n_replaced").cast("string"), F.lit("</literal>")).alias("target"))
-
-
-def synth_unk_all(spark, d):
-    return C.replaced(_words(spark, d), F.broadcast(_table(spark, d)))
+    """What a text is made of, its literal and the title, as one target."""
+    df = C.replaced(_words(spark, d), _table(spark, d)).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_name"), "id")
+    return df.select("id", F.concat(F.lit("<dict_match>"), "synthetic", F.lit("</dict_match> <literal>"), "p_type", F.lit("</literal> "), "p_name").alias("target"))
 
 
 def dedupe_first(spark, d):
@@ -96,13 +103,18 @@ def flatten_groups(spark, d):
 
 
 def best_variant(spark, d):
-    c = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("m"))
-    return c.agg(F.max_by("c_mktsegment", F.struct("m", "c_mktsegment")).alias("best"))
+    """Of the systems and one that has no score (-1), the one with the best corpus chrF++; the first among equals."""
+    df = pools(spark, d)
+    members = F.array(*(F.struct(F.lit(k).alias("pos"), F.lit(n).alias("name"), F.col(n).alias("pred")) for k, n in enumerate(NAMES)))
+    rows = df.select("reference", F.explode(members).alias("m")).select("m.*", chrf.stats("m.pred", "reference").alias("stats"))
+    scores = rows.groupBy("pos", "name").agg(*chrf.summed()).select("pos", "name", F.round(chrf.of_sums(), 6).alias("score"))
+    every = scores.unionAll(spark.range(1).select(F.lit(-1).alias("pos"), F.lit("absent").alias("name"), F.lit(-1.0).alias("score")))
+    return every.agg(F.max_by(F.struct("name", "score"), F.struct("score", -F.col("pos"))).alias("b")).select(F.col("b.name").alias("best"), F.col("b.score").alias("score"))
 
 
 def _candidates(spark, d):
     e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("prompt"), F.col("event_id").alias("idx"), F.concat_ws(" ", "event_type", "props").alias("text"), F.col("value").alias("reward"))
+    return e.select(F.col("user_id").alias("prompt"), F.col("event_id").alias("idx"), F.concat_ws(" ", "event_type", "props").alias("text"), F.round(C.preference_reward((F.col("event_id") % 11) / F.lit(10.0), F.abs("value") + 1), 9).alias("reward"))
 
 
 def pref_pairs(spark, d):
@@ -118,7 +130,10 @@ def _pairs(spark, d):
 
 
 def pref_filter(spark, d):
-    return _pairs(spark, d).groupBy(C.preference_reason(20.0).alias("reason")).agg(F.count("*").alias("n"))
+    """Reasons, counted in their order, with the share of all pairs."""
+    df = _pairs(spark, d).withColumn("prompt", F.col("event_id") % 50)
+    n = C.preference_filtered(df, 20.0, "event_id").groupBy("reason").agg(F.count("*").alias("n"))
+    return n.select("reason", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("rate"))  # a row a reason
 
 
 def pref_audit(spark, d):
@@ -185,9 +200,9 @@ def _line_grams(df, key, n):
 
 def _leakage(n):
     def query(spark, d):
-        """The highest Jaccard similarity of each item with a user's first turn or another item: whole texts."""
+        """The highest Jaccard similarity of each item with any turn of any conversation: whole texts."""
         b = table(spark, d, "benchmark")
-        c = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("item_id"), "text")
+        c = table(spark, d, "conversations").select((F.col("conv_id") * 10000 + F.col("turn")).alias("item_id"), "text")
         df = S.max_jaccard(_line_grams(b, "item_id", n), _line_grams(c, "item_id", n))
         return df.select(F.col("id").alias("item_id"), F.round("best", 6).alias("best"))
 
@@ -297,17 +312,56 @@ def knn_vote(spark, d):
 
 
 def unit_vectors(spark, d):
-    """Norms after L2 normalisation."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return table(spark, d, "embeddings").select("vec_id", F.round(norm / (norm + 1e-8), 6).alias("norm"))
+    """Vectors after L2 normalisation, as text of their first and last numbers."""
+    u = S.unit("embedding")
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.get(u, F.lit(0)), 6).alias("first"), F.round(F.element_at(u, -1), 6).alias("last"))
+
+
+def pooled_vectors(spark, d):
+    """The masked mean of three tokens, which are rotations of a vector; the mask goes by id."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", F.size("embedding").alias("n"))
+    turn = lambda k: F.concat(F.slice("embedding", k + 1, F.col("n")), F.slice("embedding", 1, k))
+    mask = F.array(*(F.when(F.col("vec_id") % (k + 2) == 0, 0).otherwise(1) for k in range(3)))
+    pooled = S.mean_pooled(F.array(F.col("embedding"), turn(1), turn(2)), mask)
+    return v.select("vec_id", F.round(F.get(pooled, F.lit(0)), 5).alias("first"), F.round(F.element_at(pooled, -1), 5).alias("last"))
+
+
+def _resampled(spark, d):
+    """100 resamples of 64 rows of chrF++ counts, the same rows for two systems."""
+    df = pools(spark, d).where("row_idx <= 64")
+    members = F.array(*(F.struct(F.lit(n).alias("system"), F.col(n).alias("pred")) for n in ("frontier", "dpo")))
+    rows = df.select((F.col("row_idx") - 1).cast("long").alias("idx"), "reference", F.explode(members).alias("m")).select("idx", "m.system", chrf.stats("m.pred", "reference").alias("stats"))
+    counts = rows.select("idx", "system", *(F.get("stats", F.lit(k)).alias(f"s{k}") for k in range(24)))
+    return S.bootstrap(counts, [f"s{k}" for k in range(24)], 100, 64, by="system")
+
+
+def bootstrap_delta(spark, d):
+    """The paired difference of two systems' corpus chrF++ over shared resamples."""
+    df = S.paired_delta(_resampled(spark, d), chrf.of_sums(), "frontier", "dpo")
+    return df.select(*(F.round(c, 5).alias(c) for c in ("low", "high", "mean")))
+
+
+def html_records(spark, d):
+    """Rows of pages with their cells by class: two required, one optional."""
+    html = F.expr("""concat('<table><tr><th>x</th></tr><TR id="a"><td><p class="big src">', p_name, '</p></td><td>', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('<p class="dst">', chr(10), '<b>', p_type, '</b> </p>') END, '</td></tr>',
+      '<tr><td><p class="src">', p_brand, '</p><p class="dst">', p_size + 100, '</p><p class="note" lang="x">n', p_size, '</p></td></tr><tr><p class="src"> </p><p class="dst">y</p></tr></table>')""")
+    rows = io.records_of_html("html", {"input": ("src", True), "output": ("dst", True), "note": ("note", False)})
+    p = table(spark, d, "part").select("p_partkey", html.alias("html"))
+    return p.select("p_partkey", F.posexplode(rows).alias("pos", "r")).select("p_partkey", "pos", "r.*")
+
+
+def nested_scan(spark, d):
+    """Nested inscriptions as rows, one a character."""
+    body = F.expr("""concat('{"RubbingName": "r', n_nationkey, '", "RecordUtilSentenceGroupVoList": [{"GroupCategory": "a", "RecordUtilOracleCharVoList": [{"OrderNumber": 1, "Label": "', n_name, '"}, {"OrderNumber": 2, "Label": null}]}, {"GroupCategory": "b", "RecordUtilOracleCharVoList": [{"OrderNumber": ', n_regionkey, ', "Label": "x"}]}]}')""")
+    return io.inscriptions(table(spark, d, "nation").select("n_nationkey", body.alias("body")), "n_nationkey", "body")
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        split_assign, stratified_split, split_summary, upsample_union, synth_unk, synth_mixed, synth_multitask, synth_semantic, fewshot_block, dedupe_first, dedupe_nbest, flatten_groups, best_variant, pref_pairs, pref_filter, pref_audit,
+        split_assign, stratified_split, split_summary, upsample_union, synth_unk, synth_first_valid, synth_mixed, synth_multitask, synth_semantic, fewshot_block, dedupe_first, dedupe_nbest, flatten_groups, best_variant, pref_pairs, pref_filter, pref_audit,
         reward_grid, lookup_last, resume_anti, membership_counts, shared_keys, score_once, leakage_exact, _leakage(2), _leakage(3), _leakage(4), wilson_by_group, quantiles, bootstrap_ci, anchor_ratio,
-        log_ratio_scale, finite_stats, judge_means, mode_first, histogram, ordered_slice, rounded_means, json_entries, html_rows, aligned_mismatches, wide_metrics, knn_topk, knn_vote, unit_vectors,
+        log_ratio_scale, finite_stats, judge_means, mode_first, histogram, ordered_slice, rounded_means, json_entries, html_rows, aligned_mismatches, wide_metrics, knn_topk, knn_vote, unit_vectors, pooled_vectors, bootstrap_delta, html_records, nested_scan,
     )
 }
 
@@ -331,11 +385,12 @@ def _stratified() -> str:
     return ", ".join(ctes) + ", strat AS (SELECT * FROM g0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT c_custkey, stratum, NULL FROM l3)"
 
 
-_SYNTH = f"""w AS (SELECT p_partkey AS id, pos, string_split(p_name || ' ' || p_type, ' ')[pos] AS word FROM part, unnest(range(1, 20)) AS t(pos) WHERE pos <= len(string_split(p_name || ' ' || p_type, ' '))),
+_TEXT = "string_split(p_name || ' 甲 ' || CASE WHEN p_partkey % 4 = 0 THEN '乙 ' ELSE '! ' END || p_type, ' ')"
+_SYNTH = f"""w AS (SELECT p_partkey AS id, pos, {_TEXT}[pos] AS word FROM part, unnest(range(1, 20)) AS t(pos) WHERE pos <= len({_TEXT})),
 tab AS (SELECT string_split(p_name, ' ')[1] AS word, list_sort(list(DISTINCT p_brand)) AS candidates FROM part GROUP BY 1),
 typ AS (SELECT * FROM tab UNION ALL SELECT p_type, list_sort(list(DISTINCT p_brand)) FROM part GROUP BY 1),
 r AS (SELECT id, pos, w.word, candidates, {num('42', 'id', 'pos - 1')} AS n FROM w LEFT JOIN tab USING (word)), rt AS (SELECT id, pos, w.word, candidates, {num('42', 'id', 'pos - 1')} AS n FROM w LEFT JOIN typ USING (word)),
-unk AS (SELECT id, string_agg(CASE WHEN candidates IS NULL THEN '[UNK]' ELSE candidates[n % len(candidates) + 1] END, ' ' ORDER BY pos) AS synthetic, count(candidates) AS n_replaced FROM r GROUP BY 1)"""
+unk AS (SELECT id, string_agg(CASE WHEN candidates IS NOT NULL THEN candidates[n % len(candidates) + 1] WHEN word IN ('甲', '乙') THEN '[UNK]' ELSE word END, ' ' ORDER BY pos) AS synthetic, count(*) FILTER (candidates IS NOT NULL OR word IN ('甲', '乙')) AS n_replaced FROM r GROUP BY 1)"""
 _PAIRS = "pairs AS (SELECT e.event_id, e.event_type AS chosen, f.event_type AS rejected, CASE WHEN e.event_id % 97 = 0 THEN 'nan'::DOUBLE WHEN e.event_id % 89 = 0 THEN 'inf'::DOUBLE ELSE e.value END AS chosen_reward, f.value AS rejected_reward FROM events e JOIN events f ON f.event_id = e.event_id + 1)"
 _FINITE = "isfinite(chosen_reward) AND isfinite(rejected_reward)"
 _ANCHOR = "m AS (SELECT source, avg(n_chars) AS mean, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT source, n, round(mean / (SELECT mean FROM m WHERE source = 'src0'), 6) AS ratio FROM m)"
@@ -346,7 +401,7 @@ near AS (SELECT query, id, d, row_number() OVER (PARTITION BY query ORDER BY d,
 
 def _leak(n: int) -> str:
     grams = lambda t, k, w: f"SELECT {k} AS id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - {n - 1}, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' ')))) AS g FROM (SELECT {k}, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {t} {w})"
-    return f"""WITH a AS ({grams('benchmark', 'item_id', '')}), b AS ({grams('conversations', 'conv_id', 'WHERE turn = 0')}), na AS (SELECT id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
+    return f"""WITH a AS ({grams('benchmark', 'item_id', '')}), b AS ({grams('(SELECT conv_id * 10000 + turn AS conv_turn, text FROM conversations)', 'conv_turn', '')}), na AS (SELECT id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
       s AS (SELECT a.id, b.id AS o, count(*) AS s FROM a JOIN b USING (g) GROUP BY 1, 2), j AS (SELECT s.id, max(s / (na.n + nb.n - s)) AS best FROM s JOIN na ON na.id = s.id JOIN nb ON nb.id = s.o GROUP BY 1)
       SELECT item_id, round(coalesce(best, 0), 6) AS best FROM benchmark LEFT JOIN j ON j.id = item_id"""
 
@@ -357,16 +412,26 @@ ORACLES: dict[str, str] = {
     "split_summary": f"WITH {_stratified()} SELECT split, count(*) AS n, count(DISTINCT stratum) AS strata, min(c_custkey) AS first FROM strat WHERE split IS NOT NULL GROUP BY 1",
     "upsample_union": "SELECT copy::INT AS copy, count(*) AS n FROM (SELECT unnest(range(1, 11)) AS copy FROM nation UNION ALL SELECT 0 FROM supplier) GROUP BY 1",
     "synth_unk": f"WITH {_SYNTH} SELECT * FROM unk WHERE n_replaced >= 1",
-    "synth_mixed": f"WITH {_SYNTH}, k AS (SELECT *, count(candidates) OVER (PARTITION BY id) AS k, row_number() OVER (PARTITION BY id ORDER BY (candidates IS NULL)::INT, n, pos) AS rk FROM rt), h AS (SELECT *, candidates IS NOT NULL AND rk <= greatest(1, floor(k * 0.5)) AS hit FROM k WHERE k >= 2) SELECT id, string_agg(CASE WHEN hit THEN candidates[n % len(candidates) + 1] ELSE word END, ' ' ORDER BY pos) AS synthetic, count(*) FILTER (hit) AS n_replaced FROM h GROUP BY 1",
-    "synth_multitask": f"WITH {_SYNTH} SELECT id, '<dict_match>' || synthetic || '</dict_match> <literal>' || n_replaced || '</literal>' AS target FROM unk",
-    "synth_semantic": f"WITH {_KNN}, v AS (SELECT query, label, count(*) AS n, min(rank) AS r FROM near JOIN embeddings ON vec_id = id GROUP BY 1, 2), t AS (SELECT query, label FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, r) = 1) SELECT s_suppkey AS id, '[UNK] ' || coalesce('L' || label, '[UNK]') AS synthetic, (label IS NOT NULL)::BIGINT AS n_replaced FROM supplier LEFT JOIN t ON query = s_suppkey % 7 * 100",
+    "synth_mixed": f"WITH {_SYNTH}, k AS (SELECT *, count(candidates) OVER (PARTITION BY id) AS k, row_number() OVER (PARTITION BY id ORDER BY (candidates IS NULL)::INT, n, pos) AS rk FROM rt), h AS (SELECT *, candidates IS NOT NULL AND rk <= greatest(1, floor(k * (0.3::DOUBLE + 0.4::DOUBLE * ({num('share', 'id')} / 4294967296.0::DOUBLE)))) AS hit FROM k WHERE k >= 2) SELECT id, string_agg(CASE WHEN hit THEN candidates[n % len(candidates) + 1] ELSE word END, ' ' ORDER BY pos) AS synthetic, count(*) FILTER (hit) AS n_replaced FROM h GROUP BY 1",
+    "synth_multitask": f"WITH {_SYNTH} SELECT id, '<dict_match>' || synthetic || '</dict_match> <literal>' || p_type || '</literal> ' || p_name AS target FROM unk JOIN part ON p_partkey = id",
+    "synth_semantic": f"WITH {_KNN}, v AS (SELECT query, label, count(*) AS n, min(rank) AS r FROM near JOIN embeddings ON vec_id = id GROUP BY 1, 2), t AS (SELECT query, label FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, r) = 1) SELECT s_suppkey AS id, 'near ' || coalesce('L' || label, '[UNK]') AS synthetic, 1::BIGINT AS n_replaced FROM supplier LEFT JOIN t ON query = s_suppkey % 7 * 100",
     "fewshot_block": "WITH b AS (SELECT string_agg(p_type || ' = ' || p_name, chr(10) ORDER BY p_partkey) AS block FROM part WHERE p_partkey IN (1, 6, 15, 16)) SELECT n_nationkey, block || chr(10) || n_name AS prompt FROM nation, b",
     "dedupe_first": "SELECT p_name, p_type, p_partkey, p_size, count(*) OVER (PARTITION BY p_name, p_type) AS n_rows FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) = 1",
     "dedupe_nbest": f"WITH {POOL_SQL}, c AS (SELECT row_idx, unnest([frontier, dpo, unk, reference]) AS x, unnest([1, 2, 3, 4]) AS k FROM pool0), f AS (SELECT row_idx, x, min(k) AS k FROM c WHERE x <> '' GROUP BY 1, 2) SELECT row_idx, string_agg(x, '|' ORDER BY k) AS candidates FROM f GROUP BY 1",
     "flatten_groups": "WITH j AS (SELECT l_orderkey, l_linenumber, l_partkey, p_partkey IS NULL AS bad FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 2) ON p_partkey = l_partkey) SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey) AS parts, (array_agg(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (bad))[1]::VARCHAR AS first_missing FROM j GROUP BY 1",
-    "best_variant": "SELECT c_mktsegment AS best FROM customer GROUP BY 1 ORDER BY max(c_acctbal) DESC, c_mktsegment DESC LIMIT 1",
-    "pref_pairs": "WITH c AS (SELECT user_id AS prompt, event_id AS idx, concat_ws(' ', event_type, props) AS text, value AS reward FROM events WHERE value IS NOT NULL AND concat_ws(' ', event_type, props) <> ''), b AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY reward DESC, idx) AS best, row_number() OVER (PARTITION BY prompt ORDER BY reward, idx DESC) AS worst, count(*) OVER (PARTITION BY prompt) AS n FROM c) SELECT b.prompt, b.text AS chosen, w.text AS rejected, round(b.reward - w.reward, 6) AS gap FROM b JOIN b w ON w.prompt = b.prompt WHERE b.best = 1 AND w.worst = 1 AND b.n >= 2 AND b.reward - w.reward >= 0.05",
-    "pref_filter": f"WITH {_PAIRS} SELECT CASE WHEN NOT coalesce({_FINITE}, false) THEN 'non_finite' WHEN chosen = rejected THEN 'same_text' WHEN chosen_reward - rejected_reward < 20 THEN 'small_gap' ELSE 'kept' END AS reason, count(*) AS n FROM pairs GROUP BY 1",
+    "best_variant": f"""WITH {POOL_SQL}, src AS (SELECT row_idx * 3 + k AS id, [frontier, unk, dpo][k + 1] AS h, reference AS r FROM pool0, unnest(range(3)) AS t(k)), {chrf_sql('src')},
+      t AS (SELECT id % 3 AS k, {", ".join(f"sum(s{k}) AS s{k}" for k in range(24))} FROM stats GROUP BY 1), e AS (SELECT k, ['frontier', 'unk', 'dpo'][k + 1] AS best, round({score_sql()}, 6) AS score FROM t UNION ALL SELECT -1, 'absent', -1.0) SELECT best, score FROM e ORDER BY score DESC, k LIMIT 1""",
+    "bootstrap_delta": f"""WITH {POOL_SQL}, src AS (SELECT row_idx * 2 + k AS id, [frontier, dpo][k + 1] AS h, reference AS r FROM pool0, unnest(range(2)) AS t(k) WHERE row_idx <= 64), {chrf_sql('src')},
+      dr AS (SELECT s AS sample, {num('42', 's', 'k')} % 64 AS idx FROM range(100) AS a(s), range(64) AS b(k)), t AS (SELECT sample, id % 2 AS k, {", ".join(f"sum(s{k})::DOUBLE AS s{k}" for k in range(24))} FROM dr JOIN stats ON id // 2 - 1 = idx GROUP BY 1, 2),
+      f AS (SELECT sample, k, {score_sql()} AS f FROM t), x AS (SELECT b.f - a.f AS d FROM f a JOIN f b USING (sample) WHERE a.k = 0 AND b.k = 1) SELECT round(quantile_cont(d, 0.025), 5) AS low, round(quantile_cont(d, 0.975), 5) AS high, round(avg(d), 5) AS mean FROM x""",
+    "synth_first_valid": f"WITH {_SYNTH} SELECT * FROM unk WHERE n_replaced >= 2 ORDER BY id LIMIT 40",
+    "html_records": """WITH r AS (SELECT p_partkey, 0 AS k, p_name AS input, p_type AS output, '' AS note FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 1, p_brand, (p_size + 100)::VARCHAR, 'n' || p_size FROM part)
+      SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1)::INT AS pos, input, output, note FROM r""",
+    "nested_scan": "SELECT n_nationkey, unnest(['a', 'a', 'b']) AS category, unnest([1, 2, n_regionkey])::BIGINT AS pos, unnest([n_name, NULL, 'x']) AS label FROM nation",
+    "pooled_vectors": """WITH m AS (SELECT vec_id, embedding AS e, len(embedding) AS n, (vec_id % 2 <> 0)::INT AS a, (vec_id % 3 <> 0)::INT AS b, (vec_id % 4 <> 0)::INT AS c FROM embeddings)
+      SELECT vec_id, round((a * e[1]::DOUBLE + b * e[2]::DOUBLE + c * e[3]::DOUBLE) / (a + b + c + 1e-8::DOUBLE), 5) + 0.0 AS first, round((a * e[n]::DOUBLE + b * e[1]::DOUBLE + c * e[2]::DOUBLE) / (a + b + c + 1e-8::DOUBLE), 5) + 0.0 AS last FROM m""",
+    "pref_pairs": "WITH c AS (SELECT user_id AS prompt, event_id AS idx, concat_ws(' ', event_type, props) AS text, round((event_id % 11) / 10.0::DOUBLE - 0.01::DOUBLE * ln(abs(value) + 1 + 1e-8::DOUBLE), 9) AS reward FROM events WHERE value IS NOT NULL AND concat_ws(' ', event_type, props) <> ''), b AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY reward DESC, idx) AS best, row_number() OVER (PARTITION BY prompt ORDER BY reward, idx DESC) AS worst, count(*) OVER (PARTITION BY prompt) AS n FROM c) SELECT b.prompt, b.text AS chosen, w.text AS rejected, round(b.reward - w.reward, 6) AS gap FROM b JOIN b w ON w.prompt = b.prompt WHERE b.best = 1 AND w.worst = 1 AND b.n >= 2 AND b.reward - w.reward >= 0.05",
+    "pref_filter": f"WITH {_PAIRS}, r AS (SELECT *, event_id % 50 AS prompt, CASE WHEN NOT coalesce({_FINITE}, false) THEN 'non_finite' WHEN chosen = rejected THEN 'same_text' WHEN chosen_reward - rejected_reward < 20 THEN 'small_gap' ELSE 'kept' END AS reason FROM pairs), q AS (SELECT CASE WHEN reason = 'kept' AND row_number() OVER (PARTITION BY reason, prompt, chosen, rejected ORDER BY event_id) > 1 THEN 'duplicate' ELSE reason END AS reason FROM r) SELECT reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS rate FROM q GROUP BY 1",
     "pref_audit": f"WITH {_PAIRS}, g AS (SELECT *, CASE WHEN {_FINITE} THEN chosen_reward - rejected_reward END AS gap FROM pairs) SELECT count(*) AS pairs, count(*) FILTER (NOT ({_FINITE})) AS non_finite, count(*) FILTER (chosen = rejected) AS same, round(avg(gap), 6) AS mean_gap, round(min(gap), 6) AS low, round(max(gap), 6) AS high, count(*) FILTER (gap <= 0) AS bin0, count(*) FILTER (gap > 0 AND gap <= 10) AS bin1, count(*) FILTER (gap > 10 AND gap <= 40) AS bin2, count(*) FILTER (gap > 40) AS bin3, count(*) FILTER (gap >= 40) AS ge_40 FROM g",
     "reward_grid": f"WITH {_PAIRS}, g AS (SELECT chosen_reward - rejected_reward AS gap, length(chosen) - length(rejected) AS lex FROM pairs WHERE {_FINITE}) SELECT w::INT AS weight, count(*) FILTER (gap * (gap + w * lex) < 0) AS flips, count(*) FILTER (gap + w * lex >= 20) AS kept FROM g, (VALUES (0), (2), (8)) AS v(w) GROUP BY 1",
     "lookup_last": "SELECT c_custkey, arg_max(o_orderpriority, o_orderkey) AS last, arg_min(o_orderpriority, o_orderkey) AS first FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
@@ -395,5 +460,5 @@ ORACLES: dict[str, str] = {
     "wide_metrics": "SELECT lang, round(avg(n_chars), 6) AS chars_mean, max(n_chars) AS chars_max, count(*) AS n FROM documents GROUP BY 1",
     "knn_topk": f"WITH {_KNN} SELECT query, rank::INT AS rank, id, round(d, 5) AS distance FROM near",
     "knn_vote": f"WITH {_KNN}, v AS (SELECT query, label, count(*) AS n, min(rank) AS r FROM near JOIN embeddings ON vec_id = id GROUP BY 1, 2) SELECT query, label FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, r) = 1",
-    "unit_vectors": "WITH n AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) SELECT vec_id, round(n / (n + 1e-8), 6) AS norm FROM n",
+    "unit_vectors": "WITH n AS (SELECT vec_id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) SELECT vec_id, round(e[1] / (n + 1e-8), 6) + 0.0 AS first, round(e[len(e)] / (n + 1e-8), 6) + 0.0 AS last FROM n",
 }

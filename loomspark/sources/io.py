@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import strip
+
 #: Record kinds; never inferred.
 SCHEMAS = {
     "pair": "instruction string, input string, output string, metadata map<string,string>",
@@ -90,6 +93,38 @@ def rows_of_html(html: Column | str) -> Column:
     return F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", ""))), lambda x: x != "")
 
 
+def records_of_html(html: Column | str, cells: Mapping[str, tuple[str, bool]], row: str = "tr") -> Column:
+    """array<struct> of the rows of a page: each cell is the text of the row's first <p> of a class, (class, required); a row that lacks a
+    required one, or has it empty, is none; others are empty strings. Tags inside are dropped, entities kept."""
+    rows = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(rf"(?is)<{row}\b[^>]*>(.*?)</{row}>"), F.lit(1))
+    text = lambda r, c: strip(F.regexp_replace(F.regexp_extract(r, rf'(?is)<p\b[^>]*class="(?:[^"]*\s)?{c}(?:\s[^"]*)?"[^>]*>(.*?)</p>', 1), "<[^>]+>", ""))
+    found = F.transform(rows, lambda r: F.struct(*(text(r, c).alias(name) for name, (c, _) in cells.items())))
+    needed = [name for name, (_, required) in cells.items() if required]
+    return F.filter(found, lambda s: reduce(lambda a, b: a & b, [s[n] != "" for n in needed], F.lit(True)))
+
+
+def inscriptions(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, category, pos, label of a column with JSON of kind inscription: groups, then their characters in order."""
+    groups = df.select(key, F.explode(F.from_json(column, SCHEMAS["inscription"])["RecordUtilSentenceGroupVoList"]).alias("g"))
+    return groups.select(key, F.col("g.GroupCategory").alias("category"), F.explode("g.RecordUtilOracleCharVoList").alias("c")).select(key, "category", F.col("c.OrderNumber").alias("pos"), F.col("c.Label").alias("label"))
+
+
+def registered(spark: SparkSession, specs: Sequence[str], kind: str) -> DataFrame:
+    """Several NAME=PATH sources of JSON lines as one frame with system; a later one of a name replaces an earlier one."""
+    paths: dict[str, str] = {}
+    for spec in specs:
+        name, eq, path = spec.partition("=")
+        if not (name and eq and path):
+            raise ValueError(f"not NAME=PATH: {spec}")
+        paths[name] = path
+    return systems({name: jsonl(spark, path, kind) for name, path in paths.items()})
+
+
+def write_vectors(df: DataFrame, path: str) -> None:
+    """A vector index as a table (id, key, embedding), in the order of ids within files."""
+    df.selectExpr("CAST(id AS bigint) AS id", "CAST(key AS string) AS key", "CAST(embedding AS array<float>) AS embedding").sortWithinPartitions("id").write.parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
