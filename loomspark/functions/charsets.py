@@ -33,3 +33,16 @@ LATIN = Charset(
     terms=("blue", "steel", "BRASS", "ECONOMY"),
     artifacts=r"(?:translation|analysis)",
 )
+
+#: For classical titles. The suffixes, numerals, markers and terms that selectors and diagnostics of such titles look for.
+CLASSICAL = Charset(
+    suffixes="經論記疏頌儀義傳錄贊序字品文觀根次門",
+    numerals="零〇一二三四五六七八九十百千萬两兩",
+    contamination=r"(?i)[A-Za-z<>]|\[UNK\]|assistant|manuals|networks|shows|grat|dresses",
+    markers=("。", "，", "：", "；", "、", "即", "是", "这是", "指", "名"),
+    punctuation="。，；：、",
+    subjects=("范宁", "范玄平", "张玄", "王忱", "两人", "人在"),
+    narrative=("在路", "路上", "说", "曰", "见", "问", "对", "乃"),
+    terms=("佛", "菩薩", "般若", "陀羅尼", "華嚴", "金剛", "地藏", "彌勒", "孔雀", "禪定"),
+    artifacts=r"(?i)assistant|manuals|networks|shows|grat|dresses",
+)

@@ -10,12 +10,13 @@ from __future__ import annotations
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 CHARS, WORDS, BETA = 6, 2, 2
 ORDERS = CHARS + WORDS
@@ -35,26 +36,75 @@ def words(text: str) -> list[str]:
     return out
 
 
-def grams(text: str) -> list[Counter]:
+def grams(text: str) -> tuple[Counter, list[int]]:
+    """All n-grams of a text, counted (a word has a blank before, two have one between), and how many there are of each order."""
     chars, ws = "".join(text.split()), words(text)
-    out = [Counter(chars[i : i + n] for i in range(len(chars) - n + 1)) for n in range(1, CHARS + 1)]
-    return out + [Counter(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)) for n in range(1, WORDS + 1)]
+    n = len(chars)
+    keys = [chars[i : i + k] for k in range(1, CHARS + 1) for i in range(n - k + 1)]
+    keys += [" " + w for w in ws]
+    keys += [a + " " + b for a, b in pairwise(ws)]
+    return Counter(keys), [max(0, n - k) for k in range(CHARS)] + [max(0, len(ws) - k) for k in range(WORDS)]
+
+
+def common(h: Counter, r: Counter) -> list[int]:
+    """n-grams in common, by order."""
+    out = [0] * ORDERS
+    for g in h.keys() & r.keys():
+        order = len(g) - 1 if " " not in g else CHARS if g[0] == " " else CHARS + 1
+        out[order] += min(h[g], r[g])
+    return out
 
 
-def counts(hypothesis: str, reference: str) -> list[int]:
+def counts(hypothesis: str, reference: str, known=grams) -> list[int]:
     """Hypothesis, reference and common counts of each order, one order after the other."""
-    out: list[int] = []
-    for h, r in zip(grams(hypothesis), grams(reference), strict=True):
-        total = sum(r.values())
-        out += [sum(h.values()) if total else 0, total, sum((h & r).values())]
-    return out
+    (h, hs), (r, rs) = known(hypothesis), known(reference)
+    return [x for n, m, c in zip(hs, rs, common(h, r), strict=True) for x in (n if m else 0, m, c)]
+
+
+def _value(hs: list[int], rs: list[int], c: list[int]) -> float:
+    used = [(n, m, x) for n, m, x in zip(hs, rs, c, strict=True) if n and m]
+    p, r = sum(x / n for n, _, x in used), sum(x / m for _, m, x in used)
+    if not used or p + r <= 0:
+        return 0.0
+    p, r = p / len(used), r / len(used)
+    return 100 * (1 + BETA**2) * p * r / (BETA**2 * p + r)
+
+
+def _remembered():
+    """n-grams of the texts of a batch, each counted once."""
+    known: dict[str, tuple[Counter, list[int]]] = {}
+
+    def of(text: str):
+        if text not in known:
+            known[text] = grams(text)
+        return known[text]
+
+    return of
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def stats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The 24 counts of (hypothesis, reference); null counts as empty."""
     for h, r in batches:
-        yield pd.Series([counts(x or "", y or "") for x, y in zip(h, r, strict=True)])
+        known = _remembered()
+        yield pd.Series([counts(x or "", y or "", known) for x, y in zip(h, r, strict=True)])
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def pool_means(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Of an array of texts: the mean chrF++ of each against each of the others; 100 for one alone."""
+    for pools in batches:
+        out, known = [], _remembered()
+        for pool in pools:
+            n = len(pool)
+            own, total = [known(x) for x in pool], [0.0] * n
+            for i in range(n):
+                for j in range(i):
+                    c = common(own[i][0], own[j][0])
+                    total[i] += _value(own[i][1], own[j][1], c)
+                    total[j] += _value(own[j][1], own[i][1], c)
+            out.append([x / (n - 1) for x in total] if n > 1 else [100.0] * n)
+        yield pd.Series(out)
 
 
 def summed(column: str = "stats") -> list[Column]:

@@ -38,9 +38,9 @@ def flags(prediction: Column | str, reference: Column | str, cs: Charset = LATIN
         "suffix_drop": F.size(F.array_except(wanted, F.split(p, ""))) > 0,
         "number_mismatch": (numbers != "") & (numbers_r != "") & (numbers != numbers_r),
         "over_modernization": ~exact & (_any(p, cs.markers) | ((n >= m + 5) & ~suffix_of(p))),
-        "narrativization": ~exact & (n >= m + 4) & ~suffix_of(p) & (sentence | _any(p, cs.subjects, r) | _any(p, cs.narrative, r)),
+        "narrativization": ~exact & (m > 0) & (n >= m + 4) & ~suffix_of(p) & (sentence | _any(p, cs.subjects, r) | _any(p, cs.narrative, r)),
         "false_specificity": _any(p, cs.terms, r),
-        "substitution": ~exact & (F.length(text.common_prefix(p, r)) >= 2) & suffix_of(p) & suffix_of(r),
+        "substitution": ~exact & (F.length(text.common_prefix(p, r)) >= 2) & suffix_of(p) & suffix_of(r) & (F.right(p, F.lit(1)) != F.right(r, F.lit(1))),
     }
 
 

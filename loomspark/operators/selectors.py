@@ -93,19 +93,12 @@ def vote(df: DataFrame) -> DataFrame:
     return df.withColumn("chosen", _first(F.col("scored"), count, lambda m: (m["name"] == FRONTIER).cast("int")))
 
 
-def pair_scores(df: DataFrame, key: str = "row_idx") -> DataFrame:
-    """key, i, j, f: chrF++ of member i against each other member j of its row's pool; counts in one Arrow pass."""
-    rows = df.select(key, F.explode(F.expr("flatten(transform(pool, a -> transform(filter(pool, b -> b.pos <> a.pos), b -> struct(a.pos AS i, b.pos AS j, a.pred AS h, b.pred AS r))))")).alias("p"))
-    return rows.select(key, "p.*").withColumn("stats", chrf.stats("h", "r")).select(key, "i", "j", chrf.of_array().alias("f"))
-
-
 def mbr(df: DataFrame, key: str = "row_idx") -> DataFrame:
-    """The member closest to the others by mean chrF++ (rounded to 1e-9); ties to the frontier, then the first. One shuffle by key."""
-    means = pair_scores(df, key).groupBy(key, "i").agg(F.round(F.avg("f"), 9).alias("mean"))
-    named = df.select(key, F.explode("pool").alias("m")).select(key, "m.*")
-    met = named.join(means, (named[key] == means[key]) & (named["pos"] == means["i"]), "left").select(named[key], "pos", "name", "pred", F.coalesce("mean", F.lit(100.0)).alias("mean"))
-    order = F.struct("mean", (F.col("name") == FRONTIER).cast("int").alias("f"), (-F.col("pos")).alias("p"))
-    return met.groupBy(key).agg(F.max_by(F.struct("pos", "name", "pred", "mean"), order).alias("chosen"))
+    """key, chosen: the member closest to the others by mean chrF++ (rounded to 1e-9); ties to the frontier, then the first. Nothing is shuffled."""
+    scored_ = df.where(F.size("pool") > 0).select(key, "pool", chrf.pool_means(F.transform("pool", lambda m: m["pred"])).alias("means"))
+    ranked = F.transform("pool", lambda m, i: F.struct(F.round(F.get("means", i), 9).alias("mean"), (m["name"] == FRONTIER).cast("int").alias("f"), (-m["pos"]).alias("p"), m.alias("m")))
+    best = F.array_max(ranked)
+    return scored_.select(key, F.struct(best["m"]["pos"].alias("pos"), best["m"]["name"].alias("name"), best["m"]["pred"].alias("pred"), best["mean"].alias("mean")).alias("chosen"))
 
 
 def contamination_guard(df: DataFrame, means: DataFrame, key: str = "row_idx") -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspark.functions.charsets import CLASSICAL, LATIN, Charset
+
 Query = Callable[[SparkSession, str], DataFrame]
 REF = "p_name || ' ' || p_type"
 POOL = {
@@ -20,6 +22,16 @@ POOL = {
     "dpo": f"CASE p_partkey % 3 WHEN 0 THEN {REF} || ' extended text.' WHEN 1 THEN p_name || 'ed' ELSE {REF} END",
 }
 NAMES = ["frontier", "unk", "dpo"]
+#: The same for invented classical titles.
+TITLE = "concat(CASE p_partkey % 4 WHEN 0 THEN '山水' WHEN 1 THEN '清風' WHEN 2 THEN '三千世' ELSE '光明界' END, CASE p_partkey % 5 WHEN 0 THEN '經' WHEN 1 THEN '論' WHEN 2 THEN '義疏' WHEN 3 THEN '品第一' ELSE '' END)"
+TITLES = {
+    "row_idx": "p_partkey",
+    "source": TITLE,
+    "reference": TITLE,
+    "frontier": f"CASE p_partkey % 7 WHEN 0 THEN {TITLE} WHEN 1 THEN substr({TITLE}, 1, 1) WHEN 2 THEN concat({TITLE}, '，两人在路上') WHEN 3 THEN concat('x', {TITLE}) WHEN 4 THEN concat(substr({TITLE}, 1, 2), '記') WHEN 5 THEN concat('佛說', {TITLE}, '二') ELSE concat({TITLE}, '即名為大') END",
+    "unk": f"CASE p_partkey % 3 WHEN 0 THEN {TITLE} WHEN 1 THEN concat(substr({TITLE}, 1, 2), '[UNK]') ELSE concat(substr({TITLE}, 1, 2), '傳') END",
+    "dpo": f"CASE p_partkey % 2 WHEN 0 THEN concat({TITLE}, '序') ELSE {TITLE} END",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +42,10 @@ def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in POOL.items()))
 
 
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in TITLES.items()))
+
+
 POOL_SQL = "pool0 AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in POOL.items()) + " FROM part)"
 
 
@@ -52,6 +68,9 @@ flagged AS (SELECT m.*, length(pred) AS length, med, coalesce(pre, 0) AS pre, co
 scored AS (SELECT *, (pre + suf)::BIGINT AS consensus, (140 * pre + 120 * suf + 250 * title::INT - 100 * abs(length - med) - 600 * dirty::INT - 400 * short::INT - 200 * long::INT
   + 75 * (name = 'frontier')::INT)::BIGINT AS score FROM flagged)"""
 
+TITLES_SQL = "pool0 AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in TITLES.items()) + " FROM part)"
+SCORED_TITLES_SQL = SCORED_SQL.replace(POOL_SQL, TITLES_SQL).replace(f"instr('{LATIN.suffixes}'", f"instr('{CLASSICAL.suffixes}'").replace(f"'{LATIN.contamination}'", f"'{CLASSICAL.contamination}'")
+
 
 def guarded_sql(margin: int = 300) -> str:
     """choice(row_idx, action, name, pred) over scored."""
@@ -64,23 +83,23 @@ acted AS (SELECT l.row_idx, CASE WHEN f.dirty AND NOT l.dirty THEN 'contaminatio
 choice AS (SELECT row_idx, action, CASE WHEN action = 'keep_frontier' THEN fn ELSE ln END AS name, CASE WHEN action = 'keep_frontier' THEN fp ELSE lp END AS pred FROM acted)"""
 
 
-def flags_sql(p: str, r: str) -> str:
-    """The diagnostics' flags of columns p and r, as 0/1, for the Latin profile."""
-    suffixed = lambda x: f"(length({x}) > 0 AND instr('ensdt', right({x}, 1)) > 0)"
+def flags_sql(p: str, r: str, cs: Charset = LATIN) -> str:
+    """The diagnostics' flags of columns p and r, as 0/1."""
+    suffixed = lambda x: f"(length({x}) > 0 AND instr('{cs.suffixes}', right({x}, 1)) > 0)"
     has = lambda needles: "(" + " OR ".join(f"contains({p}, '{n}')" for n in needles) + ")"
     news = lambda needles: "(" + " OR ".join(f"(contains({p}, '{n}') AND NOT contains({r}, '{n}'))" for n in needles) + ")"
-    digits = lambda x: f"regexp_replace({x}, '[^0123456789]', '', 'g')"
+    digits = lambda x: f"regexp_replace({x}, '[^{cs.numerals}]', '', 'g')"
     rules = {
         "exact": f"{p} = {r}",
-        "contamination": f"regexp_matches({p}, '[<>]|\\[UNK\\]')",
+        "contamination": f"regexp_matches({p}, '{cs.contamination}')",
         "truncation": f"length({r}) > 0 AND length({p}) <= greatest(1, length({r}) // 2)",
         "over_expansion": f"length({r}) > 0 AND length({p}) >= length({r}) + 4 AND 2 * length({p}) >= 3 * length({r})",
-        "suffix_drop": f"len(list_filter(string_split('e,n,s,d,t', ','), lambda c: contains({r}, c) AND NOT contains({p}, c))) > 0",
+        "suffix_drop": f"len(list_filter(string_split('{','.join(cs.suffixes)}', ','), lambda c: contains({r}, c) AND NOT contains({p}, c))) > 0",
         "number_mismatch": f"{digits(p)} <> '' AND {digits(r)} <> '' AND {digits(p)} <> {digits(r)}",
-        "over_modernization": f"{p} <> {r} AND ({has(('ly ', 'which', 'PROMO'))} OR (length({p}) >= length({r}) + 5 AND NOT {suffixed(p)}))",
-        "narrativization": f"{p} <> {r} AND length({p}) >= length({r}) + 4 AND NOT {suffixed(p)} AND ({has(('.', '!', '?'))} OR {news(('he ', 'she '))} OR {news(('then', 'green'))})",
-        "false_specificity": news(("blue", "steel", "BRASS", "ECONOMY")),
-        "substitution": f"{p} <> {r} AND {prefix_sql(p, r)} >= 2 AND {suffixed(p)} AND {suffixed(r)}",
+        "over_modernization": f"{p} <> {r} AND ({has(cs.markers)} OR (length({p}) >= length({r}) + 5 AND NOT {suffixed(p)}))",
+        "narrativization": f"{p} <> {r} AND length({r}) > 0 AND length({p}) >= length({r}) + 4 AND NOT {suffixed(p)} AND ({has(cs.punctuation)} OR {news(cs.subjects)} OR {news(cs.narrative)})",
+        "false_specificity": news(cs.terms),
+        "substitution": f"{p} <> {r} AND {prefix_sql(p, r)} >= 2 AND {suffixed(p)} AND {suffixed(r)} AND right({p}, 1) <> right({r}, 1)",
     }
     return ", ".join(f"({v})::INT AS {k}" for k, v in rules.items())
 

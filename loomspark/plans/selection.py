@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import chrf
+from loomspark.functions.charsets import CLASSICAL
 from loomspark.operators import diagnostics as D
 from loomspark.operators import selectors as S
 
-from .common import NAMES, POOL_SQL, PRIMARY_SQL, SCORED_SQL, Query, chrf_sql, flags_sql, guarded_sql, pools, prefix_sql, score_sql
+from .common import NAMES, POOL_SQL, PRIMARY_SQL, SCORED_SQL, SCORED_TITLES_SQL, TITLES_SQL, Query, chrf_sql, flags_sql, guarded_sql, pools, prefix_sql, score_sql, titles
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,25 +95,43 @@ def selector_actions(spark, d):
     return S.guarded(scored(spark, d)).groupBy("action", F.col("chosen.name").alias("name")).agg(F.count("*").alias("n"))
 
 
+def _grid(df: DataFrame, of: list[str]) -> DataFrame:
+    """Sums of every column exact_<k> and switches_<k> of one pass over df, a row a k, named by the SQL values in of."""
+    sums = df.agg(*(F.count_if(F.col(f"{c}_{k}")).alias(f"{c}_{k}") for k in range(len(of)) for c in ("exact", "switches")))
+    rows = F.array(*(F.struct(F.expr(name).alias("v"), F.col(f"exact_{k}").alias("exact"), F.col(f"switches_{k}").alias("switches")) for k, name in enumerate(of)))
+    return sums.select(F.explode(rows).alias("r")).select("r.v.*", "r.exact", "r.switches")
+
+
 def selector_sensitivity(spark, d):
-    """Margins by consensus and title weights: scores once per weight set, rules per margin."""
-    df = S.pool(pools(spark, d), NAMES)
-    out = []
+    """Margins by consensus and title weights, all nine in one pass: scores once per weight set, rules per margin."""
+    df, of = S.pool(pools(spark, d), NAMES), []
     for title in (0, 250, 500):
-        base = S.scored(df, weights=S.WEIGHTS | {"title": title})
+        df = S.scored(df, weights=S.WEIGHTS | {"title": title})
         for margin in (0, 300, 600):
-            g = S.guarded(base, margin)
-            out.append(g.agg(F.count_if(F.col("action") != "keep_frontier").alias("switches"), F.count_if(F.col("chosen.pred") == F.col("reference")).alias("exact")).select(F.lit(title).alias("title"), F.lit(margin).alias("margin"), "*"))
-    return reduce(DataFrame.unionAll, out)
+            k = len(of)
+            df = S.guarded(df, margin).withColumns({f"exact_{k}": F.col("chosen.pred") == F.col("reference"), f"switches_{k}": F.col("action") != "keep_frontier"}).drop("chosen", "action")
+            of.append(f"struct({title} AS title, {margin} AS margin)")
+    return _grid(df, of)
 
 
 def pool_ablation(spark, d):
-    """The guarded selector over sub-pools."""
-    out = []
-    for names in (["frontier", "unk"], ["frontier", "dpo"], ["unk", "dpo"], NAMES):
-        g = S.guarded(S.scored(S.pool(pools(spark, d), names)))
-        out.append(g.agg(F.count_if(F.col("chosen.pred") == F.col("reference")).alias("exact"), F.count_if(F.col("action") != "keep_frontier").alias("switches")).select(F.lit("+".join(names)).alias("pool"), "*"))
-    return reduce(DataFrame.unionAll, out)
+    """The guarded selector over sub-pools, in one pass."""
+    df, of = pools(spark, d), []
+    for k, names in enumerate((["frontier", "unk"], ["frontier", "dpo"], ["unk", "dpo"], NAMES)):
+        df = S.guarded(S.scored(S.pool(df, names)))
+        df = df.withColumns({f"exact_{k}": F.col("chosen.pred") == F.col("reference"), f"switches_{k}": F.col("action") != "keep_frontier"}).drop("chosen", "action")
+        of.append(f"struct('{'+'.join(names)}' AS pool)")
+    return _grid(df, of)
+
+
+def diag_flags_classical(spark, d):
+    """The diagnostics of invented classical titles."""
+    df = D.diagnosed(titles(spark, d), "frontier", "reference", CLASSICAL)
+    return df.select("row_idx", *D.flags("frontier", "reference", CLASSICAL), D.primary_error().alias("primary_error"))
+
+
+def pool_guarded_classical(spark, d):
+    return _chosen(S.guarded(S.scored(S.pool(titles(spark, d), NAMES), CLASSICAL)), "action")
 
 
 def selector_value_ablation(spark, d):
@@ -207,7 +226,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         selector_summary, pool_scored, pool_guarded, pool_score_max, pool_title_guard, pool_vote, pool_mbr, pool_contamination_guard, pool_audit_preserving, pool_two_way, pool_basis, pool_labels, pool_hints,
-        selector_actions, selector_sensitivity, pool_ablation, selector_value_ablation, diag_flags, contamination_components, failure_taxonomy, audit_summary, chrf_stats, chrf_corpus,
+        selector_actions, selector_sensitivity, pool_ablation, diag_flags_classical, pool_guarded_classical, selector_value_ablation, diag_flags, contamination_components, failure_taxonomy, audit_summary, chrf_stats, chrf_corpus,
         oracle_best_of_two, pairwise_wins, exact_overlap, agreement_regions, subset_report, qualitative_cases,
     )
 }
@@ -266,6 +285,8 @@ ORACLES: dict[str, str] = {
     "pool_score_max": f"WITH {SCORED_SQL} {_PICK.format(order="score DESC, (name = 'frontier')::INT DESC, pos")}",
     "pool_title_guard": f"WITH {SCORED_SQL} {_PICK.format(order="score - 75 * (name = 'frontier')::INT DESC, (name = 'frontier')::INT DESC, pos")}",
     "pool_vote": f"WITH {SCORED_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY row_idx, pred) AS votes FROM scored) SELECT row_idx, name, pred FROM c QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY votes DESC, (name = 'frontier')::INT DESC, pos) = 1",
+    "diag_flags_classical": f"WITH {TITLES_SQL}, f AS (SELECT row_idx, {flags_sql('frontier', 'reference', CLASSICAL)} FROM pool0) SELECT row_idx, {_FLAG_NAMES}, {PRIMARY_SQL} AS primary_error FROM f",
+    "pool_guarded_classical": f"WITH {SCORED_TITLES_SQL}, {guarded_sql()} SELECT row_idx, name, pred, action FROM choice",
     "pool_mbr": f"WITH {SCORED_SQL}, {_mbr()} SELECT row_idx, name, pred FROM mbr",
     "pool_contamination_guard": f"WITH {SCORED_SQL}, {_CLEAN}, {_mbr('clean')}, {_GUARD} SELECT row_idx, pred FROM guard",
     "pool_audit_preserving": f"WITH {SCORED_SQL}, {guarded_sql()}, {_mbr()}, fl AS (SELECT row_idx, {flags_sql('frontier', 'reference')} FROM pool0) SELECT row_idx, CASE WHEN contamination + truncation > 0 THEN 'repair' ELSE action END AS action, CASE WHEN contamination + truncation > 0 THEN mbr.pred ELSE choice.pred END AS pred FROM choice JOIN mbr USING (row_idx) JOIN fl USING (row_idx)",
