@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import chrf, text
 from loomspark.functions.charsets import Charset
-from loomspark.operators import dictionary, selectors, statistics
+from loomspark.operators import corpora, dictionary, selectors, statistics
 from loomspark.sources import io
 from loomspark.streaming import resume
 
@@ -55,6 +55,46 @@ def test_chrf_of_equal_and_disjoint(spark):
     assert chrf.words("a, (b) c") == ["a", ",", "(b", ")", "c"]
 
 
+def test_goldens_of_chrf(spark):
+    # Scores by the definition of chrF++.
+    goldens = [("abcd", "abcd", 100.0), ("abcd", "abce", 38.3333), ("ab", "abcdef", 20.8333), ("", "abc", 0.0), ("abc", "", 0.0), ("the cat.", "the cat", 91.9915), ("a b", "ab", 66.6667)]
+    df = spark.createDataFrame([(h, r, x, [h, r]) for h, r, x in goldens], "h string, r string, x double, pool array<string>")
+    for row in df.select("x", chrf.stats("h", "r").alias("stats"), chrf.pool_means("pool").alias("m")).withColumn("s", chrf.of_array()).collect():
+        assert round(row["s"], 4) == row["x"] and round(row["m"][0], 4) == row["x"]
+
+
+def test_choice_letters_and_surrogates(spark):
+    valid = F.array(F.lit("A"), F.lit("B"), F.lit("C"))
+    assert [one(spark, text.choice("a", valid), a=x) for x in ("Answer: C", "the Best B", '{"basis": " b "}', "Basis='x' basis = \"c\"", "Z", "中A文")] == ["C", "B", "B", "C", None, None]
+    table = spark.createDataFrame([("00001", 0xF0000), ("00002", 0xF0001), ("00003", None)], "id string, codepoint long")
+    rows = spark.createDataFrame([(1, ["00002", "9", "00001"]), (2, []), (3, ["00003"])], "id int, parts array<string>")
+    texts = dictionary.encoded(rows, table)
+    assert {r["id"]: r["encoded"] for r in texts.collect()} == {1: "\U000f0001[UNK]\U000f0000", 2: "", 3: "[UNK]"}
+    assert {r["id"]: r["parts"] for r in dictionary.decoded(texts, table).collect()} == {1: ["00002", "[UNK]", "00001"], 2: [], 3: ["[UNK]"]}
+    with pytest.raises(Exception, match="unknown id: 9"):
+        dictionary.encoded(rows, table, strict=True).collect()
+
+
+def test_replacement_keeps_what_is_no_ideograph(spark):
+    texts = spark.createDataFrame([(1, ["甲", "乙", "x", "!"]), (2, []), (3, None)], "id int, words array<string>")
+    table = spark.createDataFrame([("甲", ["T"])], "word string, candidates array<string>")
+    got = {r["id"]: (r["synthetic"], r["n_replaced"]) for r in corpora.replaced(texts, table).collect()}
+    assert got == {1: ("T [UNK] x !", 2), 2: ("", 0), 3: ("", 0)}
+
+
+def test_vector_table_specs_and_fixed_files(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b", [1.0, 0.0]), (1, "a", [3.0, 4.0])], "id long, key string, embedding array<double>")
+    io.write_vectors(df, str(tmp_path / "v"))
+    assert {(r["id"], r["key"], tuple(r["embedding"])) for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {(1, "a", (3.0, 4.0)), (2, "b", (1.0, 0.0))}
+    assert [round(x, 6) for x in df.where("id = 1").select(statistics.unit("embedding").alias("u")).first()["u"]] == [0.6, 0.8]
+    for name in ("x", "y"):
+        (tmp_path / f"{name}.jsonl").write_text('{"input": "%s", "reference": "r", "prediction": "p"}\n' % name)
+    got = io.registered(spark, [f"one={tmp_path}/x.jsonl", f"two={tmp_path}/x.jsonl", f"two={tmp_path}/y.jsonl"], "prediction").collect()
+    assert sorted((r["system"], r["input"]) for r in got) == [("one", "x"), ("two", "y")]
+    with pytest.raises(ValueError, match="NAME=PATH"):
+        io.registered(spark, ["x.jsonl"], "prediction")
+
+
 def test_order_without_reference_counts_nothing():
     counts = chrf.counts("abcdef", "ab")
     assert counts[6:9] == [0, 0, 0]  # trigrams: the reference has none
@@ -95,10 +135,11 @@ def test_null_and_empty_pools(spark):
 
 
 def test_longest_match_is_greedy(spark):
-    texts = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, [])], "id int, words array<string>")
+    texts = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, []), (3, None)], "id int, words array<string>")
     keys = spark.createDataFrame([("a b",), ("b c d",), ("c",)], "key string")
     rows = dictionary.forward_matches(texts, keys).collect()
-    assert [(s["segment"], s["known"]) for s in rows[0]["segments"]] == [("a b", True), ("c", True), ("d", False)] and len(rows) == 1
+    found = {r["id"]: [(s["segment"], s["known"]) for s in r["segments"]] for r in rows}
+    assert found == {1: [("a b", True), ("c", True), ("d", False)], 2: [], 3: []}
 
 
 def test_canonical_ids_keep_long_ones(spark):
