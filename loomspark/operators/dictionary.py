@@ -14,8 +14,49 @@ LONGEST = 5
 
 
 def forward(entries: DataFrame) -> DataFrame:
-    """key, cn, en: of rows of one key the last one; rows without a key are left out."""
-    return entries.where("key is not null and key <> ''").groupBy("key").agg(F.max_by(F.struct("cn", "en"), "row_idx").alias("e")).select("key", "e.*")
+    """key, cn, en: of rows of one key the last one; an empty key is a key like any other, rows with null for it are left out."""
+    return entries.where("key is not null").groupBy("key").agg(F.max_by(F.struct("cn", "en"), "row_idx").alias("e")).select("key", "e.*")
+
+
+def keyed(records: DataFrame) -> DataFrame:
+    """records of kind entry with key and entry_type: the word if there is one, else the character, else '' and unknown."""
+    kind = F.when(F.col("word").isNotNull(), "word").when(F.col("character").isNotNull(), "character").otherwise("unknown")
+    return records.withColumns({"key": F.coalesce("word", "character", F.lit("")), "entry_type": kind})
+
+
+def contained(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """id, key of every key that stands anywhere in a text of texts (id, text): runs of characters as long as keys are, joined by equality.
+
+    The lengths of keys, no more than the longest has characters, are all that the driver sees.
+    """
+    known = keys.select("key").where("key <> ''").distinct()
+    sizes = known.agg(F.array_sort(F.collect_set(F.length("key")))).first()[0] or []
+    fitting = F.filter(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"), lambda n: n <= F.length("text"))
+    runs = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n))))
+    return texts.select("id", F.explode(F.array_distinct(runs)).alias("key")).join(known, "key").select("id", "key")
+
+
+def char_multimap(entries: DataFrame, column: str = "cn", wanted: str = r"^[\x{4E00}-\x{9FFF}]$") -> DataFrame:
+    """ch, keys: of each ideograph of a column of the entries with a key of one character, their keys, in the order they are first met."""
+    chars = entries.where(F.length("key") == 1).select("row_idx", "key", F.posexplode(F.split(column, "")).alias("pos", "ch")).where(F.col("ch").rlike(wanted))
+    first = chars.groupBy("ch", "key").agg(F.min(F.struct("row_idx", "pos")).alias("at"))
+    return first.groupBy("ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias("keys"))
+
+
+def by_character(words: DataFrame, table: DataFrame, placeholder: str | None = None, separator: str = "-") -> DataFrame:
+    """id, out of words (id, pos, word): each word's value in table (word, value); without one its characters' values, joined by the separator;
+    a character without one stays or, if given, is the placeholder."""
+    whole = words.join(table, "word", "left")
+    lost = F.col("ch") if placeholder is None else F.lit(placeholder)
+    split = whole.where("value is null").select("id", "pos", F.posexplode(F.filter(F.split("word", ""), lambda c: c != "")).alias("k", "ch"))
+    own = split.join(table.select(F.col("word").alias("ch"), "value"), "ch", "left").groupBy("id", "pos").agg(in_order("k", F.coalesce("value", lost), separator).alias("value"))
+    both = whole.where("value is not null").select("id", "pos", "value").unionAll(own)
+    return both.groupBy("id").agg(in_order("pos", F.col("value")).alias("out"))
+
+
+def shortest(entries: DataFrame) -> DataFrame:
+    """word, value: of each meaning its shortest key, the least among equals."""
+    return entries.groupBy(F.col("meaning").alias("word")).agg(F.min(F.struct(F.length("key").alias("n"), "key")).alias("m")).select("word", F.col("m.key").alias("value"))
 
 
 def reverse(entries: DataFrame, column: str, separators: str) -> DataFrame:

@@ -350,6 +350,29 @@ def html_records(spark, d):
     return p.select("p_partkey", F.posexplode(rows).alias("pos", "r")).select("p_partkey", "pos", "r.*")
 
 
+def file_scans(spark, d):
+    """Records written to files of each kind and read back by its scan."""
+    root = io.shared_folder(spark, "file-scans")
+    p = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_partkey").alias("input"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_type")).alias("reference"), F.col("p_brand").alias("prediction"))
+    n = table(spark, d, "nation").select(F.col("n_name").alias("prompt"), F.lit("a").alias("chosen"), F.lit("b").alias("rejected"), (F.col("n_nationkey") / 2).alias("chosen_reward"))
+    io.write_jsonl(p, f"{root}/jsonl")
+    io.write_csv(p, f"{root}/csv")
+    io.document(n).write.text(f"{root}/array")
+    table(spark, d, "region").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", F.col("r_regionkey").cast("string")))))).write.text(f"{root}/map")
+    io.write_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("k"), "vec_id").alias("key"), "embedding"), f"{root}/vectors")
+    frames = {
+        "jsonl": io.jsonl(spark, f"{root}/jsonl", "prediction").select("input", "reference"),
+        "strict": io.jsonl(spark, f"{root}/jsonl", "prediction", strict=True).select("input", "reference"),
+        "spec": io.registered(spark, [f"a={root}/jsonl", f"b={root}/jsonl"], "prediction").select(F.concat("system", "input"), "reference"),
+        "csv": spark.read.csv(f"{root}/csv", header=True, schema="input string, reference string, prediction string").select("input", "reference"),
+        "array": io.json_array(spark, f"{root}/array", "preference").select("prompt", F.col("chosen_reward").cast("string")),
+        "map": io.json_map(spark, f"{root}/map").select("key", "value"),
+        "vectors": spark.read.parquet(f"{root}/vectors").select("key", F.size("embedding").cast("string")),
+    }
+    one = lambda name, df: df.toDF("a", "b").agg(F.lit(name).alias("source"), F.count("*").alias("n"), F.sum(F.length("a")).alias("chars"), F.count("b").alias("filled"))
+    return reduce(DataFrame.unionAll, (one(k, df) for k, df in frames.items()))
+
+
 def nested_scan(spark, d):
     """Nested inscriptions as rows, one a character."""
     body = F.expr("""concat('{"RubbingName": "r', n_nationkey, '", "RecordUtilSentenceGroupVoList": [{"GroupCategory": "a", "RecordUtilOracleCharVoList": [{"OrderNumber": 1, "Label": "', n_name, '"}, {"OrderNumber": 2, "Label": null}]}, {"GroupCategory": "b", "RecordUtilOracleCharVoList": [{"OrderNumber": ', n_regionkey, ', "Label": "x"}]}]}')""")
@@ -361,7 +384,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         split_assign, stratified_split, split_summary, upsample_union, synth_unk, synth_first_valid, synth_mixed, synth_multitask, synth_semantic, fewshot_block, dedupe_first, dedupe_nbest, flatten_groups, best_variant, pref_pairs, pref_filter, pref_audit,
         reward_grid, lookup_last, resume_anti, membership_counts, shared_keys, score_once, leakage_exact, _leakage(2), _leakage(3), _leakage(4), wilson_by_group, quantiles, bootstrap_ci, anchor_ratio,
-        log_ratio_scale, finite_stats, judge_means, mode_first, histogram, ordered_slice, rounded_means, json_entries, html_rows, aligned_mismatches, wide_metrics, knn_topk, knn_vote, unit_vectors, pooled_vectors, bootstrap_delta, html_records, nested_scan,
+        log_ratio_scale, finite_stats, judge_means, mode_first, histogram, ordered_slice, rounded_means, json_entries, html_rows, aligned_mismatches, wide_metrics, knn_topk, knn_vote, unit_vectors, pooled_vectors, bootstrap_delta, html_records, nested_scan, file_scans,
     )
 }
 
@@ -427,6 +450,8 @@ ORACLES: dict[str, str] = {
     "synth_first_valid": f"WITH {_SYNTH} SELECT * FROM unk WHERE n_replaced >= 2 ORDER BY id LIMIT 40",
     "html_records": """WITH r AS (SELECT p_partkey, 0 AS k, p_name AS input, p_type AS output, '' AS note FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 1, p_brand, (p_size + 100)::VARCHAR, 'n' || p_size FROM part)
       SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1)::INT AS pos, input, output, note FROM r""",
+    "file_scans": """WITH p AS (SELECT length(p_name || ' ' || p_partkey) AS c, p_partkey % 5 > 0 AS f FROM part) SELECT s AS source, count(*) * k AS n, (sum(c + k - 1) * k)::BIGINT AS chars, count(*) FILTER (f) * k AS filled FROM p, (VALUES ('jsonl', 1), ('strict', 1), ('spec', 2), ('csv', 1)) AS v(s, k) GROUP BY s, k
+      UNION ALL SELECT 'array', count(*), sum(length(n_name))::BIGINT, count(*) FROM nation UNION ALL SELECT 'map', count(*), sum(length(r_name))::BIGINT, count(*) FROM region UNION ALL SELECT 'vectors', count(*), sum(length('k' || vec_id))::BIGINT, count(*) FROM embeddings""",
     "nested_scan": "SELECT n_nationkey, unnest(['a', 'a', 'b']) AS category, unnest([1, 2, n_regionkey])::BIGINT AS pos, unnest([n_name, NULL, 'x']) AS label FROM nation",
     "pooled_vectors": """WITH m AS (SELECT vec_id, embedding AS e, len(embedding) AS n, (vec_id % 2 <> 0)::INT AS a, (vec_id % 3 <> 0)::INT AS b, (vec_id % 4 <> 0)::INT AS c FROM embeddings)
       SELECT vec_id, round((a * e[1]::DOUBLE + b * e[2]::DOUBLE + c * e[3]::DOUBLE) / (a + b + c + 1e-8::DOUBLE), 5) + 0.0 AS first, round((a * e[n]::DOUBLE + b * e[1]::DOUBLE + c * e[2]::DOUBLE) / (a + b + c + 1e-8::DOUBLE), 5) + 0.0 AS last FROM m""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import text as T
 from loomspark.operators import dictionary as D
 
-from .common import POOL_SQL, Query, pools, prefix_sql, table
+from .common import POOL_SQL, TITLE, Query, pools, prefix_sql, table
 
 WRAPPED = "CASE p_partkey % 3 WHEN 0 THEN '<literal>' || p_type || '</literal> ' || p_name WHEN 1 THEN '<dict_match>' || p_type || '</dict_match> ' || p_name || chr(10) || 'x' ELSE p_name END"
 REPLY = """CASE p_partkey % 10 WHEN 5 THEN 'Answer: C, or basis: b' WHEN 6 THEN '"Basis" : "b" ' || p_name WHEN 7 THEN 'i choose B.' WHEN 8 THEN '  Title： “' || p_name || '”' WHEN 9 THEN '{"title": "", "basis": " a ", "fluency": "x"} ' ELSE CASE p_partkey % 5 WHEN 0 THEN '```json' || chr(10) || '{"title": "' || p_name || '", "basis": "B", "fluency": ' || p_size || '}' || chr(10) || '```' WHEN 1 THEN 'Answer: "' || p_name || '"' WHEN 2 THEN chr(10) || p_name || chr(10) || 'note' WHEN 3 THEN '《' || p_name || '》 fluency: 4' ELSE 'B' END END"""
@@ -126,14 +126,17 @@ def coverage_summary(spark, d):
 
 
 def substring_gloss(spark, d):
-    """Every dictionary key inside a title: runs of words joined by key, not a scan."""
-    return D.spans(_titles(spark, d), _keys(spark, d)).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("key")), "|").alias("keys"))
+    """Every dictionary key inside a title, at any place and of any length."""
+    texts = _titles(spark, d).select("id", F.array_join("words", " ").alias("text"))
+    keys = _keys(spark, d).unionAll(table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 2))))
+    return D.contained(texts, keys).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("key")), "|").alias("keys"))
 
 
 def char_map(spark, d):
-    """Each letter of a meaning with the keys it stands for, in the order they are first met."""
-    e = D.forward(_entries(spark, d)).select("key", F.explode(F.array_distinct(F.filter(F.split("cn", ""), lambda c: c.rlike("[A-Z]")))).alias("ch"))
-    return e.groupBy("ch").agg(F.array_join(F.array_sort(F.collect_set("key")), "|").alias("keys"))
+    """Each ideograph of a meaning with the keys of one character that it stands for, in the order they are first met."""
+    key = F.substring(F.lit("甲乙丙丁戊己庚辛壬癸"), (F.col("p_partkey") % 10).cast("int") + 1, F.when(F.col("p_partkey") % 13 == 0, 2).otherwise(1))
+    e = table(spark, d, "part").select(F.col("p_partkey").alias("row_idx"), key.alias("key"), F.expr(f"concat({TITLE}, ' a，', CASE WHEN p_partkey % 2 = 0 THEN '世' ELSE '' END)").alias("cn"))
+    return D.char_multimap(e).select("ch", F.array_join("keys", "|").alias("keys"))
 
 
 def reward_dict(spark, d):
@@ -151,16 +154,19 @@ def dict_contains(spark, d):
 
 
 def shortest_key(spark, d):
-    e = _entries(spark, d)
-    return e.groupBy(F.substring_index("cn", "，", 1).alias("meaning")).agg(F.min(F.struct(F.length("key").alias("n"), "key")).alias("m")).select("meaning", F.col("m.key").alias("key"))
+    """The shortest key of a type's name; unknown words by their characters, which nations stand for; a placeholder for the rest."""
+    e = _entries(spark, d).select(F.substring_index("cn", "，", 1).alias("meaning"), "key")
+    letters = table(spark, d, "nation").select(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXY"), F.col("n_nationkey").cast("int") + 1, F.lit(1)).alias("meaning"), F.lower("n_name").alias("key"))
+    words = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.array(F.col("p_type"), F.when(F.col("p_partkey") % 3 == 0, "AZ").otherwise("QB"))).alias("pos", "word"))
+    return D.by_character(words, D.shortest(e.unionAll(letters)), "□")
 
 
 def transliterate(spark, d):
-    """Words by a table of codes, unknown ones as they are."""
-    n = table(spark, d, "nation").select(F.concat(F.lit("NATION_"), F.col("n_nationkey").cast("string")).alias("w"), F.col("n_name").alias("code"))
-    c = table(spark, d, "supplier").select("s_suppkey", F.posexplode(F.array(F.lit("from"), F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")))).alias("pos", "w"))
-    out = c.join(F.broadcast(n), "w", "left")  # nations: 25 rows
-    return out.groupBy("s_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.lower(F.coalesce("code", "w")).alias("t")))), lambda x: x["t"]), " ").alias("spelling"))
+    """Words by a table of codes, unknown ones by their characters, unknown characters as they are."""
+    n = table(spark, d, "nation").select(F.concat(F.lit("NATION_"), F.col("n_nationkey").cast("string")).alias("word"), F.lower("n_name").alias("value"))
+    n = n.unionAll(table(spark, d, "region").select(F.substring(F.lit("from."), F.col("r_regionkey").cast("int") + 1, F.lit(1)), F.lower("r_name")))
+    c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.posexplode(F.array(F.lit("fxr"), F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")))).alias("pos", "word"))
+    return D.by_character(c, n).select(F.col("id").alias("s_suppkey"), F.col("out").alias("spelling"))
 
 
 def id_canonical(spark, d):
@@ -272,13 +278,15 @@ ORACLES: dict[str, str] = {
     "mfm_segments": f"WITH RECURSIVE {_SEGS}, {_WALK} SELECT id, string_agg(segment || CASE WHEN known THEN '+' ELSE '-' END, '|' ORDER BY spot) AS segments FROM segs GROUP BY 1",
     "lexical_coverage": f"{_COVERED} SELECT id, matched, round(coverage, 6) AS coverage FROM cov",
     "coverage_summary": f"{_COVERED} SELECT count(*) AS n, round(avg(coverage), 6) AS mean, round(min(coverage), 6) AS low, round(max(coverage), 6) AS high FROM cov",
-    "substring_gloss": f"WITH {_SEGS} SELECT id, string_agg(DISTINCT key, '|' ORDER BY key) AS keys FROM hits GROUP BY 1",
-    "char_map": f"WITH {_FORWARD}, c AS (SELECT DISTINCT key, unnest(string_split(cn, '')) AS ch FROM fw) SELECT ch, string_agg(key, '|' ORDER BY key) AS keys FROM c WHERE regexp_matches(ch, '[A-Z]') GROUP BY 1",
+    "substring_gloss": f"WITH {_SEGS}, k AS (SELECT key FROM keys UNION SELECT lower(substr(n_name, 1, 2)) FROM nation) SELECT id, string_agg(DISTINCT key, '|' ORDER BY key) AS keys FROM titles JOIN k ON contains(array_to_string(words, ' '), key) GROUP BY 1",
+    "char_map": f"""WITH e AS (SELECT p_partkey AS row_idx, substr('甲乙丙丁戊己庚辛壬癸', (p_partkey % 10 + 1)::INT, CASE WHEN p_partkey % 13 = 0 THEN 2 ELSE 1 END) AS key, concat({TITLE}, ' a，', CASE WHEN p_partkey % 2 = 0 THEN '世' ELSE '' END) AS cn FROM part),
+      c AS (SELECT key, row_idx, i, substr(cn, i, 1) AS ch FROM e, unnest(range(1, 20)) AS t(i) WHERE length(key) = 1 AND i <= length(cn)), f AS (SELECT ch, key, min(row_idx * 100 + i) AS spot FROM c WHERE ch >= '一' AND ch <= '鿿' GROUP BY 1, 2) SELECT ch, string_agg(key, '|' ORDER BY spot, key) AS keys FROM f GROUP BY 1""",
     "reward_dict": rf"WITH {_ENTRIES_SQL}, t AS (SELECT DISTINCT key, unnest(string_split_regex(regexp_replace(en, '[^\w\s]', '', 'g'), '\s+')) AS t FROM e) SELECT len(string_split(key, ' '))::INT AS n_words, key, string_agg(t, ' ' ORDER BY t) AS tokens FROM t WHERE t <> '' GROUP BY 1, 2",
     "dict_search": f"WITH {_ENTRIES_SQL}, s AS (SELECT key, ((length(en) - length(replace(lower(en), 'red', ''))) / 3 + (length(en) - length(replace(lower(en), 'ring', ''))) / 4)::INT AS score FROM e) SELECT key, max(score) AS score FROM s WHERE score > 0 GROUP BY 1",
     "dict_contains": f"WITH {_ENTRIES_SQL} SELECT row_idx, key FROM e WHERE contains(lower(key), 'steel') UNION ALL SELECT row_idx, key FROM e WHERE contains(lower(key), 'ring')",
-    "shortest_key": f"WITH {_ENTRIES_SQL} SELECT string_split(cn, '，')[1] AS meaning, key FROM e QUALIFY row_number() OVER (PARTITION BY string_split(cn, '，')[1] ORDER BY length(key), key) = 1",
-    "transliterate": "SELECT s_suppkey, 'from ' || lower(coalesce(n_name, 'NATION_' || s_nationkey)) AS spelling FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey",
+    "shortest_key": f"""WITH {_ENTRIES_SQL}, m AS (SELECT string_split(cn, '，')[1] AS meaning, key FROM e QUALIFY row_number() OVER (PARTITION BY string_split(cn, '，')[1] ORDER BY length(key), key) = 1), l AS (SELECT substr('ABCDEFGHIJKLMNOPQRSTUVWXY', (n_nationkey + 1)::INT, 1) AS c, lower(n_name) AS n FROM nation)
+      SELECT p_partkey AS id, key || ' ' || CASE WHEN p_partkey % 3 = 0 THEN (SELECT n FROM l WHERE c = 'A') || '-□' ELSE (SELECT n FROM l WHERE c = 'Q') || '-' || (SELECT n FROM l WHERE c = 'B') END AS out FROM part JOIN m ON meaning = p_type""",
+    "transliterate": "WITH r AS (SELECT substr('from.', (r_regionkey + 1)::INT, 1) AS c, lower(r_name) AS n FROM region) SELECT s_suppkey, (SELECT n FROM r WHERE c = 'f') || '-x-' || (SELECT n FROM r WHERE c = 'r') || ' ' || lower(n_name) AS spelling FROM supplier JOIN nation ON n_nationkey = s_nationkey",
     "id_canonical": f"SELECT o_orderkey, {_PAD('o_orderkey')} AS id FROM orders",
     "id_invert": f"WITH i AS (SELECT DISTINCT o_orderpriority AS char, {_PAD('o_custkey')} AS id FROM orders) SELECT char, count(*)::INT AS n, md5(string_agg(id, ',' ORDER BY id)) AS ids_md5 FROM i GROUP BY 1",
     "surrogate_assign": f"WITH {_RANKS} SELECT * FROM sur",

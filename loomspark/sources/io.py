@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -142,6 +144,20 @@ def document(df: DataFrame) -> DataFrame:
     return df.select(F.struct("*").alias("r")).agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("json"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, gone when the driver ends; with a local master and none set, below a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/loomspark-files"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return place.toString()
+
+
 def unfinished(df: DataFrame, done: DataFrame, key: str = "input") -> DataFrame:
     """What an append-only sink lacks."""
     return df.join(done.select(key).distinct(), key, "left_anti")
