@@ -1,26 +1,29 @@
-"""Quality by perplexity: interpolated modified Kneser-Ney models of trusted text, one for each language.
+"""Quality by perplexity: interpolated modified Kneser-Ney models of characters, one for each language with trusted text.
 
-A model's symbols are classes of bytes (letters, blanks, breaks, digits, marks, lead and continuation bytes), so an
-n-gram of ORDER symbols is a number below 2**20 and counts of any amount of text stay bounded; each task sends its sums.
-Counts come from all trusted text. They are sharded by language and n-gram; continuation counts, context totals and
-discounts are aggregations of them, and joins on the context turn counts into discounted shares and back-off weights.
-What reaches the driver is at most 2**20 shares a model; laid out as dense tables of log2 probabilities (4 MB each), they
-go to the tasks, where a document's perplexity is a lookup at each byte. Languages are taken in rounds of LANGUAGES, so
-their number is not bounded by memory; a round reads the documents of its languages only.
+A model's symbols are the code points of the lower-cased text, digits as one, so every script is spelled out; its n-grams are
+strings of up to ORDER of them. Counts come from all trusted text that isn't held out, whatever their number: tasks send sums
+of their distinct n-grams, and continuation counts, context totals, discounts, back-off weights and the interpolated
+probability of every n-gram seen are aggregations and joins of these counts in Spark.
 
-Each language with trusted text has its own model and threshold, the QUANTILE of its trusted documents' perplexities (a
-mergeable sketch). All other documents share the model of all trusted text, whose threshold is the same quantile of all
-trusted documents scored by it. A language with fewer than 1 / (1 - QUANTILE) trusted documents rejects what is worse than
-its worst one.
+Documents meet the counts in a sharded join. They are dealt into blocks of about BLOCK characters; a block asks once for each of
+its distinct n-grams and contexts, by 64-bit keys. Requests and models are dealt by ranges of the key (shards), and each shard
+answers with the probabilities that it knows, in the order asked. Answers meet their block's documents, whose exchange serves both
+times, and every position of a text takes the longest n-gram known, backed off by the weights of its contexts. No table reaches the
+driver or is broadcast.
+
+One in HELD_OUT trusted documents (by crc32 of the id) trains nothing. A language's threshold is the QUANTILE of their perplexities, or of all its trusted ones where none is held out. Documents of other languages share the model of all trusted text, '',
+whose threshold is the same quantile of all held-out documents scored by it; it is made only if there are such documents.
 
 Defined results: a document without text has no perplexity and is not kept; rows of labels with a null id or quality count
-not, repeated ones count as trusted if one is; without trusted text, every text is kept with no perplexity; repeated rows
-are scored one by one. Other columns are not read.
+not, repeated ones count as trusted if one is; without trusted text to train on, every text is kept with no perplexity; repeated rows
+are scored one by one; texts are scored in slices, so their length is bounded by what a row may hold. Two of N keys collide with
+a probability of N**2 / 2**65. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,39 +31,124 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing as H
-from ._runtime import pieces, ship, utf8, written
+from ._runtime import parts, release, ship, tidy, written
 
-ORDER, WIDTH, LANGUAGES, QUANTILE = 4, 5, 8, 0.95
-SYMBOLS = 1 << WIDTH
+ORDER, QUANTILE, HELD_OUT = 4, 0.99, 5
+#: Characters of a block of documents, about; positions that numpy works on at once; n-grams that a task sums up before it sends them.
+BLOCK, SLICE, SUMS = 16_000_000, 1 << 19, 1 << 18
+#: Bytes of requests that one shard answers, about.
+SHARD = 1 << 25
 #: Label rows that are broadcast to pick trusted texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-BLANK, BREAK, DIGIT, MARK, LEAD, REST = 27, 28, 29, 30, 31, 0
-POOLED = ""
+POOLED, PAD = "", "\n"
+WEIGHTS = [np.uint64(pow(int(H.BASE), k, 1 << 64)) for k in range(ORDER)]
+
+
+# Keys
+
+
+def _salt(model: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(model.encode(), digest_size=8).digest(), "little"))
+
 
+def _symbols(codes: np.ndarray) -> np.ndarray:
+    return H.mix(codes.astype(np.uint64) + np.uint64(1))
 
-def _classes() -> np.ndarray:
-    out = np.full(256, MARK, np.int32)
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    out[ord("0") : ord("9") + 1] = DIGIT
-    out[[9, 32]], out[[10, 11, 12, 13]] = BLANK, BREAK
-    out[128:192], out[192:] = REST, LEAD
-    return out
 
+def _key(sums: np.ndarray, salt, kind: int) -> np.ndarray:
+    """kind: k > 0 an n-gram of k symbols, -k the context of one, 0 the model itself."""
+    return H.mix(sums + H.mix(salt + np.uint64(kind & 0xFF)))
 
-CLASSES = _classes()
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in the keys' order, and which of them each key is: one sort of numbers that hold a key's head and its place."""
+    n = len(keys)
+    low = np.uint64(max(1, (n - 1).bit_length()))
+    both = (keys >> low << low) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    place, head = (both & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), both >> low
+    new = np.ones(n, bool)
+    new[1:] = head[1:] != head[:-1]
+    which = np.empty(n, np.int32)
+    which[place] = np.cumsum(new, dtype=np.int32) - 1
+    first = place[new]
+    if (keys[first][which] != keys).any():  # two keys with one head
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    return first, which.astype(np.int32, copy=False)
+
+
+class Grams:
+    """Distinct n-grams of ORDER symbols of some texts, by key: symbols, last one first, and the salt of the model."""
+
+    def __init__(self, keys: np.ndarray, codes: np.ndarray, salt: np.ndarray):
+        first, self.which = distinct(keys)
+        self.first, self.keys, self.codes, self.salt = first, keys[first], codes[first], salt[first]
+
+    def kinds(self) -> dict[int, np.ndarray]:
+        """The keys of all that the n-grams need, by kind."""
+        symbols, none = _symbols(self.codes), np.zeros(len(self.keys), np.uint64)
+        out = {ORDER: self.keys, 0: _key(none, self.salt, 0), -1: _key(none, self.salt, -1)}
+        gram, context = none, none
+        for k in range(1, ORDER):
+            gram = gram + symbols[:, k - 1] * WEIGHTS[k - 1]
+            context = context + symbols[:, k] * WEIGHTS[k - 1]
+            out[k], out[-k - 1] = _key(gram, self.salt, k), _key(context, self.salt, -k - 1)
+        return out
+
+
+class Slice(Grams):
+    """Positions of texts that numpy works on at once: which of the distinct n-grams ends at each, and where texts begin."""
+
+    def __init__(self, codes: np.ndarray, at: np.ndarray, own: np.ndarray, salts: np.ndarray):
+        first = at[0] - ORDER + 1
+        codes, at = codes[first : at[-1] + 1], at - first
+        symbols, salt = _symbols(codes), salts[own]
+        sums = symbols[at]
+        for k in range(1, ORDER):
+            sums = sums + symbols[at - k] * WEIGHTS[k]
+        keys = _key(sums, salt, ORDER)
+        some, self.which = distinct(keys)
+        spot = at[some]
+        self.keys, self.salt, self.codes = keys[some], salt[some], np.stack([codes[spot - k] for k in range(ORDER)], axis=1)
+        self.owner, self.count = own[some], np.bincount(self.which, minlength=len(some))
+        self.starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        self.texts, self.sizes = own[self.starts], np.diff(self.starts, append=len(own))
+
+
+def merged(parts_: Iterable[Slice]) -> Grams:
+    """The distinct n-grams of slices."""
+    found = [(p.keys, p.codes, p.salt) for p in parts_]
+    if not found:
+        return Grams(np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.uint64))
+    return Grams(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-def ngrams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte; a text begins after breaks."""
-    codes = CLASSES[H.lower_ascii(data)]
-    out = codes.copy()
-    place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
-    for k in range(1, ORDER):
-        before = np.full(len(data), BREAK, np.int32)
-        before[k:] = codes[:-k] if len(data) > k else codes[:0]
-        before[place < k] = BREAK
-        out |= before << (WIDTH * k)
-    return out
+
+def slices(texts: list[str], salts: np.ndarray) -> Iterator[Slice]:
+    """All positions of texts; a text begins after ORDER - 1 breaks."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
+            size += len(texts[to])
+            to += 1
+        low = [t.lower() for t in texts[at:to]]
+        codes = np.frombuffer("".join([PAD * (ORDER - 1) + t for t in low]).encode("utf-32-le"), np.uint32).copy()
+        codes[(codes >= 48) & (codes <= 57)] = 48
+        length = np.array([len(t) for t in low])
+        ends = np.cumsum(length)
+        for a in range(0, int(ends[-1]), SLICE):
+            place = np.arange(a, min(a + SLICE, int(ends[-1])))
+            own = np.searchsorted(ends, place, side="right")
+            yield Slice(codes, place + (own + 1) * (ORDER - 1), own + at, salts)
+        at = to
+
+
+def _models(names: list[str]) -> np.ndarray:
+    known = {m: _salt(m) for m in set(names)}
+    return np.array([known[m] for m in names], np.uint64)
+
+
+# Counts
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -68,140 +156,198 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
 
 
-def _trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
-    ids = written(ids, "trusted-ids")
-    return _texts(documents).join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id, held_out of the trusted documents; written."""
+    ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q")).where("q = 1")
+    return written(ids.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0).alias("held_out")), "trusted-ids")
 
 
-def counts(texts: DataFrame, languages: list[str]) -> DataFrame:
-    """model, g, c: how often each n-gram occurs in texts(doc_id, text, lang), for languages and for all of them."""
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+
+
+def counts(texts: DataFrame, pooled: bool) -> DataFrame:
+    """model, g, c: how often each n-gram of ORDER symbols occurs in texts(text, lang), for each language and, if pooled, for all; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-
-        def emptied() -> Iterator[pa.RecordBatch]:
-            for model, c in sums.items():
-                g = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([model] * len(g)), pa.array(g.astype(np.int32)), pa.array(c[g])], ["model", "g", "c"])
-            sums.clear()
-
-        for piece in pieces(batches):
-            data, at = utf8(piece.column(1))
-            grams = ngrams(data, at)
-            lang = np.array(piece.column(2).to_pylist(), object)
-            for model in set(lang.tolist()):
-                own = np.repeat(lang == model, np.diff(at))
-                found = np.bincount(grams[own], minlength=1 << (WIDTH * ORDER))
-                for key in {model if model in languages else POOLED, POOLED}:
-                    sums[key] = sums[key] + found if key in sums else found
-                if len(sums) > LANGUAGES + 1:
-                    yield from emptied()
-        yield from emptied()
-
-    return written(texts.mapInArrow(run, "model string, g int, c long").groupBy("model", "g").agg(F.sum("c").alias("c")), "ngram-counts")
-
-
-def shares(level: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """Of counts (model, g, c) of one order: discounted shares (model, k, g, x) and back-off weights (model, k, g: context, x)."""
+        found: dict[tuple[str, bytes], int] = {}
+        for batch in batches:
+            tidy()
+            text, lang = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in slices(text, _models(lang)):
+                raw, size = np.ascontiguousarray(part.codes[:, ::-1]).tobytes(), 4 * ORDER
+                for k, (own, c) in enumerate(zip(part.owner.tolist(), part.count.tolist(), strict=True)):
+                    key = lang[own], raw[k * size : (k + 1) * size]
+                    found[key] = found.get(key, 0) + c
+                if len(found) > SUMS:
+                    yield sent(found)
+                    found = {}
+        if found:
+            yield sent(found)
+
+    def sent(found: dict) -> pa.RecordBatch:
+        columns = [pa.array([m for m, _ in found]), pa.array([g.decode("utf-32-le") for _, g in found]), pa.array(list(found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["model", "g", "c"])
+
+    rows = texts.select("text", "lang").mapInArrow(run, "model string, g string, c long")
+    own = rows.groupBy("model", "g").agg(F.sum("c").alias("c"))
+    if pooled:  # from the languages' sums; texts of no language count here only
+        own = written(own, "ngrams-by-language")
+        own = own.where(F.col("model") != POOLED).unionAll(own.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("model"), "g", "c"))
+    return written(own.where(F.lit(pooled) | (F.col("model") != POOLED)), "ngram-counts")
+
+
+def levels(top: DataFrame) -> list[DataFrame]:
+    """Counts (model, g, c) of order 1 to ORDER: below the highest, of the distinct symbols before."""
+    out = [top]
+    for _ in range(ORDER - 1):
+        out.append(written(out[-1].groupBy("model", F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("c")), "continuations"))
+    return out[::-1]
+
+
+def weighted(level: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """Of counts (model, g, c): discounted shares (model, g, share), and back-off weights (model, context, weight)."""
     n = [F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
-    ratio = lambda a, b: F.try_divide(a, b)
-    d = [k - (k + 1) * y * ratio(f"n{k + 1}", f"n{k}") for k in (1, 2, 3)]
+    d = [k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}") for k in (1, 2, 3)]
     bounded = [F.greatest(F.lit(0.0), F.least(F.coalesce(x, F.lit(0.75)), F.lit(float(k)))).alias(f"d{k}") for k, x in enumerate(d, 1)]
-    discounts = level.groupBy("model").agg(*n).select("model", *bounded)
+    discounts = level.groupBy("model").agg(*n).select("model", *bounded)  # a row a model
     own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = level.join(F.broadcast(discounts), "model").withColumn("d", F.least(own, F.col("c"))).withColumn("context", F.shiftright("g", WIDTH))  # LANGUAGES + 1 rows
+    rows = level.join(discounts, "model").withColumn("d", F.least(own, F.col("c"))).withColumn("context", F.expr(f"substring(g, 1, {order - 1})"))
     contexts = rows.groupBy("model", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight"))
-    seen = rows.join(contexts, ["model", "context"]).select("model", F.lit(order).alias("k"), "g", ((F.col("c") - F.col("d")) / F.col("total")).alias("x"))
-    return seen, contexts.select("model", F.lit(-order).alias("k"), F.col("context").alias("g"), F.col("weight").alias("x"))
-
-
-def models(grams: DataFrame) -> dict[str, np.ndarray]:
-    """log2 probabilities of every n-gram's last symbol, for each model of counts (model, g, c)."""
-    level, parts_ = grams, []
-    for order in range(ORDER, 0, -1):
-        parts_ += shares(level, order)
-        lower = (1 << (WIDTH * (order - 1))) - 1
-        level = level.groupBy("model", F.col("g").bitwiseAND(F.lit(lower)).alias("g")).agg(F.count("*").alias("c"))
-    rows = parts_[0]
-    for x in parts_[1:]:
+    shares = rows.join(contexts, ["model", "context"]).select("model", "context", "g", ((F.col("c") - F.col("d")) / F.col("total")).alias("share"), "weight")
+    return shares, contexts.select("model", "context", "weight")
+
+
+def probabilities(top: DataFrame) -> DataFrame:
+    """model, kind, g, value: of every n-gram of k symbols seen its probability (kind k), of every context its weight (-k), of a model the
+    probability of a symbol of which nothing is known (0)."""
+    below, out = None, []
+    for order, level in enumerate(levels(top), 1):
+        shares, contexts = weighted(level, order)
+        if below is None:  # all seen symbols, and one for what is not
+            below = level.groupBy("model").agg((1 / (F.count("*") + 1)).alias("p"))
+            out.append(below.select("model", F.lit(0).alias("kind"), F.lit("").alias("g"), F.col("p").alias("value")))
+            own = shares.join(below, "model")
+        else:
+            own = shares.withColumn("suffix", F.expr("substring(g, 2)")).join(below.withColumnRenamed("g", "suffix"), ["model", "suffix"])
+        below = written(own.select("model", "g", (F.col("share") + F.col("weight") * F.col("p")).alias("p")), "probabilities")
+        out.append(below.select("model", F.lit(order).alias("kind"), "g", F.col("p").alias("value")))
+        out.append(contexts.select("model", F.lit(-order).alias("kind"), F.col("context").alias("g"), F.col("weight").alias("value")))
+    rows = out[0]
+    for x in out[1:]:
         rows = rows.unionAll(x)
-    table = written(rows, "ngram-shares").toArrow()
-    name, k, g, x = np.array(table.column("model").to_pylist(), object), *(table.column(c).to_numpy() for c in ("k", "g", "x"))
-    out = {}
-    for model in sorted(set(name.tolist())):
-        p = np.full(1, 1 / SYMBOLS)
-        for order in range(1, ORDER + 1):
-            weight = np.ones(1 << (WIDTH * (order - 1)))
-            own = (name == model) & (k == -order)
-            weight[g[own]] = x[own]
-            p = np.tile(p.reshape(-1, SYMBOLS) if order > 1 else np.repeat(p, SYMBOLS)[None], (SYMBOLS if order > 1 else 1, 1)) * weight[:, None]
-            p = p.ravel()
-            own = (name == model) & (k == order)
-            p[g[own]] += x[own]
-        out[model] = np.log2(np.maximum(p, 1e-12)).astype(np.float32)
-    return out
+    return rows
 
 
-def _languages(trusted: DataFrame) -> list[str]:
-    """The languages with trusted text, most first."""
-    sizes = trusted.where(F.col("lang") != POOLED).groupBy("lang").agg(F.sum(F.length("text")).alias("n")).where("n > 0")
-    return [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").collect()]  # a row a language
-
-
-def trained(documents: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    """All models at once, for few languages; ``scored`` takes them in rounds."""
-    trusted = _trusted(documents, labels)
-    return models(counts(trusted, _languages(trusted)))
-
-
-def perplexities(documents: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, lang, model, n_bytes, perplexity of each row."""
-    known = documents.sparkSession.sparkContext.broadcast(tables)
+def _keyed(table: DataFrame, bits: int) -> DataFrame:
+    """shard, key, value of probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            data, at = utf8(piece.column(1))
-            grams, lang = ngrams(data, at), piece.column(2).to_pylist()
-            model = [x if x in known.value else POOLED for x in lang]
-            bits, names, size = np.zeros(len(data), np.float64), np.array(model, object), np.diff(at)
-            for m in set(model) & known.value.keys():
-                own = np.repeat(names == m, size)
-                bits[own] = known.value[m][grams[own]]
-            sums = np.zeros(len(data) + 1)
-            np.cumsum(bits, out=sums[1:])
-            value = np.exp2(-(sums[at[1:]] - sums[at[:-1]]) / np.maximum(size, 1))
-            columns = [piece.column(0), pa.array(model), pa.array(size), pa.array(value, mask=(size == 0) | (not known.value))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "model", "n_bytes", "perplexity"])
-
-    return _texts(documents).mapInArrow(run, "doc_id long, model string, n_bytes long, perplexity double")
-
-
-def _limits(trusted: DataFrame, tables: dict[str, np.ndarray]) -> dict[str, float]:
-    """The threshold of each model: of a language's, from its trusted documents; of the shared one, from all of them."""
-    own = trusted.where(F.col("lang").isin([x for x in tables if x != POOLED]))
-    if POOLED in tables:
-        own = own.unionAll(trusted.withColumn("lang", F.lit(POOLED)))
-    rows = perplexities(own, tables).groupBy("model").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("limit")).collect()  # a row a model
-    return {r["model"]: r["limit"] for r in rows if r["limit"] is not None}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            salt, kind, text = _models(batch.column(0).to_pylist()), batch.column(1).to_numpy(), np.array(batch.column(2).to_pylist() + [None], object)[:-1]
+            keys = np.zeros(batch.num_rows, np.uint64)
+            for k in np.unique(kind).tolist():
+                own, size = np.flatnonzero(kind == k), k if k >= 0 else -k - 1
+                sums = np.zeros(len(own), np.uint64)
+                if size:
+                    symbols = _symbols(np.frombuffer("".join(text[own]).encode("utf-32-le"), np.uint32).reshape(-1, size))
+                    for j in range(size):
+                        sums += symbols[:, size - 1 - j] * WEIGHTS[j]
+                keys[own] = _key(sums, salt[own], k)
+            columns = [pa.array((keys >> np.uint64(64 - bits)).astype(np.int64)), pa.array(keys.view(np.int64)), batch.column(3).cast(pa.float32())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "value"])
+
+    return table.mapInArrow(run, "shard long, key long, value float")
+
+
+# The join of documents with the counts
+
+
+def _asked(kinds: dict[int, np.ndarray]) -> np.ndarray:
+    """All keys, each once, sorted."""
+    keys = np.sort(np.concatenate(list(kinds.values())))
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def perplexities(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, again, model, n_chars, perplexity of each row of texts(doc_id, again, text, model); written."""
+    spark = texts.sparkSession
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK))
+    bits = max(4, (max(parts(spark), total // SHARD) - 1).bit_length())  # requests are about a byte a character
+    dealt = texts.select("doc_id", "again", "text", "model", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(blocks)).alias("block"))
+
+    def ask(rows: pa.Table) -> pa.Table:
+        tidy()
+        keys = _asked(merged(slices(rows.column("text").to_pylist(), _models(rows.column("model").to_pylist()))).kinds())
+        shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        blobs = [keys[a:b].tobytes() for a, b in zip(start.tolist(), [*start[1:].tolist(), len(keys)], strict=False)]
+        return pa.table({"block": pa.array(np.full(len(start), rows.column("block")[0].as_py())), "shard": pa.array(shard[start]), "keys": pa.array(blobs, pa.binary())})
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        tidy()
+        own, value = known.column("key").to_numpy().view(np.uint64), known.column("value").to_numpy()
+        order = np.argsort(own)
+        own, value = own[order], value[order]
+        out = []
+        for blob in asked.column("keys"):
+            keys = np.frombuffer(blob.as_buffer(), np.uint64)
+            at = np.minimum(np.searchsorted(own, keys), max(0, len(own) - 1))
+            out.append(np.where(own[at] == keys, value[at], np.float32(np.nan)).astype(np.float32).tobytes() if len(own) else np.full(len(keys), np.nan, np.float32).tobytes())
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "answers": pa.array(out, pa.binary())})
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        tidy()
+        text, model = rows.column("text").to_pylist(), rows.column("model").to_pylist()
+        salts = _models(model)
+        parts_ = list(slices(text, salts)) if sum(map(len, text)) <= 2 * BLOCK else None  # else once more: a very long text
+        grams = merged(parts_ or slices(text, salts))
+        kinds = grams.kinds()
+        keys = _asked(kinds)
+        shards = np.argsort(answers.column("shard").to_numpy())
+        value = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(answers.column("answers")[k].as_buffer(), np.float32) for k in shards.tolist())]).astype(np.float64)
+        if len(value) != len(keys):
+            raise ValueError(f"a block asked for {len(keys)} keys and got {len(value)} answers")
+        known = {kind: value[np.searchsorted(keys, own)] for kind, own in kinds.items()}
+        p = known[0]
+        for k in range(1, ORDER + 1):
+            p = np.where(np.isnan(known[k]), np.where(np.isnan(known[-k]), 1.0, known[-k]) * p, known[k])
+        log, bits_, n = np.log2(p), np.zeros(len(text)), np.zeros(len(text), np.int64)
+        for part in parts_ or slices(text, salts):
+            own = log[np.searchsorted(grams.keys, part.keys)][part.which]
+            np.add.at(bits_, part.texts, np.add.reduceat(own, part.starts))
+            np.add.at(n, part.texts, part.sizes)
+        result = np.exp2(-bits_ / np.maximum(n, 1))
+        return pa.table({"doc_id": rows.column("doc_id"), "again": rows.column("again"), "model": rows.column("model"), "n_chars": pa.array(n), "perplexity": pa.array(result, mask=(n == 0) | np.isnan(result))})
+
+    asked = dealt.groupBy("block").applyInArrow(ask, "block long, shard long, keys binary")
+    answers = asked.groupBy("shard").cogroup(_keyed(table, bits).groupBy("shard")).applyInArrow(answer, "block long, shard long, answers binary")
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, again boolean, model string, n_chars long, perplexity double")
+    out = written(out, "perplexities")
+    release(spark)
+    return out
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, model (its language, or '' for the shared one), n_bytes, perplexity, threshold, kept of each row."""
+    """doc_id, model (its language, or '' for the shared one), n_chars, perplexity, threshold, kept of each row."""
     ship(documents.sparkSession)
-    trusted, texts = _trusted(documents, labels), _texts(documents)
-    languages = _languages(trusted)
-    grams = counts(trusted, languages)
-    out = None
-    for at in range(0, max(1, len(languages)), LANGUAGES):
-        own = languages[at : at + LANGUAGES]
-        tables = models(grams.where(F.col("model").isin([*own, *([] if at else [POOLED])])))
-        limit = F.lit(None).cast("double")
-        for model, x in _limits(trusted, tables).items():
-            limit = F.when(F.col("model") == model, F.lit(x)).otherwise(limit)
-        mine = F.col("lang").isin(own) if at else ~F.col("lang").isin(languages[LANGUAGES:])
-        rows = perplexities(texts.where(mine), tables).withColumn("threshold", limit)
-        rows = written(rows, "perplexities") if len(languages) > LANGUAGES else rows
-        out = rows if out is None else out.unionAll(rows)
-    return out.withColumn("kept", (F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    texts, ids = _texts(documents), trusted_ids(labels)
+    trains = _of(texts, ids.where("not held_out").select("doc_id"))
+    own = trains.where((F.col("lang") != POOLED) & (F.col("text") != "")).select("lang").distinct()
+    languages = written(own, "languages").withColumn("model", F.col("lang"))
+    pooled = not texts.select("lang").join(languages, "lang", "left_anti").isEmpty()
+    table = written(probabilities(counts(trains, pooled)), "model")
+    release(documents.sparkSession)  # shuffles of the counts
+    known = texts.join(languages, "lang", "left").select("doc_id", F.lit(False).alias("again"), "text", F.coalesce("model", F.lit(POOLED)).alias("model"))
+    if pooled:  # the shared model's threshold: held-out texts of the others once more
+        held = _of(texts, ids.where("held_out").select("doc_id")).join(languages, "lang", "left_semi")
+        known = known.unionAll(held.select("doc_id", F.lit(True), "text", F.lit(POOLED)))
+    rows = perplexities(known, table)
+    quantile = lambda of: F.percentile_approx(F.when(of, F.col("perplexity")), QUANTILE, 10_000)
+    limits = rows.join(ids, "doc_id").groupBy("model").agg(F.coalesce(quantile(F.col("held_out")), quantile(~F.col("again"))).alias("threshold"))  # a row a model
+    out = rows.where("not again").drop("again").join(limits, "model", "left").select("doc_id", "model", "n_chars", "perplexity", "threshold")
+    return out.withColumn("kept", (F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
