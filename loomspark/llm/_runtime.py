@@ -36,19 +36,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder URI below spark.checkpoint.dir, or what SparkContext.setCheckpointDir names. Without either a local master, whose
+    tasks run where the driver does, gets a temporary folder; on a cluster that is an error, because executors would not see each other's files."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "loomspark-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder: what follows starts from the files, not from df's lineage."""
+    """The rows of df, written once to the shared folder: what follows starts from the files, not from df's lineage. They go when the driver ends."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
