@@ -10,7 +10,7 @@ before they are joined, so a first turn or a conversation that a third of the lo
 rendered text of a kept conversation is gathered, because it is one value.
 
 Defined results: turns are ordered by (turn, role, text); null turn is -1, null role and text are empty; repeated rows
-count once; a null conv_id is a conversation like any other and the smallest id. Other columns are not read.
+count once; rows without a conv_id belong to no conversation and are left out. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ SUMS = ["s0", "s1", "s2", "s3"]
 
 
 def turns(log: DataFrame) -> DataFrame:
-    return log.select(
+    return log.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
@@ -47,7 +47,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = steps.groupBy("conv_id", "block").agg(*(F.sum(v).alias(v) for v in values))
     blocks = blocks.select("conv_id", "block", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(v) for v in values)).alias("b")
-    same = F.col("i.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("i.block") == F.col("b.block"))
+    same = (F.col("i.conv_id") == F.col("b.conv_id")) & (F.col("i.block") == F.col("b.block"))
     return inner.join(blocks, same).select("i.conv_id", "i.turn", *((F.col(f"i.{v}") + F.col(f"b.{v}")).alias(v) for v in values))
 
 
@@ -58,7 +58,7 @@ def maximal(rows: DataFrame) -> DataFrame:
     last = rolled.groupBy("conv_id").agg(F.max(F.struct("turn", *key)).alias("m")).select("conv_id", "m.*")
     distinct = last.groupBy(*key).agg(F.min(F.struct("conv_id")).alias("m"), F.count("*").alias("n_copies")).select("m.conv_id", *key, "n_copies")
     p, t = rolled.alias("p"), last.select("conv_id", F.col("n").alias("total")).alias("t")
-    proper = p.join(t, F.col("p.conv_id").eqNullSafe(F.col("t.conv_id")) & (F.col("p.n") < F.col("t.total"))).select(*(f"p.{k}" for k in key)).distinct()
+    proper = p.join(t, (F.col("p.conv_id") == F.col("t.conv_id")) & (F.col("p.n") < F.col("t.total"))).select(*(f"p.{k}" for k in key)).distinct()
     return distinct.join(proper, key, "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")
 
 
@@ -70,7 +70,7 @@ def rendered(log: DataFrame) -> DataFrame:
     rows = turns(log)
     kept = maximal(rows).alias("k")
     r = rows.alias("r")
-    own = r.join(kept, F.col("r.conv_id").eqNullSafe(F.col("k.conv_id")))
+    own = r.join(kept, F.col("r.conv_id") == F.col("k.conv_id"))
     joined = own.groupBy("r.conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_set(F.struct("r.turn", "r.role", "r.text"))).alias("ts"))
     piece = lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), F.replace(t["text"], F.lit("<|"), F.lit("<\\|")), F.lit("<|end|>\n"))
     return joined.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("ts", piece), "").alias("chat"))

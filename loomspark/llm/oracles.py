@@ -60,16 +60,40 @@ SELECT DISTINCT p.page_id, p.url, p.fetched_at::VARCHAR AS fetched_at, mkey AS m
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.url = m.url AND p.fetched_at = m.fetched_at AND r = 1"""
 
 CHATS = r"""
-WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS ts, max(turn) AS last FROM t GROUP BY 1),
 proper AS (SELECT DISTINCT list_filter(ts, lambda x: x.turn <= u.turn) AS ts FROM c, (SELECT DISTINCT conv_id AS id, turn FROM t) AS u WHERE u.id = conv_id AND u.turn < last),
 kept AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, ts FROM c WHERE ts NOT IN (SELECT ts FROM proper) GROUP BY ts)
 SELECT conv_id, len(ts)::BIGINT AS n_turns, n_copies,
   array_to_string(list_transform(ts, lambda x: '<|' || x.role || '|>' || chr(10) || replace(x.text, '<|', '<' || chr(92) || '|') || '<|end|>' || chr(10)), '') AS chat FROM kept"""
 
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1) USING (doc_id)"""
+
+SUBSTRINGS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM d, unnest(range(0, n - 49)) AS t(k)),
+least AS (SELECT s, min(doc_id) AS m FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, k, max(k) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w JOIN least USING (s) WHERE m < doc_id),
+named AS (SELECT doc_id, k, sum((before IS NULL OR k > before + 50)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM gone),
+runs AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM named GROUP BY doc_id, run),
+cut AS (SELECT doc_id, count(*)::BIGINT AS n_spans, sum(b - a)::BIGINT AS n_removed, list(a ORDER BY a) AS a, [0::BIGINT] || list(b ORDER BY a) AS b FROM runs GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE
+  array_to_string(list_transform(range(1, n_spans + 2), lambda i: substr(h, 2 * b[i] + 1, 2 * (coalesce(a[i], n) - b[i]))), '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
     "op1_repetition_coverage": _coverage(),
     "op2_url_lists": URL_LISTS,
+    "op3_jaccard_join": JACCARD,
     "op4_chat_collapse": CHATS,
     "op6_benchmark_decontamination": DECONTAMINATION,
+    "op7_suffix_dedup": SUBSTRINGS,
 }
