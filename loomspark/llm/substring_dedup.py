@@ -4,7 +4,7 @@ Sorting every suffix of the corpus would shuffle 50 times its size. Three passes
 
 1. Anchors. The least hash of the Q-byte strings in each 50-byte window, leftmost first, is an anchor (about one byte in
    14). Equal windows have the same anchor at the same place, so a window can only repeat if its anchor does. Anchors'
-   hashes, 4 bytes each, are counted by hash range; each range answers with a slice of a bitmap of MAP_BITS bits.
+   hashes, 4 bytes each, are counted by hash range; each range answers with a slice of a bitmap.
 2. Surroundings. Each window has one anchor; the windows of an anchor in the bitmap cover up to 100 - Q bytes, whose hash
    comes along. Where all of that stands in a smaller document too, every one of these windows repeats: the inside of a
    repeated passage needs no more. Repeats in one piece of text are settled before the shuffle. What shares at least the
@@ -17,7 +17,7 @@ Sorting every suffix of the corpus would shuffle 50 times its size. Three passes
    Before it is sorted, a segment is cut down to the strings whose 64-bit hash a second document has in the same shard,
    and of segments that are equal then, only the smallest document's is left; a passage of a third of all texts is one.
 
-Both bitmaps have a fixed size; what they can't tell apart costs work, not results. Spans to remove meet their text in one
+Both bitmaps have a bounded size; what they can't tell apart costs work, not results. Spans to remove meet their text in one
 join at the end. Hashes of 64 bits decide steps 1 and 2, so two different strings could be taken for equal with a
 probability of about 2**-64 a pair in one anchor's group. One anchor's distinct surroundings meet in one task.
 
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,10 @@ from ._runtime import parts, pieces, release, ship, tidy, utf8, written
 LENGTH, Q = 50, 24
 HALF = (LENGTH - Q + 1) // 2  # bytes that a window has before or after its anchor, at one side at least
 SEGMENT = 2 * LENGTH - Q  # the most that an anchor's windows cover
-MAP_BITS = 27
+#: Bits of a bitmap, as a power of 2: an eighth of the bytes of text, within these bounds (16 and 128 MB).
+MAP_LEAST, MAP_MOST = 27, 30
+#: Bytes of text whose anchors make one hash range, about.
+RANGE_BYTES = 1 << 25
 #: Shards of the third pass are finer by as many bits of the anchor's hash.
 FINE = 2
 #: Bytes that one suffix array covers.
@@ -182,8 +186,17 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
 # Passes
 
 
-def _bits(documents: DataFrame) -> int:
-    return max(8, (parts(documents.sparkSession) - 1).bit_length())
+class Sizes(NamedTuple):
+    """Bits of a hash that name its range, and of a bitmap's size; both follow the bytes of text."""
+
+    bits: int
+    map: int
+
+
+def sizes(documents: DataFrame) -> Sizes:
+    total = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    ranges = max(parts(documents.sparkSession), total // RANGE_BYTES)
+    return Sizes(max(8, (ranges - 1).bit_length()), min(MAP_MOST, max(MAP_LEAST, total.bit_length() - 3)))
 
 
 def _cut(part: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -202,24 +215,24 @@ def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(column)])
 
 
-def _collected(slices: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of all slices (part, bits): 2**MAP_BITS bits."""
-    out = np.zeros((1 << bits, 1 << (MAP_BITS - bits - 3)), np.uint8)
+def _collected(slices: DataFrame, of: Sizes) -> np.ndarray:
+    """The bitmap of all slices (part, bits): 2**of.map bits."""
+    out = np.zeros((1 << of.bits, 1 << (of.map - of.bits - 3)), np.uint8)
     for batch in slices.toArrow().to_batches(1):
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             out[part] = np.frombuffer(blob.as_buffer(), np.uint8)
     return out.ravel()
 
 
-def _slice(keys: np.ndarray, bits: int) -> bytes:
+def _slice(keys: np.ndarray, of: Sizes) -> bytes:
     """A part's slice, with the bit of each key's low end set."""
-    marks = np.zeros(1 << (MAP_BITS - bits), bool)
-    marks[(keys & np.uint64((1 << (MAP_BITS - bits)) - 1)).astype(np.int64)] = True
+    marks = np.zeros(1 << (of.map - of.bits), bool)
+    marks[(keys & np.uint64((1 << (of.map - of.bits)) - 1)).astype(np.int64)] = True
     return np.packbits(marks).tobytes()
 
 
-def _marked(bitmap: np.ndarray, part: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    at = (part << (MAP_BITS - bits)) | (keys & np.uint64((1 << (MAP_BITS - bits)) - 1)).astype(np.int64)
+def _marked(bitmap: np.ndarray, part: np.ndarray, keys: np.ndarray, of: Sizes) -> np.ndarray:
+    at = (part << (of.map - of.bits)) | (keys & np.uint64((1 << (of.map - of.bits)) - 1)).astype(np.int64)
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
@@ -235,9 +248,9 @@ def _freed(known, rows: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def repeated_anchors(documents: DataFrame) -> np.ndarray:
+def repeated_anchors(documents: DataFrame, of: Sizes) -> np.ndarray:
     """Pass 1: the bitmap of anchors that occur in two documents or more."""
-    bits = _bits(documents)
+    bits = of.bits
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -255,18 +268,18 @@ def repeated_anchors(documents: DataFrame) -> np.ndarray:
         tidy()
         low = np.sort(_joined(table, "low", np.uint32))
         twice = low[1:][low[1:] == low[:-1]].astype(np.uint64)
-        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([_slice(twice, bits)])})
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([_slice(twice, of)])})
 
     out = _texts(documents).mapInArrow(emit, "part int, low binary").groupBy("part").applyInArrow(count, "part int, bits binary")
-    return _collected(written(out, "anchor-bits"), bits)
+    return _collected(written(out, "anchor-bits"), of)
 
 
-def _seen(data: np.ndarray, at: np.ndarray, bitmap: np.ndarray, bits: int) -> dict[str, np.ndarray]:
+def _seen(data: np.ndarray, at: np.ndarray, bitmap: np.ndarray, of: Sizes) -> dict[str, np.ndarray]:
     """Anchors in the bitmap: hash, part, text, first and end byte of their windows; hashes of all of these bytes, of the
     anchor with HALF bytes before and with HALF bytes after (0: not in the windows). Any window has one of these halves."""
     spot, hashes, text, a, b = anchors(data, at)
-    part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    own = np.flatnonzero(_marked(bitmap, part, hashes >> np.uint64(32 - bits), bits))
+    part = (hashes >> np.uint64(64 - of.bits)).astype(np.int64)
+    own = np.flatnonzero(_marked(bitmap, part, hashes >> np.uint64(32 - of.bits), of))
     spot, hashes, part, text, a, b = (x[own] for x in (spot, hashes, part, text, a, b))
     prefix = H.Prefix(data)
     around = H.mix(prefix.span(a, b) + H.mix((spot - a).astype(np.uint64)) ^ hashes)
@@ -289,16 +302,16 @@ def _shared_halves(anchor: np.ndarray, half: np.ndarray, owner: np.ndarray) -> n
     return out
 
 
-def settle(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def settle(documents: DataFrame, bitmap: np.ndarray, of: Sizes) -> DataFrame:
     """Pass 2: rows (part, row, first, size) of surroundings that repeat as a whole, as blobs; or (part, bits) of the rest."""
-    bits = _bits(documents)
+    bits = of.bits
     known = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             data, at = utf8(piece.column(2))
             owner, row = (piece.column(k).to_numpy() for k in (0, 1))
-            x = _seen(data, at, known.value, bits)
+            x = _seen(data, at, known.value, of)
             x["owner"], x["row"] = owner[x["text"]], row[x["text"]]
             order = np.lexsort((x["owner"], x["around"], x["part"]))
             x = {k: v[order] for k, v in x.items()}
@@ -330,7 +343,7 @@ def settle(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
         several = _shared_halves(own["anchor"], own["left"], own["owner"]) | _shared_halves(own["anchor"], own["right"], own["owner"])
         rest = own["around"][several]
         spans = [np.concatenate([x[k][repeat], _joined(fixed, k, kinds[k]) if fixed.num_rows else np.zeros(0, kinds[k])]) for k in ("row", "first", "size")]
-        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([_slice(rest, bits)]), **{k: pa.array([v.tobytes()]) for k, v in zip(("row", "first", "size"), spans, strict=True)}})
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([_slice(rest, of)]), **{k: pa.array([v.tobytes()]) for k, v in zip(("row", "first", "size"), spans, strict=True)}})
 
     blobs = _texts(documents).mapInArrow(emit, "part int, around binary, owner binary, row binary, left binary, right binary, first binary, size binary, anchor binary, done boolean")
     return _freed(known, blobs.groupBy("part").applyInArrow(decide, "part int, bits binary, row binary, first binary, size binary"), "settled")
@@ -359,17 +372,17 @@ def _with_repeats(raw: np.ndarray, off: np.ndarray, row: np.ndarray, owner: np.n
     return raw, row[own], owner[own], (first[own] + low).astype(np.uint32), size
 
 
-def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray) -> DataFrame:
+def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray, of: Sizes) -> DataFrame:
     """Pass 3: rows (part, row, first, size) of repeated strings at the rims of passages, as blobs."""
-    bits = _bits(documents)
+    bits = of.bits
     known = documents.sparkSession.sparkContext.broadcast((bitmap, rims))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             data, at = utf8(piece.column(2))
             owner, row = (piece.column(k).to_numpy() for k in (0, 1))
-            x = _seen(data, at, known.value[0], bits)
-            own = _marked(known.value[1], x["part"], x["around"], bits)
+            x = _seen(data, at, known.value[0], of)
+            own = _marked(known.value[1], x["part"], x["around"], of)
             x = {k: v[own] for k, v in x.items()}
             order = np.lexsort((owner[x["text"]], x["around"], x["part"]))
             new = np.ones(len(order), bool)
@@ -442,13 +455,14 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray) -> Dat
 def spans(documents: DataFrame) -> DataFrame:
     """row (a hash of id and text), spans (u32 first and end of each maximal run to remove, sorted) of the rows that lose bytes."""
     spark = documents.sparkSession
-    bits = _bits(documents)
-    bitmap = repeated_anchors(documents)
+    of = sizes(documents)
+    bits = of.bits
+    bitmap = repeated_anchors(documents, of)
     release(spark)
-    settled = settle(documents, bitmap)
-    rims = _collected(settled.select("part", "bits"), bits)
+    settled = settle(documents, bitmap, of)
+    rims = _collected(settled.select("part", "bits"), of)
     release(spark)
-    sorted_ = sort_rims(documents, bitmap, rims)
+    sorted_ = sort_rims(documents, bitmap, rims, of)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
