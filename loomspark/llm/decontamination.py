@@ -40,17 +40,18 @@ def _key(of: Column, at: Column, n: int) -> Column:
     return F.xxhash64(*(F.get(of, at + k) for k in range(n)))
 
 
-def windows(benchmark: DataFrame) -> DataFrame:
-    """item (string), window (its words), size, n (words in a shingle) of each distinct window."""
+def occurrences(benchmark: DataFrame) -> DataFrame:
+    """item (string), window (its words), wid (the window's hash), size, n (words in a shingle) of each window of each item; written."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
     size = F.least(F.lit(WINDOW), F.size("w"))
     start = F.explode(F.sequence(F.lit(1), F.size("w") - size + 1))
     rows = items.where(F.size("w") > 0).select("item", "w", size.alias("size"), start.alias("i"))
-    return rows.select("item", F.slice("w", F.col("i"), F.col("size")).alias("window"), "size", F.least(F.lit(SHINGLE), "size").alias("n")).distinct()
+    rows = rows.select("item", F.slice("w", F.col("i"), F.col("size")).alias("window"), "size", F.least(F.lit(SHINGLE), "size").alias("n"))
+    return written(rows.withColumn("wid", F.xxhash64("window")).distinct(), "benchmark-windows")
 
 
 def _shingles(wins: DataFrame, n: int) -> DataFrame:
-    """Every shingle of the windows whose shingles have n words: item, window, size, offset, key."""
+    """Every shingle of the windows whose shingles have n words: wid, window, size, offset, key."""
     rows = wins.where(F.col("n") == n).withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("size") - n)))
     return rows.withColumn("key", _key(F.col("window"), F.col("offset"), n))
 
@@ -62,47 +63,50 @@ def _positions(documents: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("key", _key(F.col("w"), F.col("pos"), n))
 
 
-def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text_hash, start, size, item of each occurrence of a window in a text."""
+def hits(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text_hash, start, size, wid of each occurrence in a text of a distinct window of known, as occurrences has them."""
     found = []
-    wins = written(windows(benchmark), "benchmark-windows")
+    wins = written(known.groupBy("wid", "size", "n").agg(F.first("window").alias("window")), "distinct-windows")
     counts = wins.groupBy("n").count().collect()  # a row for each length of a shingle: five at most
     for n, total in sorted((r["n"], r["count"]) for r in counts):
         blocks = -(-total // BLOCK_WINDOWS)
         for block in range(blocks):
-            own = wins.where(F.pmod(F.xxhash64("item", "window"), F.lit(blocks)) == block) if blocks > 1 else wins
+            own = wins.where(F.pmod("wid", F.lit(blocks)) == block) if blocks > 1 else wins
             shingles = _shingles(own, n)
             seen = _positions(documents, n).join(F.broadcast(shingles.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("n_seen"))
             rarity = written(seen, "shingle-counts")
-            order = Window.partitionBy("item", "window").orderBy(F.coalesce("n_seen", F.lit(0)), "offset")
+            order = Window.partitionBy("wid").orderBy(F.coalesce("n_seen", F.lit(0)), "offset")
             prefix = shingles.join(rarity, "key", "left").withColumn("rank", F.row_number().over(order)).where("rank = 1 and n_seen is not null")
-            prefix = prefix.select("key", "item", "window", "size", "offset")
+            prefix = prefix.select("key", "wid", "window", "size", "offset")
             text = _positions(documents, n).alias("t")
             fits = (F.col("t.pos") >= F.col("p.offset")) & (F.col("t.pos") - F.col("p.offset") + F.col("p.size") <= F.size("t.w"))
             same = F.slice("t.w", F.greatest(F.col("t.pos") - F.col("p.offset") + 1, F.lit(1)), F.col("p.size")) == F.col("p.window")
             joined = text.join(F.broadcast(prefix.alias("p")), (F.col("t.key") == F.col("p.key")) & fits & same)
-            found.append(joined.select("doc_id", "text_hash", (F.col("t.pos") - F.col("p.offset")).alias("start"), "size", "item"))
+            found.append(joined.select("doc_id", "text_hash", (F.col("t.pos") - F.col("p.offset")).alias("start"), "size", "wid"))
     if not found:
-        empty = "doc_id long, text_hash long, start int, size int, item string"
+        empty = "doc_id long, text_hash long, start int, size int, wid long"
         return documents.sparkSession.createDataFrame([], empty)
     return reduce(DataFrame.unionAll, found)
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """n_hit and items (sorted strings) of each text with hits."""
+def summary(found: DataFrame, known: DataFrame) -> DataFrame:
+    """n_hit and items (sorted strings) of each text with hits: positions by window, items after."""
     row = ["doc_id", "text_hash"]
     ends = F.max(F.col("start") + F.col("size"))
     before = Window.partitionBy(*row).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    spans = found.groupBy(*row, "start").agg(ends.alias("end"), F.collect_set("item").alias("items"))
+    spans = found.groupBy(*row, "start").agg(ends.alias("end"))
     fresh = F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0)))
     spans = spans.withColumn("fresh", F.greatest(fresh, F.lit(0)))
-    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
-    return spans.groupBy(*row).agg(F.sum("fresh").alias("n_hit"), items.alias("items"))
+    sizes = spans.groupBy(*row).agg(F.sum("fresh").alias("n_hit")).alias("s")
+    met = found.select(*row, "wid").distinct().join(known.select("wid", "item"), "wid").groupBy(*row).agg(F.array_sort(F.collect_set("item")).alias("items")).alias("m")
+    same = F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("s.text_hash") == F.col("m.text_hash"))
+    return sizes.join(met, same).select("s.doc_id", "s.text_hash", "n_hit", "items")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of documents."""
-    found = written(summary(hits(documents, benchmark)), "contaminated-texts").alias("f")
+    known = occurrences(benchmark)
+    found = written(summary(written(hits(documents, known), "window-hits"), known), "contaminated-texts").alias("f")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words")).alias("d")
     joined = rows.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash") == F.col("f.text_hash")), "left")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
@@ -118,6 +122,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents without a hit, with their own columns."""
-    found = written(hits(documents, benchmark).select("doc_id", "text_hash").distinct(), "contaminated-texts").alias("f")
+    found = written(hits(documents, occurrences(benchmark)).select("doc_id", "text_hash").distinct(), "contaminated-texts").alias("f")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.text_hash"))
     return documents.alias("d").join(found, same, "left_anti")
