@@ -4,8 +4,9 @@ A list entry says from when on a key (a host, a domain above it, or a host with
 allowed. Entries become validity intervals, closed by the next entry of the same key; an as-of join evaluates each
 capture against the intervals that hold when it was fetched, and the most specific key decides.
 
-A capture's keys and its identity are shuffled, nothing else of the page. A key may hold any share of the captures:
-captures are dealt to SALTS tasks a key and the list, which is small beside them, is repeated for each.
+A capture's keys and its identity are shuffled, nothing else of the page; captures and intervals of a key are sorted by time, and
+each capture takes the interval before it. A key may hold any share of the captures: one with more than HEAVY is dealt to a
+group for each HEAVY of them, with its intervals repeated there; other keys are not salted.
 
 Defined results: two entries of a key at one time count as blocked if one of them blocks; entries without a key or a
 time are void, as are captures' keys where the URL has no host; a capture without a time meets no interval; both are
@@ -17,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+#: Captures that a key has in one group, about.
+HEAVY = 512
 #: Scheme, user, host; port and the rest follow. Then the first path segment.
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
@@ -50,14 +52,23 @@ def intervals(entries: DataFrame) -> DataFrame:
 def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, fetched_at, matched_key, since, verdict (block, allow, none) of captures(page_id, url, fetched_at)."""
     identity = ["page_id", "url", "fetched_at"]
-    salt = F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(SALTS)).cast("int")
-    asked = captures.select(*identity, salt.alias("salt"), F.explode_outer(keys(F.col("url"))).alias("k")).select(*identity, "salt", F.col("k.key").alias("key"), F.col("k.rank").alias("rank"))
-    held = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("e")
-    a = asked.alias("a")
-    active = (F.col("e.since") <= F.col("a.fetched_at")) & (F.col("e.until").isNull() | (F.col("a.fetched_at") < F.col("e.until")))
-    met = a.join(held, (F.col("a.key") == F.col("e.key")) & (F.col("a.salt") == F.col("e.salt")) & active, "left")
-    found = F.when(F.col("e.key").isNotNull(), F.struct(F.col("a.rank"), F.col("e.key"), F.col("e.since"), F.col("e.blocked")))
-    best = met.groupBy(*(F.col(f"a.{x}") for x in identity)).agg(F.max(found).alias("m"))
+    asked = captures.select(*identity, F.explode_outer(keys(F.col("url"))).alias("k")).select(*identity, F.col("k.key").alias("key"), F.col("k.rank").alias("rank"))
+    keyed = asked.where("key is not null")
+    salts = keyed.groupBy("key").agg(F.ceil(F.count("*") / HEAVY).alias("salts")).where("salts > 1")  # one key in HEAVY captures at most
+    void = F.lit(None)
+    a = keyed.join(salts, "key", "left").select("key", F.coalesce(F.pmod(F.xxhash64(*identity), F.col("salts")), F.lit(0)).alias("salt"), F.col("fetched_at").alias("at"), F.lit(1).alias("kind"), F.struct(*identity, "rank").alias("capture"), void.cast("string").alias("since"), void.cast("boolean").alias("blocked"))
+    held = intervals(entries)
+    e = held.join(salts, "key", "left").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.col("since").alias("at"), F.lit(0).alias("kind"), void.cast(a.schema["capture"].dataType).alias("capture"), "since", "until", "blocked")
+    a = a.withColumns({"since": void.cast(held.schema["since"].dataType), "until": void.cast(held.schema["until"].dataType)}).select(*e.columns)
+    # The as-of join: captures and intervals in the order of time, each capture with the last interval that began before it.
+    order = Window.partitionBy("key", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("kind") == 0, F.struct("since", "until", "blocked")), ignorenulls=True).over(order)
+    met = a.unionAll(e).select("key", "at", "kind", "capture", last.alias("e")).where("kind = 1")
+    active = F.col("e").isNotNull() & (F.col("e.until").isNull() | (F.col("at") < F.col("e.until")))
+    found = F.when(active, F.struct(F.col("capture.rank").alias("rank"), F.col("key"), F.col("e.since").alias("since"), F.col("e.blocked").alias("blocked"))).alias("f")
+    met = met.select(*(F.col(f"capture.{x}").alias(x) for x in identity), found)
+    lost = asked.where("key is null").select(*identity, void.cast(met.schema["f"].dataType).alias("f"))
+    best = met.unionAll(lost).groupBy(*identity).agg(F.max("f").alias("m"))
     verdict = F.when(F.col("m").isNull(), "none").when(F.col("m.blocked"), "block").otherwise("allow")
     return best.select(*identity, F.col("m.key").alias("matched_key"), F.col("m.since").alias("since"), verdict.alias("verdict"))
 
