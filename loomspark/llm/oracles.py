@@ -89,6 +89,38 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coales
   array_to_string(list_transform(range(1, n_spans + 2), lambda i: substr(h, 2 * b[i] + 1, 2 * (coalesce(a[i], n) - b[i]))), '') END)) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id)"""
 
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(part, '[^\x20\x09]+') AS w FROM documents, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS t(part)),
+f AS (SELECT lang, k AS n_words, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM p, range(1, 4) AS r(k), unnest(range(1, len(w) - k + 2)) AS s(i)
+  GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+cut AS (SELECT lang, phrase, n_words, f AS a, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS x, array_to_string(list_slice(string_split(phrase, ' '), k + 1, n_words), ' ') AS y
+  FROM f, range(1, 3) AS r(k) WHERE k < n_words),
+c AS (SELECT cut.lang, cut.phrase, cut.n_words, a, b.f AS l, e.f AS r, 1000000::HUGEINT * a * a // (b.f::HUGEINT * e.f) AS score
+  FROM cut JOIN f b ON b.lang = cut.lang AND b.phrase = x JOIN f e ON e.lang = cut.lang AND e.phrase = y
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(list_slice(string_split(phrase, ' '), k, k + 1), ' ') AS phrase, max(a) AS longer FROM c, range(1, 3) AS r(k) WHERE n_words = 3 GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM c LEFT JOIN inner_ USING (lang, phrase) JOIN n USING (lang) WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000"""
+
+RESAMPLING = rf"""
+WITH step AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(3988292384::BIGINT, x >> 1) ELSE x >> 1 END) ORDER BY b) AS crc FROM range(256) AS t(b)),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT row, unnest(w) AS word FROM d), bw AS (SELECT unnest(w) AS word FROM b),
+one AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)),
+known AS (SELECT word, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, 2 * octet_length(encode(word)), 2), lambda i: ('0x' || substr(hex(encode(word)), i, 2))::BIGINT),
+  lambda x, y: xor(x >> 8, crc[xor(x & 255, y) + 1]))) % 10000 AS bucket FROM one, step),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN known USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN known USING (word) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000.0::DOUBLE * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM known) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+weight AS (SELECT row, sum(gain)::BIGINT AS weight FROM dw JOIN known USING (word) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN weight USING (row)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
     "op1_repetition_coverage": _coverage(),
     "op2_url_lists": URL_LISTS,
@@ -96,4 +128,6 @@ ORACLES: dict[str, str] = {
     "op4_chat_collapse": CHATS,
     "op6_benchmark_decontamination": DECONTAMINATION,
     "op7_suffix_dedup": SUBSTRINGS,
+    "op11_collocations": COLLOCATIONS,
+    "op13_importance_resampling": RESAMPLING,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, decontamination, jaccard_join, lm_quality, repetition, substring_dedup, token_files, toxicity, url_lists
+from . import bpe, collocations, conversations, decontamination, jaccard_join, lm_quality, repetition, resampling, sentencepiece_bpe, substring_dedup, token_files, toxicity, url_lists
 from .oracles import ORACLES as ORACLES
 
 
@@ -62,6 +62,20 @@ def op8_lm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_repetition_coverage": op1_repetition_coverage,
@@ -74,4 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_lm_quality": op8_lm_quality,
+    "op11_collocations": op11_collocations,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_importance_resampling": op13_importance_resampling,
 }
