@@ -32,7 +32,7 @@ from ._runtime import pieces, ship
 
 SPACE = "▁"
 #: Bytes of words, ids and texts that a worker remembers, about; beyond it, it starts over. ENTRY is what an entry takes beside its characters.
-MEMORY, ENTRY = 128 << 20, 400
+MEMORY, ENTRY = 288 << 20, 400
 #: Characters of a text, and places of a word, that are worked on at once.
 SLICE, WINDOW = 1 << 20, 1 << 14
 #: Bytes of text that are encoded at once; a longer text makes a piece of its own.
@@ -141,6 +141,10 @@ class Encoder:
         for piece in model.usable:
             self.automaton.add_word(piece, len(piece))
         self.longest = max(map(len, model.usable), default=1)
+        #: Of each token the size of the longest one that is a shorter beginning of it; without an entry, a character.
+        known = set(model.usable)
+        self.shorter = {p: next((k for k in range(len(p) - 1, 1, -1) if p[:k] in known), 1) for p in model.usable}
+        self.names = list(map(str, range(len(model.pieces))))
         if model.usable:
             self.automaton.make_automaton()
         self._forget()
@@ -160,66 +164,70 @@ class Encoder:
             self.used += ENTRY // 2
         return found
 
-    def _ends(self, word: str, a: int, b: int) -> list[list[int]]:
-        """For each place from a to b the ends of all tokens that start there, shortest first; a character is a token even where it is no piece."""
-        ends: list[list[int]] = [[i] for i in range(a + 1, b + 1)]
+    def _longest(self, word: str, a: int, b: int) -> list[int]:
+        """For each place from a to b the size of the longest token that starts there; a character is a token even where it is no piece."""
+        sizes = [1] * (b - a)
         if self.model.usable:
             for last, n in self.automaton.iter(word, a, min(len(word), b + self.longest - 1)):
-                if n > 1 and last + 1 - n < b:
-                    ends[last + 1 - n - a].append(last + 1)
-        return ends
+                at = last + 1 - n  # matches come in the order of their ends, so longer ones of a place come later
+                if at < b:
+                    sizes[at - a] = n
+        return sizes
 
-    def _matches(self, word: str) -> Callable[[int], list[int]]:
-        """The ends by start, made for WINDOW places at once; a few windows are kept."""
+    def _matches(self, word: str) -> Callable[[int], int]:
+        """The size of the longest token by place, made for WINDOW places at once; a few windows are kept."""
         if len(word) <= WINDOW:
-            return self._ends(word, 0, len(word)).__getitem__
-        windows: dict[int, list[list[int]]] = {}
+            return self._longest(word, 0, len(word)).__getitem__
+        windows: dict[int, list[int]] = {}
 
-        def ends_at(at: int) -> list[int]:
+        def longest(at: int) -> int:
             k = at // WINDOW
             if k not in windows:
                 if len(windows) > 2:
                     windows.pop(min(windows) if k > min(windows) else max(windows))
-                windows[k] = self._ends(word, k * WINDOW, min(len(word), (k + 1) * WINDOW))
+                windows[k] = self._longest(word, k * WINDOW, min(len(word), (k + 1) * WINDOW))
             return windows[k][at - k * WINDOW]
 
-        return ends_at
+        return longest
 
     def tokens(self, word: str) -> list[str]:
         """The encoding of a word by backtracking."""
         n = len(word)
         if n == 1:
             return [word]
-        ends_at, failed = self._matches(word), bytearray(n // 8 + 1)
+        longest, shorter, compatible = self._matches(word), self.shorter.get, self.compatible
+        failed, any_failed = bytearray(n // 8 + 1), False
         out: list[str] = []
-        tried: list[int] = []  # of each token, how many shorter ones start where it does
-        at = 0
-        ends = ends_at(0)
-        left = len(ends)
-        while at < n:
-            while left:
-                left -= 1
-                end = ends[left]
-                if failed[end >> 3] & (1 << (end & 7)):
-                    continue
+        at, size, before = 0, longest(0), ""
+        while True:
+            while size:
+                end = at + size
                 token = word[at:end]
-                if not out or self.compatible(out[-1], token):
-                    out.append(token)
-                    tried.append(left)
-                    at = end
-                    if at < n:
-                        ends = ends_at(at)
-                        left = len(ends)
+                if not (any_failed and failed[end >> 3] & (1 << (end & 7))) and (not before or compatible(before, token)):
                     break
+                size = shorter(token, 1) if size > 1 else 0
+            if size:
+                out.append(token)
+                if end == n:
+                    return out
+                before, at = token, end
+                size = longest(at)
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(out.pop())
-                ends, left = ends_at(at), tried.pop()
-        return out
+                any_failed = True
+                token = out.pop()
+                at -= len(token)
+                before = out[-1] if out else ""
+                size = shorter(token, 1) if len(token) > 1 else 0
 
     def ids(self, word: str) -> list[int]:
-        ids, model = [], self.model
-        for token in self.tokens(word):
+        model, tokens = self.model, self.tokens(word)
+        try:
+            return [model.ids[t] for t in tokens]
+        except KeyError:  # a character that is no piece
+            pass
+        ids: list[int] = []
+        for token in tokens:
             i = model.ids.get(token)
             if i is not None:
                 ids.append(i)
@@ -232,7 +240,7 @@ class Encoder:
     def _entry(self, word: str) -> tuple[int, str, str]:
         """Number of ids, the ids joined by commas, and their decoded text."""
         ids = self.ids(word)
-        entry = len(ids), ",".join(map(str, ids)), self.model.decoded(ids, first=False)
+        entry = len(ids), ",".join(map(self.names.__getitem__, ids)), self.model.decoded(ids, first=False)
         self.used += ENTRY + 2 * len(word) + len(entry[1]) + len(entry[2])
         return entry
 
@@ -335,11 +343,11 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     ship(spark)
     model = spark.sparkContext.broadcast(Model(path))
     own = rows.drop("decoded").withColumn("token_ids", F.col("token_ids").cast("array<int>"))
-    at = own.columns.index("token_ids")
+    at, names = own.columns.index("token_ids"), [*own.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if ids is None else model.value.decoded(ids) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*own.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
     return own.mapInArrow(run, StructType([*own.schema.fields, StructField("decoded", StringType())]))
