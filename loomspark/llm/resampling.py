@@ -37,8 +37,9 @@ def runs(texts: DataFrame, keys: list[str], longest: int, buckets: int) -> DataF
     if longest > 1:
         following = Window.partitionBy(*keys).orderBy("pos")
         rows = rows.select("*", *(F.lead("word", k).over(following).alias(f"next{k}") for k in range(1, longest)))
-        run = [F.concat_ws(" ", "word", *(f"next{i}" for i in range(1, k))) for k in range(1, longest + 1)]
-        run = [run[0], *(F.when(F.col(f"next{k}").isNotNull(), x) for k, x in enumerate(run[1:], 1))]
+        for k in range(2, longest + 1):
+            joined = F.concat_ws(" ", "word", *(f"next{i}" for i in range(1, k)))
+            run.append(F.when(F.col(f"next{k - 1}").isNotNull(), joined))
         some = F.filter(F.array(*run), lambda x: x.isNotNull())
         rows = rows.select(*keys, F.explode_outer(some).alias("run"))
     else:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -15,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomspark.llm import _runtime, bpe, conversations, decontamination, graph, jaccard_join, lm_quality, repetition, substring_dedup, token_files, toxicity, url_lists
+from loomspark.llm import _runtime, bpe, collocations, conversations, decontamination, graph, jaccard_join, lm_quality, repetition, resampling, sentencepiece_bpe, substring_dedup, token_files, toxicity, url_lists
 
 from .conftest import ITEM, words
 
@@ -600,3 +602,193 @@ def test_bpe(docs, rows, empty, word_library):
     out = bpe.encode(docs, WORD_BPE).select("doc_id", F.size("token_ids").cast("long"), F.sha2(F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " "), 256), F.sha2("decoded", 256))
     assert tally(out.collect()) == want
     assert bpe.digests(empty, WORD_BPE).count() == 0
+
+
+# 11
+
+
+def brute_phrases(rows, least: int, top: int) -> list[tuple]:
+    n, f = Counter(), Counter()
+    for r in rows:
+        lang = "und" if r["lang"] is None else r["lang"]
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(r["text"])):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(ws)
+            f.update((lang, *ws[i : i + k]) for k in (1, 2, 3) for i in range(len(ws) - k + 1))
+    many = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    found = []
+    for p, a in many.items():
+        around = [b for q, b in many.items() if len(q) > len(p) and q[0] == p[0] and p[1:] in (q[1:-1], q[2:])]
+        if any(100 * b >= 50 * a for b in around):
+            continue
+        cuts = [(1_000_000 * a * a // (f[p[:k]] * f[p[0], *p[k:]]), k, f[p[:k]], f[p[0], *p[k:]]) for k in range(2, len(p))]
+        score, _, left, right = min(cuts)
+        found.append((p[0], -score, -a, " ".join(p[1:]).encode(), left, right))
+    out, rank = [], Counter()
+    for lang, score, a, phrase, left, right in sorted(found):
+        rank[lang] += 1
+        if rank[lang] <= top:
+            out.append((lang, rank[lang], phrase.decode(), -a, left, right, n[lang], -score))
+    return out
+
+
+def phrase_rows() -> list[tuple]:
+    rnd = random.Random(4)
+    vocabulary = ["New", "york", "new", "City", "é", "日本", "x y", "a", "b", "\x00"]
+    gaps = [" ", " ", " ", "  ", "\t", ", ", ".\n", "\x0b"]
+    texts = ["".join(rnd.choice(vocabulary) + rnd.choice(gaps) for _ in range(rnd.randint(0, 60))) for _ in range(150)]
+    texts += ["new york city " * 40, "a a a a a a a a a a a a a a", "  ", ",,,", None, "w" * 300]
+    rows = [(i, t, None if i % 7 == 0 else "en" if i % 2 else "und", "s", i % 3, None) for i, t in enumerate(texts)]
+    return rows + rows[:5]
+
+
+@pytest.mark.parametrize(("fewest", "slice_", "heavy", "top"), [(1 << 18, 4 << 20, 2000, 2000), (64, 4 << 20, 5, 7), (64, 11, 2, 2000)])
+def test_phrases(spark, monkeypatch, fewest, slice_, heavy, top):
+    """Also with a sketch so small that rare phrases pass, texts in slices of a few bytes, and joins of every kind."""
+    for name, value in (("FEWEST", fewest), ("MOST", fewest), ("SLICE", slice_), ("HEAVY", heavy), ("BLOCK", 32 if fewest == 64 else 1 << 16)):
+        monkeypatch.setattr(collocations, name, value)
+    df = spark.createDataFrame(phrase_rows(), "doc_id int, text string, lang string, phrase string, n_words int, f int").repartition(3)
+    got = collocations.phrases(df, 10, top)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    want = brute_phrases(df.collect(), 10, top)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 10
+
+
+def test_phrases_of_no_rows(empty, docs, rows):
+    assert collocations.phrases(empty).count() == 0
+    assert sorted(map(tuple, collocations.phrases(docs, 3).collect())) == sorted(brute_phrases(rows, 3, 2000))
+
+
+def test_scores_pass_64_bits(spark):
+    big = 10**12
+    counts = spark.createDataFrame([("en", 1, "a", 3 * big), ("en", 1, "b", 2 * big + 1), ("en", 2, "a b", 2 * big)], "lang string, n_words int, phrase string, f long")
+    assert [tuple(r) for r in collocations.scored(counts).collect()] == [("en", "a b", 2, 2 * big, 3 * big, 2 * big + 1, 10**6 * (2 * big) ** 2 // (3 * big * (2 * big + 1)))]
+
+
+def test_sketch_never_undercounts():
+    rnd = np.random.default_rng(1)
+    into = np.zeros(1 << 10, np.uint8)
+    true = np.zeros(1 << 10, np.int64)
+    for _ in range(20):
+        own = np.minimum(rnd.integers(0, 4, 1 << 10) * (rnd.random(1 << 10) < rnd.choice([0.01, 0.9])), 10).astype(np.uint8)
+        true += own
+        collocations._add(into, collocations._packed(own), 10)
+    assert (into == np.minimum(true, 10)).all()
+
+
+# 12
+
+
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="session")
+def piece_model():
+    from sentencepiece import SentencePieceProcessor
+
+    return sentencepiece_bpe.Encoder(sentencepiece_bpe.Model(PIECE_BPE)), SentencePieceProcessor(model_file=PIECE_BPE)
+
+
+def piece_encoded(encoder, text: str | None) -> tuple[list[int], str]:
+    parts = list(encoder.encode(text))
+    return [int(i) for _, ids, _ in parts for i in ids.split(",") if i], "".join(t for _, _, t in parts)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["  ", " ", "▁", "a", "the", " of", "ing", "ee", "日本語", "é", "²", ".", "...", "\n", "\t", "</s>", "<0x0A>", "😀", "\x00", "12", "ﬁ", "ab"]), max_size=30).map("".join) | st.text(max_size=60))
+def test_pieces_equal_the_library(piece_model, text):
+    encoder, library = piece_model
+    ids = library.encode(text)
+    assert piece_encoded(encoder, text) == (ids, library.decode(ids))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 300) | st.integers(0, 31999), max_size=12))
+def test_any_ids_decode_as_in_the_library(piece_model, ids):
+    encoder, library = piece_model
+    assert encoder.model.decoded(ids) == library.decode(ids)
+
+
+def test_pieces_in_slices_and_windows(piece_model, monkeypatch):
+    encoder, library = piece_model
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("  aehinst▁é.1\n") for _ in range(n)) for n in (3, 50, 400, 3000)] + ["abcde" * 5000, "=" * 4000, " " * 999, "▁" * 60]
+    for size in (7, 40, 1 << 20):
+        monkeypatch.setattr(sentencepiece_bpe, "SLICE", size)
+        monkeypatch.setattr(sentencepiece_bpe, "WINDOW", size)
+        encoder._forget()
+        for text in texts:
+            ids = library.encode(text)
+            assert piece_encoded(encoder, text) == (ids, library.decode(ids))
+
+
+def test_backtracking_takes_tokens_back(monkeypatch):
+    """A vocabulary whose longest matches lead astray: 'ab' and 'cd' must give way, and a character is no piece."""
+
+    class Tiny(sentencepiece_bpe.Model):
+        def __init__(self):
+            self.score = {"a": -9.0, "b": -9.0, "c": -9.0, "bc": -1.0, "bcd": -2.0, "ab": -3.0, "abc": -4.0, "d": -9.0, "cd": -5.0}
+            self.ids = {p: i for i, p in enumerate(self.score)}
+            self.path, self.pieces, self.unknown, self.bytes, self.silent, self.byte_of, self.special = "", list(self.ids), -1, {}, set(), {}, set()
+            self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+            self.usable = [p for p in self.ids if self.merged(p) == [p]]
+
+    encoder = sentencepiece_bpe.Encoder(Tiny())
+    for n in range(1, 8):
+        for text in map("".join, itertools.product("abcdz" if n < 6 else "abcd", repeat=n)):
+            assert encoder.tokens(text) == encoder.model.merged(text)
+
+
+def test_piece_columns(spark, docs, rows, empty, piece_model):
+    library = piece_model[1]
+    want = {t: library.encode(t or "") for t in {r["text"] for r in rows}}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = tally(sentencepiece_bpe.digests(docs, PIECE_BPE).collect())
+    assert got == Counter((r["doc_id"], len(ids := want[r["text"]]), sha(",".join(map(str, ids))), sha(library.decode(ids))) for r in rows)
+    full = sentencepiece_bpe.encode(docs.withColumn("decoded", F.lit(1)), PIECE_BPE)
+    assert full.columns == [*docs.columns, "token_ids", "decoded"]
+    assert Counter((*r[:-2], tuple(r[-2]), r[-1]) for r in full.collect()) == Counter((*r, tuple(want[r["text"]]), library.decode(want[r["text"]])) for r in rows)
+    back = sentencepiece_bpe.decode(full.drop("decoded"), PIECE_BPE)
+    assert Counter(r["decoded"] for r in back.collect()) == Counter(r["decoded"] for r in full.collect())
+    odd = spark.createDataFrame([(None,), ([],), ([3 + 0xE6, 5],)], "token_ids array<int>")
+    assert {r["decoded"] for r in sentencepiece_bpe.decode(odd, PIECE_BPE).collect()} == {None, "", library.decode([3 + 0xE6, 5])}
+    assert sentencepiece_bpe.digests(empty, PIECE_BPE).count() == 0 and sentencepiece_bpe.encode(empty, PIECE_BPE).count() == 0
+
+
+# 13
+
+
+def brute_resampled(rows, targets, longest=1, buckets=10_000, least=20, percent=10, seed=2024) -> Counter:
+    def features(text):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        return len(ws), [zlib.crc32(" ".join(ws[i : i + k]).encode()) % buckets for k in range(1, longest + 1) for i in range(len(ws) - k + 1)]
+
+    own = [features(r["text"]) for r in rows]
+    s, t = Counter(b for _, x in own for b in x), Counter(b for x in targets for b in features(x)[1])
+    all_s, all_t = s.total(), t.total()
+    gain = {b: math.floor(1000 * math.log((t[b] + 1.0) * (all_s + buckets) / ((s[b] + 1.0) * (all_t + buckets)))) for b in range(buckets)}
+    scored = []
+    for r, (n, x) in zip(rows, own, strict=True):
+        h = int(hashlib.sha256(f"{seed}:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in x)
+        scored.append([r["doc_id"], len(x), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n])
+    able = sorted((x for x in scored if x[4] >= least), key=lambda x: (-x[3], x[0] is None, x[0] or 0, x[1], x[2]))
+    drawn = {id(x): k for k, x in enumerate(able[: percent * len(able) // 100], 1)}
+    return Counter((*x[:4], drawn.get(id(x))) for x in scored)
+
+
+@pytest.mark.parametrize(("longest", "buckets", "least", "percent"), [(1, 10_000, 20, 10), (2, 50, 1, 60), (3, 1000, 2, 100)])
+def test_resampled(docs, rows, spark, longest, buckets, least, percent):
+    target = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, ITEM.upper() + " é")], "item_id int, text string")
+    got = resampling.resampled(docs, target, longest, buckets, least_words=least, percent=percent)
+    assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"] and {t for _, t in got.dtypes} == {"bigint"}
+    assert tally(got.collect()) == brute_resampled(rows, [r["text"] for r in target.collect()], longest, buckets, least, percent)
+
+
+def test_resampled_documents(docs, rows, spark, empty):
+    target = spark.createDataFrame([(1, ITEM)], "item_id int, text string")
+    drawn = {r[0] for r in brute_resampled(rows, [ITEM]) if r[4]}
+    kept = resampling.sampled_documents(docs, target)
+    assert kept.columns == docs.columns and tally(kept.collect()) == tally(r for r in rows if r["doc_id"] in drawn and r["doc_id"] is not None)
+    assert resampling.resampled(empty, target).count() == 0
+    assert tally(resampling.resampled(docs, target.limit(0)).collect()) == brute_resampled(rows, [])
