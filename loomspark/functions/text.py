@@ -137,11 +137,22 @@ def is_subsequence(short: Column | str, long: Column | str) -> Column:
     return F.aggregate(chars, F.lit(0), lambda at, c: F.when((at < F.length(short)) & (F.substring(short, at + 1, F.lit(1)) == c), at + 1).otherwise(at)) == F.length(short)
 
 
+def characters(x: Column | str) -> Column:
+    """The code points of a text, one string each."""
+    return F.filter(F.split(_c(x), ""), lambda c: c != "")
+
+
+def runs(parts: Column, n: int, separator: str) -> Column:
+    """Every n parts in a row, joined; none if there are fewer. Shifted copies of the array are zipped, so a text takes time in proportion to its length."""
+    out = parts
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(parts, k + 1, F.greatest(F.size(parts), F.lit(1))), lambda a, b: F.concat(a, F.lit(separator), b))
+    return F.array_compact(out)
+
+
 def char_ngrams(x: Column | str, n: int) -> Column:
     """Distinct n-grams of characters; none if shorter."""
-    x = _c(x)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
-    return F.when(F.length(x) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(runs(characters(x), n, ""))
 
 
 def after(x: Column | str, mark: str = "</literal> ") -> Column:

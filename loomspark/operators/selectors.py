@@ -30,8 +30,12 @@ def upper_median(lengths: Column) -> Column:
     return F.get(F.array_sort(lengths), (F.size(lengths) / 2).cast("int"))
 
 
-def scored(df: DataFrame, charset: Charset = LATIN, weights: Mapping[str, int] = WEIGHTS, source: str = "source") -> DataFrame:
-    """df with scored: members with length, consensus, flags and score (hundredths); pool's size and median length beside."""
+#: The order of a member's features.
+FEATURES = tuple(WEIGHTS)
+
+
+def featured(df: DataFrame, charset: Charset = LATIN, source: str = "source") -> DataFrame:
+    """df with featured: members with length, consensus, flags and their features as an array in the order of FEATURES; pool's median length beside."""
     median = upper_median(F.transform("pool", lambda m: F.length(m["pred"])))
     df = df.withColumn("median_length", median)
 
@@ -47,10 +51,45 @@ def scored(df: DataFrame, charset: Charset = LATIN, weights: Mapping[str, int] =
         short = n <= F.greatest(F.lit(1), (F.length(source) / 4).cast("int"))
         long = (n >= F.col("median_length") + 5) & (n >= F.length(source) + 5)
         parts = {"prefix": pre, "suffix": suf, "title": title, "length": F.abs(n - F.col("median_length")), "contaminated": dirty, "short": short, "long": long, "prior": m["name"] == FRONTIER}
-        score = sum((F.lit(weights[k]) * v.cast("int") for k, v in parts.items()), F.lit(0))
-        return F.struct(m["pos"].alias("pos"), m["name"].alias("name"), m["pred"].alias("pred"), n.alias("length"), (pre + suf).alias("consensus"), title.alias("title"), dirty.alias("dirty"), short.alias("short"), long.alias("long"), score.cast("long").alias("score"))
+        features = F.array(*(parts[k].cast("long") for k in FEATURES))
+        return F.struct(m["pos"].alias("pos"), m["name"].alias("name"), m["pred"].alias("pred"), n.alias("length"), (pre + suf).alias("consensus"), title.alias("title"), dirty.alias("dirty"), short.alias("short"), long.alias("long"), features.alias("features"))
+
+    return df.withColumn("featured", F.transform("pool", one))
 
-    return df.withColumn("scored", F.transform("pool", one))
+
+def weighted(df: DataFrame, weights: Column) -> DataFrame:
+    """df with scored: the featured members with score, the product of their features and the weights (array<bigint> in the order of FEATURES)."""
+    kept = ("pos", "name", "pred", "length", "consensus", "title", "dirty", "short", "long")
+    product = lambda m: F.aggregate(F.zip_with(m["features"], weights, lambda x, w: x * w), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return df.withColumn("scored", F.transform("featured", lambda m: F.struct(*(m[k].alias(k) for k in kept), product(m).alias("score"))))
+
+
+def scored(df: DataFrame, charset: Charset = LATIN, weights: Mapping[str, int] = WEIGHTS, source: str = "source") -> DataFrame:
+    """df with scored: members with length, consensus, flags and score (hundredths); pool's median length beside."""
+    values = F.array(*(F.lit(weights[k]).cast("long") for k in FEATURES))
+    return weighted(featured(df, charset, source), values).drop("featured")
+
+
+def studied(df: DataFrame, pools: Mapping[str, Sequence[str]], settings: Sequence[Mapping]) -> DataFrame:
+    """df's rows once for each of the pools (name: columns) and settings (dicts of name, mode, margin, consensus and weights that differ): pool, setting, chosen, switched.
+
+    A member's features are made once a pool; settings are a table, and each is one product. Nothing is shuffled.
+    """
+    names = list(dict.fromkeys(n for members in pools.values() for n in members))
+    every = pool(df, names, "__every")
+    of = lambda members: F.filter("__every", lambda m: m["name"].isin(*members))
+    choices = F.array(*(F.struct(F.lit(name).alias("name"), of(members).alias("members")) for name, members in pools.items()))
+    rows = featured(every.withColumn("__p", F.explode(choices)).select("*", F.col("__p.name").alias("pool_name"), F.col("__p.members").alias("pool")).drop("__every", "__p"))
+    table = F.array(*(
+        F.struct(F.lit(x["name"]).alias("name"), F.lit(x.get("mode", "guarded")).alias("mode"), F.lit(x.get("margin", 300)).alias("margin"), F.lit(x.get("consensus", 2)).alias("consensus"),
+            F.array(*(F.lit(x.get(k, WEIGHTS[k])).cast("long") for k in FEATURES)).alias("weights"))
+        for x in settings))
+    rows = weighted(rows.withColumn("__s", F.explode(table)), F.col("__s.weights"))
+    by_rule = guarded(rows, F.col("__s.margin"), F.col("__s.consensus")).withColumnRenamed("chosen", "__guarded").drop("action")
+    both = score_max(by_rule)
+    chosen = F.when(F.col("__s.mode") == "score_max", F.col("chosen")).otherwise(F.col("__guarded"))
+    out = both.withColumn("chosen", chosen).withColumn("setting", F.col("__s.name")).withColumn("switched", F.coalesce(F.col("chosen.name") != FRONTIER, F.lit(False)))
+    return out.drop("pool", "featured", "scored", "median_length", "__s", "__guarded").withColumnRenamed("pool_name", "pool")
 
 
 def _first(candidates: Column, *keys) -> Column:
@@ -68,7 +107,7 @@ def score_max(df: DataFrame) -> DataFrame:
     return df.withColumn("chosen", _first(F.col("scored"), lambda m: m["score"], lambda m: (m["name"] == FRONTIER).cast("int")))
 
 
-def guarded(df: DataFrame, margin: int = 300, consensus: int = 2) -> DataFrame:
+def guarded(df: DataFrame, margin: Column | int = 300, consensus: Column | int = 2) -> DataFrame:
     """The frontier's, unless a local one is safer by one of four rules; action names the rule."""
     f, best = F.col("__f"), F.col("__l")
     df = df.withColumn("__f", _frontier()).withColumn("__l", _first(F.filter("scored", lambda m: m["name"] != FRONTIER), lambda m: m["score"]))

@@ -158,6 +158,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return place.toString()
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written once to a folder that all executors share: what follows starts from the files, not from df's lineage."""
+    path = f"{shared_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unfinished(df: DataFrame, done: DataFrame, key: str = "input") -> DataFrame:
     """What an append-only sink lacks."""
     return df.join(done.select(key).distinct(), key, "left_anti")
