@@ -19,6 +19,8 @@ from loomspark.sources.io import materialised
 
 #: Elements that are not looked up; sets of the pool that an element brings into one task; levels of similarity; elements that are broadcast.
 HOT, BLOCK, LEVELS, HEAVY = 10, 256, (0.5, 0.15, 0.0), 2000
+#: Rows from looking up whole sets, as a multiple of the pool's elements, up to which that is done at once.
+FEW = 4
 _SLACK = 1e-9
 
 
@@ -86,8 +88,17 @@ def best_jaccard(left: DataFrame, right: DataFrame, grouped: bool = False) -> Da
     ids, mine = _distinct(left)
     _, pool = _distinct(right)
     mine, pool = materialised(mine, "sets"), materialised(pool, "sets")
-    counts = materialised(pool.select("group", F.explode("grams").alias("gram")).groupBy("group", "gram").agg(F.count("*").alias("df")), "element-counts")
-    total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    rows = lambda sets, k, n: sets.select(F.col("k").alias(k), F.size("grams").alias(n), "group", F.explode("grams").alias("gram"))
+    counts = rows(pool, "other", "m").groupBy("group", "gram").agg(F.count("*").alias("df"))
+    asked = rows(mine, "k", "n").groupBy("gram").agg(F.count("*").alias("times"))
+    seen = counts.join(asked, "gram", "left").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum(F.col("df") * F.col("times")), F.lit(0))).first()
+    total, hits = seen[0], seen[1]
+    if hits <= FEW * total:  # looking everything up makes no more rows than a few times the elements there are
+        met = rows(mine, "k", "n").join(rows(pool, "other", "m").drop("group"), "gram").groupBy("k", "other", "n", "m").agg(F.count("*").alias("s"))
+        found = met.groupBy("k").agg(F.max(F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).alias("best"))
+        out = ids.join(found, "k", "left").select("id", "group", F.coalesce("best", F.lit(0.0)).alias("best"))
+        return _with_empty(out, left, grouped)
+    counts = materialised(counts, "element-counts")
     place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("df"), F.desc("gram")))
     top = counts.where("df > 1").withColumn("place", place).where(F.col("place") <= HOT).collect()  # HOT rows a group
     hot = [r["gram"] for r in top]
@@ -104,7 +115,10 @@ def best_jaccard(left: DataFrame, right: DataFrame, grouped: bool = False) -> Da
         met = pairs.join(mine.select("k", "n", own("grams").alias("a")), "k").join(pool.select(F.col("k").alias("other"), F.col("n").alias("m"), own("grams").alias("b")), "other")
         met = met.select("k", "n", "m", F.size(F.array_intersect("a", "b")).alias("s")).groupBy("k").agg(F.max(F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).alias("found"))
         best = materialised(best.join(met, "k", "left").select("k", F.greatest("best", F.coalesce("found", F.lit(0.0))).alias("best")), "best-matches")
-    known = ids.join(best, "k").select("id", "group", "best")
+    return _with_empty(ids.join(best, "k").select("id", "group", "best"), left, grouped)
+
+
+def _with_empty(known: DataFrame, left: DataFrame, grouped: bool) -> DataFrame:
     none = left.where(F.coalesce(F.size(F.array_compact("grams")), F.lit(0)) <= 0).select("id", "group", F.lit(0.0).alias("best"))
     out = known.unionByName(none)
     return out if grouped else out.drop("group")

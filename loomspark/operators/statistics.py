@@ -1,4 +1,4 @@
-"""Intervals, resampling, similarity joins and vector search."""
+"""Intervals, resampling of few rows, and vector search."""
 
 from __future__ import annotations
 
@@ -35,18 +35,6 @@ def bootstrap(rows: DataFrame, columns: Sequence[str], resamples: int, n: int, s
     return weights.join(rows, "idx").groupBy(*keys).agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in columns))
 
 
-def max_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
-    """id, best: the highest Jaccard similarity of each left (id, grams) with a right one; 0 if none shares a gram.
-
-    An inverted index: sets that share nothing never meet. Grams of the smaller side that meet are counted, not the sets compared.
-    """
-    a = left.select("id", F.size("grams").alias("na"), F.explode("grams").alias("g"))
-    b = right.select(F.col("id").alias("other"), F.size("grams").alias("nb"), F.explode("grams").alias("g"))
-    shared = a.join(b, "g").groupBy("id", "other", "na", "nb").agg(F.count("*").alias("s"))
-    best = shared.groupBy("id").agg(F.max(F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("best"))
-    return left.select("id").join(best, "id", "left").select("id", F.coalesce("best", F.lit(0.0)).alias("best"))
-
-
 def unit(x: Column | str) -> Column:
     """A vector over its L2 norm + 1e-8."""
     x = F.col(x) if isinstance(x, str) else x
@@ -63,15 +51,6 @@ def mean_pooled(tokens: Column | str, mask: Column | str) -> Column:
     return F.transform(total, lambda v: v / (F.size(kept) + 1e-8))
 
 
-def paired_delta(samples: DataFrame, score: Column, first: str, second: str, sample: str = "sample", by: str = "system") -> DataFrame:
-    """low, high, mean of score(second) - score(first) over the resamples that both systems share (samples: sample, system, sums)."""
-    scored = samples.select(sample, by, score.alias("__f"))
-    a = scored.where(F.col(by) == first).select(sample, F.col("__f").alias("__a"))
-    b = scored.where(F.col(by) == second).select(sample, F.col("__f").alias("__b"))
-    d = a.join(b, sample).select((F.col("__b") - F.col("__a")).alias("d"))
-    return d.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg("d").alias("mean"))
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """query, rank, id, distance: exact L2 top k of vectors (id, embedding) for each of queries (id, embedding); ties to the smaller id.
 

@@ -25,8 +25,8 @@ def leakage_chars(spark, d):
     own = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     p = table(spark, d, "part")
     others = {
-        "train": table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"),
-        "dev": table(spark, d, "conversations").select(F.col("conv_id").alias("id"), "text"),
+        "train": table(spark, d, "conversations").select(F.col("conv_id").alias("id"), "text"),
+        "dev": table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text")),
         "synth": p.select(F.col("p_partkey").alias("id"), T.after(F.concat(F.lit("<literal>"), "p_type", F.lit("</literal> "), "p_name")).alias("text")),
     }
     grams = lambda names: F.explode(F.array(*(F.struct(F.lit(f"{name}_{n}").alias("group"), T.char_ngrams("text", n).alias("grams")) for name in names for n in (2, 3, 4)))).alias("g")
@@ -149,7 +149,7 @@ def _wilson(sign: int) -> str:
 
 def _leaks() -> str:
     """One column a pool and n, from the number of n-grams that each two texts share."""
-    sides = {"train": "SELECT doc_id AS id, text FROM documents", "dev": "SELECT row_number() OVER () AS id, text FROM conversations", "synth": "SELECT p_partkey AS id, p_name AS text FROM part"}
+    sides = {"train": "SELECT row_number() OVER () AS id, text FROM conversations", "dev": "SELECT o_orderkey AS id, o_orderpriority || ' ' || o_orderstatus AS text FROM orders", "synth": "SELECT p_partkey AS id, p_name AS text FROM part"}
     grams = lambda source, n: f"SELECT DISTINCT id, substr(text, i, {n}) AS g FROM ({source}), unnest(range(1, length(text) - {n} + 2)) AS t(i)"
     ctes, columns, joins = [], [], []
     for n in (2, 3, 4):

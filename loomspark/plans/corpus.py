@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import chrf
+from loomspark.functions import text as T
 from loomspark.operators import corpora as C
+from loomspark.operators import setjoin
 from loomspark.operators import statistics as S
 from loomspark.sources import io
 
@@ -193,9 +195,10 @@ def leakage_exact(spark, d):
 
 
 def _line_grams(df, key, n):
+    """Distinct runs of n words; a shorter text is one run."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    grams = F.array_distinct(F.expr(f"transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> array_join(slice(w, i, {n}), ' '))"))
-    return df.select(F.col(key).alias("id"), words.alias("w")).select("id", grams.alias("grams"))
+    rows = df.select(F.col(key).alias("id"), F.array_distinct(T.runs(words, n, " ")).alias("grams"), words.alias("w"))
+    return rows.select("id", F.when(F.size("w") >= n, F.col("grams")).otherwise(F.array(F.array_join("w", " "))).alias("grams"))
 
 
 def _leakage(n):
@@ -203,7 +206,7 @@ def _leakage(n):
         """The highest Jaccard similarity of each item with any turn of any conversation: whole texts."""
         b = table(spark, d, "benchmark")
         c = table(spark, d, "conversations").select((F.col("conv_id") * 10000 + F.col("turn")).alias("item_id"), "text")
-        df = S.max_jaccard(_line_grams(b, "item_id", n), _line_grams(c, "item_id", n))
+        df = setjoin.best_jaccard(_line_grams(b, "item_id", n), _line_grams(c, "item_id", n))
         return df.select(F.col("id").alias("item_id"), F.round("best", 6).alias("best"))
 
     query.__name__ = f"leakage_jaccard_{n}"
@@ -326,21 +329,6 @@ def pooled_vectors(spark, d):
     return v.select("vec_id", F.round(F.get(pooled, F.lit(0)), 5).alias("first"), F.round(F.element_at(pooled, -1), 5).alias("last"))
 
 
-def _resampled(spark, d):
-    """100 resamples of 64 rows of chrF++ counts, the same rows for two systems."""
-    df = pools(spark, d).where("row_idx <= 64")
-    members = F.array(*(F.struct(F.lit(n).alias("system"), F.col(n).alias("pred")) for n in ("frontier", "dpo")))
-    rows = df.select((F.col("row_idx") - 1).cast("long").alias("idx"), "reference", F.explode(members).alias("m")).select("idx", "m.system", chrf.stats("m.pred", "reference").alias("stats"))
-    counts = rows.select("idx", "system", *(F.get("stats", F.lit(k)).alias(f"s{k}") for k in range(24)))
-    return S.bootstrap(counts, [f"s{k}" for k in range(24)], 100, 64, by="system")
-
-
-def bootstrap_delta(spark, d):
-    """The paired difference of two systems' corpus chrF++ over shared resamples."""
-    df = S.paired_delta(_resampled(spark, d), chrf.of_sums(), "frontier", "dpo")
-    return df.select(*(F.round(c, 5).alias(c) for c in ("low", "high", "mean")))
-
-
 def html_records(spark, d):
     """Rows of pages with their cells by class: two required, one optional."""
     html = F.expr("""concat('<table><tr><th>x</th></tr><TR id="a"><td><p class="big src">', p_name, '</p></td><td>', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('<p class="dst">', chr(10), '<b>', p_type, '</b> </p>') END, '</td></tr>',
@@ -384,7 +372,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         split_assign, stratified_split, split_summary, upsample_union, synth_unk, synth_first_valid, synth_mixed, synth_multitask, synth_semantic, fewshot_block, dedupe_first, dedupe_nbest, flatten_groups, best_variant, pref_pairs, pref_filter, pref_audit,
         reward_grid, lookup_last, resume_anti, membership_counts, shared_keys, score_once, leakage_exact, _leakage(2), _leakage(3), _leakage(4), wilson_by_group, quantiles, bootstrap_ci, anchor_ratio,
-        log_ratio_scale, finite_stats, judge_means, mode_first, histogram, ordered_slice, rounded_means, json_entries, html_rows, aligned_mismatches, wide_metrics, knn_topk, knn_vote, unit_vectors, pooled_vectors, bootstrap_delta, html_records, nested_scan, file_scans,
+        log_ratio_scale, finite_stats, judge_means, mode_first, histogram, ordered_slice, rounded_means, json_entries, html_rows, aligned_mismatches, wide_metrics, knn_topk, knn_vote, unit_vectors, pooled_vectors, html_records, nested_scan, file_scans,
     )
 }
 
@@ -444,9 +432,6 @@ ORACLES: dict[str, str] = {
     "flatten_groups": "WITH j AS (SELECT l_orderkey, l_linenumber, l_partkey, p_partkey IS NULL AS bad FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 2) ON p_partkey = l_partkey) SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey) AS parts, (array_agg(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (bad))[1]::VARCHAR AS first_missing FROM j GROUP BY 1",
     "best_variant": f"""WITH {POOL_SQL}, src AS (SELECT row_idx * 3 + k AS id, [frontier, unk, dpo][k + 1] AS h, reference AS r FROM pool0, unnest(range(3)) AS t(k)), {chrf_sql('src')},
       t AS (SELECT id % 3 AS k, {", ".join(f"sum(s{k}) AS s{k}" for k in range(24))} FROM stats GROUP BY 1), e AS (SELECT k, ['frontier', 'unk', 'dpo'][k + 1] AS best, round({score_sql()}, 6) AS score FROM t UNION ALL SELECT -1, 'absent', -1.0) SELECT best, score FROM e ORDER BY score DESC, k LIMIT 1""",
-    "bootstrap_delta": f"""WITH {POOL_SQL}, src AS (SELECT row_idx * 2 + k AS id, [frontier, dpo][k + 1] AS h, reference AS r FROM pool0, unnest(range(2)) AS t(k) WHERE row_idx <= 64), {chrf_sql('src')},
-      dr AS (SELECT s AS sample, {num('42', 's', 'k')} % 64 AS idx FROM range(100) AS a(s), range(64) AS b(k)), t AS (SELECT sample, id % 2 AS k, {", ".join(f"sum(s{k})::DOUBLE AS s{k}" for k in range(24))} FROM dr JOIN stats ON id // 2 - 1 = idx GROUP BY 1, 2),
-      f AS (SELECT sample, k, {score_sql()} AS f FROM t), x AS (SELECT b.f - a.f AS d FROM f a JOIN f b USING (sample) WHERE a.k = 0 AND b.k = 1) SELECT round(quantile_cont(d, 0.025), 5) AS low, round(quantile_cont(d, 0.975), 5) AS high, round(avg(d), 5) AS mean FROM x""",
     "synth_first_valid": f"WITH {_SYNTH} SELECT * FROM unk WHERE n_replaced >= 2 ORDER BY id LIMIT 40",
     "html_records": """WITH r AS (SELECT p_partkey, 0 AS k, p_name AS input, p_type AS output, '' AS note FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 1, p_brand, (p_size + 100)::VARCHAR, 'n' || p_size FROM part)
       SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1)::INT AS pos, input, output, note FROM r""",
