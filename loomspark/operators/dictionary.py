@@ -185,3 +185,73 @@ def glosses(texts: DataFrame, entries: DataFrame, longest: int = LONGEST, unknow
 def parsed(x: Column | str) -> Column:
     """The parts of an id sequence."""
     return F.filter(F.split(F.col(x) if isinstance(x, str) else x, r"[\s,;|]+"), lambda p: p != "")
+
+
+# Rules by column
+
+
+def reverse_index(entries: DataFrame) -> DataFrame:
+    """keyword, keys (in file order, repeats kept) of entries (row_idx, key, cn, en): cn is cut at its stops, and parts of digits and bracket marks only are
+    dropped; en is cut at blanks and stops and lower-cased, and numbers stay. An entry's cn comes before its en."""
+    rules = [("cn", F.col("cn"), "[，。！？；：]+", "^[0-9【】]+$"), ("en", F.lower("en"), r"[\s.,;]+", None)]
+    out = None
+    for k, (_, text, stops, drop) in enumerate(rules):
+        rows = entries.select("row_idx", F.lit(k).alias("side"), "key", F.posexplode(F.split(text, stops)).alias("pos", "keyword")).withColumn("keyword", F.regexp_replace("keyword", r"(?U)^\s+|\s+$", ""))
+        rows = rows.where(F.col("keyword") != "")
+        rows = rows if drop is None else rows.where(~F.col("keyword").rlike(drop))
+        out = rows if out is None else out.unionAll(rows)
+    ordered = out.groupBy("keyword").agg(F.array_sort(F.collect_list(F.struct("row_idx", "side", "pos", "key"))).alias("k"))
+    return ordered.select("keyword", F.transform("k", lambda x: x["key"]).alias("keys"))
+
+
+def segmented(texts: DataFrame, lexicon: DataFrame, unknown: int, longest: int = 4) -> DataFrame:
+    """text, words of distinct texts (text): the path of least cost over the graph of lexicon's words (word, cost) in the text; a character alone costs unknown.
+
+    Of paths of equal cost the one with fewer words, then the one with the longer last word. Words up to longest characters are found by an equi-join of
+    runs; the path is a fold over the places of a text, whose state is the best way to each.
+    """
+    own = texts.select("text").where("text is not null").distinct()
+    runs = own.select("text", F.explode(F.expr(f"flatten(transform(sequence(1, greatest(length(text), 1)), i -> transform(sequence(1, least({longest}, length(text) - i + 1)), n -> struct(i - 1 AS start, i - 1 + n AS end, substring(text, i, n) AS word))))")).alias("r")).where("text <> ''").select("text", "r.*")
+    costs = lexicon.groupBy("word").agg(F.min("cost").cast("long").alias("cost"))
+    edges = runs.join(costs, "word", "left").withColumn("cost", F.coalesce("cost", F.when(F.col("end") == F.col("start") + 1, F.lit(unknown).cast("long")))).where("cost is not null")
+    graph = edges.groupBy("text").agg(F.collect_list(F.struct("end", "start", "cost")).alias("edges"))
+    step = """aggregate(sequence(1, length(text)), array(named_struct('cost', 0L, 'n', 0, 'start', 0)), (best, p) -> array_append(best,
+      array_min(transform(filter(edges, e -> e.end = p), e -> named_struct('cost', best[e.start].cost + e.cost, 'n', best[e.start].n + 1, 'start', e.start)))))"""
+    back = """reverse(aggregate(sequence(1, length(text)), named_struct('at', length(text), 'out', cast(array() AS array<string>)), (acc, p) -> CASE WHEN acc.at = 0 THEN acc ELSE
+      named_struct('at', best[acc.at].start, 'out', array_append(acc.out, substring(text, best[acc.at].start + 1, acc.at - best[acc.at].start))) END, acc -> acc.out))"""
+    found = graph.withColumn("best", F.expr(step)).select("text", F.expr(back).alias("words"))
+    return found.unionByName(own.where("text = ''").select("text", F.array().cast("array<string>").alias("words")))
+
+
+def reward_entries(entries: DataFrame, lexicon: DataFrame, unknown: int) -> DataFrame:
+    """n_chars, key, tokens (sorted) of entries (key, cn): the words of all explanations of a key and the characters of words; keys by their length.
+
+    What stands in brackets and marks are left out, blanks too; keys without any token, and null or empty ones, have no row.
+    """
+    bare = F.regexp_replace(F.regexp_replace("cn", r"[【\[（\(].*?[】\]）\)]", ""), r"(?U)[^\w\s]", "")
+    pieces = entries.where("key <> ''").select("key", F.explode(F.split(bare, r"(?U)\s+")).alias("text")).where("text <> ''").distinct()
+    words = segmented(pieces, lexicon, unknown)
+    tokens = pieces.join(words, "text").select("key", F.explode("words").alias("word"))
+    every = tokens.select("key", F.explode(F.array_append(F.filter(F.split("word", ""), lambda c: c != ""), F.col("word"))).alias("token"))
+    return every.groupBy(F.length("key").alias("n_chars"), "key").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+
+
+def flattened(groups: DataFrame, meta: DataFrame, ids: DataFrame, pattern: str, least: int, most: int) -> DataFrame:
+    """item, group_pos, reason, ids, characters, labels of every group of groups (item, group_pos, category, pos, label).
+
+    A character's label leads by meta (label, character) to its modern character, and by ids (character, ids: sorted) to the first of its ids. The reasons,
+    of which the first that holds counts: no_sentence (the category does not match the pattern), missing_label or missing_id (whichever comes first in the
+    group's order), length (not between least and most), duplicate (an earlier group, by item and place, has the same ids); else kept.
+    """
+    first = ids.select("character", F.get("ids", F.lit(0)).alias("id")).where("id is not null")
+    rows = groups.join(meta.groupBy("label").agg(F.min("character").alias("character")), "label", "left").join(first, "character", "left")
+    why = F.when(F.col("character").isNull(), "missing_label").when(F.col("id").isNull(), "missing_id")
+    chars = F.array_sort(F.collect_list(F.struct("pos", "label", "character", "id", why.alias("why"))))
+    found = rows.groupBy("item", "group_pos").agg(F.min("category").alias("category"), chars.alias("chars"))
+    of = lambda name: F.transform("chars", lambda c: c[name])
+    failed = F.get(F.filter(of("why"), lambda w: w.isNotNull()), F.lit(0))
+    found = found.select("item", "group_pos", F.filter(of("id"), lambda x: x.isNotNull()).alias("ids"), of("character").alias("characters"), of("label").alias("labels"),
+        F.when(~F.coalesce(F.col("category").rlike(pattern), F.lit(False)), "no_sentence").otherwise(F.coalesce(failed, F.when(~F.size("chars").between(least, most), "length"))).alias("reason"))
+    whole = found.where("reason is null").groupBy("ids").agg(F.min(F.struct("item", "group_pos")).alias("first"))
+    kept = found.where("reason is null").join(whole, "ids").withColumn("reason", F.when(F.struct("item", "group_pos") == F.col("first"), "kept").otherwise("duplicate"))
+    return kept.select(*found.columns).unionByName(found.where("reason is not null"))
