@@ -144,3 +144,76 @@ def preference_reason(least_gap: float) -> Column:
     finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
     gap = F.col("chosen_reward") - F.col("rejected_reward")
     return F.when(~finite(F.col("chosen_reward")) | ~finite(F.col("rejected_reward")), "non_finite").when(F.col("chosen") == F.col("rejected"), "same_text").when(gap < least_gap, "small_gap").otherwise("kept")
+
+
+def targets(x: Column | str) -> tuple[Column, Column]:
+    """Literal and final target of a training output: what stands in and after <literal>; without one, the whole for both; trimmed."""
+    x = F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
+    pattern, trim = r"(?s)<literal>(.*?)</literal>\s*(.*)$", lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    part = lambda k: trim(F.when(x.rlike(pattern), F.regexp_extract(x, pattern, k)).otherwise(x))
+    return part(1), part(2)
+
+
+def looked_up(rows: DataFrame, files: Sequence[DataFrame], column: str, first: bool = True) -> DataFrame:
+    """rows (prompt) with column, the output of the training record of its prompt; null without one. files: (order, prompt, output) of each file in turn.
+
+    Of records of one prompt the first one counts, over all files, or the last one.
+    """
+    every = reduce(DataFrame.unionByName, (f.select("prompt", "output", F.struct(F.lit(k).alias("file"), F.col("order").alias("order")).alias("at")) for k, f in enumerate(files)))
+    pick = F.min_by if first else F.max_by
+    known = every.groupBy("prompt").agg(pick("output", "at").alias(column))
+    return rows.join(known, "prompt", "left")
+
+
+#: Name of a design, and its reward from lexical coverage, likeness to the literal and to the final target.
+DESIGNS = {
+    "current_lex_ppl": None,
+    "lex_only": lambda lex, literal, final: lex,
+    "literal_chrf": lambda lex, literal, final: literal,
+    "lex_plus_literal": lambda lex, literal, final: 0.5 * lex + 0.5 * literal,
+    "oracle_final_chrf": lambda lex, literal, final: final,
+}
+
+
+def finite(c: Column) -> Column:
+    return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
+def designed(pairs: DataFrame) -> DataFrame:
+    """One row a design, in one pass over pairs: of both sides (chosen, rejected) reward, lex, literal, final and match, the likeness to the gold target."""
+    both = lambda name: (F.col(f"chosen_{name}"), F.col(f"rejected_{name}"))
+    of = lambda design: (tuple(design(F.col(f"{s}_lex"), F.col(f"{s}_literal"), F.col(f"{s}_final")) for s in ("chosen", "rejected")) if design else both("reward"))
+    rewards = F.array(*(F.struct(F.lit(name).alias("design"), of(d)[0].alias("x"), of(d)[1].alias("y")) for name, d in DESIGNS.items()))
+    (good, bad), (x, y) = both("match"), both("reward")
+    rows = pairs.select((x - y).alias("current"), (good - bad).alias("better"), F.explode(rewards).alias("r")).select("current", "better", "r.design", (F.col("r.x") - F.col("r.y")).alias("gap"))
+    ok, kept = finite(F.col("gap")), lambda least: (F.col("gap") >= least) & ~F.isnan("gap")
+    rate = lambda condition, of=None: F.count_if(condition) / F.nullif(F.count("*") if of is None else F.count_if(of), F.lit(0))
+    return rows.groupBy("design").agg(
+        F.count("*").alias("pairs"), rate(F.col("better") > 0).alias("chosen_better"), rate(F.col("better") < 0).alias("rejected_better"), rate(F.col("better") == 0).alias("equal"),
+        F.avg(F.when(ok, F.col("gap"))).alias("mean_gap"), F.count_if(kept(0.2)).alias("kept_02"), F.count_if(kept(0.4)).alias("kept_04"),
+        rate(kept(0.2) & (F.col("better") > 0), kept(0.2)).alias("good_02"), rate(kept(0.4) & (F.col("better") > 0), kept(0.4)).alias("good_04"),
+        F.count_if(ok & finite(F.col("current")) & ((F.col("gap") >= 0) != (F.col("current") >= 0))).alias("flips"),
+    )
+
+
+#: Upper ends of the bins of reward gaps.
+GAP_BINS = (0.05, 0.1, 0.2, 0.4)
+
+
+def gap_bin(gap: Column) -> Column:
+    """0 to len(GAP_BINS): how many ends a gap is above."""
+    return sum(((gap > end).cast("int") for end in GAP_BINS), F.lit(0))
+
+
+def gold_audited(pairs: DataFrame) -> DataFrame:
+    """One row a bin of finite gaps, and one for all (bin null): pairs (chosen, rejected, both rewards, chosen_match and rejected_match, null without a gold target)."""
+    ok = finite(F.col("chosen_reward")) & finite(F.col("rejected_reward"))
+    gap = F.when(ok, F.col("chosen_reward") - F.col("rejected_reward"))
+    better = F.when(ok, F.col("chosen_match") - F.col("rejected_match"))
+    rows = pairs.select((F.col("chosen") == F.col("rejected")).alias("same"), ok.alias("ok"), gap.alias("gap"), better.alias("better"), F.when(ok, gap_bin(gap)).alias("bin"))
+    return rows.select("*", F.explode(F.array_distinct(F.array(F.lit(-1), F.coalesce("bin", F.lit(-1))))).alias("of")).groupBy("of").agg(
+        F.count("*").alias("pairs"), F.count_if("same").alias("same"), F.count_if(~F.col("ok")).alias("non_finite"), F.avg("gap").alias("mean_gap"), F.min("gap").alias("low"), F.max("gap").alias("high"),
+        F.count("better").alias("gold"), F.count_if(F.col("better") > 0).alias("chosen_better"), F.count_if(F.col("better") < 0).alias("rejected_better"), F.count_if(F.col("better") == 0).alias("equal"),
+        F.count_if((F.col("gap") <= 0.1) & F.col("better").isNotNull()).alias("low_gap"), F.count_if((F.col("gap") <= 0.1) & (F.col("better") > 0)).alias("low_gap_better"),
+        *(F.count_if(F.col("gap") >= least).alias(f"ge_{int(100 * least):02d}") for least in (0.05, 0.1, 0.2, 0.3, 0.4)),
+    ).withColumn("bin", F.nullif("of", F.lit(-1))).drop("of")

@@ -59,11 +59,16 @@ def shortest(entries: DataFrame) -> DataFrame:
     return entries.groupBy(F.col("meaning").alias("word")).agg(F.min(F.struct(F.length("key").alias("n"), "key")).alias("m")).select("word", F.col("m.key").alias("value"))
 
 
-def reverse(entries: DataFrame, column: str, separators: str) -> DataFrame:
-    """keyword, keys (in file order, repeats kept) of the parts of a column; parts of digits only are dropped."""
-    words = entries.select("row_idx", "key", F.posexplode(F.split(F.lower(column), separators)).alias("pos", "keyword"))
-    words = words.withColumn("keyword", F.trim("keyword")).where("keyword <> '' and not keyword rlike '^[0-9]+$'")
-    ordered = words.groupBy("keyword").agg(F.array_sort(F.collect_list(F.struct("row_idx", "pos", "key"))).alias("k"))
+def _keywords(entries: DataFrame, text: Column, stops: str, drop: str | None = None) -> DataFrame:
+    """row_idx, key, pos, keyword of the filled parts of a text; parts that match drop are left out."""
+    words = entries.select("row_idx", "key", F.posexplode(F.split(text, stops)).alias("pos", "keyword")).withColumn("keyword", F.regexp_replace("keyword", r"(?U)^\s+|\s+$", ""))
+    words = words.where(F.col("keyword") != "")
+    return words if drop is None else words.where(~F.col("keyword").rlike(drop))
+
+
+def reverse(entries: DataFrame, column: str, separators: str, drop: str | None = None) -> DataFrame:
+    """keyword, keys (in file order, repeats kept) of the parts of a column in lower case; parts that match drop are left out."""
+    ordered = _keywords(entries, F.lower(column), separators, drop).groupBy("keyword").agg(F.array_sort(F.collect_list(F.struct("row_idx", "pos", "key"))).alias("k"))
     return ordered.select("keyword", F.transform("k", lambda x: x["key"]).alias("keys"))
 
 
@@ -193,13 +198,9 @@ def parsed(x: Column | str) -> Column:
 def reverse_index(entries: DataFrame) -> DataFrame:
     """keyword, keys (in file order, repeats kept) of entries (row_idx, key, cn, en): cn is cut at its stops, and parts of digits and bracket marks only are
     dropped; en is cut at blanks and stops and lower-cased, and numbers stay. An entry's cn comes before its en."""
-    rules = [("cn", F.col("cn"), "[，。！？；：]+", "^[0-9【】]+$"), ("en", F.lower("en"), r"[\s.,;]+", None)]
-    out = None
-    for k, (_, text, stops, drop) in enumerate(rules):
-        rows = entries.select("row_idx", F.lit(k).alias("side"), "key", F.posexplode(F.split(text, stops)).alias("pos", "keyword")).withColumn("keyword", F.regexp_replace("keyword", r"(?U)^\s+|\s+$", ""))
-        rows = rows.where(F.col("keyword") != "")
-        rows = rows if drop is None else rows.where(~F.col("keyword").rlike(drop))
-        out = rows if out is None else out.unionAll(rows)
+    cn = _keywords(entries, F.col("cn"), "[，。！？；：]+", "^[0-9【】]+$").withColumn("side", F.lit(0))
+    en = _keywords(entries, F.lower("en"), r"[\s.,;]+").withColumn("side", F.lit(1))
+    out = cn.unionByName(en)
     ordered = out.groupBy("keyword").agg(F.array_sort(F.collect_list(F.struct("row_idx", "side", "pos", "key"))).alias("k"))
     return ordered.select("keyword", F.transform("k", lambda x: x["key"]).alias("keys"))
 

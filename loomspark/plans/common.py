@@ -128,3 +128,15 @@ def score_sql(prefix: str = "s") -> str:
     r = " + ".join(f"CASE WHEN {c} THEN {prefix}{3 * o + 2} / {prefix}{3 * o + 1} ELSE 0.0::DOUBLE END" for o, c in enumerate(on))
     n = " + ".join(f"{c}::INT" for c in on)
     return f"(CASE WHEN ({n}) > 0 AND ({p}) + ({r}) > 0 THEN 100 * 5 * (({p}) / ({n})) * (({r}) / ({n})) / (4 * (({p}) / ({n})) + (({r}) / ({n}))) ELSE 0.0 END)"
+
+
+def matched_sql(source: str) -> str:
+    """ratios(a, b, ratio) of source(a, b), distinct pairs of short strings: the longest common block of each part by a comparison at every two places; for WITH RECURSIVE."""
+    x, y = "substr(a, i + 1, ahi - i)", "substr(b, j + 1, bhi - j)"
+    n = f"least(length({x}), length({y}))"
+    size = f"coalesce(list_min(list_filter(range(1, {n} + 1), lambda q: substr(a, i + q, 1) <> substr(b, j + q, 1))) - 1, {n})"
+    best = f"list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: {{'k': {size}, 'i': -i, 'j': -j}}))))"
+    return f"""blocks AS (SELECT *, {best} AS m FROM (SELECT a, b, 0::BIGINT AS alo, length(a)::BIGINT AS ahi, 0::BIGINT AS blo, length(b)::BIGINT AS bhi FROM {source})
+  UNION ALL SELECT *, {best} AS m FROM (SELECT a, b, CASE WHEN side = 0 THEN alo ELSE m.k - m.i END AS alo, CASE WHEN side = 0 THEN -m.i ELSE ahi END AS ahi, CASE WHEN side = 0 THEN blo ELSE m.k - m.j END AS blo, CASE WHEN side = 0 THEN -m.j ELSE bhi END AS bhi
+    FROM blocks, (VALUES (0), (1)) AS v(side) WHERE m.k > 0) WHERE alo < ahi AND blo < bhi),
+ratios AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1 ELSE 2 * coalesce(sum(m.k), 0) / (length(a) + length(b)) END AS ratio FROM blocks GROUP BY a, b)"""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspark.functions import matching
 from loomspark.functions import text as T
 from loomspark.operators import dictionary as D
 
-from .common import POOL_SQL, TITLE, Query, pools, prefix_sql, table
+from .common import POOL_SQL, TITLE, Query, matched_sql, pools, prefix_sql, table
 
 WRAPPED = "CASE p_partkey % 3 WHEN 0 THEN '<literal>' || p_type || '</literal> ' || p_name WHEN 1 THEN '<dict_match>' || p_type || '</dict_match> ' || p_name || chr(10) || 'x' ELSE p_name END"
 REPLY = """CASE p_partkey % 10 WHEN 5 THEN 'Answer: C, or basis: b' WHEN 6 THEN '"Basis" : "b" ' || p_name WHEN 7 THEN 'i choose B.' WHEN 8 THEN '  Title： “' || p_name || '”' WHEN 9 THEN '{"title": "", "basis": " a ", "fluency": "x"} ' ELSE CASE p_partkey % 5 WHEN 0 THEN '```json' || chr(10) || '{"title": "' || p_name || '", "basis": "B", "fluency": ' || p_size || '}' || chr(10) || '```' WHEN 1 THEN 'Answer: "' || p_name || '"' WHEN 2 THEN chr(10) || p_name || chr(10) || 'note' WHEN 3 THEN '《' || p_name || '》 fluency: 4' ELSE 'B' END END"""
@@ -50,7 +51,7 @@ def affixes(spark, d):
 
 
 def seq_ratio(spark, d):
-    return pools(spark, d).select("row_idx", T.similarity("frontier", "reference").alias("ratio"))
+    return pools(spark, d).select("row_idx", F.round(matching.similarity("frontier", "reference"), 9).alias("ratio"))
 
 
 def sft_format(spark, d):
@@ -270,10 +271,11 @@ ORACLES: dict[str, str] = {
     "affixes": f"WITH {POOL_SQL}, n AS (SELECT *, {prefix_sql('frontier', 'dpo')} AS p, {prefix_sql('reverse(frontier)', 'reverse(dpo)')} AS s FROM pool0) SELECT row_idx, left(frontier, p) AS prefix, right(frontier, s) AS suffix, len(list_distinct(list_transform(range(1, length(dpo) - 1), lambda i: substr(dpo, i, 3))))::INT AS n_grams FROM n",
     "sft_format": "SELECT u.conv_id, u.turn, '<|user|>' || chr(10) || 'Answer.' || chr(10) || u.text || chr(10) || '<|assistant|>' || chr(10) || a.text AS sample FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn WHERE u.role = 'user' AND a.role = 'assistant'",
     "gloss_block": f"WITH {_FORWARD} SELECT string_split(key, ' ')[1] AS head, string_agg(key || ' = ' || cn, chr(10) ORDER BY key || ' = ' || cn) AS block FROM fw GROUP BY 1",
+    "seq_ratio": f"WITH RECURSIVE {POOL_SQL}, src AS (SELECT DISTINCT frontier AS a, reference AS b FROM pool0), {matched_sql('src')} SELECT row_idx, round(ratio, 9) AS ratio FROM pool0 JOIN ratios ON a = frontier AND b = reference",
     "constraint_phrases": "WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, array_to_string(w, ' ') AS phrases, CASE WHEN len(w) = 2 THEN array_to_string(w, ' ') || '/' || w[2] || '/' END AS backoff FROM p WHERE len(w) >= 2",
     "chart_normal": "SELECT c_custkey, round(greatest(0.0, least(1.0, (c_acctbal - 0.0) / 10000.0))::DOUBLE, 6) AS clipped, CASE WHEN c_nationkey <> 0 THEN round(c_acctbal / c_nationkey, 6) END AS ratio, greatest(1, least(5, c_nationkey)) AS score FROM customer",
     "dict_forward": f"WITH {_FORWARD} SELECT * FROM fw",
-    "dict_reverse": rf"WITH {_ENTRIES_SQL}, w AS (SELECT row_idx, key, pos, string_split_regex(lower(en), '[\s.,;]+')[pos] AS keyword FROM e, unnest(range(1, 20)) AS t(pos) WHERE pos <= len(string_split_regex(lower(en), '[\s.,;]+'))) SELECT keyword, string_agg(key, '|' ORDER BY row_idx, pos) AS keys FROM w WHERE keyword <> '' AND NOT regexp_matches(keyword, '^[0-9]+$') GROUP BY 1",
+    "dict_reverse": rf"WITH {_ENTRIES_SQL}, w AS (SELECT row_idx, key, pos, string_split_regex(lower(en), '[\s.,;]+')[pos] AS keyword FROM e, unnest(range(1, 20)) AS t(pos) WHERE pos <= len(string_split_regex(lower(en), '[\s.,;]+'))) SELECT keyword, string_agg(key, '|' ORDER BY row_idx, pos) AS keys FROM w WHERE keyword <> '' GROUP BY 1",
     "dict_stats": f"WITH {_FORWARD} SELECT count(*) AS entries, count(*) FILTER (length(key) <= 8) AS short, count(DISTINCT cn) AS meanings FROM fw",
     "mfm_segments": f"WITH RECURSIVE {_SEGS}, {_WALK} SELECT id, string_agg(segment || CASE WHEN known THEN '+' ELSE '-' END, '|' ORDER BY spot) AS segments FROM segs GROUP BY 1",
     "lexical_coverage": f"{_COVERED} SELECT id, matched, round(coverage, 6) AS coverage FROM cov",

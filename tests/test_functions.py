@@ -11,7 +11,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.functions import chrf, text
+from loomspark.functions import chrf, matching, text
 from loomspark.functions.charsets import Charset
 from loomspark.operators import corpora, dictionary, selectors, statistics
 from loomspark.sources import io
@@ -45,7 +45,7 @@ def test_tags_and_titles(spark):
 
 def test_similarity(spark):
     rows = [("abcd", "bcde"), ("", ""), ("x", None), ("ab" * 150, "ba" * 150)]
-    got = [r["x"] for r in spark.createDataFrame(rows, "a string, b string").select(text.similarity("a", "b").alias("x")).collect()]
+    got = [r["x"] for r in spark.createDataFrame(rows, "a string, b string").select(matching.similarity("a", "b").alias("x")).collect()]
     assert got == [None if b is None else pytest.approx(SequenceMatcher(None, a, b).ratio()) for a, b in rows]
 
 
