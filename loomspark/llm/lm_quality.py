@@ -205,13 +205,14 @@ def levels(top: DataFrame) -> list[DataFrame]:
     return out[::-1]
 
 
-def weighted(level: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """Of counts (model, g, c): discounted shares (model, g, share), and back-off weights (model, context, weight)."""
+def weighted(level: DataFrame, order: int, few: bool) -> tuple[DataFrame, DataFrame]:
+    """Of counts (model, g, c): discounted shares (model, g, share), and back-off weights (model, context, weight). few: whether a row a model can be broadcast."""
     n = [F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
     d = [k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}") for k in (1, 2, 3)]
     bounded = [F.greatest(F.lit(0.0), F.least(F.coalesce(x, F.lit(0.75)), F.lit(float(k)))).alias(f"d{k}") for k, x in enumerate(d, 1)]
     discounts = level.groupBy("model").agg(*n).select("model", *bounded)  # a row a model
+    discounts = F.broadcast(discounts) if few else discounts
     own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     rows = level.join(discounts, "model").withColumn("d", F.least(own, F.col("c"))).withColumn("context", F.expr(f"substring(g, 1, {order - 1})"))
     contexts = rows.groupBy("model", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight"))
@@ -223,12 +224,13 @@ def probabilities(top: DataFrame) -> DataFrame:
     """model, kind, g, value: of every n-gram of k symbols seen its probability (kind k), of every context its weight (-k), of a model the
     probability of a symbol of which nothing is known (0)."""
     below, out = None, []
+    few = top.select("model").distinct().count() <= BROADCAST_ROWS
     for order, level in enumerate(levels(top), 1):
-        shares, contexts = weighted(level, order)
+        shares, contexts = weighted(level, order, few)
         if below is None:  # all seen symbols, and one for what is not
             below = level.groupBy("model").agg((1 / (F.count("*") + 1)).alias("p"))
             out.append(below.select("model", F.lit(0).alias("kind"), F.lit("").alias("g"), F.col("p").alias("value")))
-            own = shares.join(below, "model")
+            own = shares.join(F.broadcast(below) if few else below, "model")
         else:
             own = shares.withColumn("suffix", F.expr("substring(g, 2)")).join(below.withColumnRenamed("g", "suffix"), ["model", "suffix"])
         below = written(own.select("model", "g", (F.col("share") + F.col("weight") * F.col("p")).alias("p")), "probabilities")
@@ -278,7 +280,7 @@ def perplexities(texts: DataFrame, table: DataFrame) -> DataFrame:
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
     bits = max(4, (max(parts(spark), total // SHARD) - 1).bit_length())  # requests are about a byte a character
-    dealt = texts.select("doc_id", "again", "text", "model", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(blocks)).alias("block"))
+    dealt = texts.select("doc_id", "again", "text", "model", F.pmod(F.xxhash64("doc_id", "again", "text"), F.lit(blocks)).alias("block"))
 
     def ask(rows: pa.Table) -> pa.Table:
         tidy()

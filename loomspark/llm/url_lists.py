@@ -5,8 +5,9 @@ allowed. Entries become validity intervals, closed by the next entry of the same
 capture against the intervals that hold when it was fetched, and the most specific key decides.
 
 A capture's keys and its identity are shuffled, nothing else of the page; captures and intervals of a key are sorted by time, and
-each capture takes the interval before it. A key may hold any share of the captures: one with more than HEAVY is dealt to a
-group for each HEAVY of them, with its intervals repeated there; other keys are not salted.
+each capture takes the interval before it. A key may hold any share of the captures: one with more than HEAVY, and
+more than one in SHARES of all, is dealt to several groups, with its intervals repeated there; other keys are not salted. The
+salts are broadcast: fewer than SHARES keys have any.
 
 Defined results: two entries of a key at one time count as blocked if one of them blocks; entries without a key or a
 time are void, as are captures' keys where the URL has no host; a capture without a time meets no interval; both are
@@ -18,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Captures that a key has in one group, about.
-HEAVY = 512
+#: Captures that a key has in one group, about: so many, or one in SHARES of all.
+HEAVY, SHARES = 512, 20_000
 #: Scheme, user, host; port and the rest follow. Then the first path segment.
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
@@ -54,7 +55,9 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     identity = ["page_id", "url", "fetched_at"]
     asked = captures.select(*identity, F.explode_outer(keys(F.col("url"))).alias("k")).select(*identity, F.col("k.key").alias("key"), F.col("k.rank").alias("rank"))
     keyed = asked.where("key is not null")
-    salts = keyed.groupBy("key").agg(F.ceil(F.count("*") / HEAVY).alias("salts")).where("salts > 1")  # one key in HEAVY captures at most
+    total = keyed.count()
+    salts = keyed.groupBy("key").agg(F.ceil(F.count("*") / max(HEAVY, total // SHARES)).alias("salts")).where("salts > 1")
+    salts = F.broadcast(salts)  # keys of more than one in SHARES rows: fewer than SHARES
     void = F.lit(None)
     a = keyed.join(salts, "key", "left").select("key", F.coalesce(F.pmod(F.xxhash64(*identity), F.col("salts")), F.lit(0)).alias("salt"), F.col("fetched_at").alias("at"), F.lit(1).alias("kind"), F.struct(*identity, "rank").alias("capture"), void.cast("string").alias("since"), void.cast("boolean").alias("blocked"))
     held = intervals(entries)
