@@ -182,3 +182,22 @@ def normalised(x: Column | str, low: float, high: float, log: bool = False) -> C
 def ratio(a: Column | str, b: Column | str) -> Column:
     """Null where there is no quotient."""
     return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
+
+
+def chat_prompt(system: Column | str, user: Column | str) -> Column:
+    """A prompt of turns between marks, open for the assistant's."""
+    turn = lambda role, x: F.concat(F.lit(f"<|im_start|>{role}\n"), _c(x), F.lit("<|im_end|>\n"))
+    return F.concat(turn("system", system), turn("user", user), F.lit("<|im_start|>assistant\n"))
+
+
+def chat_turns(system: Column | str, user: Column | str, reply: Column | str) -> Column:
+    """The same with the assistant's turn closed, as a training text."""
+    return F.concat(chat_prompt(system, user), _c(reply), F.lit("<|im_end|>"))
+
+
+def gloss_line(key: Column | str, known: Column, cn: Column | str, en: Column | str, reading: Column | str, unknown: str = "[未知]", missing: str = "[未收录]", label: str = "拟音") -> Column:
+    """One line of a gloss block: the meaning, with (english) and [label: reading] where there are any; unknown without a meaning, missing without an entry."""
+    filled = lambda x: F.coalesce(_c(x), F.lit("")) != ""
+    meaning = F.when(filled(cn), _c(cn)).otherwise(unknown)
+    more = F.concat(F.when(filled(en), F.concat(F.lit(" ("), _c(en), F.lit(")"))).otherwise(""), F.when(filled(reading), F.concat(F.lit(f" [{label}: "), _c(reading), F.lit("]"))).otherwise(""))
+    return F.concat(F.lit("  "), _c(key), F.lit(" = "), F.when(known, F.concat(meaning, more)).otherwise(missing))

@@ -46,9 +46,14 @@ def jsonl(spark: SparkSession, path: str | Sequence[str], kind: str, strict: boo
     return checked.select(F.from_json("value", SCHEMAS[kind], {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def json_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A file that is one array of records."""
-    return spark.read.schema(SCHEMAS[kind]).json(path, multiLine=True)
+def json_array(spark: SparkSession, path: str, kind: str, strict: bool = False) -> DataFrame:
+    """A file that is one array of records. If strict, a file that is none, or holds a record of another shape, is an error."""
+    if not strict:
+        return spark.read.schema(SCHEMAS[kind]).json(path, multiLine=True)
+    whole = spark.read.text(path, wholetext=True)
+    checked = F.when(F.col("value").rlike(r"^\s*\[") & F.col("value").rlike(r"\]\s*$"), F.col("value")).otherwise(F.raise_error(F.lit("the file is no array of records")))
+    records = F.from_json(checked, f"array<struct<{SCHEMAS[kind]}>>", {"mode": "FAILFAST"})
+    return whole.select(F.explode(records).alias("r")).select("r.*")
 
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:

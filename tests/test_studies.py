@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
+import subprocess
+import sys
 from collections import Counter
 from difflib import SequenceMatcher
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,8 +17,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomspark.functions import constraints, matching
-from loomspark.operators import corpora, dictionary, resample, setjoin
+from loomspark.functions import constraints, matching, text
+from loomspark.operators import corpora, dictionary, reports, resample, setjoin
+from loomspark.sources import io
 
 
 def _sets(rnd: random.Random, n: int, common: str) -> list[tuple]:
@@ -173,3 +178,60 @@ def test_looked_up_and_designs(spark):
     literal, final = corpora.targets("x")
     texts = [("<literal> a b </literal>  c\nd ",), (" plain ",), (None,), ("<literal>x",)]
     assert [tuple(r) for r in spark.createDataFrame(texts, "x string").select(literal, final).collect()] == [("a b", "c\nd"), ("plain", "plain"), ("", ""), ("<literal>x", "<literal>x")]
+
+
+CHILD = """
+import json, os, sys
+from pyspark.sql import SparkSession
+from loomspark.streaming import resume
+root, die = sys.argv[1], sys.argv[2] == "die"
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+
+def write(df, path):
+    if die and path.endswith("batch=2"):  # some of the batch's rows are out, then the process is gone
+        df.limit(1).write.mode("overwrite").json(path)
+        os._exit(9)
+    df.write.mode("overwrite").json(path)
+
+resume.follow_batches(spark, f"file://{root}/in", "prediction", lambda x: x.select("input"), f"file://{root}/out", f"file://{root}/state", every=2, write=write).awaitTermination()
+"""
+
+
+def test_a_killed_run_goes_on(tmp_path):
+    """A process dies in its third batch; the next one does that batch again and the rest: every record once."""
+    (tmp_path / "in").mkdir()
+    for k in range(9):
+        (tmp_path / "in" / f"{k}.json").write_text("".join(json.dumps({"input": f"{k}-{i}"}) + "\n" for i in range(3)))
+    run = lambda how: subprocess.run([sys.executable, "-c", CHILD, str(tmp_path), how], cwd=Path(__file__).parents[1], capture_output=True, timeout=300).returncode
+    out = lambda: [json.loads(line)["input"] for p in sorted((tmp_path / "out").rglob("*.json")) for line in p.read_text().splitlines()]
+    assert run("die") == 9 and len(out()) == 13
+    assert run("go") == 0 and sorted(out()) == sorted(f"{k}-{i}" for k in range(9) for i in range(3))
+    assert run("go") == 0 and len(out()) == 27
+
+
+def test_arrays_that_are_none(spark, tmp_path):
+    (tmp_path / "good.json").write_text(' [{"prompt": "p", "chosen_reward": 1.5},\n {"prompt": "q"}]\n')
+    (tmp_path / "bad.json").write_text('{"prompt": "p"}')
+    assert [r["prompt"] for r in io.json_array(spark, str(tmp_path / "good.json"), "preference", strict=True).collect()] == ["p", "q"]
+    with pytest.raises(Exception, match="no array"):
+        io.json_array(spark, str(tmp_path / "bad.json"), "preference", strict=True).collect()
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([(k, "ab" if k % 3 else None, "s" if k % 2 else None) for k in range(40)], "id int, text string, split string")
+    got = {r["split"]: (r["n"], [tuple(x) for x in r["lengths"]], [x["at"] for x in r["examples"]]) for r in reports.split_report(rows, "split", "text", "id").where("split is not null").collect()}
+    assert got == {"s": (20, [(None, 7), (2, 13)], [1, 3, 5, 7, 9])}
+    values = spark.createDataFrame([("a", 1.0), ("a", float("inf")), ("a", None), ("b", float("nan"))], "k string, x double")
+    assert {tuple(r) for r in reports.finite_summary(values, "x", "k").collect()} == {("a", 3, 1.0, 1.0, 1.0, 2), ("b", 1, None, None, None, 1)}
+    systems = spark.createDataFrame([("h", 2.0, 4.0), ("m", 1.0, 8.0), ("z", None, 0.0)], "system string, lex double, ppl double")
+    table = {r["system"]: (r["relative_lex"], r["relative_ppl"]) for r in reports.anchored(systems, "system", "h", ["lex"], ["ppl"]).collect()}
+    assert table == {"h": (1.0, 1.0), "m": (0.5, 0.5), "z": (None, None)}
+    assert {r["relative_lex"] for r in reports.anchored(systems, "system", "none", ["lex"]).collect()} == {None}
+    words = spark.createDataFrame([("abc", "xaxb"), ("ac", "xb"), (None, "a"), ("a", "c"), ("a", None)], "p string, r string").select(reports.suffix_kept("p", "r", "ab").alias("x"))
+    assert [r["x"] for r in words.collect()] == [True, False, False, None, None]
+
+
+def test_gloss_lines(spark):
+    rows = [("k", True, "c", "e", "g"), ("k", True, "", None, ""), ("k", False, None, None, None)]
+    df = spark.createDataFrame(rows, "k string, known boolean, cn string, en string, gx string").select(text.gloss_line("k", F.col("known"), "cn", "en", "gx").alias("x"))
+    assert [r["x"] for r in df.collect()] == ["  k = c (e) [拟音: g]", "  k = [未知]", "  k = [未收录]"]
