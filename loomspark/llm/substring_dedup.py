@@ -199,10 +199,10 @@ def sizes(documents: DataFrame) -> Sizes:
     return Sizes(max(8, (ranges - 1).bit_length()), min(MAP_MOST, max(MAP_LEAST, total.bit_length() - 3)))
 
 
-def _cut(part: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(part, from, to) of sorted parts."""
-    at = np.searchsorted(part, np.arange((1 << bits) + 1))
-    return [(p, int(at[p]), int(at[p + 1])) for p in np.flatnonzero(np.diff(at)).tolist()]
+def _cut(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, from, to) of sorted parts; work follows the parts that occur, however many there could be."""
+    start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    return list(zip(part[start].tolist(), start.tolist(), [*start[1:].tolist(), len(part)], strict=False))
 
 
 def _blobs(columns: dict[str, np.ndarray], cuts: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -262,7 +262,7 @@ def repeated_anchors(documents: DataFrame, of: Sizes) -> np.ndarray:
             third[2:] = hashes[2:] == hashes[:-2]  # two of a kind tell as much as more
             hashes = hashes[~third]
             low = (hashes >> np.uint64(32 - bits)).astype(np.uint32)
-            yield _blobs({"low": low}, _cut((hashes >> np.uint64(64 - bits)).astype(np.int64), bits))
+            yield _blobs({"low": low}, _cut((hashes >> np.uint64(64 - bits)).astype(np.int64)))
 
     def count(table: pa.Table) -> pa.Table:
         tidy()
@@ -324,7 +324,7 @@ def settle(documents: DataFrame, bitmap: np.ndarray, of: Sizes) -> DataFrame:
             for state in (False, True):
                 mine = done == state
                 if mine.any():
-                    out = _blobs({k: x[mine] for k, x in columns.items()}, _cut(part[mine], bits))
+                    out = _blobs({k: x[mine] for k, x in columns.items()}, _cut(part[mine]))
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array([state] * out.num_rows)], [*out.schema.names, "done"])
 
     def decide(table: pa.Table) -> pa.Table:
@@ -397,7 +397,7 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray, of: Si
             raw = data[np.repeat(a - off[:-1], size) + np.arange(off[-1])]
             fine_part = (part << FINE) | (x["hashes"][order] >> np.uint64(64 - bits - FINE)).astype(np.int64) & ((1 << FINE) - 1)
             again = np.argsort(fine_part, kind="stable")
-            cuts = _cut(fine_part[again], bits + FINE)
+            cuts = _cut(fine_part[again])
             out = _blobs({"owner": owner[text][again], "row": row[text][again], "first": (a - at[text]).astype(np.uint32)[again], "size": size.astype(np.uint8)[again]}, cuts)
             size, start = size[again], off[:-1][again]
             ends = np.cumsum(np.append(0, size))
@@ -471,7 +471,7 @@ def spans(documents: DataFrame) -> DataFrame:
                 part = (H.mix(row.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 if len(order):
-                    yield _blobs({"row": row[order], "first": first[order], "size": size[order]}, _cut(part[order], bits))
+                    yield _blobs({"row": row[order], "first": first[order], "size": size[order]}, _cut(part[order]))
 
     def gather(table: pa.Table) -> pa.Table:
         row, first, size = (_joined(table, k, t) for k, t in (("row", np.int64), ("first", np.uint32), ("size", np.uint8)))

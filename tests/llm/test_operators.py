@@ -792,3 +792,11 @@ def test_resampled_documents(docs, rows, spark, empty):
     assert kept.columns == docs.columns and tally(kept.collect()) == tally(r for r in rows if r["doc_id"] in drawn and r["doc_id"] is not None)
     assert resampling.resampled(empty, target).count() == 0
     assert tally(resampling.resampled(docs, target.limit(0)).collect()) == brute_resampled(rows, [])
+
+
+@pytest.mark.parametrize("bits", [3, 12, 20])
+def test_parts_are_cut_where_they_change(bits):
+    rnd = np.random.default_rng(bits)
+    for n in (0, 1, 700):
+        part = np.sort(rnd.integers(0, 1 << bits, n))
+        assert substring_dedup._cut(part) == [(p, int(np.flatnonzero(part == p)[0]), int(np.flatnonzero(part == p)[-1]) + 1) for p in np.unique(part).tolist()]
