@@ -1,19 +1,14 @@
-"""Intervals, resampling of few rows, and vector search."""
+"""Intervals, resampling of few rows, and vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .corpora import number
 
-#: Queries that an exact vector search sends to every task at once.
-QUERY_BLOCK = 4096
-
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Low and high end, in 0..1; 0 and 0 for no rows."""
@@ -49,49 +44,3 @@ def mean_pooled(tokens: Column | str, mask: Column | str) -> Column:
     zero = F.transform(F.get(tokens, F.lit(0)), lambda v: F.lit(0.0))
     total = F.aggregate(kept, zero, lambda a, v: F.zip_with(a, v, lambda p, q: p + q.cast("double")))
     return F.transform(total, lambda v: v / (F.size(kept) + 1e-8))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """query, rank, id, distance: exact L2 top k of vectors (id, embedding) for each of queries (id, embedding); ties to the smaller id.
-
-    Queries come in blocks of QUERY_BLOCK to the driver and, 4 bytes a number, to the tasks; each task keeps k a query of its
-    rows, so k rows a query and task are shuffled. A vector is no neighbour of the query of its own id.
-    """
-    spark = vectors.sparkSession
-    out = None
-    it = queries.select("id", "embedding").orderBy("id").toLocalIterator(prefetchPartitions=True)
-    block: list = []
-
-    def search(own: list) -> DataFrame:
-        known = spark.sparkContext.broadcast((np.array([r["id"] for r in own]), np.array([r["embedding"] for r in own], np.float32)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = known.value
-            top_d, top_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                mine = batch.column(0).to_numpy(zero_copy_only=False)
-                if not len(mine):
-                    continue
-                x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(mine), -1)
-                for a in range(0, len(mine), 256):
-                    for c in range(0, len(ids), 64):
-                        own = slice(c, c + 64)
-                        d = ((q[own, None].astype(np.float64) - x[None, a : a + 256]) ** 2).sum(axis=2)
-                        d[ids[own, None] == mine[None, a : a + 256]] = np.inf
-                        d, i = np.concatenate([top_d[own], d], axis=1), np.concatenate([top_i[own], np.broadcast_to(mine[a : a + 256], d.shape)], axis=1)
-                        order = np.lexsort((i, d), axis=1)[:, :k]
-                        top_d[own], top_i[own] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            keep = np.isfinite(top_d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[keep.ravel()]), pa.array(top_i[keep]), pa.array(top_d[keep])], ["query", "id", "d"])
-
-        return vectors.select("id", "embedding").mapInArrow(run, "query long, id long, d double")
-
-    for row in it:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out = search(block) if out is None else out.unionAll(search(block))
-            block = []
-    if block or out is None:
-        out = search(block) if out is None else out.unionAll(search(block))
-    best = out.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k).alias("top"))  # k rows a task and query
-    return best.select("query", F.posexplode("top").alias("rank", "t")).select("query", (F.col("rank") + 1).alias("rank"), "t.id", F.col("t.d").alias("distance"))

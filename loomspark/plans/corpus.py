@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import chrf
 from loomspark.functions import text as T
 from loomspark.operators import corpora as C
-from loomspark.operators import setjoin
+from loomspark.operators import search, setjoin
 from loomspark.operators import statistics as S
 from loomspark.sources import io
 
@@ -304,12 +304,12 @@ def wide_metrics(spark, d):
 def knn_topk(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = v.where("id % 100 = 0")  # the stated query set of searches
-    return S.nearest(v, q).select("query", "rank", "id", F.round("distance", 5).alias("distance"))
+    return search.nearest(v, q).select("query", "rank", "id", F.round("distance", 5).alias("distance"))
 
 
 def knn_vote(spark, d):
     v = table(spark, d, "embeddings")
-    near = S.nearest(v.select(F.col("vec_id").alias("id"), "embedding"), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), "embedding"))
+    near = search.nearest(v.select(F.col("vec_id").alias("id"), "embedding"), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), "embedding"))
     votes = near.join(v.select(F.col("vec_id").alias("id"), "label"), "id").groupBy("query", "label").agg(F.count("*").alias("n"), F.min("rank").alias("r"))
     return votes.groupBy("query").agg(F.max_by("label", F.struct("n", -F.col("r"))).alias("label"))
 

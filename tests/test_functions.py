@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import chrf, matching, text
 from loomspark.functions.charsets import Charset
-from loomspark.operators import corpora, dictionary, selectors, statistics
+from loomspark.operators import corpora, dictionary, search, selectors, statistics
 from loomspark.sources import io
 from loomspark.streaming import resume
 
@@ -146,14 +146,19 @@ def test_canonical_ids_keep_long_ones(spark):
     assert [one(spark, dictionary.canonical("a"), a=x) for x in ("ID 0012", "1234567", "x1")] == ["00012", "1234567", None]
 
 
-def test_nearest_equals_brute_force(spark):
+@pytest.mark.parametrize(("vector_block", "query_block", "shares"), [(1 << 16, 1 << 14, 64), (7, 3, 2)])
+def test_nearest_equals_brute_force(spark, monkeypatch, vector_block, query_block, shares):
+    """With ties, and with more queries and vectors than a block holds."""
+    for name, value in (("VECTOR_BLOCK", vector_block), ("QUERY_BLOCK", query_block), ("SHARES", shares)):
+        monkeypatch.setattr(search, name, value)
     rnd = random.Random(3)
     rows = [(i, [float(rnd.randint(0, 3)) for _ in range(4)]) for i in range(60)]
     v = spark.createDataFrame(rows, "id long, embedding array<float>")
-    got = {(r["query"], r["rank"]): r["id"] for r in statistics.nearest(v, v.where("id < 7"), 3).collect()}
+    got = {(r["query"], r["rank"]): r["id"] for r in search.nearest(v, v.where("id < 7"), 3).collect()}
     for q in range(7):
         order = sorted((sum((a - b) ** 2 for a, b in zip(rows[q][1], x, strict=True)), i) for i, x in rows if i != q)
         assert [got[q, k] for k in (1, 2, 3)] == [i for _, i in order[:3]]
+    assert search.nearest(v, v.limit(0)).count() == 0 and search.nearest(v.limit(0), v.limit(2)).count() == 0
 
 
 def test_sinks_and_resume(spark, tmp_path):
