@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import strip
@@ -67,10 +67,15 @@ def entries_of(df: DataFrame, column: str, *keep: str, values: str = "string") -
 
 
 def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """df with row_idx from 0 by order: files have no rows' order in Spark, so it is made once, at ingest. One task sorts; for record files of a run."""
-    from pyspark.sql import Window
-
-    return df.withColumn("row_idx", F.row_number().over(Window.orderBy(*order)) - 1)
+    """df with row_idx from 0 by order, ties in any order: files have no rows' order in Spark, so it is made once, at ingest.
+
+    Rows are dealt into ranges of order, written once, and numbered within each; what the ranges before hold is a row a partition.
+    """
+    ranges = materialised(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(F.lit(0)).orderBy("__range")
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", (F.sum("__n").over(before) - F.col("__n")).alias("__base"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.join(F.broadcast(sizes), "__range").withColumn("row_idx", F.col("__base") + place - 1).drop("__range", "__base")
 
 
 def systems(frames: dict[str, DataFrame]) -> DataFrame:

@@ -235,3 +235,12 @@ def test_gloss_lines(spark):
     rows = [("k", True, "c", "e", "g"), ("k", True, "", None, ""), ("k", False, None, None, None)]
     df = spark.createDataFrame(rows, "k string, known boolean, cn string, en string, gx string").select(text.gloss_line("k", F.col("known"), "cn", "en", "gx").alias("x"))
     assert [r["x"] for r in df.collect()] == ["  k = c (e) [拟音: g]", "  k = [未知]", "  k = [未收录]"]
+
+
+def test_numbers_of_rows(spark):
+    rnd = random.Random(2)
+    values = [rnd.choice([None, *range(200)]) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, x int").repartition(5)
+    got = sorted(((r["row_idx"], r["x"], r["id"]) for r in io.numbered(df, ["x", "id"]).collect()), key=lambda r: r[0])
+    assert [(x, i) for _, x, i in sorted(got, key=lambda r: r[0])] == sorted(((x, i) for i, x in enumerate(values)), key=lambda p: (p[0] is not None, p[0] or 0, p[1])) and [r[0] for r in got] == list(range(500))
+    assert io.numbered(df.limit(0), ["x"]).count() == 0
