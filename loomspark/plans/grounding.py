@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import constraints as K
-from loomspark.functions import text as T
 from loomspark.functions.charsets import CLASSICAL
 from loomspark.operators import dictionary as D
 
