@@ -132,12 +132,39 @@ def vote(df: DataFrame) -> DataFrame:
     return df.withColumn("chosen", _first(F.col("scored"), count, lambda m: (m["name"] == FRONTIER).cast("int")))
 
 
+def closest(pool: Column | str, means: Column | str) -> Column:
+    """struct(pos, name, pred, mean): the member of a pool with the highest mean (rounded to 1e-9); ties to the frontier, then the first. Null for an empty pool."""
+    pool, means = (F.col(x) if isinstance(x, str) else x for x in (pool, means))
+    ranked = F.transform(pool, lambda m, i: F.struct(F.round(F.get(means, i), 9).alias("mean"), (m["name"] == FRONTIER).cast("int").alias("f"), (-m["pos"]).alias("p"), m.alias("m")))
+    best = F.array_max(ranked)
+    return F.when(best.isNotNull(), F.struct(best["m"]["pos"].alias("pos"), best["m"]["name"].alias("name"), best["m"]["pred"].alias("pred"), best["mean"].alias("mean")))
+
+
 def mbr(df: DataFrame, key: str = "row_idx") -> DataFrame:
     """key, chosen: the member closest to the others by mean chrF++ (rounded to 1e-9); ties to the frontier, then the first. Nothing is shuffled."""
     scored_ = df.where(F.size("pool") > 0).select(key, "pool", chrf.pool_means(F.transform("pool", lambda m: m["pred"])).alias("means"))
-    ranked = F.transform("pool", lambda m, i: F.struct(F.round(F.get("means", i), 9).alias("mean"), (m["name"] == FRONTIER).cast("int").alias("f"), (-m["pos"]).alias("p"), m.alias("m")))
-    best = F.array_max(ranked)
-    return scored_.select(key, F.struct(best["m"]["pos"].alias("pos"), best["m"]["name"].alias("name"), best["m"]["pred"].alias("pred"), best["mean"].alias("mean")).alias("chosen"))
+    return scored_.select(key, closest("pool", "means").alias("chosen"))
+
+
+def side_by_side(df: DataFrame, repair: Column, charset: Charset = LATIN) -> DataFrame:
+    """df (with pool) with a row for each of five selectors: selector, pred. mbr, contamination (the frontier's if clean, else the closest clean one), title (no prior),
+    sparse (guarded), audit (the closest one where repair holds, else the guarded one). Features once, two passes of chrF++ over the pool, no shuffle."""
+    values = lambda weights: F.array(*(F.lit(weights[k]).cast("long") for k in FEATURES))
+    means = lambda c: chrf.pool_means(F.transform(c, lambda m: m["pred"]))
+    rows = df.withColumn("__clean", F.filter("pool", lambda m: ~m["pred"].rlike(charset.contamination)))
+    rows = featured(rows.withColumns({"__means": means("pool"), "__clean_means": means("__clean")}), charset)
+    rows = score_max(weighted(rows, values(WEIGHTS | {"prior": 0}))).withColumnRenamed("chosen", "__title")
+    rows = guarded(weighted(rows, values(WEIGHTS))).withColumnRenamed("chosen", "__sparse").withColumn("__f", _frontier())
+    mbr_, clean = closest("pool", "__means")["pred"], closest("__clean", "__clean_means")["pred"]
+    picks = {
+        "mbr": mbr_,
+        "contamination": F.when(~F.col("__f.dirty"), F.col("__f.pred")).otherwise(F.coalesce(clean, F.col("__f.pred"))),
+        "title": F.col("__title.pred"),
+        "sparse": F.col("__sparse.pred"),
+        "audit": F.when(repair, mbr_).otherwise(F.col("__sparse.pred")),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("selector"), p.alias("pred")) for n, p in picks.items())))
+    return rows.select(*df.columns, each.alias("__s")).select(*df.columns, "__s.*")
 
 
 def contamination_guard(df: DataFrame, means: DataFrame, key: str = "row_idx") -> DataFrame:
