@@ -142,14 +142,14 @@ def character(codepoint: Column | str) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(codepoint), 8, "0")), "UTF-32")
 
 
-def encoded(sequences: DataFrame, table: DataFrame, unknown: str = "[UNK]", strict: bool = False) -> DataFrame:
+def encoded(sequences: DataFrame, table: DataFrame, unknown: str = "[UNK]", strict: bool = False, whole: bool = False) -> DataFrame:
     """id, encoded of sequences (id, parts: ids): the characters of table (id, codepoint), without anything between them; an id that it
-    lacks is unknown or, if strict, an error. An empty sequence is an empty text."""
-    known = table.where("codepoint is not null").select(F.col("id").alias("part"), character("codepoint").alias("c"))
+    lacks is unknown or, if strict, an error. So is one that it has without a code point, unless whole: then the text is null. An empty sequence is an empty text."""
+    known = table.where(F.lit(whole) | F.col("codepoint").isNotNull()).select(F.col("id").alias("part"), character("codepoint").alias("c"), F.col("codepoint").isNull().alias("beyond"))
     rows = sequences.select("id", F.posexplode_outer("parts").alias("pos", "part")).join(known, "part", "left")
     missing = F.raise_error(F.concat(F.lit("unknown id: "), "part")) if strict else F.lit(unknown)
     c = F.when(F.col("part").isNull(), "").when(F.col("c").isNull(), missing).otherwise(F.col("c"))
-    return rows.groupBy("id").agg(in_order("pos", c, "").alias("encoded"))
+    return rows.groupBy("id").agg(F.when(~F.coalesce(F.bool_or("beyond"), F.lit(False)), in_order("pos", c, "")).alias("encoded"))
 
 
 def decoded(texts: DataFrame, table: DataFrame, unknown: str = "[UNK]") -> DataFrame:
@@ -174,9 +174,10 @@ def from_maps(meanings: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def rewritten(records: DataFrame, column: str, table: DataFrame, key: str) -> DataFrame:
-    """records with column's id sequence encoded and what it was kept in <column>_ids."""
-    own = encoded(records.select(F.col(key).alias("id"), parsed(column).alias("parts")), table).select(F.col("id").alias(key), F.col("encoded").alias("__e"))
-    return records.join(own, key, "left").withColumn(f"{column}_ids", F.col(column)).withColumn(column, F.coalesce("__e", F.lit(""))).drop("__e")
+    """records with column's id sequence encoded and what it was kept in <column>_ids; null where an id of table is beyond the private range."""
+    own = encoded(records.select(F.col(key).alias("id"), parsed(column).alias("parts")), table, whole=True).select(F.col("id").alias(key), F.struct("encoded").alias("__e"))
+    text = F.when(F.col("__e").isNull(), "").otherwise(F.col("__e.encoded"))
+    return records.join(own, key, "left").withColumn(f"{column}_ids", F.col(column)).withColumn(column, text).drop("__e")
 
 
 def glosses(texts: DataFrame, entries: DataFrame, longest: int = LONGEST, unknown: str = "?") -> DataFrame:
