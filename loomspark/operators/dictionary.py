@@ -13,6 +13,12 @@ BROADCAST_KEYS = 200_000
 LONGEST = 5
 
 
+def _looked_up(table: DataFrame) -> DataFrame:
+    """table as the side of a join that is looked up: broadcast while it is small, else never the other side, whose rows the optimizer takes for as few as those that they are made of."""
+    few = table.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return F.broadcast(table) if few else table.hint("merge")
+
+
 def forward(entries: DataFrame) -> DataFrame:
     """key, cn, en: of rows of one key the last one; an empty key is a key like any other, rows with null for it are left out."""
     return entries.where("key is not null").groupBy("key").agg(F.max_by(F.struct("cn", "en"), "row_idx").alias("e")).select("key", "e.*")
@@ -33,7 +39,7 @@ def contained(texts: DataFrame, keys: DataFrame) -> DataFrame:
     sizes = known.agg(F.array_sort(F.collect_set(F.length("key")))).first()[0] or []
     fitting = F.filter(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"), lambda n: n <= F.length("text"))
     runs = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n))))
-    return texts.select("id", F.explode(F.array_distinct(runs)).alias("key")).join(known, "key").select("id", "key")
+    return texts.select("id", F.explode(F.array_distinct(runs)).alias("key")).join(_looked_up(known), "key").select("id", "key")
 
 
 def char_multimap(entries: DataFrame, column: str = "cn", wanted: str = r"^[\x{4E00}-\x{9FFF}]$") -> DataFrame:
@@ -75,9 +81,7 @@ def reverse(entries: DataFrame, column: str, separators: str, drop: str | None =
 def spans(texts: DataFrame, keys: DataFrame, words: str = "words", longest: int = LONGEST) -> DataFrame:
     """texts' id, start, n of every run of 1..longest words that is a key (joined by blanks): one equi-join, no scan of the dictionary. Texts without words have none."""
     runs = texts.where(F.size(words) > 0).select("id", F.explode(F.expr(f"flatten(transform(sequence(1, size({words})), i -> transform(sequence(1, least({longest}, size({words}) - i + 1)), n -> struct(i AS start, n AS n, array_join(slice({words}, i, n), ' ') AS key))))")).alias("r"))
-    known = keys.select("key").distinct()
-    few = known.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return runs.select("id", "r.*").join(F.broadcast(known) if few else known, "key")
+    return runs.select("id", "r.*").join(_looked_up(keys.select("key").distinct()), "key")
 
 
 def forward_matches(texts: DataFrame, keys: DataFrame, longest: int = LONGEST) -> DataFrame:
