@@ -250,7 +250,8 @@ def flattened(groups: DataFrame, meta: DataFrame, ids: DataFrame, pattern: str,
     group's order), length (not between least and most), duplicate (an earlier group, by item and place, has the same ids); else kept.
     """
     first = ids.select("character", F.get("ids", F.lit(0)).alias("id")).where("id is not null")
-    rows = groups.join(meta.groupBy("label").agg(F.min("character").alias("character")), "label", "left").join(first, "character", "left")
+    labels = meta.groupBy("label").agg(F.min("character").alias("character"))
+    rows = groups.join(_looked_up(labels), "label", "left").join(_looked_up(first), "character", "left")
     why = F.when(F.col("character").isNull(), "missing_label").when(F.col("id").isNull(), "missing_id")
     chars = F.array_sort(F.collect_list(F.struct("pos", "label", "character", "id", why.alias("why"))))
     found = rows.groupBy("item", "group_pos").agg(F.min("category").alias("category"), chars.alias("chars"))
