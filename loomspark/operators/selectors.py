@@ -6,10 +6,16 @@ hundredths in integers until the last division.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import add
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from loomspark.functions import chrf, text
 from loomspark.functions.charsets import LATIN, Charset
@@ -30,6 +36,43 @@ def upper_median(lengths: Column) -> Column:
     return F.get(F.array_sort(lengths), (F.size(lengths) / 2).cast("int"))
 
 
+def _common_start(a: str, b: str) -> int:
+    """Length of the longest common start, by halves."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def ends_of(pool: Sequence[str]) -> list[int]:
+    """Two numbers a text: characters that it shares with the starts, and with the ends, of those that differ from it. Shares of one character
+    don't count, nor does an end that reads as the start."""
+    out, back = [0] * (2 * len(pool)), [x[::-1] for x in pool]
+    for i, a in enumerate(pool):
+        for j in range(i):
+            if a == pool[j]:
+                continue
+            p, s = _common_start(a, pool[j]), _common_start(back[i], back[j])
+            start, end = (p if p >= 2 else 0), (s if s >= 2 and a[len(a) - s :] != a[:p] else 0)
+            for k in (i, j):
+                out[2 * k] += start
+                out[2 * k + 1] += end
+    return out
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def shared_ends(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """ends_of of an array of texts."""
+    for pools in batches:
+        yield pd.Series([ends_of(list(pool)) for pool in pools])
+
+
 #: The order of a member's features.
 FEATURES = tuple(WEIGHTS)
 
@@ -37,15 +80,11 @@ FEATURES = tuple(WEIGHTS)
 def featured(df: DataFrame, charset: Charset = LATIN, source: str = "source") -> DataFrame:
     """df with featured: members with length, consensus, flags and their features as an array in the order of FEATURES; pool's median length beside."""
     median = upper_median(F.transform("pool", lambda m: F.length(m["pred"])))
-    df = df.withColumn("median_length", median)
+    df = df.withColumns({"median_length": median, "__ends": shared_ends(F.transform("pool", lambda m: m["pred"]))})
 
-    def one(m: Column) -> Column:
-        others = F.filter("pool", lambda o: o["pred"] != m["pred"])
-        shares = F.transform(others, lambda o: F.struct(text.common_prefix(m["pred"], o["pred"]).alias("p"), text.common_suffix(m["pred"], o["pred"]).alias("s")))
+    def one(m: Column, i: Column) -> Column:
         n = F.length(m["pred"])
-        of = lambda f: F.aggregate(shares, F.lit(0), lambda acc, x: acc + f(x))
-        pre = of(lambda x: F.when(F.length(x["p"]) >= 2, F.length(x["p"])).otherwise(0))
-        suf = of(lambda x: F.when((F.length(x["s"]) >= 2) & (x["s"] != x["p"]), F.length(x["s"])).otherwise(0))
+        pre, suf = (F.get("__ends", 2 * i + k) for k in (0, 1))
         title = F.instr(F.lit(charset.suffixes), F.right(m["pred"], F.lit(1))) > 0
         dirty = m["pred"].rlike(charset.contamination)
         short = n <= F.greatest(F.lit(1), (F.length(source) / 4).cast("int"))
@@ -54,20 +93,24 @@ def featured(df: DataFrame, charset: Charset = LATIN, source: str = "source") ->
         features = F.array(*(parts[k].cast("long") for k in FEATURES))
         return F.struct(m["pos"].alias("pos"), m["name"].alias("name"), m["pred"].alias("pred"), n.alias("length"), (pre + suf).alias("consensus"), title.alias("title"), dirty.alias("dirty"), short.alias("short"), long.alias("long"), features.alias("features"))
 
-    return df.withColumn("featured", F.transform("pool", one))
+    return df.withColumn("featured", F.transform("pool", one)).drop("__ends")
+
+
+def values(weights: Mapping[str, int]) -> Column:
+    """Weights as an array in the order of FEATURES."""
+    return F.array(*(F.lit(weights[k]).cast("long") for k in FEATURES))
 
 
 def weighted(df: DataFrame, weights: Column) -> DataFrame:
     """df with scored: the featured members with score, the product of their features and the weights (array<bigint> in the order of FEATURES)."""
     kept = ("pos", "name", "pred", "length", "consensus", "title", "dirty", "short", "long")
-    product = lambda m: F.aggregate(F.zip_with(m["features"], weights, lambda x, w: x * w), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    product = lambda m: reduce(add, (F.get(m["features"], F.lit(k)) * F.get(weights, F.lit(k)) for k in range(len(FEATURES))))
     return df.withColumn("scored", F.transform("featured", lambda m: F.struct(*(m[k].alias(k) for k in kept), product(m).alias("score"))))
 
 
 def scored(df: DataFrame, charset: Charset = LATIN, weights: Mapping[str, int] = WEIGHTS, source: str = "source") -> DataFrame:
     """df with scored: members with length, consensus, flags and score (hundredths); pool's median length beside."""
-    values = F.array(*(F.lit(weights[k]).cast("long") for k in FEATURES))
-    return weighted(featured(df, charset, source), values).drop("featured")
+    return weighted(featured(df, charset, source), values(weights)).drop("featured")
 
 
 def studied(df: DataFrame, pools: Mapping[str, Sequence[str]], settings: Sequence[Mapping]) -> DataFrame:
@@ -86,25 +129,28 @@ def studied(df: DataFrame, pools: Mapping[str, Sequence[str]], settings: Sequenc
         for x in settings))
     rows = weighted(rows.withColumn("__s", F.explode(table)), F.col("__s.weights"))
     by_rule = guarded(rows, F.col("__s.margin"), F.col("__s.consensus")).withColumnRenamed("chosen", "__guarded").drop("action")
-    both = score_max(by_rule)
-    chosen = F.when(F.col("__s.mode") == "score_max", F.col("chosen")).otherwise(F.col("__guarded"))
-    out = both.withColumn("chosen", chosen).withColumn("setting", F.col("__s.name")).withColumn("switched", F.coalesce(F.col("chosen.name") != FRONTIER, F.lit(False)))
+    chosen = F.when(F.col("__s.mode") == "score_max", _best()).otherwise(F.col("__guarded"))
+    out = by_rule.withColumn("chosen", chosen).withColumn("setting", F.col("__s.name")).withColumn("switched", F.coalesce(F.col("chosen.name") != FRONTIER, F.lit(False)))
     return out.drop("pool", "featured", "scored", "median_length", "__s", "__guarded").withColumnRenamed("pool_name", "pool")
 
 
 def _first(candidates: Column, *keys) -> Column:
     """The member with the greatest keys, first in pool order among equals."""
     ranked = F.transform(candidates, lambda m: F.struct(*(k(m).alias(f"k{i}") for i, k in enumerate(keys)), (-m["pos"]).alias("pos"), m.alias("m")))
-    return F.array_max(F.transform(ranked, lambda r: r))["m"]
+    return F.array_max(ranked)["m"]
 
 
 def _frontier() -> Column:
     return F.get(F.filter("scored", lambda m: m["name"] == FRONTIER), F.lit(0))
 
 
+def _best() -> Column:
+    return _first(F.col("scored"), lambda m: m["score"], lambda m: (m["name"] == FRONTIER).cast("int"))
+
+
 def score_max(df: DataFrame) -> DataFrame:
     """The highest score; among equals the frontier's, then the first."""
-    return df.withColumn("chosen", _first(F.col("scored"), lambda m: m["score"], lambda m: (m["name"] == FRONTIER).cast("int")))
+    return df.withColumn("chosen", _best())
 
 
 def guarded(df: DataFrame, margin: Column | int = 300, consensus: Column | int = 2) -> DataFrame:
@@ -149,7 +195,6 @@ def mbr(df: DataFrame, key: str = "row_idx") -> DataFrame:
 def side_by_side(df: DataFrame, repair: Column, charset: Charset = LATIN) -> DataFrame:
     """df (with pool) with a row for each of five selectors: selector, pred. mbr, contamination (the frontier's if clean, else the closest clean one), title (no prior),
     sparse (guarded), audit (the closest one where repair holds, else the guarded one). Features once, two passes of chrF++ over the pool, no shuffle."""
-    values = lambda weights: F.array(*(F.lit(weights[k]).cast("long") for k in FEATURES))
     means = lambda c: chrf.pool_means(F.transform(c, lambda m: m["pred"]))
     rows = df.withColumn("__clean", F.filter("pool", lambda m: ~m["pred"].rlike(charset.contamination)))
     rows = featured(rows.withColumns({"__means": means("pool"), "__clean_means": means("__clean")}), charset)
@@ -200,3 +245,6 @@ def hints(df: DataFrame) -> DataFrame:
     distinct = F.array_distinct(F.transform("pool", lambda m: m["pred"]))
     pairs = F.flatten(F.transform(distinct, lambda a: F.transform(F.filter(distinct, lambda b: b > a), lambda b: F.array(text.common_prefix(a, b), text.common_suffix(a, b)))))
     return df.withColumn("hints", F.array_join(F.array_sort(F.array_distinct(F.filter(F.flatten(pairs), lambda x: F.length(x) >= 2))), "\n"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package

@@ -38,12 +38,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df's rows over all cores: a table of a few MB is read by a task or two, however much work its rows make."""
+    return df.repartition(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "part"), "p_partkey")
+
+
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in POOL.items()))
+    return parts(spark, sf_dir).selectExpr(*(f"{e} AS {n}" for n, e in POOL.items()))
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in TITLES.items()))
+    return parts(spark, sf_dir).selectExpr(*(f"{e} AS {n}" for n, e in TITLES.items()))
 
 
 POOL_SQL = "pool0 AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in POOL.items()) + " FROM part)"

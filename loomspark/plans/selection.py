@@ -22,7 +22,9 @@ def _chosen(df: DataFrame, *more: str) -> DataFrame:
 
 
 def pool_scored(spark, d):
-    return scored(spark, d).select("row_idx", "median_length", F.explode("scored").alias("m")).select("row_idx", "median_length", "m.*")
+    # explode() would have the optimizer score every pool once more, below the exchange, to see whether it is empty.
+    rows = scored(spark, d).select("row_idx", "median_length", F.explode_outer("scored").alias("m")).where("m is not null")
+    return rows.select("row_idx", "median_length", "m.*")
 
 
 def pool_guarded(spark, d):
@@ -94,32 +96,30 @@ def selector_actions(spark, d):
 
 
 def _grid(df: DataFrame, of: list[str]) -> DataFrame:
-    """Sums of every column exact_<k> and switches_<k> of one pass over df, a row a k, named by the SQL values in of."""
-    sums = df.agg(*(F.count_if(F.col(f"{c}_{k}")).alias(f"{c}_{k}") for k in range(len(of)) for c in ("exact", "switches")))
+    """exact and switches of the rows of each k (columns k, reference, action, chosen), a row a k, named by the SQL values in of."""
+    exact, switched = F.col("chosen.pred") == F.col("reference"), F.col("action") != "keep_frontier"
+    sums = df.agg(*(F.count_if((F.col("k") == k) & x).alias(f"{c}_{k}") for k in range(len(of)) for c, x in (("exact", exact), ("switches", switched))))
     rows = F.array(*(F.struct(F.expr(name).alias("v"), F.col(f"exact_{k}").alias("exact"), F.col(f"switches_{k}").alias("switches")) for k, name in enumerate(of)))
     return sums.select(F.explode(rows).alias("r")).select("r.v.*", "r.exact", "r.switches")
 
 
 def selector_sensitivity(spark, d):
-    """Margins by consensus and title weights, all nine in one pass: scores once per weight set, rules per margin."""
-    df, of = S.pool(pools(spark, d), NAMES), []
-    for title in (0, 250, 500):
-        df = S.scored(df, weights=S.WEIGHTS | {"title": title})
-        for margin in (0, 300, 600):
-            k = len(of)
-            df = S.guarded(df, margin).withColumns({f"exact_{k}": F.col("chosen.pred") == F.col("reference"), f"switches_{k}": F.col("action") != "keep_frontier"}).drop("chosen", "action")
-            of.append(f"struct({title} AS title, {margin} AS margin)")
-    return _grid(df, of)
+    """Margins by consensus and title weights, all nine in one pass: features once, scores once per weight set, rules per margin."""
+    titles_, margins = (0, 250, 500), (0, 300, 600)
+    of = [f"struct({title} AS title, {margin} AS margin)" for title in titles_ for margin in margins]
+    df = S.featured(S.pool(pools(spark, d), NAMES)).withColumn("t", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), S.values(S.WEIGHTS | {"title": title}).alias("w")) for i, title in enumerate(titles_)))))
+    df = S.weighted(df, F.col("t.w")).withColumn("m", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(m).alias("margin")) for i, m in enumerate(margins)))))
+    return _grid(S.guarded(df, F.col("m.margin")).withColumn("k", F.col("t.i") * len(margins) + F.col("m.i")), of)
 
 
 def pool_ablation(spark, d):
-    """The guarded selector over sub-pools, in one pass."""
-    df, of = pools(spark, d), []
-    for k, names in enumerate((["frontier", "unk"], ["frontier", "dpo"], ["unk", "dpo"], NAMES)):
-        df = S.guarded(S.scored(S.pool(df, names)))
-        df = df.withColumns({f"exact_{k}": F.col("chosen.pred") == F.col("reference"), f"switches_{k}": F.col("action") != "keep_frontier"}).drop("chosen", "action")
-        of.append(f"struct('{'+'.join(names)}' AS pool)")
-    return _grid(df, of)
+    """The guarded selector over sub-pools, in one pass: a row a sub-pool."""
+    of = (["frontier", "unk"], ["frontier", "dpo"], ["unk", "dpo"], NAMES)
+    df = S.pool(pools(spark, d), NAMES, "every")
+    part = lambda names: F.filter("every", lambda m: m["name"].isin(*names))
+    each = F.array(*(F.struct(F.lit(k).alias("k"), part(names).alias("pool")) for k, names in enumerate(of)))
+    df = df.withColumn("p", F.explode(each)).select("source", "reference", "p.*")
+    return _grid(S.guarded(S.scored(df)), [f"struct('{'+'.join(names)}' AS pool)" for names in of])
 
 
 def diag_flags_classical(spark, d):

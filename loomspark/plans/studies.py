@@ -10,7 +10,7 @@ from loomspark.operators import corpora as C
 from loomspark.operators import dictionary as D
 from loomspark.operators import selectors as S
 
-from .common import POOL, REF, SCORED_SQL, Query, chrf_sql, matched_sql, score_sql, table
+from .common import POOL, REF, SCORED_SQL, Query, chrf_sql, matched_sql, parts, score_sql, table
 
 #: A fourth system beside those of the pools.
 MTSFT = f"CASE p_partkey % 5 WHEN 0 THEN {REF} WHEN 1 THEN '' WHEN 2 THEN p_name || ' ' || p_brand WHEN 3 THEN p_type ELSE {REF} || ' and more of it' END"
@@ -33,7 +33,7 @@ SETTINGS = [
 
 def selector_grid(spark, d):
     """Five pools by nine settings in one pass: exact, contaminated and switched rows, length ratio, kept suffixes."""
-    df = table(spark, d, "part").selectExpr(*(f"{e} AS {n}" for n, e in STUDY.items()))
+    df = parts(spark, d).selectExpr(*(f"{e} AS {n}" for n, e in STUDY.items()))
     rows = S.studied(df, POOLS, SETTINGS).withColumn("pred", F.coalesce("chosen.pred", F.lit("")))
     suffixes = F.filter(F.split(F.lit(",".join(LATIN.suffixes)), ","), lambda c: F.col("reference").contains(c))
     kept = F.forall(suffixes, lambda c: F.col("pred").contains(c))

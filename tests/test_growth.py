@@ -34,3 +34,29 @@ def test_lookups_never_broadcast_the_rows_that_look_up(spark, monkeypatch):
 
 def test_inscriptions_meet_small_tables_without_a_shuffle(spark):
     assert _plan(catalog.QUERIES["inscription_rows"](spark, str(SF))).count("strategy=broadcast") >= 2
+
+
+def test_ends_of_pools_equal_brute_force():
+    def start(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    draw = random.Random(3)
+    for _ in range(2000):
+        pool = ["".join(draw.choice("ab") for _ in range(draw.randint(1, 7))) + draw.choice(["", "名é"]) for _ in range(draw.randint(1, 4))]
+        want = []
+        for a in pool:
+            n = [0, 0]
+            for b in pool:
+                if a != b:
+                    p, s = a[: start(a, b)], a[len(a) - start(a[::-1], b[::-1]) :]
+                    n[0] += len(p) if len(p) >= 2 else 0
+                    n[1] += len(s) if len(s) >= 2 and s != p else 0
+            want += n
+        assert S.ends_of(pool) == want
+
+
+def test_pools_are_dealt_to_all_cores_and_scored_once(spark):
+    assert common.pools(spark, str(SF)).rdd.getNumPartitions() >= 32
+    for name in ("pool_scored", "pool_ablation", "selector_sensitivity"):
+        plan = _plan(catalog.QUERIES[name](spark, str(SF)))
+        assert plan.count("shared_ends(") == 1 and len(plan) < 50_000, name
