@@ -70,13 +70,24 @@ def _value(hs: list[int], rs: list[int], c: list[int]) -> float:
     return 100 * (1 + BETA**2) * p * r / (BETA**2 * p + r)
 
 
+#: n-grams that a task remembers at once.
+HELD = 1 << 20
+
+
 def _remembered():
-    """n-grams of the texts of a batch, each counted once."""
+    """n-grams of a task's texts; of those met lately, HELD n-grams at most, each text is counted once."""
     known: dict[str, tuple[Counter, list[int]]] = {}
+    held = 0
 
     def of(text: str):
+        nonlocal held
         if text not in known:
-            known[text] = grams(text)
+            own = grams(text)
+            held += len(own[0]) + 1
+            if held > HELD:
+                known.clear()
+                held = len(own[0]) + 1
+            known[text] = own
         return known[text]
 
     return of
@@ -85,16 +96,17 @@ def _remembered():
 @F.pandas_udf(ArrayType(IntegerType()))
 def stats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The 24 counts of (hypothesis, reference); null counts as empty."""
+    known = _remembered()
     for h, r in batches:
-        known = _remembered()
         yield pd.Series([counts(x or "", y or "", known) for x, y in zip(h, r, strict=True)])
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def pool_means(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Of an array of texts: the mean chrF++ of each against each of the others; 100 for one alone."""
+    known = _remembered()
     for pools in batches:
-        out, known = [], _remembered()
+        out = []
         for pool in pools:
             n = len(pool)
             own, total = [known(x) for x in pool], [0.0] * n
