@@ -28,8 +28,9 @@ def _distinct(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """id, group, k of every row with elements, and k, group, grams of the distinct sets; null elements are none. An element bears its group's name."""
     own = sets.select("id", "group", F.array_sort(F.array_distinct(F.array_compact("grams"))).alias("grams")).where(F.size("grams") > 0)
     own = own.withColumn("k", F.md5(F.to_json(F.struct("group", "grams"))))
-    named = F.transform(F.first("grams"), lambda g: F.concat("group", F.lit("\t"), g))
-    return own.select("id", "group", "k"), own.groupBy("k", "group").agg(named.alias("grams"))
+    named = F.transform("grams", lambda g: F.concat("group", F.lit("\t"), g))
+    # Grams are a key here, not an aggregate: copies go by hash where they are read, without a sort of all rows.
+    return own.select("id", "group", "k"), own.select("k", "group", "grams").distinct().select("k", "group", named.alias("grams"))
 
 
 def _ordered(sets: DataFrame, often: DataFrame, rest: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from loomspark.operators import corpora as C
 from loomspark.operators import resample as R
 from loomspark.operators import setjoin, statistics
 
-from .common import NAMES, POOL_SQL, Query, chrf_sql, pools, score_sql, table
+from .common import NAMES, POOL_SQL, Query, chrf_sql, dealt, pools, score_sql, table
 
 RESAMPLES, SEED = 5000, 42
 PAIRS = [("frontier", "unk"), ("frontier", "dpo"), ("unk", "dpo")]
@@ -31,7 +31,8 @@ def leakage_chars(spark, d):
     }
     grams = lambda names: F.explode(F.array(*(F.struct(F.lit(f"{name}_{n}").alias("group"), T.char_ngrams("text", n).alias("grams")) for name in names for n in (2, 3, 4)))).alias("g")
     mine = own.select("id", grams(others)).select("id", "g.*")
-    pool = reduce(DataFrame.unionAll, (df.select("id", grams([name])).select("id", "g.*") for name, df in others.items()))
+    texts = {name: df.groupBy("text").agg(F.min("id").alias("id")) for name, df in others.items()}  # equal texts are cut up once
+    pool = reduce(DataFrame.unionAll, (dealt(df).select("id", grams([name])).select("id", "g.*") for name, df in texts.items()))
     best = setjoin.best_jaccard(mine, pool, grouped=True)
     columns = [F.round(F.max(F.when(F.col("group") == f"{name}_{n}", F.col("best"))), 6).alias(f"{name}_{n}") for n in (2, 3, 4) for name in others]
     return best.groupBy(F.col("id").alias("item_id")).agg(*columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import dictionary as D
 from loomspark.operators import selectors as S
+from loomspark.operators import setjoin
 from loomspark.plans import catalog, common
 
 from .conftest import SF
@@ -60,3 +61,10 @@ def test_pools_are_dealt_to_all_cores_and_scored_once(spark):
     for name in ("pool_scored", "pool_ablation", "selector_sensitivity"):
         plan = _plan(catalog.QUERIES[name](spark, str(SF)))
         assert plan.count("shared_ends(") == 1 and len(plan) < 50_000, name
+
+
+def test_copies_of_sets_go_without_a_sort(spark):
+    sets = spark.range(20).select("id", F.lit("g").alias("group"), F.array(F.lit("a"), F.lit("b")).alias("grams"))
+    pool = setjoin._distinct(sets)[1]
+    assert "SortAggregate" not in pool._jdf.queryExecution().executedPlan().toString()
+    assert [list(r["grams"]) for r in pool.collect()] == [["g\ta", "g\tb"]]
