@@ -13,6 +13,8 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Keys that ``repeated`` counts at once.
+BLOCK = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -99,8 +101,18 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     n = len(keys)
     if n < 2:
         return np.zeros(n, bool)
-    slot = (keys & U64((1 << max(8, (4 * n - 1).bit_length())) - 1)).astype(np.int64)
-    maybe = np.flatnonzero(np.bincount(slot)[slot] > 1)
+    size = 1 << max(8, (4 * n - 1).bit_length())
+    if n <= BLOCK:
+        slot = (keys & U64(size - 1)).astype(np.int64)
+        maybe = np.flatnonzero(np.bincount(slot)[slot] > 1)
+    else:  # two bits' worth of a count, a block at a time
+        once, twice = np.zeros(size, bool), np.zeros(size, bool)
+        for a in range(0, n, BLOCK):
+            slot = np.sort(keys[a : a + BLOCK] & U64(size - 1))
+            twice[slot[1:][slot[1:] == slot[:-1]]] = True
+            twice[slot[once[slot]]] = True
+            once[slot] = True
+        maybe = np.concatenate([a + np.flatnonzero(twice[keys[a : a + BLOCK] & U64(size - 1)]) for a in range(0, n, BLOCK)])
     out = np.zeros(n, bool)
     if len(maybe):
         own = keys[maybe]

@@ -4,7 +4,8 @@ Sorting every suffix of the corpus would shuffle 50 times its size. Three passes
 
 1. Anchors. The least hash of the Q-byte strings in each 50-byte window, leftmost first, is an anchor (about one byte in
    14). Equal windows have the same anchor at the same place, so a window can only repeat if its anchor does. Anchors'
-   hashes, 4 bytes each, are counted by hash range; each range answers with a slice of a bitmap.
+   hashes, 4 bytes each, are counted by hash range; each range answers with a slice of a bitmap. The least of many hashes
+   is a small one, so they are mixed once more first: ranges are of one size.
 2. Surroundings. Each window has one anchor; the windows of an anchor in the bitmap cover up to 100 - Q bytes, whose hash
    comes along. Where all of that stands in a smaller document too, every one of these windows repeats: the inside of a
    repeated passage needs no more. Repeats in one piece of text are settled before the shuffle. What shares at least the
@@ -12,10 +13,10 @@ Sorting every suffix of the corpus would shuffle 50 times its size. Three passes
 3. Suffix arrays. The bytes around these anchors, by hash range, form shards of at most SHARD bytes. Each has its suffix
    array (Larsson-Sadakane: ranks by 7 bytes, then doubled for groups still tied) and common prefixes (Kasai's recurrence,
    run over eight interleaved lanes at once); runs of 50 or more common bytes give each string its smallest document.
-   Several shards of one range exchange that by binary search in each other's sorted strings.
+   Several shards of one range exchange that by one sort of their distinct strings.
 
-   Before it is sorted, a segment is cut down to the strings whose 64-bit hash a second document has in the same shard,
-   and of segments that are equal then, only the smallest document's is left; a passage of a third of all texts is one.
+   Of equal segments only the smallest document's is left; a passage of a third of all texts is one. Before it is sorted,
+   a segment is cut down to the strings whose 64-bit hash a second document has in the same shard, and equal ones go again.
 
 Both bitmaps have a bounded size; what they can't tell apart costs work, not results. Spans to remove meet their text in one
 join at the end. Hashes of 64 bits decide steps 1 and 2, so two different strings could be taken for equal with a
@@ -51,6 +52,8 @@ RANGE_BYTES = 1 << 25
 FINE = 2
 #: Bytes that one suffix array covers.
 SHARD = 1 << 19
+#: Bytes that are hashed at once where a task holds more of them: prefix sums take many times their room.
+BLOCK = 1 << 19
 LAST = (1 << 63) - 1
 
 
@@ -83,7 +86,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(spot)) - 1
     spot = spot[first]
-    return spot, hashes[spot], text[window[first]], window[first], window[last] + LENGTH
+    return spot, H.mix(hashes[spot]), text[window[first]], window[first], window[last] + LENGTH
 
 
 # Suffix arrays
@@ -153,34 +156,33 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 
 
 def least_owner(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the 50-byte strings at starts: the smallest owner of an equal one; and the distinct strings, sorted, with theirs."""
+    """Of the 50-byte strings at starts: which of the distinct strings each is; those, sorted; and the smallest owner of each."""
     order = suffix_array(data)
     shared = common_prefixes(data, order, LENGTH)
     group = np.cumsum(shared < LENGTH) - 1
     place = np.empty(len(data), np.int64)
     place[order] = group
-    own = place[starts]
-    least = np.full(group[-1] + 1 if len(group) else 0, LAST, np.int64)
+    used, own = np.unique(place[starts], return_inverse=True)
+    least = np.full(len(used), LAST, np.int64)
     np.minimum.at(least, own, owner)
-    used = np.unique(own)
-    first = np.full(len(least), -1, np.int64)
+    first = np.zeros(len(used), np.int64)
     first[own] = starts
-    strings = data[first[used][:, None] + np.arange(LENGTH)] if len(used) else np.zeros((0, LENGTH), np.uint8)
-    return least[own], np.ascontiguousarray(strings).view(f"V{LENGTH}").ravel(), least[used]
+    return own, data[first[:, None] + np.arange(LENGTH)], least
 
 
 def merged(shards: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """The smallest owner, over all shards, of each shard's distinct strings, by binary search in the others."""
-    keys = [s.view(np.uint8).reshape(-1, LENGTH) for s, _ in shards]
-    keys = [np.array([x.tobytes() for x in k] + [b""], object)[:-1] for k in keys]
-    out = [o.copy() for _, o in shards]
-    for a, mine in enumerate(keys):
-        for b, other in enumerate(keys):
-            if a != b and len(other) and len(mine):
-                at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
-                same = other[at] == mine
-                out[a][same] = np.minimum(out[a][same], shards[b][1][at[same]])
-    return out
+    """The smallest owner, over all shards, of each shard's distinct strings (rows of bytes), by one sort of all of them."""
+    owner = np.concatenate([o for _, o in shards])
+    words = np.zeros((len(owner), -(-LENGTH // 8) * 8), np.uint8)
+    np.concatenate([s for s, _ in shards], out=words[:, :LENGTH])
+    words = words.view(np.uint64)
+    order = np.lexsort(words.T)
+    new = np.ones(len(order), bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    start = np.flatnonzero(new)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(owner[order], start), np.diff(start, append=len(order)))
+    return np.split(out, np.cumsum([len(o) for _, o in shards])[:-1])
 
 
 # Passes
@@ -274,13 +276,14 @@ def repeated_anchors(documents: DataFrame, of: Sizes) -> np.ndarray:
     return _collected(written(out, "anchor-bits"), of)
 
 
-def _seen(data: np.ndarray, at: np.ndarray, bitmap: np.ndarray, of: Sizes) -> dict[str, np.ndarray]:
-    """Anchors in the bitmap: hash, part, text, first and end byte of their windows; hashes of all of these bytes, of the
+def _seen(data: np.ndarray, at: np.ndarray, bitmap: np.ndarray | None, of: Sizes) -> dict[str, np.ndarray]:
+    """Anchors in the bitmap, all without one: hash, part, text, first and end byte of their windows; hashes of all of these bytes, of the
     anchor with HALF bytes before and with HALF bytes after (0: not in the windows). Any window has one of these halves."""
     spot, hashes, text, a, b = anchors(data, at)
     part = (hashes >> np.uint64(64 - of.bits)).astype(np.int64)
-    own = np.flatnonzero(_marked(bitmap, part, hashes >> np.uint64(32 - of.bits), of))
-    spot, hashes, part, text, a, b = (x[own] for x in (spot, hashes, part, text, a, b))
+    if bitmap is not None:
+        own = np.flatnonzero(_marked(bitmap, part, hashes >> np.uint64(32 - of.bits), of))
+        spot, hashes, part, text, a, b = (x[own] for x in (spot, hashes, part, text, a, b))
     prefix = H.Prefix(data)
     around = H.mix(prefix.span(a, b) + H.mix((spot - a).astype(np.uint64)) ^ hashes)
     left = np.where(spot - HALF >= a, prefix.span(np.maximum(spot - HALF, 0), spot + Q).astype(np.uint16) | 1, 0)
@@ -349,13 +352,38 @@ def settle(documents: DataFrame, bitmap: np.ndarray, of: Sizes) -> DataFrame:
     return _freed(known, blobs.groupBy("part").applyInArrow(decide, "part int, bits binary, row binary, first binary, size binary"), "settled")
 
 
+def _hashed(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of raw[a[i]:b[i]] for ascending a, in blocks."""
+    out = np.empty(len(a), np.uint64)
+    i = 0
+    while i < len(a):
+        j = int(np.searchsorted(a, a[i] + BLOCK))
+        low = a[i]
+        out[i:j] = H.Prefix(raw[low : b[i:j].max()]).span(a[i:j] - low, b[i:j] - low)
+        i = j
+    return out
+
+
+def _larger_copies(raw: np.ndarray, off: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether a segment equals one of a smaller owner."""
+    key = _hashed(raw, off[:-1], off[1:])
+    order = np.lexsort((owner, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    out = np.zeros(len(order), bool)
+    if len(order):
+        out[order] = owner[order] > owner[order][new][np.cumsum(new) - 1]
+    return out
+
+
 def _with_repeats(raw: np.ndarray, off: np.ndarray, row: np.ndarray, owner: np.ndarray, first: np.ndarray, size: np.ndarray):
     """The same segments cut down to the windows whose hash another owner has too; what has none needs no sorting."""
     count = size - LENGTH + 1
-    seg = np.repeat(np.arange(len(size)), count)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    seg = np.repeat(np.arange(len(size), dtype=np.int32), count)
+    start = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
     at = off[seg] + start
-    key = H.Prefix(raw).span(at, at + LENGTH)
+    key = _hashed(raw, at, at + LENGTH)
+    del at
     maybe = np.flatnonzero(H.repeated(key))
     order = maybe[np.argsort(key[maybe], kind="stable")]
     if not len(order):
@@ -372,17 +400,17 @@ def _with_repeats(raw: np.ndarray, off: np.ndarray, row: np.ndarray, owner: np.n
     return raw, row[own], owner[own], (first[own] + low).astype(np.uint32), size
 
 
-def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray, of: Sizes) -> DataFrame:
-    """Pass 3: rows (part, row, first, size) of repeated strings at the rims of passages, as blobs."""
+def sort_rims(documents: DataFrame, rims: np.ndarray, of: Sizes) -> DataFrame:
+    """Pass 3: rows (part, row, first, size) of repeated strings at the rims of passages, as blobs. The anchors' bitmap is not needed for it: few others' surroundings are in rims."""
     bits = of.bits
-    known = documents.sparkSession.sparkContext.broadcast((bitmap, rims))
+    known = documents.sparkSession.sparkContext.broadcast(rims)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             data, at = utf8(piece.column(2))
             owner, row = (piece.column(k).to_numpy() for k in (0, 1))
-            x = _seen(data, at, known.value[0], of)
-            own = _marked(known.value[1], x["part"], x["around"], of)
+            x = _seen(data, at, None, of)
+            own = _marked(known.value, x["part"], x["around"], of)
             x = {k: v[own] for k, v in x.items()}
             order = np.lexsort((owner[x["text"]], x["around"], x["part"]))
             new = np.ones(len(order), bool)
@@ -409,20 +437,18 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray, of: Si
         tidy()
         raw, owner, row, first, size = (_joined(table, k, t) for k, t in (("bytes", np.uint8), ("owner", np.int64), ("row", np.int64), ("first", np.uint32), ("size", np.uint8)))
         size = size.astype(np.int64)
-        off = np.cumsum(np.append(0, size))
-        raw, row, owner, first, size = _with_repeats(raw, off, row, owner, first, size)
-        # Equal segments: all but the smallest owner's go as a whole; what is left is cut down once more.
-        off = np.cumsum(np.append(0, size))
-        key = H.Prefix(raw).span(off[:-1], off[1:])
-        order = np.lexsort((owner, key))
-        new = np.ones(len(order), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        again = np.zeros(len(order), bool)
-        again[order] = owner[order] > owner[order][new][np.cumsum(new) - 1] if len(order) else new
-        whole = row[again], first[again].astype(np.uint32), size[again].astype(np.uint8)
-        rest = ~again
-        raw = raw[np.repeat(rest, size)]
-        row, owner, first, size = row[rest], owner[rest], first[rest], size[rest]
+        whole = []
+        for cut in (False, True):
+            off = np.cumsum(np.append(0, size))
+            if cut:
+                raw, row, owner, first, size = _with_repeats(raw, off, row, owner, first, size)
+                off = np.cumsum(np.append(0, size))
+            # Equal segments: all but the smallest owner's go as a whole; what is left is cut down (once more).
+            again = _larger_copies(raw, off, owner)
+            whole.append((row[again], first[again].astype(np.uint32), size[again].astype(np.uint8)))
+            rest = ~again
+            raw = raw[np.repeat(rest, size)]
+            row, owner, first, size = row[rest], owner[rest], first[rest], size[rest]
         raw, row, owner, first, size = _with_repeats(raw, np.cumsum(np.append(0, size)), row, owner, first, size)
         off = np.cumsum(np.append(0, size))
         found, tables, i = [], [], 0
@@ -432,20 +458,16 @@ def sort_rims(documents: DataFrame, bitmap: np.ndarray, rims: np.ndarray, of: Si
             seg = np.repeat(np.arange(i, j), count)
             start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             data, places = raw[off[i] : off[j]], off[seg] - off[i] + start
-            least, strings, owners = least_owner(data, places, owner[seg])
-            found.append((seg, start, least, strings.view(np.uint8).reshape(-1, LENGTH), data, places))
+            which, strings, owners = least_owner(data, places, owner[seg])
+            found.append((seg, start, which))
             tables.append((strings, owners))
             i = j
-        if len(tables) > 1:
-            objects = lambda x: np.array([y.tobytes() for y in x] + [b""], object)[:-1]
-            for k, best in enumerate(merged(tables)):
-                seg, start, _, strings, data, places = found[k]
-                at = np.searchsorted(objects(strings), objects(data[places[:, None] + np.arange(LENGTH)]))
-                found[k] = (seg, start, best[at])
+        best = merged(tables) if len(tables) > 1 else [owners for _, owners in tables]
+        found = [(seg, start, least[which]) for (seg, start, which), least in zip(found, best, strict=True)]
         seg, start, least = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
         gone = owner[seg] > least
         sorted_out = row[seg][gone], (first[seg] + start)[gone].astype(np.uint32), np.full(gone.sum(), LENGTH, np.uint8)
-        spans = [np.concatenate(x) for x in zip(whole, sorted_out, strict=True)]
+        spans = [np.concatenate(x) for x in zip(*whole, sorted_out, strict=True)]
         return pa.table({"part": table.column("part").slice(0, 1), **{k: pa.array([v.tobytes()]) for k, v in zip(("row", "first", "size"), spans, strict=True)}})
 
     blobs = _texts(documents).mapInArrow(emit, "part int, bytes binary, owner binary, row binary, first binary, size binary")
@@ -462,7 +484,7 @@ def spans(documents: DataFrame) -> DataFrame:
     settled = settle(documents, bitmap, of)
     rims = _collected(settled.select("part", "bits"), of)
     release(spark)
-    sorted_ = sort_rims(documents, bitmap, rims, of)
+    sorted_ = sort_rims(documents, rims, of)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

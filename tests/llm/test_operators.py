@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomspark.llm import _runtime, bpe, collocations, conversations, decontamination, graph, jaccard_join, lm_quality, repetition, resampling, sentencepiece_bpe, substring_dedup, token_files, toxicity, url_lists
+from loomspark.llm import _hashing, _runtime, bpe, collocations, conversations, decontamination, graph, jaccard_join, lm_quality, repetition, resampling, sentencepiece_bpe, substring_dedup, token_files, toxicity, url_lists
 
 from .conftest import ITEM, words
 
@@ -800,3 +800,41 @@ def test_parts_are_cut_where_they_change(bits):
     for n in (0, 1, 700):
         part = np.sort(rnd.integers(0, 1 << bits, n))
         assert substring_dedup._cut(part) == [(p, int(np.flatnonzero(part == p)[0]), int(np.flatnonzero(part == p)[-1]) + 1) for p in np.unique(part).tolist()]
+
+
+def test_anchors_spread_evenly_over_ranges(spark):
+    data = np.frombuffer(words(random.Random(5), 60_000).encode(), np.uint8)
+    _, hashes, *_ = substring_dedup.anchors(data, np.array([0, len(data)]))
+    share = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) / len(hashes)
+    assert share.max() < 3 / 256  # the least of 27 hashes: 27 / 256 in the first range
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 400])
+def test_keys_repeated_over_blocks(monkeypatch, n):
+    monkeypatch.setattr(_hashing, "BLOCK", 16)
+    keys = np.random.default_rng(n).integers(0, 300, n).astype(np.uint64) * np.uint64(1 << 40)
+    own, count = np.unique(keys, return_counts=True)
+    assert _hashing.repeated(keys).tolist() == [int(count[own == k][0]) > 1 for k in keys]
+
+
+def test_strings_of_many_shards_are_sorted_once():
+    draw = np.random.default_rng(8)
+    shards = [(np.unique(draw.integers(0, 2, (40, substring_dedup.LENGTH)) * (np.arange(substring_dedup.LENGTH) > 45), axis=0).astype(np.uint8), None) for _ in range(9)]
+    shards = [(s, draw.integers(0, 1000, len(s))) for s, _ in shards]
+    least = {}
+    for strings, owners in shards:
+        for x, o in zip(strings, owners.tolist(), strict=True):
+            least[x.tobytes()] = min(o, least.get(x.tobytes(), o))
+    got = substring_dedup.merged(shards)
+    assert [g.tolist() for g in got] == [[least[x.tobytes()] for x in s] for s, _ in shards]
+
+
+def test_a_very_common_anchor_is_cut_to_one_of_a_kind_before_its_windows(spark, monkeypatch):
+    """Copies of a passage with few rims: windows are only made of segments that differ, in blocks of bytes."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 200)
+    rnd = random.Random(4)
+    passage, ends = words(rnd, 12), [words(rnd, 9) for _ in range(6)]
+    texts = [(i, f"{passage} {ends[i % 5]} {words(rnd, 2)} {ends[i * i % 6]} {passage}") for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    want = brute_removals([{"doc_id": i, "text": t} for i, t in texts])
+    assert tally(substring_dedup.removals(df).collect()) == Counter((i, *w[:4]) for (i, _), w in zip(texts, want, strict=True))
