@@ -1,5 +1,5 @@
 """BPE encoding by speculation: greedy longest match proposes a word's tokens, vectorised checks of all adjacent pairs
-confirm them, and only words that fail a check are merged exactly.
+confirm them, and only words that fail a check are merged exactly, all of a batch side by side.
 
 A sequence of tokens is the BPE encoding of its string if every token encodes to itself and no boundary between two
 neighbours would have been merged over. Tokens that don't encode to themselves are left out of the match. A pair (x, y)
@@ -34,6 +34,8 @@ MEMORY, ENTRY = 128 << 20, 400
 #: Bytes of text that are encoded at once; a longer text makes a piece of its own.
 PIECE = 1 << 20
 NEVER = np.int64(1 << 62)
+#: Words of more symbols are merged by a heap; of the others, so many at once.
+LONG, ROWS = 60, 1 << 12
 #: White space for Python but not for the tokenizer's patterns.
 ODD = re.compile(r"[\x1c-\x1f]")
 SPACE = re.compile(r"[^\S\x1c-\x1f]+")
@@ -63,6 +65,11 @@ class Model:
         due = np.array(list(self.merges.values()), np.int64) + 1
         order = np.argsort(keys)
         self.keys, self.due = np.append(keys[order], NEVER), np.append(due[order], NEVER)
+        self.made = np.array([*self.result, 0], np.int64)
+        #: Ids of single symbols inside a word and at its end, by code point; -1 without one.
+        last = max((ord(c) for t in self.ids if len(c := t.removesuffix(self.suffix)) == 1), default=0) + 2
+        self.inner = np.array([self.ids.get(chr(c), -1) for c in range(last)], np.int64)
+        self.final = np.array([self.ids.get(chr(c) + self.suffix, -1) for c in range(last)], np.int64)
         self.born, self.left, self.right = (np.zeros(n, np.int64) for _ in range(3))
         self.usable: dict[str, int] = {}
         for token, i in self.ids.items():
@@ -148,12 +155,57 @@ class Model:
         bad = inner[~self.compatible(flat[inner], flat[inner + 1])]
         for i in np.unique(owner[bad]).tolist():
             out[some[i]] = None
+        rest = sorted((i for i, x in enumerate(out) if x is None), key=lambda i: len(words[i]))
+        short = [i for i in rest if 1 < len(words[i]) <= LONG]
+        for a in range(0, len(short), ROWS):
+            some = short[a : a + ROWS]
+            for i, x in zip(some, self._side_by_side([words[i] for i in some]), strict=True):
+                out[i] = x
         return [self._exact(w) if x is None else x for w, x in zip(words, out, strict=True)]
 
+    def _ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """When the pair of x and y is merged (from 1), or NEVER; -1 is no symbol."""
+        key = np.where(y < 0, -1, x * self.size + y)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.due[at], NEVER)
+
+    def _side_by_side(self, words: list[str]) -> list[list[int] | None]:
+        """merged of the symbols of words of two or more, of about one length: each round makes one merge in every word. None where a symbol has no id."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        code = np.minimum(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), len(self.inner) - 1)
+        row = np.repeat(np.arange(len(n)), n)
+        symbols = np.full((len(n), n.max()), -1)
+        symbols[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = self.inner[code]
+        symbols[np.arange(len(n)), n - 1] = self.final[code[np.cumsum(n) - 1]]
+        out: list[list[int] | None] = [None] * len(n)
+        own = np.flatnonzero((symbols >= 0).sum(axis=1) == n)
+        symbols, n = symbols[own], n[own]
+        ranks = self._ranks(symbols[:, :-1], symbols[:, 1:])
+        while len(own):
+            k = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(own), np.int64)
+            rank = ranks[np.arange(len(own)), k] if ranks.shape[1] else np.full(len(own), NEVER)
+            done = rank == NEVER
+            if done.any():
+                for i, x, size in zip(own[done].tolist(), symbols[done].tolist(), n[done].tolist(), strict=True):
+                    out[i] = x[:size]
+                own, symbols, n, ranks, k, rank = (x[~done] for x in (own, symbols, n, ranks, k, rank))
+                if not len(own):
+                    break
+            each, width = np.arange(len(own)), symbols.shape[1]
+            symbols[each, k] = self.made[rank - 1]
+            place = np.arange(width - 1)
+            symbols = np.take_along_axis(symbols, place + (place > k[:, None]), axis=1)
+            ranks = np.take_along_axis(ranks, place[:-1] + (place[:-1] >= k[:, None]), axis=1)
+            n = n - 1
+            left, right = k > 0, k < width - 2
+            ranks[each[left], k[left] - 1] = self._ranks(symbols[each[left], k[left] - 1], symbols[each[left], k[left]])
+            ranks[each[right], k[right]] = self._ranks(symbols[each[right], k[right]], symbols[each[right], k[right] + 1])
+        return out
+
     def _exact(self, word: str) -> list[int]:
         """For long words, merges by a heap; the same result as merged."""
         symbols = self.symbols(word)
-        if len(symbols) <= 60:
+        if len(symbols) <= LONG:
             return self.merged(symbols)[0]
         from heapq import heapify, heappop, heappush
 

@@ -584,6 +584,15 @@ def test_bpe_equals_library(speller, word_library, text):
     assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), word_library.decode(want, skip_special_tokens=False))
 
 
+def test_words_merged_side_by_side_equal_words_merged_alone(monkeypatch, speller):
+    model = speller.model
+    monkeypatch.setattr(bpe, "ROWS", 7)
+    rnd = random.Random(17)
+    some = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 14))) for _ in range(400)] + ["a中b", "中中", "b中", "ab" * 29]
+    assert model._side_by_side(some[:400]) == [model._exact(w) for w in some[:400]]
+    assert model.encode(some) == [model._exact(w) for w in some]
+
+
 def test_greedy_proposals_fail_and_are_repaired(speller):
     model = speller.model
     words = ["".join(random.Random(i).choice("abcdehinorst") for _ in range(9)) for i in range(400)]
