@@ -162,7 +162,7 @@ def looked_up(rows: DataFrame, files: Sequence[DataFrame], column: str, first: b
     every = reduce(DataFrame.unionByName, (f.select("prompt", "output", F.struct(F.lit(k).alias("file"), F.col("order").alias("order")).alias("at")) for k, f in enumerate(files)))
     pick = F.min_by if first else F.max_by
     known = every.groupBy("prompt").agg(pick("output", "at").alias(column))
-    return rows.join(known, "prompt", "left")
+    return rows.join(known.hint("merge"), "prompt", "left")  # by its files the optimizer would take either side for small, and broadcast it
 
 
 #: Name of a design, and its reward from lexical coverage, likeness to the literal and to the final target.

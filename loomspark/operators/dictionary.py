@@ -89,7 +89,7 @@ def forward_matches(texts: DataFrame, keys: DataFrame, longest: int = LONGEST) -
     Every text has a row; without words (or with null for them) its segments are empty."""
     best = spans(texts, keys, longest=longest).groupBy("id", "start").agg(F.max("n").alias("n"))
     table = best.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("start", "n"))).alias("m"))
-    joined = texts.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))).join(table, "id", "left")
+    joined = texts.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))).join(table.hint("merge"), "id", "left")
     step = """aggregate(words, named_struct('next', 1, 'at', 1, 'out', cast(array() AS array<struct<segment:string,known:boolean>>)), (acc, w) ->
       named_struct('next', CASE WHEN acc.at = acc.next THEN acc.at + coalesce(m[acc.at], 1) ELSE acc.next END, 'at', acc.at + 1, 'out', CASE WHEN acc.at = acc.next
         THEN array_append(acc.out, named_struct('segment', array_join(slice(words, acc.at, coalesce(m[acc.at], 1)), ' '), 'known', m[acc.at] IS NOT NULL)) ELSE acc.out END), acc -> acc.out)"""
@@ -99,9 +99,9 @@ def forward_matches(texts: DataFrame, keys: DataFrame, longest: int = LONGEST) -
 def coverage(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """id, matched, coverage of texts (id, words, tokens): the share of matched spans of which a meaning, of entries (key, meanings), is among the tokens; 0 without a match."""
     spans_ = forward_matches(texts, entries).select("id", F.explode("segments").alias("s")).where("s.known").select("id", F.col("s.segment").alias("key"))
-    met = spans_.join(entries, "key").join(texts.select("id", "tokens"), "id").withColumn("hit", F.coalesce(F.arrays_overlap("meanings", "tokens"), F.lit(False)))
+    met = spans_.join(_looked_up(entries), "key").join(texts.select("id", "tokens").hint("merge"), "id").withColumn("hit", F.coalesce(F.arrays_overlap("meanings", "tokens"), F.lit(False)))
     rates = met.groupBy("id").agg(F.count("*").alias("matched"), F.avg(F.col("hit").cast("int")).alias("rate"))
-    return texts.select("id").join(rates, "id", "left").select("id", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("rate", F.lit(0.0)).alias("coverage"))
+    return texts.select("id").join(rates.hint("merge"), "id", "left").select("id", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("rate", F.lit(0.0)).alias("coverage"))
 
 
 def searched(entries: DataFrame, terms: list[str], column: str) -> DataFrame:

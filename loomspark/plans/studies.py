@@ -72,8 +72,8 @@ def reward_designs(spark, d):
     long = pairs.select("id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(s).alias("text"), F.col(t).alias("target")) for n, s, t in four))).alias("x"))
     scores = long.select("id", "x.name", chrf.stats("x.text", "x.target").alias("stats")).select("id", "name", (chrf.of_array() / 100).alias("score"))
     scores = scores.groupBy("id").agg(*(F.max(F.when(F.col("name") == n, F.col("score"))).alias(n) for n, _, _ in four))
-    pairs = pairs.withColumns({f"{s}_match": F.round(matching.similarity(s, "gold"), 9) for s in ("chosen", "rejected")}).join(scores, "id")
-    out = C.designed(pairs.join(lex, "id"))
+    pairs = pairs.withColumns({f"{s}_match": F.round(matching.similarity(s, "gold"), 9) for s in ("chosen", "rejected")}).join(scores.hint("merge"), "id")
+    out = C.designed(pairs.join(lex.hint("merge"), "id"))
     return out.select("design", *(F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes[1:]))
 
 

@@ -68,3 +68,9 @@ def test_copies_of_sets_go_without_a_sort(spark):
     pool = setjoin._distinct(sets)[1]
     assert "SortAggregate" not in pool._jdf.queryExecution().executedPlan().toString()
     assert [list(r["grams"]) for r in pool.collect()] == [["g\ta", "g\tb"]]
+
+
+def test_reward_designs_broadcasts_no_rows_of_its_pairs(spark):
+    plan = catalog.QUERIES["reward_designs"](spark, str(SF))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2  # the dictionary's keys and entries, of a few rows
+    assert plan.count("SortMergeJoin") >= 6
