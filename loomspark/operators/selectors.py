@@ -186,18 +186,22 @@ def closest(pool: Column | str, means: Column | str) -> Column:
     return F.when(best.isNotNull(), F.struct(best["m"]["pos"].alias("pos"), best["m"]["name"].alias("name"), best["m"]["pred"].alias("pred"), best["mean"].alias("mean")))
 
 
+def pool_means(pool: Column | str) -> Column:
+    """The mean chrF++ of each member of a pool against the others."""
+    return chrf.pool_means(F.transform(pool, lambda m: m["pred"]))
+
+
 def mbr(df: DataFrame, key: str = "row_idx") -> DataFrame:
     """key, chosen: the member closest to the others by mean chrF++ (rounded to 1e-9); ties to the frontier, then the first. Nothing is shuffled."""
-    scored_ = df.where(F.size("pool") > 0).select(key, "pool", chrf.pool_means(F.transform("pool", lambda m: m["pred"])).alias("means"))
+    scored_ = df.where(F.size("pool") > 0).select(key, "pool", pool_means("pool").alias("means"))
     return scored_.select(key, closest("pool", "means").alias("chosen"))
 
 
 def side_by_side(df: DataFrame, repair: Column, charset: Charset = LATIN) -> DataFrame:
     """df (with pool) with a row for each of five selectors: selector, pred. mbr, contamination (the frontier's if clean, else the closest clean one), title (no prior),
     sparse (guarded), audit (the closest one where repair holds, else the guarded one). Features once, two passes of chrF++ over the pool, no shuffle."""
-    means = lambda c: chrf.pool_means(F.transform(c, lambda m: m["pred"]))
     rows = df.withColumn("__clean", F.filter("pool", lambda m: ~m["pred"].rlike(charset.contamination)))
-    rows = featured(rows.withColumns({"__means": means("pool"), "__clean_means": means("__clean")}), charset)
+    rows = featured(rows.withColumns({"__means": pool_means("pool"), "__clean_means": pool_means("__clean")}), charset)
     rows = score_max(weighted(rows, values(WEIGHTS | {"prior": 0}))).withColumnRenamed("chosen", "__title")
     rows = guarded(weighted(rows, values(WEIGHTS))).withColumnRenamed("chosen", "__sparse").withColumn("__f", _frontier())
     mbr_, clean = closest("pool", "__means")["pred"], closest("__clean", "__clean_means")["pred"]
@@ -212,10 +216,15 @@ def side_by_side(df: DataFrame, repair: Column, charset: Charset = LATIN) -> Dat
     return rows.select(*df.columns, each.alias("__s")).select(*df.columns, "__s.*")
 
 
-def contamination_guard(df: DataFrame, means: DataFrame, key: str = "row_idx") -> DataFrame:
-    """The frontier's if clean; else the best of the clean ones by means (key, chosen); else the frontier's."""
-    joined = df.join(means.select(key, F.col("chosen").alias("__mbr")), key, "left").withColumn("__f", _frontier())
-    return joined.withColumn("pick", F.when(~F.col("__f.dirty"), F.col("__f.pred")).otherwise(F.coalesce("__mbr.pred", "__f.pred"))).drop("__mbr", "__f")
+def contamination_guard(df: DataFrame, charset: Charset = LATIN) -> DataFrame:
+    """df (with pool) with pick: the frontier's if clean; else that of the clean member closest to the other clean ones; else the frontier's. Only pools whose
+    frontier isn't clean are compared, and nothing is shuffled."""
+    frontier = F.get(F.filter("pool", lambda m: m["name"] == FRONTIER), F.lit(0))["pred"]
+    df = df.withColumns({"__f": frontier, "__clean": F.filter("pool", lambda m: ~m["pred"].rlike(charset.contamination))})
+    dirty = F.coalesce(F.col("__f").rlike(charset.contamination), F.lit(True))
+    df = df.withColumn("__clean", F.when(dirty, F.col("__clean")).otherwise(F.slice("__clean", 1, 0)))
+    df = df.withColumn("__means", pool_means("__clean"))
+    return df.withColumn("pick", F.coalesce(closest("__clean", "__means")["pred"], "__f")).drop("__f", "__clean", "__means")
 
 
 def two_way(default: Column | str, other: Column | str, bad: str = LATIN.contamination) -> Column:

@@ -49,18 +49,18 @@ def pool_mbr(spark, d):
 
 
 def pool_contamination_guard(spark, d):
-    df = scored(spark, d)
-    clean = df.select("row_idx", F.filter("pool", lambda m: ~m["pred"].rlike(S.LATIN.contamination)).alias("pool"))
-    return S.contamination_guard(df, S.mbr(clean)).select("row_idx", F.col("pick").alias("pred"))
+    return S.contamination_guard(S.pool(pools(spark, d), NAMES)).select("row_idx", F.col("pick").alias("pred"))
 
 
 def pool_audit_preserving(spark, d):
     """Analysis only: looks at the reference."""
-    df = S.guarded(scored(spark, d))
     f = D.flags("frontier", "reference")
-    means = S.mbr(df).select("row_idx", F.col("chosen.pred").alias("mbr"))
     repair = f["contamination"] | f["truncation"]
-    return df.join(means, "row_idx").select("row_idx", F.when(repair, "repair").otherwise(F.col("action")).alias("action"), F.when(repair, F.col("mbr")).otherwise(F.col("chosen.pred")).alias("pred"))
+    df = S.pool(pools(spark, d), NAMES).where(F.size("pool") > 0)
+    df = df.withColumn("repaired", F.when(repair, F.col("pool")).otherwise(F.slice("pool", 1, 0))).withColumn("means", S.pool_means("repaired"))
+    df = S.guarded(S.scored(df))
+    mbr = S.closest("repaired", "means")["pred"]
+    return df.select("row_idx", F.when(repair, "repair").otherwise(F.col("action")).alias("action"), F.when(repair, mbr).otherwise(F.col("chosen.pred")).alias("pred"))
 
 
 def pool_two_way(spark, d):

@@ -74,3 +74,13 @@ def test_reward_designs_broadcasts_no_rows_of_its_pairs(spark):
     plan = catalog.QUERIES["reward_designs"](spark, str(SF))._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2  # the dictionary's keys and entries, of a few rows
     assert plan.count("SortMergeJoin") >= 6
+
+
+def test_consensus_guards_compare_dirty_pools_only_without_a_join(spark):
+    for name in ("pool_contamination_guard", "pool_audit_preserving"):
+        plan = _plan(catalog.QUERIES[name](spark, str(SF)))
+        assert "Join" not in plan and plan.count("pool_means(") == 1, name
+    rows = [(0, "ab", "abc", "<x>"), (1, "<x>", "abc", "abd"), (2, "<x>", "<y>", None), (3, None, "abc", "<y>"), (4, "<x>", "zz", None)]
+    df = S.pool(spark.createDataFrame(rows, "row_idx int, frontier string, unk string, dpo string"), common.NAMES)
+    got = {r["row_idx"]: r["pick"] for r in S.contamination_guard(df).collect()}
+    assert got == {0: "ab", 1: "abc", 2: "<x>", 3: "abc", 4: "zz"}
