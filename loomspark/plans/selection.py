@@ -81,7 +81,9 @@ def pool_hints(spark, d):
 
 def selector_summary(spark, d):
     """The guarded selector with its measures: one row. Flagship."""
-    df = S.guarded(scored(spark, d)).select("row_idx", "reference", "action", F.col("chosen.pred").alias("pred"))
+    # Out of an array: else the optimizer writes the selector out for each place where its pick is used, and chrF++'s input takes all that in.
+    pick = F.explode(F.array(F.struct("action", F.col("chosen.pred").alias("pred")))).alias("p")
+    df = S.guarded(scored(spark, d)).select("reference", pick).select("reference", "p.*")
     df = D.diagnosed(df, "pred", "reference").withColumn("stats", chrf.stats("pred", "reference"))
     measures = [
         F.count("*").alias("n"), F.sum("exact").alias("exact"), F.sum("contamination").alias("contaminated"), F.count_if(F.col("action") != "keep_frontier").alias("switches"),

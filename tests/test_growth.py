@@ -76,6 +76,11 @@ def test_reward_designs_broadcasts_no_rows_of_its_pairs(spark):
     assert plan.count("SortMergeJoin") >= 6
 
 
+def test_summary_writes_its_selector_out_once(spark):
+    plan = _plan(catalog.QUERIES["selector_summary"](spark, str(SF)))
+    assert plan.count("shared_ends(") == 1 and plan.count("array_max(") == 1 and len(plan) < 50_000
+
+
 def test_consensus_guards_compare_dirty_pools_only_without_a_join(spark):
     for name in ("pool_contamination_guard", "pool_audit_preserving"):
         plan = _plan(catalog.QUERIES[name](spark, str(SF)))
