@@ -7,7 +7,8 @@ is checked by running time backwards: of x's right edge and y's left edge, the o
 and no pair of edges that stood side by side may have a merge that was due before the next split.
 
 Works for vocabularies of byte-level symbols with a mark on a word's last symbol, whose pre-tokens hold no white space.
-Texts are cut at white space and each distinct piece is normalised, split and encoded once, in memory of bounded size.
+Texts are normalised and split as wholes, beyond Latin-1 by the piece between white space, and each distinct word is encoded
+once, in memory of bounded size.
 One pass without a shuffle; a lost task is rerun.
 
 Defined results: a null text is empty (no ids, empty decoded text); added tokens inside a text become their ids, as in
@@ -29,7 +30,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ._runtime import pieces, ship
 
-#: Bytes of words, ids and tokens that a worker remembers, about; beyond it, it starts over. ENTRY is what an entry takes beside its characters.
+#: Bytes of words, ids and tokens that a worker remembers, about; beyond half of it, it forgets what the other half had. ENTRY is what an entry takes beside its characters.
 MEMORY, ENTRY = 128 << 20, 400
 #: Bytes of text that are encoded at once; a longer text makes a piece of its own.
 PIECE = 1 << 20
@@ -238,77 +239,86 @@ def _byte_symbols() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes whole texts; ids and decoded text of each distinct piece between white space are kept."""
+    """Encodes whole texts; ids and tokens of each distinct word are kept."""
 
-    #: The pre-tokens of the vocabulary.
+    #: The pre-tokens of the vocabulary, and the same for Latin-1, which the standard library finds faster.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    LETTER, NUMBER, BLANK = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+    LATIN = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{BLANK}{LETTER}{NUMBER}]+"
 
     def __init__(self, model: Model):
         import regex
         from tokenizers import Tokenizer
 
-        self.model, self.find = model, regex.compile(self.PATTERN).findall
+        self.model, self.find, self.latin = model, regex.compile(self.PATTERN).findall, re.compile(self.LATIN).findall
         self.normal = Tokenizer.from_file(model.path).normalizer.normalize_str
         self.table = str.maketrans({chr(b): s for b, s in _byte_symbols().items()})
+        self.number = list(map(str, range(model.size)))
         self.split = re.compile("(" + "|".join(map(re.escape, model.added)) + ")").split if model.added else None
         self.mark = min(model.added, key=len)[:2] if model.added else None
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.before: tuple[dict[str, str], dict[str, str]] = {}, {}
+        self._start()
+
+    def _start(self) -> None:
+        """Ids and tokens of words, each joined by spaces; words without ids; normal forms of pieces beyond Latin-1; about how many bytes that is."""
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
+        self.void: set[str] = set()
+        self.normals: dict[str, str] = {}
         self.bytes = 0
 
-    def _words(self, piece: str) -> list[str | int]:
-        """Words in byte-level symbols; added tokens as their ids."""
-        if piece.isascii() and piece.isprintable():
-            if piece.isalpha():
-                return [piece.lower()]
-            if self.mark is None or self.mark not in piece:
-                return self.find(piece.lower())
-        if self.mark is not None and self.mark in piece:
-            out: list[str | int] = []
-            for part in self.split(piece):
-                out += [self.model.added[part]] if part in self.model.added else self._words(part) if self.mark not in part else self._plain(part)
-            return out
-        return self._plain(piece)
-
-    def _plain(self, piece: str) -> list[str]:
-        return [w.encode().decode("latin-1").translate(self.table) for w in self.find(self.normal(piece))]
-
-    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.model.text.__getitem__, ids))
-
-    def _learn(self, new: list[str]) -> list[str]:
-        """Enter pieces; the ones of several words, which are quick to put together again, are returned to be forgotten."""
-        split = list(map(self._words, new))
-        words = [w for w in {w for ws in split for w in ws} if isinstance(w, str) and w not in self.words]
-        entries = list(map(self._entry, self.model.encode(words)))
-        self.words.update(zip(words, entries, strict=True))
-        self.bytes += len(words) * ENTRY + sum(map(len, words)) + sum(len(x[1]) + len(x[2]) for x in entries)
-        found, passing = self.words, []
-        for piece, ws in zip(new, split, strict=True):
-            if len(ws) == 1 and isinstance(ws[0], str):
-                self.known[piece] = found[ws[0]]
-                self.bytes += ENTRY // 4 + len(piece)
-            else:
-                own = [x for x in (found[w] if isinstance(w, str) else self._entry([w]) for w in ws) if x[0]]
-                self.known[piece] = sum(x[0] for x in own), " ".join(x[1] for x in own), " ".join(x[2] for x in own)
-                passing.append(piece)
-        return passing
+    def _cut(self, text: str) -> list[str]:
+        """Words of a text without added tokens. In Latin-1 the normal form is the lower case."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pieces = list(filter(None, SPACE.split(text))) if ODD.search(text) else text.split()
+                for piece in set(pieces).difference(self.normals):
+                    self.normals[piece] = self.normal(piece)
+                    self.bytes += ENTRY // 2 + 2 * len(piece)
+                return self.find(" ".join(map(self.normals.__getitem__, pieces)))
+        return self.latin(text.lower())
+
+    def _words(self, text: str) -> list[str]:
+        """Words of a text; added tokens with a line feed before, which no word has."""
+        if self.mark is None or self.mark not in text:
+            return self._cut(text)
+        return [w for part in self.split(text) for w in (["\n" + part] if part in self.model.added else self._cut(part))]
+
+    def _learn(self, new: set[str]) -> None:
+        """Enter words, from what was known before or anew."""
+        ids, tokens = self.before
+        old = [w for w in new if w in ids]
+        words = list(new.difference(old))
+        added = [w for w in words if w[0] == "\n"]
+        if added:
+            words = [w for w in words if w[0] != "\n"]
+        own = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.table) for w in words]
+        number, token = self.number.__getitem__, self.model.text.__getitem__
+        found = [*self.model.encode(own), *([self.model.added[w[1:]]] for w in added)]
+        every = words + added + old
+        all_ids = [" ".join(map(number, x)) for x in found] + list(map(ids.__getitem__, old))
+        all_tokens = [" ".join(map(token, x)) for x in found] + list(map(tokens.__getitem__, old))
+        self.ids.update(zip(every, all_ids, strict=True))
+        self.tokens.update(zip(every, all_tokens, strict=True))
+        if "" in all_ids:
+            self.void.update(w for w, x in zip(every, all_ids, strict=True) if not x)
+        self.bytes += len(every) * ENTRY + sum(sum(map(len, x)) for x in (every, all_ids, all_tokens))
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Of each text the number of ids, the ids and their tokens, both joined by spaces."""
-        if self.bytes > MEMORY:
-            self.known, self.words, self.bytes = {}, {}, 0
-        split = [(list(filter(None, SPACE.split(t))) if ODD.search(t) else t.split()) if t else [] for t in texts]
-        new = [x for x in set().union(*split) if x not in self.known]
-        passing = self._learn(new) if new else []
-        known = self.known.__getitem__
-        for pieces in split:
-            n, ids, tokens = zip(*map(known, pieces), strict=True) if pieces else ((), (), ())
-            if 0 in n:
-                n, ids, tokens = zip(*(x for x in map(known, pieces) if x[0]), strict=True) if any(n) else ((), (), ())
-            yield sum(n), " ".join(ids), " ".join(tokens)
-        for piece in passing:
-            del self.known[piece]
+        if self.bytes > MEMORY // 2:  # words that come again are taken over
+            self.before = self.ids, self.tokens
+            self._start()
+        split = [self._words(t) if t else [] for t in texts]
+        if new := set().union(*split).difference(self.ids):
+            self._learn(new)
+        for words in split:
+            if self.void and not self.void.isdisjoint(words):
+                words = [w for w in words if w not in self.void]
+            ids = " ".join(map(self.ids.__getitem__, words))
+            yield ids.count(" ") + 1 if words else 0, ids, " ".join(map(self.tokens.__getitem__, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}

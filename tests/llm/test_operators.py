@@ -584,6 +584,33 @@ def test_bpe_equals_library(speller, word_library, text):
     assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), word_library.decode(want, skip_special_tokens=False))
 
 
+def test_latin_words_equal_the_pattern_of_all_words(speller):
+    """Also their normal form: of Latin-1, the lower case."""
+    for c in map(chr, range(256)):
+        assert c.isspace() and c not in "\x1c\x1d\x1e\x1f" or speller.normal(c) == c.lower(), c
+    rnd = random.Random(23)
+    for _ in range(3000):
+        text = "".join(rnd.choice([chr(rnd.randrange(256)), rnd.choice("aé5² '.st")]) for _ in range(rnd.randint(1, 12)))
+        assert speller.latin(text.lower()) == speller.find(speller.normal(text)), text
+
+
+def test_words_are_kept_over_pieces_and_taken_over(monkeypatch, word_library):
+    """A word of many pieces is encoded once, also when a worker starts to forget."""
+    encoder, seen = bpe.Encoder(bpe.Model(WORD_BPE)), []
+    encode = encoder.model.encode
+    monkeypatch.setattr(encoder.model, "encode", lambda words: (seen.extend(words), encode(words))[1])
+    texts = ["blesh### blesh,", "blesh$$$ Blesh <|endoftext|>Ñesh", "中blesh blesh. ́x", None, "<|startoftext|><|endoftext|>", "blesh"]
+    monkeypatch.setattr(bpe, "MEMORY", 1)
+    for text in texts * 2:
+        want = word_library.encode(text or "", add_special_tokens=False).ids
+        assert next(encoder.encode([text])) == (len(want), " ".join(map(str, want)), word_library.decode(want, skip_special_tokens=False))
+    assert seen.count("blesh") <= 3
+    monkeypatch.undo()
+    encoder = bpe.Encoder(bpe.Model(WORD_BPE))
+    assert [x[0] for x in encoder.encode(texts)] == [len(word_library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert "blesh" in encoder.ids and not any("#" in w and "b" in w for w in encoder.ids)
+
+
 def test_words_merged_side_by_side_equal_words_merged_alone(monkeypatch, speller):
     model = speller.model
     monkeypatch.setattr(bpe, "ROWS", 7)
