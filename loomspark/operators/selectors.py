@@ -197,10 +197,20 @@ def mbr(df: DataFrame, key: str = "row_idx") -> DataFrame:
     return scored_.select(key, closest("pool", "means").alias("chosen"))
 
 
+def _own() -> Column:
+    return F.get(F.filter("pool", lambda m: m["name"] == FRONTIER), F.lit(0))["pred"]
+
+
+def _substitutes(charset: Charset) -> Column:
+    """The clean members of a pool whose frontier isn't clean; of others none."""
+    clean = F.filter("pool", lambda m: ~m["pred"].rlike(charset.contamination))
+    return F.when(F.coalesce(_own().rlike(charset.contamination), F.lit(True)), clean).otherwise(F.slice("pool", 1, 0))
+
+
 def side_by_side(df: DataFrame, repair: Column, charset: Charset = LATIN) -> DataFrame:
     """df (with pool) with a row for each of five selectors: selector, pred. mbr, contamination (the frontier's if clean, else the closest clean one), title (no prior),
     sparse (guarded), audit (the closest one where repair holds, else the guarded one). Features once, two passes of chrF++ over the pool, no shuffle."""
-    rows = df.withColumn("__clean", F.filter("pool", lambda m: ~m["pred"].rlike(charset.contamination)))
+    rows = df.withColumn("__clean", _substitutes(charset))
     rows = featured(rows.withColumns({"__means": pool_means("pool"), "__clean_means": pool_means("__clean")}), charset)
     rows = score_max(weighted(rows, values(WEIGHTS | {"prior": 0}))).withColumnRenamed("chosen", "__title")
     rows = guarded(weighted(rows, values(WEIGHTS))).withColumnRenamed("chosen", "__sparse").withColumn("__f", _frontier())
@@ -219,10 +229,7 @@ def side_by_side(df: DataFrame, repair: Column, charset: Charset = LATIN) -> Dat
 def contamination_guard(df: DataFrame, charset: Charset = LATIN) -> DataFrame:
     """df (with pool) with pick: the frontier's if clean; else that of the clean member closest to the other clean ones; else the frontier's. Only pools whose
     frontier isn't clean are compared, and nothing is shuffled."""
-    frontier = F.get(F.filter("pool", lambda m: m["name"] == FRONTIER), F.lit(0))["pred"]
-    df = df.withColumns({"__f": frontier, "__clean": F.filter("pool", lambda m: ~m["pred"].rlike(charset.contamination))})
-    dirty = F.coalesce(F.col("__f").rlike(charset.contamination), F.lit(True))
-    df = df.withColumn("__clean", F.when(dirty, F.col("__clean")).otherwise(F.slice("__clean", 1, 0)))
+    df = df.withColumns({"__f": _own(), "__clean": _substitutes(charset)})
     df = df.withColumn("__means", pool_means("__clean"))
     return df.withColumn("pick", F.coalesce(closest("__clean", "__means")["pred"], "__f")).drop("__f", "__clean", "__means")
 

@@ -89,3 +89,11 @@ def test_consensus_guards_compare_dirty_pools_only_without_a_join(spark):
     df = S.pool(spark.createDataFrame(rows, "row_idx int, frontier string, unk string, dpo string"), common.NAMES)
     got = {r["row_idx"]: r["pick"] for r in S.contamination_guard(df).collect()}
     assert got == {0: "ab", 1: "abc", 2: "<x>", 3: "abc", 4: "zz"}
+
+
+def test_value_ablation_compares_clean_members_of_dirty_pools_only(spark):
+    assert _plan(catalog.QUERIES["selector_value_ablation"](spark, str(SF))).count("slice(") == 1
+    rows = [(0, "ab", "abc", "<x>"), (1, "<x>", "abc", "<y>"), (2, None, "abc", "<y>")]
+    df = S.pool(spark.createDataFrame(rows, "row_idx int, frontier string, unk string, dpo string"), common.NAMES)
+    got = df.select("row_idx", F.transform(S._substitutes(S.LATIN), lambda m: m["name"]).alias("names")).collect()
+    assert {r["row_idx"]: r["names"] for r in got} == {0: [], 1: ["unk"], 2: ["unk"]}
