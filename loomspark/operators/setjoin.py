@@ -6,12 +6,22 @@ far reaches the level is done, and the others look further only for what beats t
 of sizes. The HOT most frequent elements are never looked up. What a set has in common with others by them alone follows from a
 table of their 2^HOT combinations with the smallest set that has each, whatever the number of sets that hold them.
 
+Where the sets that ask are few, as a benchmark's are, all tasks hold them, by element, and each set of the pool is compared where it
+is read: in numpy, without a shuffle and without a file, and a task gives one best match for each set that asks.
+
 Several comparisons of the same kind can be made in one go: sets then have a group, and only those of the same group are compared.
 Equal sets are one. An element of more than BLOCK pool sets is dealt in blocks, so that no task meets all of its sets.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +31,8 @@ from loomspark.sources.io import materialised
 HOT, BLOCK, LEVELS, HEAVY = 10, 256, (0.5, 0.15, 0.0), 2000
 #: Rows from looking up whole sets, as a multiple of the pool's elements, up to which that is done at once.
 FEW = 4
+#: Sets that ask, and their elements, up to which tasks hold them; cells that a comparison takes at a time.
+ASKING, HELD, CELLS = 4096, 1 << 20, 1 << 21
 _SLACK = 1e-9
 
 
@@ -80,6 +92,60 @@ def candidates(left: DataFrame, right: DataFrame, level: float, hot: list[str])
     return look.join(found, ["gram", "block"]).where(fits & enough).select("k", "other").distinct()
 
 
+def _held(sets: DataFrame) -> dict[str, tuple]:
+    """Of each group: k and sizes of its sets, its elements, and the sets that hold each: those of element e stand from starts[e] to starts[e + 1]."""
+    rows = sets.select("k", "group", F.expr("transform(grams, g -> substring(g, length(group) + 2))").alias("grams")).toArrow().combine_chunks()
+    out = {}
+    for group in rows["group"].unique().to_pylist():
+        own = rows.filter(pc.equal(rows["group"], group)).combine_chunks()
+        size = pc.list_value_length(own["grams"]).to_numpy().astype(np.int64)
+        grams = pc.list_flatten(own["grams"]).combine_chunks().dictionary_encode()
+        at = grams.indices.to_numpy()
+        starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(grams.dictionary)))])
+        out[group] = own["k"].to_pylist(), size, grams.dictionary, starts, np.repeat(np.arange(len(size)), size)[np.argsort(at, kind="stable")]
+    return out
+
+
+def _closest(grams: pa.Array, size: np.ndarray, elements: pa.Array, starts: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """The highest similarity of each held set with any of grams, by counting what each two share."""
+    m = pc.list_value_length(grams).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.index_in(grams.flatten(), value_set=elements).cast(pa.int64()).fill_null(-1).to_numpy()
+    row = np.repeat(np.arange(len(m)), m)[at >= 0]
+    at = at[at >= 0]
+    times = starts[at + 1] - starts[at]
+    ends = np.cumsum(np.bincount(row, times, len(m)) + len(size))
+    best = np.zeros(len(size))
+    low = 0
+    while low < len(m):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CELLS, side="right")))
+        own = slice(*np.searchsorted(row, [low, high]))
+        n = times[own]
+        place = np.repeat(starts[at[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat((row[own] - low) * len(size), n) + holders[place]
+        shared = np.bincount(cell, minlength=(high - low) * len(size)).reshape(-1, len(size))
+        best = np.maximum(best, (shared / (size + m[low:high, None] - shared)).max(axis=0))
+        low = high
+    return best
+
+
+def _compared(mine: DataFrame, right: DataFrame) -> DataFrame:
+    """k, best of every set of mine that shares an element with a row of right: right's rows are read once and stay where they are."""
+    held = _held(mine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {group: np.zeros(len(own[1])) for group, own in held.items()}
+        for batch in batches:
+            for group in set(batch.column("group").unique().to_pylist()) & set(held):
+                grams = batch.filter(pc.equal(batch.column("group"), group)).column("grams")
+                best[group] = np.maximum(best[group], _closest(grams, *held[group][1:]))
+        for group, found in best.items():
+            k = pa.array(held[group][0], pa.string())
+            yield pa.RecordBatch.from_arrays([k, pa.array(found)], ["k", "best"]).filter(pa.array(found > 0))
+
+    sets = right.where("grams is not null").select("group", F.array_distinct(F.array_compact("grams")).cast("array<string>").alias("grams"))
+    return sets.mapInArrow(run, "k string, best double").groupBy("k").agg(F.max("best").alias("best"))
+
+
 def best_jaccard(left: DataFrame, right: DataFrame, grouped: bool = False) -> DataFrame:
     """id (and group), best of every row of left (id, grams): the highest Jaccard similarity with a row of right (id, grams), 0 if none shares an element.
 
@@ -87,8 +153,12 @@ def best_jaccard(left: DataFrame, right: DataFrame, grouped: bool = False) -> Da
     """
     left, right = (df if grouped else df.withColumn("group", F.lit("")) for df in (left, right))
     ids, mine = _distinct(left)
-    _, pool = _distinct(right)
-    mine, pool = materialised(mine, "sets"), materialised(pool, "sets")
+    mine = materialised(mine, "sets")
+    asking, elements = mine.agg(F.count("*"), F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()
+    if asking <= ASKING and elements <= HELD:
+        out = ids.join(_compared(mine, right), "k", "left").select("id", "group", F.coalesce("best", F.lit(0.0)).alias("best"))
+        return _with_empty(out, left, grouped)
+    pool = materialised(_distinct(right)[1], "sets")
     rows = lambda sets, k, n: sets.select(F.col("k").alias(k), F.size("grams").alias(n), "group", F.explode("grams").alias("gram"))
     counts = rows(pool, "other", "m").groupBy("group", "gram").agg(F.count("*").alias("df"))
     asked = rows(mine, "k", "n").groupBy("gram").agg(F.count("*").alias("times"))
@@ -123,3 +193,6 @@ def _with_empty(known: DataFrame, left: DataFrame, grouped: bool) -> DataFrame:
     none = left.where(F.coalesce(F.size(F.array_compact("grams")), F.lit(0)) <= 0).select("id", "group", F.lit(0.0).alias("best"))
     out = known.unionByName(none)
     return out if grouped else out.drop("group")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package

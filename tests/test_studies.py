@@ -41,6 +41,31 @@ def test_best_matches(spark, monkeypatch, few, levels, hot):
     assert Counter((r[0], round(r[1], 9)) for r in got) == Counter((i, round(one(g), 9)) for i, g in left)
 
 
+@pytest.mark.parametrize(("few", "levels", "hot"), [(4, (0.5, 0.15, 0.0), 10), (0, (0.5, 0.15, 0.0), 10), (0, (0.9, 0.4, 0.1, 0.0), 1), (0, (0.0,), 3)])
+def test_best_matches_of_many_sets_that_ask(spark, monkeypatch, few, levels, hot):
+    """The same where tasks don't hold the sets that ask."""
+    monkeypatch.setattr(setjoin, "ASKING", 0)
+    test_best_matches(spark, monkeypatch, few, levels, hot)
+
+
+@pytest.mark.parametrize("cells", [1, 300])
+def test_best_matches_in_pieces(spark, monkeypatch, cells):
+    monkeypatch.setattr(setjoin, "CELLS", cells)
+    test_best_matches(spark, monkeypatch, 4, (0.5, 0.15, 0.0), 10)
+
+
+def test_a_pool_is_compared_where_it_is_read(spark, monkeypatch):
+    """Its sets are neither written nor shuffled if few sets ask; groups, copies, nulls and sets without a match included."""
+    written = []
+    monkeypatch.setattr(setjoin, "materialised", lambda df, name: written.append(df.count()) or df)
+    left = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "b", ["x", "y"]), (3, "b", ["x", "y"]), (4, "b", ["none"]), (5, "b", None)], "id int, group string, grams array<string>")
+    own = spark.range(3000).select("id", F.lit("a").alias("group"), F.array(F.lit("x"), F.lit("x"), F.lit(None), F.col("id").cast("string")).alias("grams"))
+    right = own.unionAll(spark.createDataFrame([(0, "b", ["x", "y", "z"]), (0, "b", None), (0, "b", []), (0, "c", ["none"])], "id long, group string, grams array<string>"))
+    got = setjoin.best_jaccard(left, right, grouped=True)
+    assert {(i, g, round(b, 9)) for i, g, b in got.collect()} == {(1, "a", 0.333333333), (2, "b", 0.666666667), (3, "b", 0.666666667), (4, "b", 0.0), (5, "b", 0.0)}
+    assert written == [3]
+
+
 def test_best_matches_by_group(spark):
     left = spark.createDataFrame([(1, "a", ["x", "y"]), (1, "b", ["x", "y"]), (2, "c", ["x"])], "id int, group string, grams array<string>")
     right = spark.createDataFrame([(1, "a", ["x"]), (2, "b", ["x", "y"])], "id int, group string, grams array<string>")
