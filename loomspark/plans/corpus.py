@@ -14,7 +14,7 @@ from loomspark.operators import search, setjoin
 from loomspark.operators import statistics as S
 from loomspark.sources import io
 
-from .common import NAMES, POOL_SQL, Query, chrf_sql, pools, score_sql, table
+from .common import NAMES, POOL_SQL, Query, chrf_sql, dealt, pools, score_sql, table
 
 
 def split_assign(spark, d):
@@ -205,7 +205,7 @@ def _leakage(n):
     def query(spark, d):
         """The highest Jaccard similarity of each item with any turn of any conversation: whole texts."""
         b = table(spark, d, "benchmark")
-        c = table(spark, d, "conversations").select((F.col("conv_id") * 10000 + F.col("turn")).alias("item_id"), "text")
+        c = dealt(table(spark, d, "conversations").select((F.col("conv_id") * 10000 + F.col("turn")).alias("item_id"), "text"), "item_id")
         df = setjoin.best_jaccard(_line_grams(b, "item_id", n), _line_grams(c, "item_id", n))
         return df.select(F.col("id").alias("item_id"), F.round("best", 6).alias("best"))
 
